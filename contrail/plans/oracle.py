@@ -35,7 +35,7 @@ fl_c AS (
 flights AS (
   SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS flight_id,
     CAST(DATE '2024-01-01' + CAST(MOD(l_orderkey * 7 + l_partkey, 366) AS INT) AS DATE) AS flightdate,
-    p_brand AS operating_airline,
+    UPPER(p_brand) AS operating_airline,
     'N' || CAST(l_suppkey AS VARCHAR) AS tail_number,
     CAST(l_linenumber AS INT) AS flight_number_operating_airline,
     CAST(s_nationkey + 10000 AS INT) AS originairportid,
@@ -112,3 +112,37 @@ def half_up(num: str, den: str, digits: int = 2) -> str:
 
 def avg_half_up(col: str, digits: int = 2) -> str:
     return half_up(f"SUM({col})", f"COUNT({col})", digits)
+
+
+DASH_CTE = """
+dash AS (
+  SELECT flight_id, flightdate, operating_airline, origin, origincityname AS origin_city,
+    dest, destcityname AS dest_city, distance, depdelay,
+    CAST(COALESCE(depdel15, FALSE) AS INT) AS delayed,
+    COALESCE(carrierdelay, 0.0) AS carrierdelay, COALESCE(weatherdelay, 0.0) AS weatherdelay,
+    COALESCE(nasdelay, 0.0) AS nasdelay, COALESCE(securitydelay, 0.0) AS securitydelay,
+    COALESCE(lateaircraftdelay, 0.0) AS lateaircraftdelay,
+    CAST(MONTH(flightdate) AS INT) AS month, DAYNAME(flightdate) AS day_of_week
+  FROM flights WHERE cancelled = FALSE)"""
+
+DELAYED = "SUM(CASE WHEN depdel15 = TRUE THEN 1 ELSE 0 END)"
+
+
+def gold_cte() -> str:
+    return f"""
+gold AS (
+  SELECT operating_airline, origin, dest, COUNT(*) AS total_flights,
+    {avg_half_up('depdelay')} AS avg_dep_delay,
+    {avg_half_up('distance', 0)} AS avg_distance,
+    CAST({DELAYED} AS BIGINT) AS delayed_count,
+    {half_up(DELAYED + ' * 100', 'COUNT(*)')} AS delay_rate_pct,
+    {avg_half_up('carrierdelay')} AS avg_carrier_delay,
+    {avg_half_up('weatherdelay')} AS avg_weather_delay,
+    {avg_half_up('nasdelay')} AS avg_nas_delay
+  FROM flights WHERE cancelled = FALSE OR cancelled IS NULL
+  GROUP BY operating_airline, origin, dest)"""
+
+
+def with_dash(body: str, **kw) -> str:
+    extra = kw.pop("extra", None)
+    return with_base(body, extra=DASH_CTE.strip() + ("," + extra if extra else ""), **kw)

@@ -97,7 +97,7 @@ def derive_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         (ok * 1000000 + pk * 10 + F.col("l_linenumber")).alias("flight_id"),
         _day(ok * 7 + pk).alias("flightdate"),
-        F.col("p_brand").alias("operating_airline"),
+        F.upper(F.col("p_brand")).alias("operating_airline"),
         F.concat(F.lit("N"), sk.cast("string")).alias("tail_number"),
         F.col("l_linenumber").cast("int").alias("flight_number_operating_airline"),
         (F.col("s_nationkey") + 10000).cast("int").alias("originairportid"),
@@ -190,7 +190,7 @@ def airport_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # written once (Parquet, partitioned by flight month, sorted by carrier/route
 # inside each file so row-group statistics prune carrier/route filters) into
 # the shared checkpoint folder, and every query reads it back.
-LAYOUT_VERSION = "bronze-v3"
+LAYOUT_VERSION = "bronze-v4"
 
 
 class Lake:
