@@ -1 +1,121 @@
-"""q_clean"""
+"""Raw CSV cleaning, fills and small projections."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from contrail.functions import constants as K
+from contrail.functions.scalars import clip
+from contrail.operators import clean as C
+from contrail.operators.topk import SAMPLE_PRIME, sample_key
+from contrail.plans.medallion import silver_flights_weather
+from contrail.plans.oracle import with_base
+from contrail.plans.registry import register
+from contrail.sources import raw as R
+from contrail.sources.tables import flights, weather
+
+_DEP_MIN = "((((flight_id * 7) % 1440) + CAST(depdelay AS BIGINT)) % 1440 + 1440) % 1440"
+
+
+@register("s1_clean_raw_csv", with_base(f"""
+SELECT flightdate, operating_airline, tail_number, flight_number_operating_airline,
+  originairportid, origin, origincityname, destairportid, dest, destcityname,
+  depdelay, COALESCE(depdel15, FALSE) AS depdel15, arrdelay, COALESCE(arrdel15, FALSE) AS arrdel15,
+  COALESCE(cancelled, FALSE) AS cancelled, COALESCE(diverted, FALSE) AS diverted, distance,
+  distancegroup, carrierdelay, weatherdelay, nasdelay, securitydelay, lateaircraftdelay,
+  CAST((flight_id * 7) % 1440 AS INT) AS crsdeptime,
+  CAST(CASE WHEN depdelay IS NULL OR {_DEP_MIN} = 0 THEN NULL ELSE {_DEP_MIN} END AS INT) AS deptime
+FROM flights"""))
+def s1(spark, sf):
+    return R.clean_raw_flights(R.read_raw_csv(spark, R.land_raw_csv(spark, sf)))
+
+
+@register("s13_raw_csv_profile")
+def s13(spark, sf):
+    return R.profile_report(R.read_raw_csv(spark, R.land_raw_csv(spark, sf)))
+
+
+@register("s3_raw_csv_column_subset", with_base("""
+SELECT strftime(flightdate, '%Y-%m-%d') AS FlightDate, origin AS Origin, dest AS Dest FROM flights"""))
+def s3(spark, sf):
+    return R.read_raw_csv(spark, R.land_raw_csv(spark, sf), ["FlightDate", "Origin", "Dest"])
+
+
+@register("p7_fractional_values_report")
+def p7(spark, sf):
+    raw = C.strip_column_names(R.read_raw_csv(spark, R.land_raw_csv(spark, sf)))
+    return C.fractional_report(raw, R.INT_COLUMNS)
+
+
+_SEED = ", ".join(f"('{c}', '{n}')" for c, n in K.SEED_AIRLINES)
+
+
+@register("s8_airlines_insert_if_absent", with_base(f"""
+SELECT code, name FROM (VALUES {_SEED}) AS seed(code, name)
+UNION ALL
+SELECT code, CAST(NULL AS VARCHAR) FROM (SELECT DISTINCT operating_airline AS code FROM flights
+  WHERE operating_airline IS NOT NULL)
+WHERE code NOT IN (SELECT code FROM (VALUES {_SEED}) AS seed(code, name))"""))
+def s8(spark, sf):
+    return R.airlines_table(spark, flights(spark, sf))
+
+
+_SILVER = """
+silver AS (
+  SELECT f.flight_id, f.operating_airline, f.origin, f.dest, wo.temp AS temp_origin,
+    wd.temp AS temp_dest
+  FROM flights f
+  LEFT JOIN weather wo ON f.flightdate = wo.weather_date AND f.origincityname = wo.location_name
+  LEFT JOIN weather wd ON f.flightdate = wd.weather_date AND f.destcityname = wd.location_name)"""
+
+
+@register("p15_fill_global_mean", with_base("""
+SELECT flight_id, operating_airline, origin, dest,
+  COALESCE(temp_origin, (SELECT AVG(temp_origin) FROM silver)) AS temp_origin,
+  COALESCE(temp_dest, (SELECT AVG(temp_dest) FROM silver)) AS temp_dest
+FROM silver""", weather=True, extra=_SILVER.strip()))
+def p15(spark, sf):
+    s = silver_flights_weather(flights(spark, sf), weather(spark, sf)).select(
+        "flight_id", "operating_airline", "origin", "dest", "temp_origin", "temp_dest")
+    return C.fill_mean(s, ["temp_origin", "temp_dest"])
+
+
+_TRAIN = f"MOD(MOD(flight_id, {SAMPLE_PRIME}) * 7919 + 7, {SAMPLE_PRIME}) < {int(SAMPLE_PRIME * 0.8)}"
+
+
+@register("p16_fill_train_median", with_base(f"""
+SELECT flight_id, operating_airline, origin, dest,
+  COALESCE(temp_origin, (SELECT quantile_cont(temp_origin, 0.5) FROM silver WHERE {_TRAIN})) AS temp_origin,
+  COALESCE(temp_dest, (SELECT quantile_cont(temp_dest, 0.5) FROM silver WHERE {_TRAIN})) AS temp_dest
+FROM silver""", weather=True, extra=_SILVER.strip()))
+def p16(spark, sf):
+    s = silver_flights_weather(flights(spark, sf), weather(spark, sf)).select(
+        "flight_id", "operating_airline", "origin", "dest", "temp_origin", "temp_dest")
+    train = s.where(sample_key(7) < int(SAMPLE_PRIME * 0.8))
+    return C.fill_median(train, s, ["temp_origin", "temp_dest"])
+
+
+@register("p13_weather_provider_normalised", with_base("""
+SELECT location_name, weather_date, temp, temp_min_c, temp_max_c, relative_humidity,
+  precipitation_mm, snow_mm, wind_speed_kmh, pressure_hpa, cloud_cover FROM weather""",
+                                                     weather=True))
+def p13(spark, sf):
+    back = {v: k for k, v in K.WEATHER_RENAMES.items()}
+    provider = (weather(spark, sf).select("location_name", *K.WEATHER_RENAMES.values())
+                .withColumnsRenamed(back)
+                .withColumn("wpgt", F.lit(None).cast("double"))
+                .withColumn("tsun", F.lit(None).cast("double")))
+    return C.rename_columns(provider, K.WEATHER_RENAMES).drop(*K.WEATHER_DROPPED)
+
+
+@register("p22_p26_delay_clip_and_date_parts", with_base("""
+SELECT flight_id, LEAST(GREATEST(depdelay, -30.0), 180.0) AS depdelay_clipped,
+  CAST(YEAR(flightdate) AS INT) AS year, CAST(MONTH(flightdate) AS INT) AS month,
+  CAST(DAY(flightdate) AS INT) AS day
+FROM flights"""))
+def p22_p26(spark, sf):
+    f = flights(spark, sf).select("flight_id", "depdelay",
+                                  F.date_format("flightdate", "yyyy-MM-dd").alias("iso"))
+    f = C.split_date(f, "iso")
+    return f.select("flight_id", clip("depdelay", -30.0, 180.0).alias("depdelay_clipped"),
+                    "year", "month", "day")
