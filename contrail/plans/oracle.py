@@ -83,8 +83,9 @@ weather AS (
 
 COORDS_CTE = """
 coords AS (
-  SELECT n_name AS iata, 25.0 + n_nationkey * 0.9 AS lat,
-         -122.0 + n_regionkey * 12.0 + n_nationkey * 0.5 AS lon
+  SELECT n_name AS iata, CAST(25.0 AS DOUBLE) + n_nationkey * CAST(0.9 AS DOUBLE) AS lat,
+         CAST(-122.0 AS DOUBLE) + n_regionkey * CAST(12.0 AS DOUBLE)
+           + n_nationkey * CAST(0.5 AS DOUBLE) AS lon
   FROM nation WHERE MOD(n_nationkey, 7) <> 6)"""
 
 
