@@ -18,7 +18,7 @@ from contrail.functions.scalars import (clip, day_name, flag_to_int, month_abbr,
 from contrail.operators.filters import not_cancelled_strict
 from contrail.operators.windows import frame_max
 
-ONE = F.lit(1)
+
 
 
 def _delayed_sum(col: str = "depdel15"):
@@ -61,7 +61,7 @@ def dashboard_frame(flights: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- API stats
 def general_stats(df: DataFrame) -> DataFrame:
     """A5: count, delay rate %, mean delay; NULL -> 0 (input: F1-filtered flights)."""
-    n = F.count(ONE)
+    n = F.count(F.lit(1))
     return df.agg(
         n.alias("total_flights"),
         F.coalesce(F.try_divide(_delayed_sum().cast("double"), n) * 100, F.lit(0.0)).alias("delay_rate"),
@@ -70,7 +70,7 @@ def general_stats(df: DataFrame) -> DataFrame:
 
 def stats_by_day_of_week(df: DataFrame) -> DataFrame:
     """Flights and delay rate by day of week, Sunday = 0."""
-    n = F.count(ONE)
+    n = F.count(F.lit(1))
     return (df.groupBy(pg_day_of_week("flightdate").alias("day_of_week"))
               .agg(n.alias("flights"),
                    (F.try_divide(_delayed_sum().cast("double"), n) * 100).alias("delay_rate")))
@@ -131,11 +131,11 @@ def top_airports(dash: DataFrame, n: int = 20) -> DataFrame:
     order undefined)."""
     def top(col):
         c = dash.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("iata")).agg(
-            F.count(ONE).alias("n"))
+            F.count(F.lit(1)).alias("n"))
         return c.orderBy(F.desc("n"), "iata").limit(n).select("iata")
     cand = top("origin").union(top("dest")).distinct()
-    o = dash.groupBy(F.col("origin").alias("iata")).agg(F.count(ONE).alias("n_o"))
-    d = dash.groupBy(F.col("dest").alias("iata")).agg(F.count(ONE).alias("n_d"))
+    o = dash.groupBy(F.col("origin").alias("iata")).agg(F.count(F.lit(1)).alias("n_o"))
+    d = dash.groupBy(F.col("dest").alias("iata")).agg(F.count(F.lit(1)).alias("n_d"))
     ranked = (cand.join(o, "iata", "left").join(d, "iata", "left")
                   .select("iata", (F.coalesce("n_o", F.lit(0)) + F.coalesce("n_d", F.lit(0)))
                           .alias("flights")))
@@ -173,7 +173,7 @@ def delay_histogram(dash: DataFrame, upper: int = 180, width: int = 5) -> DataFr
     last = upper // width - 1
     pos = dash.where(F.col("depdelay") > 0).select(clip("depdelay", hi=float(upper)).alias("d"))
     g = pos.groupBy(F.least(F.floor(F.col("d") / width), F.lit(last)).cast("int").alias("bin")).agg(
-        F.count(ONE).alias("flights"), F.sum("d").alias("s"))
+        F.count(F.lit(1)).alias("flights"), F.sum("d").alias("s"))
     w = W.partitionBy()
     return g.select((F.col("bin") * width).alias("bin_start"), "flights",
                     ratio_half_up(F.sum("s").over(w), F.sum("flights").over(w), 2)
@@ -186,9 +186,9 @@ def kpis(dash: DataFrame) -> DataFrame:
     route = F.when(F.col("origin").isNotNull() & F.col("dest").isNotNull(),
                    F.struct("origin", "dest"))
     return dash.agg(
-        F.count(ONE).alias("flights"),
+        F.count(F.lit(1)).alias("flights"),
         F.sum("delayed").cast("long").alias("delayed"),
-        ratio_half_up(F.sum("delayed") * 100, F.count(ONE), 1).alias("delay_rate"),
+        ratio_half_up(F.sum("delayed") * 100, F.count(F.lit(1)), 1).alias("delay_rate"),
         ratio_half_up(F.sum(pos), F.count(pos), 1).alias("avg_positive_delay"),
         F.countDistinct("operating_airline").alias("airlines"),
         F.countDistinct(route).alias("routes"))
@@ -208,7 +208,7 @@ def summary_from_gold(gold: DataFrame) -> DataFrame:
         .alias("weighted_avg_delay"),
         ratio_half_up(F.sum(rate_c), F.count(rate_c) * 100, 2).alias("mean_delay_rate"),
         F.countDistinct("operating_airline").alias("airlines"),
-        F.count(ONE).alias("routes"))
+        F.count(F.lit(1)).alias("routes"))
 
 
 def airport_stats(dash: DataFrame, coords: DataFrame, min_flights: int = 5) -> DataFrame:
@@ -273,21 +273,21 @@ def null_counts(df: DataFrame, prefix: str = "null_") -> DataFrame:
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows, distinct rows, duplicates - one group-by over all columns
     (partial counts per task), then one global sum."""
-    g = df.groupBy(*df.columns).agg(F.count(ONE).alias("_n"))
+    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
     return g.agg(F.sum("_n").cast("long").alias("rows"),
-                 F.count(ONE).alias("distinct_rows")).withColumn(
+                 F.count(F.lit(1)).alias("distinct_rows")).withColumn(
         "duplicate_rows", F.col("rows") - F.col("distinct_rows"))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Absolute and normalised counts of a column's non-null values."""
-    g = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(ONE).alias("count"))
+    g = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     return g.withColumn("share", F.col("count") / F.sum("count").over(W.partitionBy()))
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """A23 long form: counts per (a, b) pair."""
-    return df.groupBy(a, b).agg(F.count(ONE).alias("count"))
+    return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("count"))
 
 
 def label_then_route(df: DataFrame) -> DataFrame:

@@ -1 +1,196 @@
-"""q_ml"""
+"""Model training, evaluation, batch scoring and trip risk.
+
+Model outputs depend on optimiser numerics, so these are rows-only checks
+except the feature frames, which SQL reproduces exactly.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from contrail.functions.constants import WEATHER_MEASURES
+from contrail.ml import features as FT
+from contrail.ml import models as M
+from contrail.operators import aggregates as AG
+from contrail.operators.filters import not_cancelled_strict
+from contrail.operators.joins import training_join
+from contrail.plans.oracle import with_base
+from contrail.plans.registry import register
+from contrail.sources.live import prediction_log_row
+from contrail.sources.tables import flights, lake, weather
+
+_FIT: dict = {}
+
+
+def _route_models(spark, sf):
+    """Route classifier + regressor fitted once per (session, input), saved
+    and re-loaded through the model store (M12)."""
+    k = ("route", id(spark), sf)
+    if k not in _FIT:
+        data = M.route_training_frame(flights(spark, sf))
+        train, test = FT.hash_split(data, 0.2)
+        cls = M.route_classifier().fit(train)
+        reg = M.route_regressor().fit(train.where(F.col("depdelay") > 0))
+        root = f"{lake(spark, sf).root}/models"
+        M.save(cls, f"{root}/route_cls")
+        M.save(reg, f"{root}/route_reg")
+        _FIT[k] = (M.load(f"{root}/route_cls"), M.load(f"{root}/route_reg"), test)
+    return _FIT[k]
+
+
+def _weather_frame(spark, sf):
+    j = training_join(not_cancelled_strict(flights(spark, sf)), weather(spark, sf))
+    return FT.leakage_safe(j)
+
+
+def _weather_model(spark, sf):
+    k = ("weather", id(spark), sf)
+    if k not in _FIT:
+        data = _weather_frame(spark, sf)
+        train, test = FT.hash_split(data, 0.25)
+        n = train.count()
+        _FIT[k] = (M.weather_classifier(n).fit(train), test)
+    return _FIT[k]
+
+
+_J2_COLS = ["flight_id", "flightdate", "operating_airline", "origin", "origincityname", "dest",
+            "destcityname", "distance", "distancegroup"]
+_M1_COLS = _J2_COLS + ["diverted"] + [f"{m}_o" for m in WEATHER_MEASURES] + \
+    [f"{m}_d" for m in WEATHER_MEASURES] + ["label"]
+_WX = f"""
+wxt AS (SELECT location_name, weather_date, {', '.join(m if m != 'snow_mm' else 'COALESCE(snow_mm, 0.0) AS snow_mm' for m in WEATHER_MEASURES)}
+        FROM weather)"""
+
+
+@register("m1_leakage_safe_training_frame", with_base(f"""
+SELECT * FROM (
+  SELECT {', '.join('f.' + c for c in _J2_COLS)}, CAST(f.diverted AS INT) AS diverted,
+    {', '.join(f'wo.{m} AS {m}_o' for m in WEATHER_MEASURES)},
+    {', '.join(f'wd.{m} AS {m}_d' for m in WEATHER_MEASURES)},
+    CAST(f.depdel15 AS INT) AS label
+  FROM flights f
+  JOIN wxt wo ON f.flightdate = wo.weather_date AND f.origincityname = wo.location_name
+  JOIN wxt wd ON f.flightdate = wd.weather_date AND f.destcityname = wd.location_name
+  WHERE f.cancelled = FALSE)
+WHERE {' AND '.join(c + ' IS NOT NULL' for c in _M1_COLS)}""", weather=True, extra=_WX.strip()))
+def m1(spark, sf):
+    return _weather_frame(spark, sf)
+
+
+@register("m8_route_classifier_predictions")
+def m8_route(spark, sf):
+    cls, _, test = _route_models(spark, sf)
+    return M.with_probability(cls.transform(test)).select(
+        "flight_id", "operating_airline", "origin", "dest", "label", "prediction",
+        "delay_probability")
+
+
+@register("m9_delay_regression_predictions")
+def m9(spark, sf):
+    _, reg, test = _route_models(spark, sf)
+    return reg.transform(test.where(F.col("depdelay") > 0)).select(
+        "flight_id", "depdelay", F.col("prediction").alias("predicted_delay"))
+
+
+@register("m11_route_classifier_metrics")
+def m11(spark, sf):
+    cls, _, test = _route_models(spark, sf)
+    return M.evaluate(cls.transform(test))
+
+
+@register("a23_confusion_matrix")
+def a23(spark, sf):
+    cls, _, test = _route_models(spark, sf)
+    return M.confusion(cls.transform(test))
+
+
+@register("a22_prediction_counts")
+def a22(spark, sf):
+    cls, _, test = _route_models(spark, sf)
+    return M.prediction_counts(cls.transform(test))
+
+
+@register("m3_m4_m8_weather_classifier_metrics")
+def m8_weather(spark, sf):
+    model, test = _weather_model(spark, sf)
+    return M.evaluate(model.transform(test))
+
+
+@register("m7_oversampled_class_counts")
+def m7(spark, sf):
+    train, _ = FT.hash_split(_weather_frame(spark, sf), 0.25)
+    return FT.oversample(train).groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("m10_forest_metrics")
+def m10(spark, sf):
+    train, test = FT.hash_split(_weather_frame(spark, sf), 0.25)
+    return M.evaluate(M.forest_classifier(num_trees=20).fit(train).transform(test))
+
+
+def _requests(spark, sf):
+    """One prediction request per uncancelled flight: the flight and the
+    day's weather at both of its cities (as the API receives them)."""
+    f = not_cancelled_strict(flights(spark, sf))
+    w = weather(spark, sf)
+    wcols = ["location_name", "weather_date", *WEATHER_MEASURES]
+    wo = w.select(*[F.col(c).alias(f"o_{c}") for c in wcols])
+    wd = w.select(*[F.col(c).alias(f"d_{c}") for c in wcols])
+    j = (f.join(wo, (F.col("flightdate") == F.col("o_weather_date"))
+                & (F.col("origincityname") == F.col("o_location_name")))
+          .join(wd, (F.col("flightdate") == F.col("d_weather_date"))
+                & (F.col("destcityname") == F.col("d_location_name"))))
+
+    def wstruct(p):
+        return F.struct(F.date_format(f"{p}weather_date", "yyyy-MM-dd").alias("weather_date"),
+                        F.col(f"{p}location_name").alias("location_name"),
+                        *[F.col(f"{p}{m}").alias(m) for m in WEATHER_MEASURES])
+    return j.select(
+        F.col("flight_id").alias("request_id"),
+        F.array(F.struct(F.date_format("flightdate", "yyyy-MM-dd").alias("flightdate"),
+                         "origin", "origincityname", "dest", "destcityname", "distance",
+                         "distancegroup", F.col("diverted").cast("int").alias("diverted"))
+                ).alias("flights"),
+        F.array(wstruct("o_"), wstruct("d_")).alias("weather"))
+
+
+@register("s16_explode_request_flights", with_base("""
+SELECT f.flight_id AS request_id, strftime(f.flightdate, '%Y-%m-%d') AS flightdate, f.origin,
+  f.origincityname, f.dest, f.destcityname, f.distance, f.distancegroup,
+  CAST(f.diverted AS INT) AS diverted
+FROM flights f
+JOIN weather wo ON f.flightdate = wo.weather_date AND f.origincityname = wo.location_name
+JOIN weather wd ON f.flightdate = wd.weather_date AND f.destcityname = wd.location_name
+WHERE f.cancelled = FALSE""", weather=True))
+def s16(spark, sf):
+    return FT.explode_request(_requests(spark, sf))[0]
+
+
+def _batch_predictions(spark, sf):
+    model, _ = _weather_model(spark, sf)
+    fl, wx = FT.explode_request(_requests(spark, sf))
+    fl = fl.withColumn("operating_airline", F.lit(None).cast("string"))
+    # the request carries no carrier: the encoder's extra index handles it
+    return M.predict_requests(model, fl, wx, FT.NUMERIC_FEATURES)
+
+
+@register("m13_batch_prediction")
+def m13(spark, sf):
+    return _batch_predictions(spark, sf).select(
+        "request_id", "flightdate", "origin", "dest", "prediction", "delay_probability")
+
+
+@register("s12_prediction_log_row")
+def s12(spark, sf):
+    return prediction_log_row(_batch_predictions(spark, sf)).drop("predicted_at")
+
+
+@register("m14_trip_risk")
+def m14(spark, sf):
+    cls, reg, _ = _route_models(spark, sf)
+    dash = AG.dashboard_frame(flights(spark, sf))
+    trips = dash.select("operating_airline", "origin", "dest", "day_of_week").distinct()
+    rated = AG.trip_rates(dash, trips)
+    rates = rated.select("operating_airline", "origin", "dest", "day_of_week", "route_rate",
+                         "route_avg_delay", "route_avg_distance", "day_rate", "carrier_rate")
+    return M.trip_risk(trips, rates, cls, reg)
