@@ -166,7 +166,9 @@ def trip_risk(trips: DataFrame, rates: DataFrame, cls: PipelineModel | None,
     else:
         t = t.withColumn("_reg", F.lit(None).cast("double"))
     prob = F.coalesce(F.col("delay_probability"), fallback_p)
-    minutes = F.coalesce(F.greatest(F.lit(0.0), F.col("_reg")), fallback_m)
+    # greatest() skips NULLs, so guard it or the fallback would never apply
+    reg_minutes = F.when(F.col("_reg").isNotNull(), F.greatest(F.lit(0.0), F.col("_reg")))
+    minutes = F.coalesce(reg_minutes, fallback_m)
     return (t.withColumn("risk_probability", prob)
              .withColumn("expected_delay_minutes", minutes)
              .withColumn("risk_tier", risk_tier(prob))
