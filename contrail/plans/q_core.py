@@ -284,3 +284,41 @@ def a24(spark, sf):
     both = (f.select("flights", F.lit(None).cast("long").alias("weather"))
             .unionByName(w.select(F.lit(None).cast("long").alias("flights"), "weather")))
     return both.agg(F.max("flights").alias("flights"), F.max("weather").alias("weather"))
+
+
+# ------------------------------------------------------------------ sources
+@register("s4_bronze_flights", with_base("SELECT " + ", ".join(_BRONZE_COLS) + " FROM flights"))
+def s4(spark, sf):
+    """The materialised bronze table read back (written once into the lake)."""
+    return flights(spark, sf).select(*_BRONZE_COLS)
+
+
+@register("s4_bronze_weather", with_base("""
+SELECT location_name, weather_date, temp, temp_min_c, temp_max_c, relative_humidity,
+  precipitation_mm, snow_mm, wind_speed_kmh, pressure_hpa, cloud_cover, obs, ingested_at
+FROM weather""", weather=True))
+def s4_weather(spark, sf):
+    return weather(spark, sf)
+
+
+@register("s2_bounded_read", with_base(f"""
+SELECT {_PAGE_COLS} FROM flights
+ORDER BY flight_id, operating_airline, origin, dest, distance, depdelay NULLS LAST, flightdate
+LIMIT 1000"""))
+def s2(spark, sf):
+    from contrail.sources.raw import bounded
+    return bounded(flights(spark, sf).select(*TK.PAGE_COLUMNS), 1000,
+                   ["flight_id", "operating_airline", "origin", "dest", "distance",
+                    F.asc_nulls_last("depdelay"), "flightdate"])
+
+
+@register("s15_gold_through_sql_views", with_base(f"""
+SELECT operating_airline, origin, dest, total_flights, delay_rate_pct FROM gold
+WHERE origin = 'NATION_4' AND total_flights >= 5""", extra=gold_cte().strip()))
+def s15(spark, sf):
+    """Layers registered as views, queried with Spark SQL; the origin
+    predicate is pushed below the aggregate into the bronze scan."""
+    from contrail.plans.medallion import register_layers
+    register_layers(spark, sf)
+    return spark.sql("""SELECT operating_airline, origin, dest, total_flights, delay_rate_pct
+                        FROM gold_delay_summary WHERE origin = 'NATION_4' AND total_flights >= 5""")

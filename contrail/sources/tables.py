@@ -26,6 +26,7 @@ Scale notes
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -204,6 +205,12 @@ class Lake:
 
     def _materialise(self, name: str, build, partition_by=None, sort_by=None) -> DataFrame:
         path = f"{self.root}/{name}"
+        with _BUILD_LOCK:  # queries sharing a session build each table once
+            self._write_once(path, build, partition_by, sort_by)
+        out = self.spark.read.parquet(path)
+        return out
+
+    def _write_once(self, path, build, partition_by, sort_by) -> None:
         if not path_exists(self.spark, f"{path}/_SUCCESS"):
             df = build()
             if partition_by:
@@ -217,10 +224,6 @@ class Lake:
             if partition_by:
                 w = w.partitionBy(*partition_by)
             w.parquet(path)
-        out = self.spark.read.parquet(path)
-        if partition_by:
-            out = out.drop(*partition_by)
-        return out
 
     def flights(self) -> DataFrame:
         return self._materialise(
@@ -234,6 +237,7 @@ class Lake:
 
 
 _LAKES: dict = {}
+_BUILD_LOCK = threading.RLock()
 
 
 def lake(spark: SparkSession, sf_dir: str) -> Lake:

@@ -85,3 +85,22 @@ def test_generator_is_seeded(spark):
     assert rows(a) == rows(b)
     assert a.where("depdelay < -30 OR depdelay > 300").count() == 0
     assert a.where("depdel15 <> (depdelay > 15)").count() == 0
+
+
+def test_sinks_roundtrip(spark, tmp_path):
+    import datetime as dt
+    df = spark.createDataFrame([(1, dt.date(2024, 3, 5), "AA"), (2, dt.date(2024, 4, 1), "DL")],
+                               "flight_id long, flightdate date, operating_airline string")
+    R.append_bronze(df, str(tmp_path / "bronze"))
+    R.append_bronze(df, str(tmp_path / "bronze"))
+    back = spark.read.parquet(str(tmp_path / "bronze"))
+    assert back.count() == 4 and "ingested_at" in back.columns
+    assert back.where("flight_month = 202403").count() == 2
+    R.replace_table(df, str(tmp_path / "ref"))
+    R.replace_table(df.limit(1), str(tmp_path / "ref"))
+    assert spark.read.parquet(str(tmp_path / "ref")).count() == 1
+    R.write_csv(df, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+    rep = R.profile_report(df, str(tmp_path / "profile")).first()
+    assert rep.rows == 2 and rep.columns == 3
+    assert J.union_frames(df, df.select("flight_id")).count() == 4
