@@ -58,8 +58,8 @@ def hash_split(df: DataFrame, test_fraction: float = 0.2, key: str = "flight_id"
 def label_encoders(cols: list[str]) -> list[StringIndexer]:
     """M5: alphabetical label encoding; unseen values get their own index at
     scoring time instead of colliding with class 0."""
-    return [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetAsc",
-                          handleInvalid="keep") for c in cols]
+    return [StringIndexer(inputCols=list(cols), outputCols=[f"{c}_idx" for c in cols],
+                          stringOrderType="alphabetAsc", handleInvalid="keep")]
 
 
 def one_hot(cols: list[str], drop_last: bool = False) -> list:

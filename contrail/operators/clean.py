@@ -32,13 +32,25 @@ def keep_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
                        for w in wanted if w.lower() in by_lower])
 
 
-def sparse_columns(df: DataFrame, max_nulls: int | float) -> list[str]:
-    """P1 decision: columns with at least ``max_nulls`` NULLs (absolute count,
-    or a fraction of the rows when < 1). One aggregate pass."""
-    aggs = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)]
+def column_profile(df: DataFrame) -> dict:
+    """One aggregate pass: rows, and per column NULL count and min/max as text."""
+    aggs = []
+    for i, c in enumerate(df.columns):
+        col = F.col(f"`{c}`").cast("string")
+        aggs += [F.count_if(col.isNull()).alias(f"z{i}"), F.min(col).alias(f"a{i}"),
+                 F.max(col).alias(f"b{i}")]
     row = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs).first()
-    limit = max_nulls * row["_rows"] if max_nulls < 1 else max_nulls
-    return [c for i, c in enumerate(df.columns) if row[f"n{i}"] >= limit and row["_rows"] > 0]
+    return {"rows": row["_rows"],
+            "cols": {c: (row[f"z{i}"], row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(df.columns)}}
+
+
+def sparse_columns(df: DataFrame, max_nulls: int | float, profile: dict | None = None) -> list[str]:
+    """P1 decision: columns with at least ``max_nulls`` NULLs (absolute count,
+    or a fraction of the rows when < 1)."""
+    prof = profile or column_profile(df)
+    n = prof["rows"]
+    limit = max_nulls * n if max_nulls < 1 else max_nulls
+    return [c for c, (z, _, _) in prof["cols"].items() if n > 0 and z >= limit]
 
 
 def drop_sparse_columns(df: DataFrame, max_nulls: int | float) -> DataFrame:
@@ -46,17 +58,11 @@ def drop_sparse_columns(df: DataFrame, max_nulls: int | float) -> DataFrame:
     return df.drop(*sparse_columns(df, max_nulls))
 
 
-def constant_columns(df: DataFrame) -> list[str]:
-    """P11 decision: columns holding one distinct non-null value (one pass,
-    ``min == max`` instead of an exact distinct count)."""
-    aggs = []
-    for i, c in enumerate(df.columns):
-        col = F.col(f"`{c}`").cast("string")
-        aggs += [F.min(col).alias(f"a{i}"), F.max(col).alias(f"b{i}"),
-                 F.count_if(col.isNull()).alias(f"z{i}")]
-    row = df.agg(*aggs).first()
-    return [c for i, c in enumerate(df.columns)
-            if row[f"a{i}"] is not None and row[f"a{i}"] == row[f"b{i}"] and row[f"z{i}"] == 0]
+def constant_columns(df: DataFrame, profile: dict | None = None) -> list[str]:
+    """P11 decision: columns holding one distinct value and no NULL (``min ==
+    max`` from the profiling pass instead of an exact distinct count)."""
+    prof = profile or column_profile(df)
+    return [c for c, (z, a, b) in prof["cols"].items() if a is not None and a == b and z == 0]
 
 
 def drop_constant_columns(df: DataFrame) -> DataFrame:
@@ -64,6 +70,13 @@ def drop_constant_columns(df: DataFrame) -> DataFrame:
     return df.drop(*constant_columns(df))
 
 
+def drop_sparse_and_constant(df: DataFrame, max_nulls: int | float) -> DataFrame:
+    """P1 + P11 decided from a single profiling pass."""
+    prof = column_profile(df)
+    drop = set(sparse_columns(df, max_nulls, prof)) | set(constant_columns(df, prof))
+    return df.drop(*[c for c in df.columns if c in drop])
+
+
 def parse_clock_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     """Hhmm clocks -> minutes of day (bad, 2400, >4 digits -> NULL)."""
     return df.withColumns({c: hhmm_to_minutes(c) for c in cols if c in df.columns})

@@ -98,6 +98,9 @@ def _bfs(edges: DataFrame, roots: DataFrame, max_hops: int, checkpoint: bool) ->
         checkpoint_root(roots.sparkSession)
     e = edges.select(F.col("src").alias("_u"), F.col("dst").alias("_v"),
                      F.col("avg_delay").alias("_d"))
+    if checkpoint:
+        # one row per route: computed once instead of once per hop
+        e, roots = _checkpoint(e), _checkpoint(roots)
     frontier = roots.select("root", F.col("root").alias("node"),
                             F.array(F.col("root")).alias("path"),
                             F.array().cast("array<double>").alias("delays"))

@@ -118,8 +118,7 @@ def clean_raw_flights(raw: DataFrame, sparse_fraction: float = 0.9,
     without date/origin/dest, P4 lower-case names.
     """
     df = C.strip_column_names(raw)
-    df = C.drop_sparse_columns(df, sparse_fraction)
-    df = C.drop_constant_columns(df)
+    df = C.drop_sparse_and_constant(df, sparse_fraction)
     df = C.keep_columns(df, K.RAW_KEEP_COLUMNS + ["CRSDepTime", "DepTime"])
     df = C.parse_dates(df, ["FlightDate"])
     df = C.parse_clock_columns(df, K.CLOCK_COLUMNS)
