@@ -19,8 +19,6 @@ from contrail.operators.filters import not_cancelled_strict
 from contrail.operators.windows import frame_max
 
 
-
-
 def _delayed_sum(col: str = "depdel15"):
     return F.sum(F.when(F.col(col) == F.lit(True), 1).otherwise(0))
 

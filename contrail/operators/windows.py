@@ -16,18 +16,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _pick(df: DataFrame, keys: list[str], order: list[str], newest: bool,
-          nulls_last: bool) -> DataFrame:
+def _pick(df: DataFrame, keys: list[str], order: list[str], newest: bool) -> DataFrame:
+    """One row per key: the smallest (``newest=False``) or largest order tuple,
+    ties broken by the remaining columns. A NULL order value never wins: each
+    order column is preceded by a flag that sorts NULLs after values for min
+    and before them for max."""
     rest = [c for c in df.columns if c not in keys and c not in order]
-    # Null order values rank below every value for max and above for min
-    # unless we lift them into a (is_null, value) pair.
-    ord_fields = []
+    fields = []
     for c in order:
-        flag = F.col(c).isNull() if not newest else F.col(c).isNotNull()
-        if nulls_last:
-            ord_fields.append(flag.alias(f"_n_{c}") if not newest else flag.alias(f"_n_{c}"))
-        ord_fields.append(F.col(c).alias(c))
-    s = F.struct(*ord_fields, *[F.col(c) for c in rest]).alias("_s")
+        flag = F.col(c).isNotNull() if newest else F.col(c).isNull()
+        fields += [flag.alias(f"_n_{c}"), F.col(c).alias(c)]
+    s = F.struct(*fields, *[F.col(c) for c in rest])
     agg = F.max(s) if newest else F.min(s)
     out = df.groupBy(*keys).agg(agg.alias("_s"))
     return out.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in order + rest]).select(*df.columns)
@@ -36,13 +35,13 @@ def _pick(df: DataFrame, keys: list[str], order: list[str], newest: bool,
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Smallest ``order`` tuple per key (ties broken by the other columns);
     NULL order values come last."""
-    return _pick(df, keys, order, newest=False, nulls_last=True)
+    return _pick(df, keys, order, newest=False)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Largest ``order`` tuple per key (ties broken by the other
     columns); NULL order values lose."""
-    return _pick(df, keys, order, newest=True, nulls_last=True)
+    return _pick(df, keys, order, newest=True)
 
 
 def frame_max(col: str) -> Column:
