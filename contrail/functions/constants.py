@@ -71,11 +71,13 @@ WEATHER_RENAMES = {
     "prcp": "precipitation_mm",
     "snwd": "snow_mm",
     "wspd": "wind_speed_kmh",
+    "wpgt": "wind_gust_kmh",
     "pres": "pressure_hpa",
+    "tsun": "sunshine_min",
     "cldc": "cloud_cover",
 }
-# sparse provider columns the loader drops
-WEATHER_DROPPED = ["wpgt", "tsun"]
+# sparse columns the loader drops after renaming
+WEATHER_DROPPED = ["wind_gust_kmh", "sunshine_min"]
 
 # --- fixed values: live state vector, 17 positional fields --------------------
 STATE_FIELDS = [
@@ -99,13 +101,16 @@ RAW_KEEP_COLUMNS = [
 CLOCK_COLUMNS = ["CRSDepTime", "DepTime", "WheelsOff", "WheelsOn",
                  "CRSArrTime", "ArrTime"]
 
-# --- fixed values: post-departure columns removed before training (leakage) --
+# --- fixed values: columns dropped before training (identifiers, schedule
+# and everything known only after departure), in the reference's order ------
 LEAKAGE_COLUMNS = [
-    "deptime", "depdelay", "depdel15", "departuredelaygroups", "taxiout",
-    "wheelsoff", "wheelson", "taxiin", "arrtime", "arrdelay", "arrdel15",
-    "arrivaldelaygroups", "cancellationcode", "actualelapsedtime", "airtime",
-    "carrierdelay", "weatherdelay", "nasdelay", "securitydelay",
-    "lateaircraftdelay",
+    "operating_airline", "tail_number", "flight_number_operating_airline",
+    "originairportid", "destairportid", "wheelsoff", "wheelson",
+    "cancellationcode", "carrierdelay", "weatherdelay", "nasdelay",
+    "securitydelay", "lateaircraftdelay", "cancelled", "taxiout", "taxiin",
+    "depdelay", "departuredelaygroups", "crselapsedtime", "actualelapsedtime",
+    "airtime", "arrtime", "arrdel15", "arrdelay", "arrivaldelaygroups",
+    "crsdeptime", "deptime", "crsarrtime",
 ]
 
 # Weather measures carried per endpoint in the training join.

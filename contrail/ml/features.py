@@ -7,7 +7,8 @@ StandardScaler moments); the driver only holds the fitted parameters.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (Imputer, OneHotEncoder, StandardScaler, StringIndexer,
+                                VectorAssembler)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,8 @@ from contrail.functions.constants import LEAKAGE_COLUMNS, WEATHER_MEASURES
 
 NUMERIC_FEATURES = ["distance", "distancegroup"] + \
     [f"{m}_o" for m in WEATHER_MEASURES] + [f"{m}_d" for m in WEATHER_MEASURES]
-CATEGORICAL_FEATURES = ["operating_airline", "origin", "dest", "diverted"]
+CATEGORICAL_FEATURES = ["diverted", "origin", "dest"]
+MODEL_FEATURES = NUMERIC_FEATURES + CATEGORICAL_FEATURES
 ROUTE_FEATURES = ["operating_airline", "origin", "dest"]
 LABEL = "label"
 
@@ -23,15 +25,15 @@ LABEL = "label"
 def leakage_safe(df: DataFrame, label_from: str = "depdel15") -> DataFrame:
     """M1 + M6: keep pre-departure information only.
 
-    Drops cancelled flights, derives the 0/1 label from ``label_from`` before
-    removing every post-departure column, turns booleans into 0/1 and drops
-    rows with missing values.
+    Drops cancelled flights, derives the 0/1 label from ``label_from`` (then
+    drops it), removes identifiers, schedule and post-departure columns,
+    turns booleans into 0/1 and drops rows with missing values.
     """
     out = df
     if "cancelled" in out.columns:
         out = out.where(~F.coalesce(F.col("cancelled"), F.lit(False))).drop("cancelled")
     out = out.withColumn(LABEL, F.col(label_from).cast("int"))
-    out = out.drop(*[c for c in LEAKAGE_COLUMNS if c in out.columns])
+    out = out.drop(label_from, *[c for c in LEAKAGE_COLUMNS if c in out.columns])
     out = bools_to_int(out)
     return out.dropna()
 
@@ -62,25 +64,42 @@ def label_encoders(cols: list[str]) -> list[StringIndexer]:
                           stringOrderType="alphabetAsc", handleInvalid="keep")]
 
 
-def one_hot(cols: list[str], drop_last: bool = False) -> list:
-    """M4: one-hot of categoricals (all levels, or one dropped)."""
+def one_hot(cols: list[str], drop_first: bool = False) -> list:
+    """M4: one-hot of categoricals.
+
+    ``drop_first=False``: every level, unseen values in an extra slot.
+    ``drop_first=True``: the alphabetically first level is the reference
+    level (indexing in descending order makes it the last index, which
+    ``dropLast`` removes); unseen values are an error, as in the model this
+    mirrors.
+    """
+    if drop_first:
+        idx = StringIndexer(inputCols=list(cols), outputCols=[f"{c}_idx" for c in cols],
+                            stringOrderType="alphabetDesc", handleInvalid="error")
+        enc = OneHotEncoder(inputCols=[f"{c}_idx" for c in cols],
+                            outputCols=[f"{c}_oh" for c in cols], dropLast=True)
+        return [idx, enc]
     stages = label_encoders(cols)
     stages.append(OneHotEncoder(inputCols=[f"{c}_idx" for c in cols],
-                                outputCols=[f"{c}_oh" for c in cols], dropLast=drop_last,
+                                outputCols=[f"{c}_oh" for c in cols], dropLast=False,
                                 handleInvalid="keep"))
     return stages
 
 
 def scaled_numeric(cols: list[str], out: str = "num_scaled") -> list:
-    """M3: assemble and standardise numerics (mean 0, unit sample std)."""
-    return [VectorAssembler(inputCols=cols, outputCol="num_raw", handleInvalid="keep"),
+    """P16 + M3: median-impute (learned on the training rows), assemble and
+    standardise numerics (mean 0, unit sample std)."""
+    imp = [f"{c}_imp" for c in cols]
+    return [Imputer(inputCols=cols, outputCols=imp, strategy="median", relativeError=0.0001),
+            VectorAssembler(inputCols=imp, outputCol="num_raw", handleInvalid="keep"),
             StandardScaler(inputCol="num_raw", outputCol=out, withMean=True, withStd=True)]
 
 
-def weather_feature_stages(drop_last: bool = True) -> list:
-    """The weather model's features: 20 scaled numerics + one-hot categoricals."""
+def weather_feature_stages(drop_first: bool = True) -> list:
+    """The weather model's features: 20 imputed, scaled numerics and one-hot
+    diverted / origin / dest."""
     return (scaled_numeric(NUMERIC_FEATURES)
-            + one_hot(CATEGORICAL_FEATURES, drop_last)
+            + one_hot(CATEGORICAL_FEATURES, drop_first)
             + [VectorAssembler(inputCols=["num_scaled"] + [f"{c}_oh" for c in CATEGORICAL_FEATURES],
                                outputCol="features")])
 

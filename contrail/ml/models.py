@@ -35,12 +35,12 @@ def route_regressor() -> Pipeline:
 
 
 def weather_classifier(n_train: int | None = None, max_iter: int = 400,
-                       drop_last: bool = True) -> Pipeline:
+                       drop_first: bool = True) -> Pipeline:
     """M3 + M4 + M8 (notebook model): scaled weather numerics and one-hot
     categoricals. A C=1 L2 penalty on the summed loss equals
     ``regParam = 1 / n`` on Spark's mean loss; tol 1e-4 as scikit-learn's."""
     reg = 1.0 / n_train if n_train else 0.0
-    return Pipeline(stages=FT.weather_feature_stages(drop_last) + [
+    return Pipeline(stages=FT.weather_feature_stages(drop_first) + [
         LogisticRegression(featuresCol="features", labelCol=FT.LABEL, maxIter=max_iter,
                            regParam=reg, elasticNetParam=0.0, standardization=False, tol=1e-4)])
 

@@ -71,7 +71,8 @@ def stats_by_day_of_week(df: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return (df.groupBy(pg_day_of_week("flightdate").alias("day_of_week"))
               .agg(n.alias("flights"),
-                   (F.try_divide(_delayed_sum().cast("double"), n) * 100).alias("delay_rate")))
+                   (F.try_divide(_delayed_sum().cast("double"), n) * 100).alias("delay_rate"))
+              .orderBy("day_of_week"))
 
 
 # ------------------------------------------------------------ chart frames
@@ -179,32 +180,38 @@ def delay_histogram(dash: DataFrame, upper: int = 180, width: int = 5) -> DataFr
 
 
 def kpis(dash: DataFrame) -> DataFrame:
-    """Flights, delayed, rate (r1), mean positive delay (r1), carriers, routes."""
+    """The KPI row - flights, delayed, delay rate (r1), mean positive
+    delay (r1), distinct carriers, distinct routes (non-null pairs)."""
     pos = F.when(F.col("depdelay") > 0, F.col("depdelay"))
     route = F.when(F.col("origin").isNotNull() & F.col("dest").isNotNull(),
                    F.struct("origin", "dest"))
     return dash.agg(
-        F.count(F.lit(1)).alias("flights"),
-        F.sum("delayed").cast("long").alias("delayed"),
+        F.count(F.lit(1)).alias("total_flights"),
+        F.coalesce(F.sum("delayed"), F.lit(0)).cast("long").alias("delayed_flights"),
         ratio_half_up(F.sum("delayed") * 100, F.count(F.lit(1)), 1).alias("delay_rate"),
-        ratio_half_up(F.sum(pos), F.count(pos), 1).alias("avg_positive_delay"),
+        ratio_half_up(F.sum(pos), F.count(pos), 1).alias("avg_dep_delay"),
         F.countDistinct("operating_airline").alias("airlines"),
         F.countDistinct(route).alias("routes"))
 
 
 def summary_from_gold(gold: DataFrame) -> DataFrame:
-    """Totals rolled up from gold rows; unweighted mean of the route
-    means (as the reference) and the flight-weighted mean beside it. No row cap."""
+    """Summary rolled up from gold rows (no row cap): flight and delayed
+    totals, overall delay rate (r1, 0 when empty), the *unweighted* mean of
+    the route means with a missing mean counted as 0 (r1, as the dashboard
+    computes it), the flight-weighted mean beside it (r2), distinct carriers
+    and the number of gold rows."""
     cents = F.round(F.col("avg_dep_delay") * 100).cast("long")
-    rate_c = F.round(F.col("delay_rate_pct") * 100).cast("long")
+    total = F.sum("total_flights")
+    delayed = F.sum("delayed_count")
     return gold.agg(
-        F.sum("total_flights").cast("long").alias("total_flights"),
-        F.sum("delayed_count").cast("long").alias("delayed_flights"),
-        ratio_half_up(F.sum(cents), F.count(cents) * 100, 2).alias("mean_avg_delay"),
+        F.coalesce(total, F.lit(0)).cast("long").alias("total_flights"),
+        F.coalesce(delayed, F.lit(0)).cast("long").alias("delayed_flights"),
+        F.coalesce(ratio_half_up(delayed * 100, total, 1), F.lit(0.0)).alias("delay_rate"),
+        F.coalesce(ratio_half_up(F.sum(F.coalesce(cents, F.lit(0))), F.count(F.lit(1)) * 100, 1),
+                   F.lit(0.0)).alias("avg_dep_delay"),
         ratio_half_up(F.sum(cents * F.col("total_flights")),
                       F.sum(F.when(cents.isNotNull(), F.col("total_flights"))) * 100, 2)
         .alias("weighted_avg_delay"),
-        ratio_half_up(F.sum(rate_c), F.count(rate_c) * 100, 2).alias("mean_delay_rate"),
         F.countDistinct("operating_airline").alias("airlines"),
         F.count(F.lit(1)).alias("routes"))
 

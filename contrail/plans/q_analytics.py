@@ -113,9 +113,9 @@ def a13(spark, sf):
 
 
 @register("a14_kpis", with_dash(f"""
-SELECT COUNT(*) AS flights, CAST(SUM(delayed) AS BIGINT) AS delayed,
+SELECT COUNT(*) AS total_flights, CAST(COALESCE(SUM(delayed), 0) AS BIGINT) AS delayed_flights,
   {half_up('SUM(delayed) * 100', 'COUNT(*)', 1)} AS delay_rate,
-  {half_up('SUM(CASE WHEN depdelay > 0 THEN depdelay END)', 'COUNT(CASE WHEN depdelay > 0 THEN depdelay END)', 1)} AS avg_positive_delay,
+  {half_up('SUM(CASE WHEN depdelay > 0 THEN depdelay END)', 'COUNT(CASE WHEN depdelay > 0 THEN depdelay END)', 1)} AS avg_dep_delay,
   COUNT(DISTINCT operating_airline) AS airlines,
   COUNT(DISTINCT CASE WHEN origin IS NOT NULL AND dest IS NOT NULL THEN origin || '|' || dest END) AS routes
 FROM dash"""))
@@ -124,11 +124,11 @@ def a14(spark, sf):
 
 
 @register("a15_summary_from_gold", with_dash(f"""
-SELECT CAST(SUM(total_flights) AS BIGINT) AS total_flights,
-  CAST(SUM(delayed_count) AS BIGINT) AS delayed_flights,
-  {half_up('SUM(ROUND(avg_dep_delay * 100))', 'COUNT(ROUND(avg_dep_delay * 100)) * 100', 2)} AS mean_avg_delay,
+SELECT CAST(COALESCE(SUM(total_flights), 0) AS BIGINT) AS total_flights,
+  CAST(COALESCE(SUM(delayed_count), 0) AS BIGINT) AS delayed_flights,
+  COALESCE({half_up('SUM(delayed_count) * 100', 'SUM(total_flights)', 1)}, 0.0) AS delay_rate,
+  COALESCE({half_up('SUM(COALESCE(ROUND(avg_dep_delay * 100), 0))', 'COUNT(*) * 100', 1)}, 0.0) AS avg_dep_delay,
   {half_up('SUM(ROUND(avg_dep_delay * 100) * total_flights)', 'SUM(CASE WHEN avg_dep_delay IS NOT NULL THEN total_flights END) * 100', 2)} AS weighted_avg_delay,
-  {half_up('SUM(ROUND(delay_rate_pct * 100))', 'COUNT(delay_rate_pct) * 100', 2)} AS mean_delay_rate,
   COUNT(DISTINCT operating_airline) AS airlines, COUNT(*) AS routes
 FROM gold""", extra=gold_cte().strip()))
 def a15(spark, sf):

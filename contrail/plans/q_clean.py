@@ -100,9 +100,11 @@ SELECT location_name, weather_date, temp, temp_min_c, temp_max_c, relative_humid
   precipitation_mm, snow_mm, wind_speed_kmh, pressure_hpa, cloud_cover FROM weather""",
                                                      weather=True))
 def p13(spark, sf):
-    back = {v: k for k, v in K.WEATHER_RENAMES.items()}
-    provider = (weather(spark, sf).select("location_name", *K.WEATHER_RENAMES.values())
-                .withColumnsRenamed(back)
+    """Provider-shaped frame (derived from bronze weather, sparse gust and
+    sunshine columns empty) normalised back: rename, then drop the sparse ones."""
+    w = weather(spark, sf)
+    stored = {k: v for k, v in K.WEATHER_RENAMES.items() if v in w.columns}
+    provider = (w.select("location_name", *[F.col(v).alias(k) for k, v in stored.items()])
                 .withColumn("wpgt", F.lit(None).cast("double"))
                 .withColumn("tsun", F.lit(None).cast("double")))
     return C.rename_columns(provider, K.WEATHER_RENAMES).drop(*K.WEATHER_DROPPED)

@@ -47,13 +47,13 @@ def _weather_model(spark, sf):
     k = ("weather", id(spark), sf)
     if k not in _FIT:
         data = _weather_frame(spark, sf)
-        train, test = FT.hash_split(data, 0.25)
+        train, test = FT.hash_split(data, 0.2)
         n = train.count()
         _FIT[k] = (M.weather_classifier(n).fit(train), test)
     return _FIT[k]
 
 
-_J2_COLS = ["flight_id", "flightdate", "operating_airline", "origin", "origincityname", "dest",
+_J2_COLS = ["flight_id", "flightdate", "origin", "origincityname", "dest",
             "destcityname", "distance", "distancegroup"]
 _M1_COLS = _J2_COLS + ["diverted"] + [f"{m}_o" for m in WEATHER_MEASURES] + \
     [f"{m}_d" for m in WEATHER_MEASURES] + ["label"]
@@ -118,13 +118,13 @@ def m8_weather(spark, sf):
 
 @register("m7_oversampled_class_counts")
 def m7(spark, sf):
-    train, _ = FT.hash_split(_weather_frame(spark, sf), 0.25)
+    train, _ = FT.hash_split(_weather_frame(spark, sf), 0.2)
     return FT.oversample(train).groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @register("m10_forest_metrics")
 def m10(spark, sf):
-    train, test = FT.hash_split(_weather_frame(spark, sf), 0.25)
+    train, test = FT.hash_split(_weather_frame(spark, sf), 0.2)
     return M.evaluate(M.forest_classifier(num_trees=20).fit(train).transform(test))
 
 
@@ -169,9 +169,7 @@ def s16(spark, sf):
 def _batch_predictions(spark, sf):
     model, _ = _weather_model(spark, sf)
     fl, wx = FT.explode_request(_requests(spark, sf))
-    fl = fl.withColumn("operating_airline", F.lit(None).cast("string"))
-    # the request carries no carrier: the encoder's extra index handles it
-    return M.predict_requests(model, fl, wx, FT.NUMERIC_FEATURES)
+    return M.predict_requests(model, fl, wx, FT.MODEL_FEATURES)
 
 
 @register("m13_batch_prediction")
