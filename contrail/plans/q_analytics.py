@@ -58,9 +58,13 @@ def a10(spark, sf):
     return AG.route_mean_delay(_dash(spark, sf))
 
 
-@register("a10_route_pivot")
+@register("a10_route_pivot", with_dash(
+    "SELECT origin, COALESCE(COLUMNS(* EXCLUDE (origin)), CAST(0 AS DOUBLE)) FROM "
+    "(PIVOT route_mean ON dest USING first(avg_delay) GROUP BY origin)",
+    extra="route_mean AS (" + _ROUTE_MEAN + ")"))
 def a10_pivot(spark, sf):
-    """Wide origin x dest matrix, NULL -> 0 (rows-only: columns are data values)."""
+    """Wide origin x dest matrix of mean delay, NULL -> 0; the destination
+    values become the column names."""
     return AG.route_pivot(_dash(spark, sf))
 
 

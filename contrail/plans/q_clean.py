@@ -30,7 +30,28 @@ def s1(spark, sf):
     return R.clean_raw_flights(R.read_raw_csv(spark, R.land_raw_csv(spark, sf)))
 
 
-@register("s13_raw_csv_profile")
+_RAW_NULLS = {  # raw column -> NULL condition on the flights it was exported from
+    "FlightDate": "FALSE", "Operating_Airline ": "operating_airline IS NULL",
+    "Tail_Number": "tail_number IS NULL",
+    "Flight_Number_Operating_Airline": "flight_number_operating_airline IS NULL",
+    "OriginAirportID": "originairportid IS NULL", "Origin": "origin IS NULL",
+    "OriginCityName": "origincityname IS NULL", "DestAirportID": "destairportid IS NULL",
+    "Dest": "dest IS NULL", "DestCityName": "destcityname IS NULL", "CRSDepTime": "FALSE",
+    "DepTime": "depdelay IS NULL", "DepDelay": "depdelay IS NULL", "DepDel15": "depdel15 IS NULL",
+    "ArrDelay": "arrdelay IS NULL", "ArrDel15": "arrdel15 IS NULL",
+    "Cancelled": "cancelled IS NULL", "Diverted": "diverted IS NULL",
+    "Distance": "distance IS NULL", "DistanceGroup": "distancegroup IS NULL",
+    "CarrierDelay": "carrierdelay IS NULL", "WeatherDelay": "weatherdelay IS NULL",
+    "NASDelay": "nasdelay IS NULL", "SecurityDelay": "securitydelay IS NULL",
+    "LateAircraftDelay": "lateaircraftdelay IS NULL", "Flights": "FALSE",
+    "DivAirportLandings": "flight_id % 1000 <> 0",
+}
+
+
+@register("s13_raw_csv_profile", with_base(
+    "SELECT COUNT(*) AS rows, " + str(len(R.RAW_COLUMNS)) + " AS columns, "
+    + ", ".join(f'CAST(COUNT_IF({cond}) AS BIGINT) AS "null_{c}"' for c, cond in _RAW_NULLS.items())
+    + " FROM flights"))
 def s13(spark, sf):
     return R.profile_report(R.read_raw_csv(spark, R.land_raw_csv(spark, sf)))
 
@@ -41,7 +62,17 @@ def s3(spark, sf):
     return R.read_raw_csv(spark, R.land_raw_csv(spark, sf), ["FlightDate", "Origin", "Dest"])
 
 
-@register("p7_fractional_values_report")
+_FRAC_SRC = {"Flight_Number_Operating_Airline": "flight_number_operating_airline",
+             "OriginAirportID": "originairportid", "DestAirportID": "destairportid",
+             "DepDelay": "depdelay", "ArrDelay": "arrdelay", "DistanceGroup": "distancegroup",
+             "CarrierDelay": "carrierdelay", "WeatherDelay": "weatherdelay",
+             "NASDelay": "nasdelay", "SecurityDelay": "securitydelay",
+             "LateAircraftDelay": "lateaircraftdelay"}
+
+
+@register("p7_fractional_values_report", with_base("SELECT " + ", ".join(
+    f"CAST(COUNT_IF(CAST({src} AS DOUBLE) <> FLOOR(CAST({src} AS DOUBLE))) AS BIGINT) AS {c}"
+    for c, src in _FRAC_SRC.items()) + " FROM flights"))
 def p7(spark, sf):
     raw = C.strip_column_names(R.read_raw_csv(spark, R.land_raw_csv(spark, sf)))
     return C.fractional_report(raw, R.INT_COLUMNS)

@@ -110,9 +110,16 @@ def t3_stream(spark, sf):
                         ("icao24", "collected_at", "time_position", "last_contact")])
 
 
-@register("t4_stream_window_counts")
+@register("t4_stream_window_counts", _STATES + """
+SELECT time_bucket(INTERVAL 5 MINUTE, collected_at) AS window_start,
+  time_bucket(INTERVAL 5 MINUTE, collected_at) + INTERVAL 5 MINUTE AS window_end,
+  origin_country, COUNT(*) AS aircraft_reports
+FROM live GROUP BY 1, 2, 3
+HAVING time_bucket(INTERVAL 5 MINUTE, collected_at) + INTERVAL 5 MINUTE
+       <= (SELECT MAX(collected_at) FROM live) - INTERVAL 10 MINUTE""")
 def t4_stream(spark, sf):
-    """Windows closed by the watermark (rows-only: the open tail is still in state)."""
+    """Append mode: exactly the windows the final watermark (latest report
+    minus 10 minutes) has closed; later windows are still open in state."""
     landing = L.land_snapshots(spark, sf)
     run = S.new_run_dir(spark, "t4")
     q = S.ingest(S.window_counts(S.live_stream(spark, landing)), f"{run}/sink", f"{run}/ckpt")
