@@ -9,14 +9,13 @@ half-up form (``ratio_half_up``) on integer sums.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contrail.functions import constants as K
 from contrail.functions.scalars import (clip, day_name, flag_to_int, month_abbr,
                                         pg_day_of_week, ratio_half_up, route_label)
 from contrail.operators.filters import not_cancelled_strict
-from contrail.operators.windows import frame_max
+from contrail.operators.windows import frame_max, frame_min, frame_sum
 
 
 def _delayed_sum(col: str = "depdel15"):
@@ -89,10 +88,8 @@ def carrier_delay_rate(dash: DataFrame) -> DataFrame:
     g = dash.groupBy("operating_airline").agg(
         ratio_half_up(F.sum("delayed") * 100, F.count("delayed"), 1).alias("pct"),
         F.count("delayed").alias("total"))
-    w = W.partitionBy()
-    return g.withColumn(
-        "score", (F.col("pct") - F.min("pct").over(w))
-        / (F.max("pct").over(w) - F.min("pct").over(w) + F.lit(0.01)))
+    lo, hi = frame_min(g, "pct"), frame_max(g, "pct")
+    return g.withColumn("score", (F.col("pct") - lo) / (hi - lo + F.lit(0.01)))
 
 
 def delay_causes_by_carrier(dash: DataFrame, long: bool = True) -> DataFrame:
@@ -158,12 +155,12 @@ def day_of_week_delay(dash: DataFrame, spark: SparkSession) -> DataFrame:
     g = (dash.groupBy("day_of_week")
              .agg(F.sum("depdelay").alias("s"), F.count("depdelay").alias("c")))
     j = F.broadcast(cal).join(g, "day_of_week", "left")  # the 7-row side
-    mean = F.try_divide(F.col("s"), F.col("c"))
-    return (j.select("day_index", "day_of_week",
+    means = j.select("day_index", "day_of_week",
                      ratio_half_up(F.col("s"), F.col("c"), 1).alias("avg_delay"),
-                     mean.alias("_m"))
-             .withColumn("is_max", F.coalesce(F.col("_m") == frame_max("_m"), F.lit(False)))
-             .drop("_m"))
+                     F.try_divide(F.col("s"), F.col("c")).alias("_m"))
+    return (means.withColumn("is_max", F.coalesce(F.col("_m") == frame_max(means, "_m"),
+                                                  F.lit(False)))
+                 .drop("_m"))
 
 
 def delay_histogram(dash: DataFrame, upper: int = 180, width: int = 5) -> DataFrame:
@@ -173,9 +170,8 @@ def delay_histogram(dash: DataFrame, upper: int = 180, width: int = 5) -> DataFr
     pos = dash.where(F.col("depdelay") > 0).select(clip("depdelay", hi=float(upper)).alias("d"))
     g = pos.groupBy(F.least(F.floor(F.col("d") / width), F.lit(last)).cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("flights"), F.sum("d").alias("s"))
-    w = W.partitionBy()
     return g.select((F.col("bin") * width).alias("bin_start"), "flights",
-                    ratio_half_up(F.sum("s").over(w), F.sum("flights").over(w), 2)
+                    ratio_half_up(frame_sum(g, "s"), frame_sum(g, "flights"), 2)
                     .alias("mean_delay"))
 
 
@@ -228,7 +224,7 @@ def airport_stats(dash: DataFrame, coords: DataFrame, min_flights: int = 5) -> D
     j = (g.join(coords.select(F.col("iata").alias("origin"), "lat", "lon"), "origin")
           .dropna(subset=["lat", "lon"]))
     return j.withColumn("marker_size",
-                        F.col("total").cast("double") / frame_max("total") * 40 + 6)
+                        F.col("total").cast("double") / frame_max(j, "total") * 40 + 6)
 
 
 def route_bubble(dash: DataFrame, min_flights: int = 20, top: int = 30) -> DataFrame:
@@ -287,7 +283,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Absolute and normalised counts of a column's non-null values."""
     g = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    return g.withColumn("share", F.col("count") / F.sum("count").over(W.partitionBy()))
+    return g.withColumn("share", F.col("count") / frame_sum(g, "count"))
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -12,7 +12,6 @@ never gathers into one task.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -44,14 +43,21 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return _pick(df, keys, order, newest=True)
 
 
-def frame_max(col: str) -> Column:
-    """Maximum over the whole (already aggregated, small) frame."""
-    return F.max(F.col(col)).over(W.partitionBy())
+def frame_stat(df: DataFrame, agg: Column) -> Column:
+    """One aggregate over a whole (usually already aggregated) frame as a
+    scalar subquery. Unlike ``agg().over(Window.partitionBy())`` it never
+    moves the frame into one task: the subquery reuses the frame's shuffle
+    and combines one partial row per partition."""
+    return df.agg(agg).scalar()
 
 
-def frame_min(col: str) -> Column:
-    return F.min(F.col(col)).over(W.partitionBy())
+def frame_max(df: DataFrame, col: str) -> Column:
+    return frame_stat(df, F.max(F.col(col)))
 
 
-def frame_sum(col: str) -> Column:
-    return F.sum(F.col(col)).over(W.partitionBy())
+def frame_min(df: DataFrame, col: str) -> Column:
+    return frame_stat(df, F.min(F.col(col)))
+
+
+def frame_sum(df: DataFrame, col: str) -> Column:
+    return frame_stat(df, F.sum(F.col(col)))
