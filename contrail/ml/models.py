@@ -110,8 +110,9 @@ def load(path: str) -> PipelineModel:
 
 
 def join_request_weather(flights: DataFrame, weather: DataFrame, key: str = "request_id") -> DataFrame:
-    """J2 inside each request: a flight meets the weather rows of its own
-    request at its origin and destination city on its date (inner)."""
+    """J2 across two exploded request tables: a flight meets the weather rows
+    of its own request at its origin and destination city on its date
+    (inner). Prefer ``match_request_weather`` on whole requests (no shuffle)."""
     ms = K.WEATHER_MEASURES
     # one row per (request, city, day): a self-route request lists its city twice
     w = weather.select(key, "location_name", "weather_date", *ms).dropDuplicates(
@@ -127,11 +128,34 @@ def join_request_weather(flights: DataFrame, weather: DataFrame, key: str = "req
     return j.drop("_ko", "_lo", "_do", "_kd", "_ld", "_dd")
 
 
-def predict_requests(model: PipelineModel, flights: DataFrame, weather: DataFrame,
+def match_request_weather(requests: DataFrame, key: str = "request_id") -> DataFrame:
+    """S16 + J2 inside each request row: every flight of the request meets the
+    request's weather at its origin and destination city on its date (inner;
+    identical weather rows count once; snow NULL -> 0).
+
+    Done with array functions on the request row itself, so scoring needs no
+    shuffle at all: a request is processed wherever it lives.
+    """
+    ms = K.WEATHER_MEASURES
+    w = F.transform("weather", lambda x: x.withField("snow_mm", F.coalesce(x["snow_mm"], F.lit(0.0))))
+    x = requests.select(key, w.alias("_w"), F.explode("flights").alias("_f"))
+
+    def matches(city):
+        return F.array_distinct(F.filter(
+            "_w", lambda r: (r["weather_date"] == F.col("_f.flightdate"))
+            & (r["location_name"] == F.col(f"_f.{city}"))))
+    x = x.select(key, "_f", "_w", F.explode(matches("origincityname")).alias("_o"))
+    x = x.select(key, "_f", "_o", F.explode(matches("destcityname")).alias("_d"))
+    return x.select(key, "_f.*", *[F.col(f"_o.{m}").alias(f"{m}_o") for m in ms],
+                    *[F.col(f"_d.{m}").alias(f"{m}_d") for m in ms])
+
+
+def predict_requests(model: PipelineModel, requests: DataFrame,
                      features: list[str] | None = None) -> DataFrame:
-    """Join request flights to their weather, check features (P25),
-    class and probability per flight. Raises when nothing joins."""
-    j = FT.bools_to_int(join_request_weather(flights, weather))
+    """Match each request's flights to its weather (row-local), check
+    features (P25), class and probability per flight. Raises when nothing
+    matches (a map-only scan that stops at the first matched row)."""
+    j = FT.bools_to_int(match_request_weather(requests))
     if features:
         require_features(j, features)
     if j.isEmpty():

@@ -168,8 +168,7 @@ def s16(spark, sf):
 
 def _batch_predictions(spark, sf):
     model, _ = _weather_model(spark, sf)
-    fl, wx = FT.explode_request(_requests(spark, sf))
-    return M.predict_requests(model, fl, wx, FT.MODEL_FEATURES)
+    return M.predict_requests(model, _requests(spark, sf), FT.MODEL_FEATURES)
 
 
 @register("m13_batch_prediction")
