@@ -88,22 +88,29 @@ def derive_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
            .join(order_dest, F.col("l_orderkey") == F.col("o_orderkey")))
 
     ok, pk, sk = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    # Step 1: each derived measure once, as a column (keeps the plan small:
+    # the later expressions refer to it instead of repeating it).
     voided = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (sk % 4 == 0)
     delay = (F.floor(F.col("l_quantity") * F.round(F.col("l_discount") * 100) / 8).cast("int")
              - 10 + F.when(pk % 50 == 0, 200).otherwise(0))
-    dep = F.when(voided, F.lit(None)).otherwise(delay).cast("double")
-    arr = (dep + (ok % 21).cast("double") - 10.0)
-    distance = (F.floor(F.col("l_extendedprice") / 40).cast("int") + 100).cast("double")
-    late = dep >= 15
-    carrier = F.floor(dep * 3 / 10)
-    weather = F.when(pk % 3 == 0, F.floor(dep / 10)).otherwise(F.lit(0))
-    nas = F.floor(dep * 2 / 10)
-    security = F.when(ok % 50 == 0, F.lit(1)).otherwise(F.lit(0))
+    m = j.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", "l_shipdate",
+        "p_brand", "s_nationkey", "origin", "c_nationkey", "dest",
+        voided.alias("_voided"),
+        F.when(voided, F.lit(None)).otherwise(delay).cast("double").alias("_dep"),
+        (F.floor(F.col("l_extendedprice") / 40).cast("int") + 100).cast("double").alias("_dist"))
+    dep = F.col("_dep")
+    m = m.select("*", (dep + (ok % 21).cast("double") - 10.0).alias("_arr"),
+                 (dep >= 15).alias("_late"), F.floor(dep * 3 / 10).alias("_car"),
+                 F.when(pk % 3 == 0, F.floor(dep / 10)).otherwise(F.lit(0)).alias("_wx"),
+                 F.floor(dep * 2 / 10).alias("_nas"),
+                 F.when(ok % 50 == 0, F.lit(1)).otherwise(F.lit(0)).alias("_sec"))
 
     def cause(x):
-        return F.when(late, x.cast("double"))
+        return F.when(F.col("_late"), x.cast("double"))
 
-    return j.select(
+    # Step 2: the bronze columns.
+    return m.select(
         (ok * 1000000 + pk * 10 + F.col("l_linenumber")).alias("flight_id"),
         _day(ok * 7 + pk).alias("flightdate"),
         F.upper(F.col("p_brand")).alias("operating_airline"),
@@ -116,18 +123,20 @@ def derive_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("dest"),
         F.col("dest").alias("destcityname"),
         dep.alias("depdelay"),
-        late.alias("depdel15"),
-        arr.alias("arrdelay"),
-        (arr >= 15).alias("arrdel15"),
-        F.when(pk % 97 == 0, F.lit(None).cast("boolean")).otherwise(voided).alias("cancelled"),
+        F.col("_late").alias("depdel15"),
+        F.col("_arr").alias("arrdelay"),
+        (F.col("_arr") >= 15).alias("arrdel15"),
+        F.when(pk % 97 == 0, F.lit(None).cast("boolean")).otherwise(F.col("_voided"))
+         .alias("cancelled"),
         ((F.col("l_linestatus") == "F") & (sk % 25 == 0)).alias("diverted"),
-        distance.alias("distance"),
-        (F.floor(distance / 250) + 1).cast("int").alias("distancegroup"),
-        cause(carrier).alias("carrierdelay"),
-        cause(weather).alias("weatherdelay"),
-        cause(nas).alias("nasdelay"),
-        cause(security).alias("securitydelay"),
-        cause(dep - carrier - weather - nas - security).alias("lateaircraftdelay"),
+        F.col("_dist").alias("distance"),
+        (F.floor(F.col("_dist") / 250) + 1).cast("int").alias("distancegroup"),
+        cause(F.col("_car")).alias("carrierdelay"),
+        cause(F.col("_wx")).alias("weatherdelay"),
+        cause(F.col("_nas")).alias("nasdelay"),
+        cause(F.col("_sec")).alias("securitydelay"),
+        cause(dep - F.col("_car") - F.col("_wx") - F.col("_nas") - F.col("_sec"))
+        .alias("lateaircraftdelay"),
         F.col("l_shipdate").cast("timestamp").alias("ingested_at"),
     )
 
@@ -199,7 +208,7 @@ def airport_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # written once (Parquet, partitioned by flight month, sorted by carrier/route
 # inside each file so row-group statistics prune carrier/route filters) into
 # the shared checkpoint folder, and every query reads it back.
-LAYOUT_VERSION = "bronze-v7"
+LAYOUT_VERSION = "bronze-v8"
 
 
 class Lake:
