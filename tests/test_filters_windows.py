@@ -44,3 +44,21 @@ def test_airborne(spark):
                                 (False, 1.0, 2.0, None)],
                                "on_ground boolean, latitude double, longitude double, callsign string")
     assert rows(FL.airborne(df), "callsign") == [("A",)]
+
+
+def test_sample_thinning_is_exact(spark):
+    import datetime as dt
+
+    from contrail.operators.topk import sample_flights
+    recs = [(i * 7 + 3, dt.date(2024, 1, 1 + i % 28), "AA", "JFK", "JFK", "LAX", "LAX",
+             float(i % 30), i % 30 >= 15, False, 500.0, None, None, None, None, None)
+            for i in range(3000)]
+    f = spark.createDataFrame(recs, "flight_id long, flightdate date, operating_airline string, "
+                              "origin string, origincityname string, dest string, "
+                              "destcityname string, depdelay double, depdel15 boolean, "
+                              "cancelled boolean, distance double, carrierdelay double, "
+                              "weatherdelay double, nasdelay double, securitydelay double, "
+                              "lateaircraftdelay double")
+    thin = [r.flight_id for r in sample_flights(f, n=100, seed=9, exact=True).collect()]
+    full = [r.flight_id for r in sample_flights(f, n=100, seed=9, exact=False).collect()]
+    assert len(thin) == 100 and sorted(thin) == sorted(full)
