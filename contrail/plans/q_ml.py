@@ -25,7 +25,7 @@ _FIT: dict = {}
 def _route_models(spark, sf):
     """Route classifier + regressor fitted once per (session, input), saved
     and re-loaded through the model store (M12)."""
-    k = ("route", id(spark), sf)
+    k = ("route", spark.sparkContext.applicationId, sf)
     if k not in _FIT:
         data = M.route_training_frame(flights(spark, sf))
         train, test = FT.hash_split(data, 0.2)
@@ -44,7 +44,7 @@ def _weather_frame(spark, sf):
 
 
 def _weather_model(spark, sf):
-    k = ("weather", id(spark), sf)
+    k = ("weather", spark.sparkContext.applicationId, sf)
     if k not in _FIT:
         data = _weather_frame(spark, sf)
         train, test = FT.hash_split(data, 0.2)

@@ -257,8 +257,13 @@ _LAKES: dict = {}
 _BUILD_LOCK = threading.RLock()
 
 
+def _session_key(spark: SparkSession) -> str:
+    """Unique per running application (ids of dead sessions can be reused)."""
+    return spark.sparkContext.applicationId
+
+
 def lake(spark: SparkSession, sf_dir: str) -> Lake:
-    k = (id(spark), abspath(sf_dir))
+    k = (_session_key(spark), abspath(sf_dir))
     if k not in _LAKES:
         _LAKES[k] = Lake(spark, sf_dir)
     return _LAKES[k]
