@@ -35,10 +35,16 @@ def route_regressor() -> Pipeline:
 
 
 def weather_classifier(n_train: int | None = None, max_iter: int = 400,
-                       drop_first: bool = True) -> Pipeline:
-    """M3 + M4 + M8 (notebook model): scaled weather numerics and one-hot
-    categoricals. A C=1 L2 penalty on the summed loss equals
-    ``regParam = 1 / n`` on Spark's mean loss; tol 1e-4 as scikit-learn's."""
+                       drop_first: bool = False) -> Pipeline:
+    """M3 + M4 + M8 (notebook model): imputed, scaled weather numerics and
+    one-hot categoricals. A C=1 L2 penalty on the summed loss equals
+    ``regParam = 1 / n`` on Spark's mean loss; tol 1e-4 as scikit-learn's.
+
+    By default every level is kept and unseen levels get their own slot, so
+    scoring never fails on an airport the training split did not contain
+    (the same fitted space as dropping the first level, up to the penalty).
+    ``drop_first=True`` reproduces the reference's encoding exactly,
+    including its error on unseen levels."""
     reg = 1.0 / n_train if n_train else 0.0
     return Pipeline(stages=FT.weather_feature_stages(drop_first) + [
         LogisticRegression(featuresCol="features", labelCol=FT.LABEL, maxIter=max_iter,
