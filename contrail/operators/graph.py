@@ -92,8 +92,15 @@ def _total_delay():
     return F.aggregate("delays", F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
 
 
-def _bfs(edges: DataFrame, roots: DataFrame, max_hops: int, checkpoint: bool) -> DataFrame:
-    """(root, node, path, delays) for every node reached from a root in 1..max_hops."""
+def _bfs(edges: DataFrame, roots: DataFrame, max_hops: int, checkpoint: bool,
+         targets: DataFrame | None = None) -> DataFrame:
+    """(root, node, path, delays) for every node reached from a root in 1..max_hops.
+
+    With ``targets`` (root, node) the search stops on hit: a root whose
+    targets are all reached stops expanding, and the loop ends when no
+    target is left. Each root's levels are independent, so results for the
+    targets are unchanged.
+    """
     if checkpoint:
         checkpoint_root(roots.sparkSession)
     e = edges.select(F.col("src").alias("_u"), F.col("dst").alias("_v"),
@@ -124,6 +131,13 @@ def _bfs(edges: DataFrame, roots: DataFrame, max_hops: int, checkpoint: bool) ->
             break
         steps.append(step)
         frontier = step
+        if targets is not None:
+            targets = targets.join(step.select("root", "node"), ["root", "node"], "left_anti")
+            if checkpoint:
+                targets = _checkpoint(targets)
+            if targets.isEmpty():
+                break
+            frontier = frontier.join(targets.select("root").distinct(), "root", "left_semi")
     found = frontier.limit(0)
     for st in steps:
         found = found.unionByName(st)
@@ -141,7 +155,9 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS,
     """
     wanted = pairs.select(F.upper("origin").alias("origin"), F.upper("dest").alias("dest")).distinct()
     roots = wanted.select(F.col("origin").alias("root")).distinct()
-    found = _bfs(edges, roots, max_hops, checkpoint)
+    targets = wanted.where(F.col("origin") != F.col("dest")).select(
+        F.col("origin").alias("root"), F.col("dest").alias("node"))
+    found = _bfs(edges, roots, max_hops, checkpoint, targets)
     hit = found.join(wanted, (F.col("root") == F.col("origin")) & (F.col("node") == F.col("dest")))
     same = wanted.where(F.col("origin") == F.col("dest")).select(
         "origin", "dest", F.array("origin").alias("path"),
