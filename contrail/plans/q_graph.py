@@ -88,7 +88,7 @@ def g1_nodes(spark, sf):
 
 
 @register("g2_shortest_paths_all", with_base(f"""
-SELECT root AS origin, node AS dest, path AS airports, delays, len(path) - 1 AS hops,
+SELECT root AS origin, node AS dest, path AS airports, delays, CAST(len(path) - 1 AS INTEGER) AS hops,
   {_TOTAL} AS total_delay FROM found""",
     extra=_graph_ctes(_MEAN).strip() + ",\n" + _bfs_sql("SELECT DISTINCT src AS root FROM edges")))
 def g2_all(spark, sf):
@@ -101,7 +101,7 @@ pairs AS (SELECT DISTINCT origin, dest FROM rs WHERE total_flights < (SELECT AVG
 
 
 @register("g2_shortest_paths_for_thin_routes", with_base(f"""
-SELECT p.origin, p.dest, f.path AS airports, f.delays, len(f.path) - 1 AS hops,
+SELECT p.origin, p.dest, f.path AS airports, f.delays, CAST(len(f.path) - 1 AS INTEGER) AS hops,
   {_TOTAL} AS total_delay
 FROM pairs p JOIN found f ON f.root = p.origin AND f.node = p.dest
 UNION ALL
