@@ -7,8 +7,9 @@ the driver's ``events`` table:
 
 * one event is one state report: user -> aircraft (``icao24``), event type ->
   ``origin_country``, ``ts`` -> report time, ``value`` -> velocity;
-* one landed line = the reports of one aircraft within one minute (the poll
-  time is the minute), so a line is bounded by the aircraft's report rate.
+* one landed line = one poll holding one report; the poll time is the
+  report's minute (so reports of one aircraft within a minute share
+  ``collected_at``, as reports of one real poll do).
 """
 
 from __future__ import annotations
@@ -95,13 +96,10 @@ def land_snapshots(spark: SparkSession, sf_dir: str, out_dir: str | None = None)
                                                    if f != "sensors" else F.lit("null")
                                                    for f in STATE_FIELDS]), F.lit("]"))
     poll = F.unix_timestamp(F.date_trunc("minute", "_ts"))
-    lines = (s.select("icao24", poll.alias("time"), F.col("_ts"), vec.alias("v"))
-              .groupBy("time", "icao24")
-              .agg(F.sort_array(F.collect_list(F.struct("_ts", "v"))).alias("r"))
-              .select(F.concat(F.lit('{"time":'), F.col("time").cast("string"),
-                               F.lit(',"states":['),
-                               F.concat_ws(",", F.transform("r", lambda x: x["v"])),
-                               F.lit("]}")).alias("value")))
+    # one poll line per report: no grouping, so no line (and no task) can
+    # hold a hot aircraft's whole history
+    lines = s.select(F.concat(F.lit('{"time":'), poll.cast("string"), F.lit(',"states":['),
+                              vec, F.lit("]}")).alias("value"))
     lines.write.mode("overwrite").text(out_dir)
     return out_dir
 
