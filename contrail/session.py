@@ -24,18 +24,42 @@ _DEFAULTS = {
 }
 
 
+# Settings for a large cluster (hundreds of executors, tens of TB per job).
+# AQE starts from many shuffle partitions and coalesces them to ~256 MB,
+# splits skewed join partitions and rebalanced write partitions, and reads
+# Parquet in 256 MB splits. The submitter's own --conf values win.
+CLUSTER_DEFAULTS = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "contrail", extra: dict | None = None) -> SparkSession:
+              app_name: str = "contrail", extra: dict | None = None,
+              cluster: bool = False) -> SparkSession:
     """Build (or reuse) a session with contrail's defaults.
 
     ``master``/``shuffle_partitions`` are only for local runs; on a cluster the
-    submitter decides them.
+    submitter decides them (``cluster=True`` adds ``CLUSTER_DEFAULTS`` for
+    keys the submitter did not set).
     """
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
     for k, v in _DEFAULTS.items():
         b = b.config(k, v)
+    if cluster:
+        from pyspark import SparkConf
+        given = dict(SparkConf().getAll())
+        for k, v in CLUSTER_DEFAULTS.items():
+            if k not in given:
+                b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
