@@ -91,3 +91,15 @@ def test_silver_dedupes_reloaded_weather(spark):
         "precipitation_mm double, cloud_cover double, ingested_at timestamp")
     s = silver_flights_weather(f, w).collect()
     assert len(s) == 1 and s[0].temp_origin == 2.0 and s[0].temp_dest is None
+
+
+def test_silver_null_city_matches_nothing(spark):
+    f = flights_df(spark, [(1, 1, "AA", "JFK", "LAX", 10.0, False)]).withColumn(
+        "origincityname", F.lit(None).cast("string"))
+    w = spark.createDataFrame(
+        [(None, dt.date(2024, 1, 1), 9.0, 5.0, 0.0, 10.0, dt.datetime(2024, 1, 1, 1)),
+         ("LAX", dt.date(2024, 1, 1), 20.0, 6.0, 0.0, 10.0, dt.datetime(2024, 1, 1, 1))],
+        "location_name string, weather_date date, temp double, wind_speed_kmh double, "
+        "precipitation_mm double, cloud_cover double, ingested_at timestamp")
+    s = silver_flights_weather(f, w).collect()
+    assert len(s) == 1 and s[0].temp_origin is None and s[0].temp_dest == 20.0

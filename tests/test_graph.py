@@ -99,3 +99,9 @@ def test_upsert_replaces_by_key(spark):
     old = spark.createDataFrame([("A", 1), ("B", 2)], "k string, v int")
     new = spark.createDataFrame([("B", 20), ("C", 30)], "k string, v int")
     assert rows(G.upsert(old, new, ["k"])) == [("A", 1), ("B", 20), ("C", 30)]
+
+
+def test_unknown_airport_has_no_path(spark):
+    e = edges(spark, [("JFK", "LAX"), ("LAX", "JFK")])
+    out = G.shortest_paths(e, pairs(spark, [("XXX", "JFK"), ("JFK", "YYY"), ("JFK", "LAX")]))
+    assert rows(out, "origin", "dest", "hops") == [("JFK", "LAX", 1)]
