@@ -17,7 +17,7 @@ from contrail.operators.joins import training_join
 from contrail.plans.oracle import with_base
 from contrail.plans.registry import register
 from contrail.sources.live import prediction_log_row
-from contrail.session import checkpoint_root
+from contrail.session import checkpoint_root, session_key
 from contrail.sources.tables import flights, lake, weather
 
 _FIT: dict = {}
@@ -34,7 +34,7 @@ def _materialised(df):
 def _route_models(spark, sf):
     """Route classifier + regressor fitted once per (session, input), saved
     and re-loaded through the model store (M12)."""
-    k = ("route", spark.sparkContext.applicationId, sf)
+    k = ("route", session_key(spark), sf)
     if k not in _FIT:
         data = _materialised(M.route_training_frame(flights(spark, sf)))
         train, test = FT.hash_split(data, 0.2)
@@ -53,14 +53,14 @@ def _weather_frame(spark, sf):
 
 
 def _weather_training_data(spark, sf):
-    k = ("weather-data", spark.sparkContext.applicationId, sf)
+    k = ("weather-data", session_key(spark), sf)
     if k not in _FIT:
         _FIT[k] = _materialised(_weather_frame(spark, sf))
     return _FIT[k]
 
 
 def _weather_model(spark, sf):
-    k = ("weather", spark.sparkContext.applicationId, sf)
+    k = ("weather", session_key(spark), sf)
     if k not in _FIT:
         data = _weather_training_data(spark, sf)
         train, test = FT.hash_split(data, 0.2)

@@ -76,8 +76,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     Read from ``spark.checkpoint.dir``; set a private temp folder only when
     the session has none (tests / local runs).
     """
-    sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext handle
+        sc = None
+    d = sc.getConf().get("spark.checkpoint.dir", None) if sc is not None else None
     if not d:
         try:
             d = spark.conf.get("spark.checkpoint.dir")
@@ -86,17 +89,35 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="contrail-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc is not None and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(d)
     return d.rstrip("/")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` exists on whatever filesystem it names."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+    """True when ``path`` exists on whatever filesystem it names.
+
+    Uses the Hadoop FileSystem of the session; sessions without a JVM handle
+    fall back to a metadata-only read of the path.
+    """
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        return bool(fs.exists(p))
+    try:
+        spark.read.format("binaryFile").load(path).schema  # noqa: B018 - resolves the path
+        return True
+    except Exception:  # noqa: BLE001 - missing path
+        return False
+
+
+def session_key(spark: SparkSession) -> str:
+    """Unique per running application (ids of dead sessions can be reused)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext handle
+        return spark.conf.get("spark.app.id", str(id(spark)))
 
 
 def abspath(p: str) -> str:

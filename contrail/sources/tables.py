@@ -36,7 +36,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.session import abspath, checkpoint_root, path_exists
+from contrail.session import abspath, checkpoint_root, path_exists, session_key
 
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events", "documents", "embeddings", "pages",
@@ -257,13 +257,8 @@ _LAKES: dict = {}
 _BUILD_LOCK = threading.RLock()
 
 
-def _session_key(spark: SparkSession) -> str:
-    """Unique per running application (ids of dead sessions can be reused)."""
-    return spark.sparkContext.applicationId
-
-
 def lake(spark: SparkSession, sf_dir: str) -> Lake:
-    k = (_session_key(spark), abspath(sf_dir))
+    k = (session_key(spark), abspath(sf_dir))
     if k not in _LAKES:
         _LAKES[k] = Lake(spark, sf_dir)
     return _LAKES[k]

@@ -86,11 +86,17 @@ def upsert_versions(table_dir: str, key: list[str]):
 
 def latest_version(spark: SparkSession, table_dir: str) -> DataFrame:
     """Read the newest complete version of an upserted table."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(table_dir)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().getName() for s in fs.listStatus(p)
-                   if s.getPath().getName().startswith("v="))
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        p = jvm.org.apache.hadoop.fs.Path(table_dir)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = sorted(s.getPath().getName() for s in fs.listStatus(p)
+                       if s.getPath().getName().startswith("v="))
+    else:  # list the version folders through a metadata-only read
+        listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                   .load(table_dir).select("path").distinct().collect())
+        names = sorted({r.path.split(f"{table_dir}/")[-1].split("/")[0] for r in listing
+                        if "/v=" in r.path})
     for n in reversed(names):
         if path_exists(spark, f"{table_dir}/{n}/_SUCCESS"):
             return spark.read.parquet(f"{table_dir}/{n}")
