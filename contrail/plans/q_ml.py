@@ -6,6 +6,8 @@ except the feature frames, which SQL reproduces exactly.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import functions as F
 
 from contrail.functions.constants import WEATHER_MEASURES
@@ -21,6 +23,7 @@ from contrail.session import checkpoint_root, session_key
 from contrail.sources.tables import flights, lake, weather
 
 _FIT: dict = {}
+_FIT_LOCK = threading.RLock()  # concurrent queries fit each model once
 
 
 def _materialised(df):
@@ -34,17 +37,18 @@ def _materialised(df):
 def _route_models(spark, sf):
     """Route classifier + regressor fitted once per (session, input), saved
     and re-loaded through the model store (M12)."""
-    k = ("route", session_key(spark), sf)
-    if k not in _FIT:
-        data = _materialised(M.route_training_frame(flights(spark, sf)))
-        train, test = FT.hash_split(data, 0.2)
-        cls = M.route_classifier().fit(train)
-        reg = M.route_regressor().fit(train.where(F.col("depdelay") > 0))
-        root = f"{lake(spark, sf).root}/models"
-        M.save(cls, f"{root}/route_cls")
-        M.save(reg, f"{root}/route_reg")
-        _FIT[k] = (M.load(f"{root}/route_cls"), M.load(f"{root}/route_reg"), test)
-    return _FIT[k]
+    with _FIT_LOCK:
+        k = ("route", session_key(spark), sf)
+        if k not in _FIT:
+            data = _materialised(M.route_training_frame(flights(spark, sf)))
+            train, test = FT.hash_split(data, 0.2)
+            cls = M.route_classifier().fit(train)
+            reg = M.route_regressor().fit(train.where(F.col("depdelay") > 0))
+            root = f"{lake(spark, sf).root}/models"
+            M.save(cls, f"{root}/route_cls")
+            M.save(reg, f"{root}/route_reg")
+            _FIT[k] = (M.load(f"{root}/route_cls"), M.load(f"{root}/route_reg"), test)
+        return _FIT[k]
 
 
 def _weather_frame(spark, sf):
@@ -53,20 +57,22 @@ def _weather_frame(spark, sf):
 
 
 def _weather_training_data(spark, sf):
-    k = ("weather-data", session_key(spark), sf)
-    if k not in _FIT:
-        _FIT[k] = _materialised(_weather_frame(spark, sf))
-    return _FIT[k]
+    with _FIT_LOCK:
+        k = ("weather-data", session_key(spark), sf)
+        if k not in _FIT:
+            _FIT[k] = _materialised(_weather_frame(spark, sf))
+        return _FIT[k]
 
 
 def _weather_model(spark, sf):
-    k = ("weather", session_key(spark), sf)
-    if k not in _FIT:
-        data = _weather_training_data(spark, sf)
-        train, test = FT.hash_split(data, 0.2)
-        n = train.count()
-        _FIT[k] = (M.weather_classifier(n).fit(train), test)
-    return _FIT[k]
+    with _FIT_LOCK:
+        k = ("weather", session_key(spark), sf)
+        if k not in _FIT:
+            data = _weather_training_data(spark, sf)
+            train, test = FT.hash_split(data, 0.2)
+            n = train.count()
+            _FIT[k] = (M.weather_classifier(n).fit(train), test)
+        return _FIT[k]
 
 
 _J2_COLS = ["flight_id", "flightdate", "origin", "origincityname", "dest",

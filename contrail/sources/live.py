@@ -86,11 +86,16 @@ def _json_value(col: str, typ: str):
 def land_snapshots(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> str:
     """Write the derived polls as JSON lines (one file set per input dir) and
     return the folder. Written once; later calls reuse it."""
+    from contrail.sources.tables import BUILD_LOCK, lake
     if out_dir is None:
-        from contrail.sources.tables import lake
         out_dir = f"{lake(spark, sf_dir).root}/live_landing"
-    if path_exists(spark, f"{out_dir}/_SUCCESS"):
-        return out_dir
+    with BUILD_LOCK:  # concurrent callers land the files once
+        if not path_exists(spark, f"{out_dir}/_SUCCESS"):
+            _write_polls(spark, sf_dir, out_dir)
+    return out_dir
+
+
+def _write_polls(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
     s = event_states(spark, sf_dir)
     vec = F.concat(F.lit("["), F.concat_ws(",", *[_json_value(f, STATE_TYPES[f])
                                                    if f != "sensors" else F.lit("null")
@@ -101,7 +106,6 @@ def land_snapshots(spark: SparkSession, sf_dir: str, out_dir: str | None = None)
     lines = s.select(F.concat(F.lit('{"time":'), poll.cast("string"), F.lit(',"states":['),
                               vec, F.lit("]}")).alias("value"))
     lines.write.mode("overwrite").text(out_dir)
-    return out_dir
 
 
 def parse_snapshots(raw: DataFrame, limit: int | None = None) -> DataFrame:

@@ -101,10 +101,11 @@ def bounded(df: DataFrame, n: int, order: list[str]) -> DataFrame:
 
 def land_raw_csv(spark: SparkSession, sf_dir: str) -> str:
     """Write the raw CSV export of the bronze flights once; return its folder."""
-    from contrail.sources.tables import flights, lake
+    from contrail.sources.tables import BUILD_LOCK, flights, lake
     out = f"{lake(spark, sf_dir).root}/raw_csv"
-    if not path_exists(spark, f"{out}/_SUCCESS"):
-        write_csv(export_raw(flights(spark, sf_dir)), out)
+    with BUILD_LOCK:  # concurrent callers write the export once
+        if not path_exists(spark, f"{out}/_SUCCESS"):
+            write_csv(export_raw(flights(spark, sf_dir)), out)
     return out
 
 

@@ -266,7 +266,8 @@ class Lake:
 
 
 _LAKES: dict = {}
-_BUILD_LOCK = threading.RLock()
+BUILD_LOCK = threading.RLock()
+_BUILD_LOCK = BUILD_LOCK
 
 
 def lake(spark: SparkSession, sf_dir: str) -> Lake:
