@@ -6,7 +6,6 @@ StandardScaler moments); the driver only holds the fitted parameters.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.feature import (Imputer, OneHotEncoder, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.sql import DataFrame
