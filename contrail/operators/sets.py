@@ -47,8 +47,10 @@ def distinct_dests(flights: DataFrame, airline: str | None = None,
 
 def city_sets_compare(flights: DataFrame) -> DataFrame:
     """Do origin cities and destination cities form the same set?"""
-    o = flights.select(F.col("origincityname").alias("city")).where(F.col("city").isNotNull())
-    d = flights.select(F.col("destcityname").alias("city")).where(F.col("city").isNotNull())
+    # distinct first (partial aggregation per task): the anti joins inside
+    # subtract then see one row per city, never a hot city's flights
+    o = flights.select(F.col("origincityname").alias("city")).where(F.col("city").isNotNull()).distinct()
+    d = flights.select(F.col("destcityname").alias("city")).where(F.col("city").isNotNull()).distinct()
     only_o = o.subtract(d).agg(F.count(F.lit(1)).alias("origin_only"))
     only_d = d.subtract(o).agg(F.count(F.lit(1)).alias("dest_only"))
     # both sides are single-row aggregates; union + max folds them into one row
