@@ -17,9 +17,12 @@ def test_service_facades(spark):
     assert A.routes(spark, sf, min_flights=1, max_delay=0).count() >= 0
     nodes, edges = A.route_graph(spark, sf, limit=20, min_flights=1)
     assert edges.count() == 20 and nodes.count() > 0
-    pairs = spark.createDataFrame([("NATION_1", "NATION_2"), ("NATION_3", "NATION_3")],
+    e = edges.orderBy("source", "target").first()
+    pairs = spark.createDataFrame([(e.source, e.target), ("NATION_3", "NATION_3"), ("NOWHERE", e.target)],
                                   "origin string, dest string")
-    assert A.route_paths(spark, sf, pairs, min_flights=1).count() == 2
+    got = {(r.origin, r.dest): r.hops for r in A.route_paths(spark, sf, pairs, min_flights=1).collect()}
+    # a direct edge is one hop, the same airport zero hops, an unknown airport has no path
+    assert got == {(e.source, e.target): 1 if e.source != e.target else 0, ("NATION_3", "NATION_3"): 0}
     assert A.live_positions(spark, sf, limit=7).count() == 7
 
 
