@@ -6,6 +6,8 @@ StandardScaler moments); the driver only holds the fitted parameters.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import (Imputer, OneHotEncoder, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.sql import DataFrame
@@ -110,17 +112,77 @@ def route_feature_stages() -> list:
                         outputCol="features", handleInvalid="keep")]
 
 
+# Multiplier of the index permutation that spreads extra copies over a class
+# (bumped until coprime with the class size, so it is a bijection).
+_PERM_MULT = 7919
+
+
+def _coprime_mult(n: int) -> int:
+    a = _PERM_MULT
+    while math.gcd(a, n) != 1:
+        a += 1
+    return a
+
+
+def _positioned(part: DataFrame) -> DataFrame:
+    """``part`` with ``_pos``: a dense 0..n-1 index over all its rows.
+
+    ``part`` must be checkpointed, so partition ids and row order are the same
+    in every job that reads it. The index is the row's place inside its
+    partition plus the sizes of the partitions before it; only one count per
+    partition reaches the driver (bounded by the partition count, not the data).
+    """
+    spark = part.sparkSession
+    pid = F.spark_partition_id()
+    tagged = part.withColumn("_pid", pid).withColumn("_mid", F.monotonically_increasing_id())
+    sizes = sorted((r["_pid"], r["n"]) for r in
+                   tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, run = [], 0
+    for p, n in sizes:
+        offsets.append((p, run))
+        run += n
+    off = spark.createDataFrame(offsets, "_pid int, _off long")
+    # one row per partition: a proven size bound, so broadcast it
+    return (tagged.join(F.broadcast(off), "_pid")
+                  .withColumn("_pos", F.col("_off") + F.col("_mid")
+                              - F.shiftleft(F.col("_pid").cast("long"), 33))
+                  .drop("_pid", "_mid", "_off"))
+
+
 def oversample(df: DataFrame, label: str = LABEL, seed: int = 42) -> DataFrame:
-    """M7: random oversampling of the minority class to about the majority's
-    size (Poisson sampling with replacement; sizes are approximate)."""
+    """M7: random oversampling as ``RandomOverSampler()`` does it: every class
+    is brought to exactly the majority's size; the original rows are kept and
+    the extra rows are copies drawn from their own class.
+
+    A class of ``n`` rows needing ``k`` extra copies gets them from
+    ``spark.range(k)`` equi-joined to its rows through the permutation
+    ``(i * a + seed) mod n``, so each row is copied ``floor(k/n)`` or
+    ``ceil(k/n)`` times and the counts are exact. The class is checkpointed
+    (reliably) first, so the dense row index is stable across jobs. A small
+    class is broadcast by AQE after it measures it; a large one is
+    sort-merge joined, with at most ``ceil(k/n)`` range rows per key. No step
+    gathers a class or a rank into one task.
+    """
+    from contrail.session import checkpoint_root
+
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return df
-    minority = min(counts, key=counts.get)
-    majority = max(counts, key=counts.get)
-    ratio = counts[majority] / counts[minority]
-    extra = df.where(F.col(label) == minority).sample(True, ratio - 1.0, seed)
-    return df.unionByName(extra)
+    majority = max(counts.values())
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    out = df
+    for cls in sorted(counts, key=lambda c: (c is None, c)):
+        n, extra = counts[cls], majority - counts[cls]
+        if extra == 0:
+            continue
+        cond = F.col(label).isNull() if cls is None else F.col(label) == F.lit(cls)
+        rows = _positioned(df.where(cond).checkpoint(eager=True))
+        a = _coprime_mult(n)
+        draws = spark.range(extra).select(
+            F.pmod((F.col("id") % n) * a + seed % n, F.lit(n)).alias("_pos"))
+        out = out.unionByName(draws.join(rows, "_pos").drop("_pos"))
+    return out
 
 
 def class_weights(df: DataFrame, label: str = LABEL, out: str = "weight") -> DataFrame:

@@ -50,8 +50,12 @@ def test_leakage_safe_and_oversample(spark):
     safe = FT.leakage_safe(df)
     assert "depdelay" not in safe.columns and "depdel15" not in safe.columns
     assert safe.where("label = 1").count() == 20
-    bal = {r.label: r["count"] for r in FT.oversample(safe).groupBy("label").count().collect()}
-    assert bal[1] > 40          # minority roughly brought up to the majority's size
+    over = FT.oversample(safe)
+    bal = {r.label: r["count"] for r in over.groupBy("label").count().collect()}
+    assert bal == {0: 80, 1: 80}  # minority brought exactly to the majority's size
+    copies = {r.flight_id: r["count"] for r in over.groupBy("flight_id").count().collect()}
+    # originals kept once each; 60 extra copies spread evenly over the 20 minority rows
+    assert all(copies[i] == (4 if i % 5 == 0 else 1) for i in range(100))
     w = FT.class_weights(safe)
     tot = {r.label: r.s for r in w.groupBy("label").agg(F.sum("weight").alias("s")).collect()}
     assert abs(tot[0] - tot[1]) < 1e-9
@@ -77,3 +81,23 @@ def test_explode_request(spark):
     m = M.match_request_weather(req).collect()
     assert len(m) == 1 and m[0].temp_o == 1.0 and m[0].temp_d == 2.0 and m[0].snow_mm_o == 0.0
     assert m[0].origin == "JFK" and m[0].request_id == 1
+
+
+def test_oversample_exact_uneven_multi_class(spark):
+    # three classes of 700 / 207 / 93 rows over 7 partitions; 493 and 607
+    # extra copies do not divide evenly
+    df = spark.range(1000).select(
+        F.col("id").alias("flight_id"),
+        F.when(F.col("id") % 10 < 7, 0).when(F.col("id") % 10 < 9, 1).otherwise(2).alias("label"))
+    df = df.where(~((F.col("label") == 1) & (F.col("id") % 100 < 20))
+                  & ~((F.col("label") == 2) & (F.col("id") % 100 < 7))).repartition(7, "flight_id")
+    sizes = {r.label: r["count"] for r in df.groupBy("label").count().collect()}
+    over = FT.oversample(df)
+    assert {r.label: r["count"] for r in over.groupBy("label").count().collect()} == \
+        {c: max(sizes.values()) for c in sizes}
+    per_row = over.groupBy("label", "flight_id").count()
+    for c, n in sizes.items():
+        extra = max(sizes.values()) - n
+        got = sorted({r["count"] for r in per_row.where(F.col("label") == c).collect()})
+        lo, hi = 1 + extra // n, 1 + -(-extra // n)
+        assert got in ([lo], [lo, hi]), (c, got)
