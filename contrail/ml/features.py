@@ -45,9 +45,22 @@ def bools_to_int(df: DataFrame) -> DataFrame:
                            if f.dataType.simpleString() == "boolean"})
 
 
+# Split hash: multiplicative hashing modulo a prime. It is plain integer
+# arithmetic, so any engine (the DuckDB oracle included) computes the same
+# split, and it does not depend on partitioning or cluster size.
+SPLIT_PRIME = 1000003
+SPLIT_MULT = 48271
+
+
 def split_key(key: str = "flight_id", seed: int = 7):
-    """A repeatable pseudo-random number in [0, 1) from a key (M2)."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1000000)) / 1000000.0
+    """A repeatable pseudo-random number in [0, 1) from an integer key (M2)."""
+    h = F.pmod(F.pmod(F.col(key), F.lit(SPLIT_PRIME)) * SPLIT_MULT + seed, F.lit(SPLIT_PRIME))
+    return h / float(SPLIT_PRIME)
+
+
+def split_key_sql(key: str = "flight_id", seed: int = 7) -> str:
+    """The same number as SQL text (non-negative keys)."""
+    return f"((({key} % {SPLIT_PRIME}) * {SPLIT_MULT} + {seed}) % {SPLIT_PRIME}) / {float(SPLIT_PRIME)}"
 
 
 def hash_split(df: DataFrame, test_fraction: float = 0.2, key: str = "flight_id",

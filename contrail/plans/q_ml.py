@@ -84,7 +84,7 @@ wxt AS (SELECT location_name, weather_date, {', '.join(m if m != 'snow_mm' else
         FROM weather)"""
 
 
-@register("m1_leakage_safe_training_frame", with_base(f"""
+_M1_SQL = f"""
 SELECT * FROM (
   SELECT {', '.join('f.' + c for c in _J2_COLS)}, CAST(f.diverted AS INT) AS diverted,
     {', '.join(f'wo.{m} AS {m}_o' for m in WEATHER_MEASURES)},
@@ -94,7 +94,10 @@ SELECT * FROM (
   JOIN wxt wo ON f.flightdate = wo.weather_date AND f.origincityname = wo.location_name
   JOIN wxt wd ON f.flightdate = wd.weather_date AND f.destcityname = wd.location_name
   WHERE f.cancelled = FALSE)
-WHERE {' AND '.join(c + ' IS NOT NULL' for c in _M1_COLS)}""", weather=True, extra=_WX.strip()))
+WHERE {' AND '.join(c + ' IS NOT NULL' for c in _M1_COLS)}"""
+
+
+@register("m1_leakage_safe_training_frame", with_base(_M1_SQL, weather=True, extra=_WX.strip()))
 def m1(spark, sf):
     return _weather_frame(spark, sf)
 
@@ -138,7 +141,10 @@ def m8_weather(spark, sf):
     return M.evaluate(model.transform(test))
 
 
-@register("m7_oversampled_class_counts")
+@register("m7_oversampled_class_counts", with_base(f"""
+SELECT label, (SELECT MAX(n) FROM c) AS rows FROM c""", weather=True, extra=_WX.strip() + f""",
+m1 AS ({_M1_SQL.strip()}),
+c AS (SELECT label, COUNT(*) AS n FROM m1 WHERE {FT.split_key_sql()} >= 0.2 GROUP BY label)"""))
 def m7(spark, sf):
     train, _ = FT.hash_split(_weather_training_data(spark, sf), 0.2)
     return FT.oversample(train).groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
