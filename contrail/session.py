@@ -74,7 +74,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialised layers.
 
     Read from ``spark.checkpoint.dir``; set a private temp folder only when
-    the session has none (tests / local runs).
+    the session has none and runs in local mode (tests / laptops). A cluster
+    session without the setting is an error, never a machine-local folder.
     """
     try:
         sc = spark.sparkContext
@@ -87,6 +88,12 @@ def checkpoint_root(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover - conf absent
             d = None
     if not d:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "local")
+        if not str(master).startswith("local"):
+            # a machine-local folder is invisible to other executors and lost
+            # with the driver: on a cluster the shared folder must be named
+            raise RuntimeError("spark.checkpoint.dir is unset: name a shared folder "
+                               "(e.g. on the cluster's distributed file system)")
         d = tempfile.mkdtemp(prefix="contrail-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and sc._jsc.sc().getCheckpointDir().isEmpty():

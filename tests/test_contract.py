@@ -32,3 +32,34 @@ def test_every_oracle_matches_at_smallest_scale():
                          cwd=ROOT,
                          capture_output=True, text=True, timeout=1800)
     assert out.returncode == 0, out.stdout[-4000:]
+
+
+def test_cluster_session_needs_a_shared_checkpoint_folder():
+    import pytest
+
+    from contrail.session import checkpoint_root
+
+    class _Conf:
+        def __init__(self, values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+        def set(self, key, value):
+            self.values[key] = value
+
+    class _Session:  # no SparkContext handle, like a remote client session
+        def __init__(self, values):
+            self.conf = _Conf(values)
+
+        @property
+        def sparkContext(self):
+            raise RuntimeError("no SparkContext")
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(_Session({"spark.master": "yarn"}))
+    assert checkpoint_root(_Session({"spark.master": "yarn",
+                                     "spark.checkpoint.dir": "hdfs:///shared/ckpt/"})) \
+        == "hdfs:///shared/ckpt"
+    assert checkpoint_root(_Session({"spark.master": "local[2]"}))  # private folder in tests
