@@ -116,7 +116,10 @@ def route_pivot(dash: DataFrame, fill: float | None = 0.0, dests: list[str] | No
     """
     long = route_mean_delay(dash)
     if dests is None:
-        dests = sorted(r[0] for r in long.select("dest").distinct().collect())
+        # the destinations with a known delay, read from two pruned columns
+        # (not by re-running the route aggregation)
+        dests = sorted(r[0] for r in dash.where(F.col("depdelay").isNotNull())
+                       .select("dest").distinct().collect())
     wide = long.groupBy("origin").pivot("dest", dests).agg(F.first("avg_delay"))
     return wide.fillna(fill) if fill is not None else wide
 
