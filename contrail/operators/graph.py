@@ -43,12 +43,17 @@ def route_stats(flights: DataFrame, min_flights: int | str = 10) -> DataFrame:
         (F.avg(F.when(F.col("depdel15") == F.lit(True), 1.0).otherwise(0.0)) * 100)
         .alias("delay_rate"))
     if min_flights == "mean":
+        # one row per route, checkpointed: the flights are aggregated once,
+        # then the mean and the filter read the small result
+        g = _checkpoint(g)
         return g.where(F.col("total_flights") >= g.agg(F.avg("total_flights")).scalar())
     return g.where(F.col("total_flights") >= F.lit(int(min_flights)))
 
 
-def build_graph(flights: DataFrame, min_flights: int | str = 10) -> tuple[DataFrame, DataFrame]:
-    """G1: nodes and edges from flights.
+def build_graph(flights: DataFrame, min_flights: int | str = 10,
+                stats: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """G1: nodes and edges from flights (or from ``stats``: route_stats rows
+    already thresholded, so callers that need them too aggregate once).
 
     * edges: one per (origin, dest); when several city pairs exist the one
       with most flights wins, then the smaller cities (W4); NULL measures -> 0
@@ -57,7 +62,7 @@ def build_graph(flights: DataFrame, min_flights: int | str = 10) -> tuple[DataFr
       else the smallest seen as a destination (J4).
     * J5: edges keep only endpoints present in nodes.
     """
-    r = route_stats(flights, min_flights)
+    r = stats if stats is not None else route_stats(flights, min_flights)
     ranked = r.withColumn("_neg", -F.col("total_flights"))
     best = keep_first(ranked, ["origin", "dest"], ["_neg", "origincityname", "destcityname"])
     edges = best.select(
@@ -85,6 +90,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     # reliable checkpoint into spark.checkpoint.dir (never localCheckpoint)
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -111,10 +111,12 @@ SELECT origin, dest, [origin], CAST([] AS DOUBLE[]), 0, 0.0 FROM pairs WHERE ori
 def g2_pairs(spark, sf):
     """Routes below the mean volume are not graph edges; find how to fly them."""
     fl = flights(spark, sf)
-    rs = G.route_stats(fl, 0)
-    pairs = rs.where(F.col("total_flights") < rs.agg(F.avg("total_flights")).scalar()) \
-              .select("origin", "dest").distinct()
-    _, edges = G.build_graph(fl, "mean")
+    # every route aggregated once (one row per route); the mean, the thin
+    # pairs and the graph edges all read that small result
+    rs = G._checkpoint(G.route_stats(fl, 0))
+    mean = rs.agg(F.avg("total_flights")).scalar()
+    pairs = rs.where(F.col("total_flights") < mean).select("origin", "dest").distinct()
+    _, edges = G.build_graph(fl, stats=rs.where(F.col("total_flights") >= mean))
     return G.shortest_paths(edges, pairs)
 
 
