@@ -43,3 +43,15 @@ def test_gold_aggregates_partially_and_prunes_columns(spark, registry):
     assert "partial_count" in formatted
     assert "PushedFilters: [IsNotNull(origin), EqualTo(origin,NATION_4)]" in formatted
     assert "ReadSchema: struct<operating_airline:string,origin:string,dest:string," in formatted
+
+
+def test_oversampling_needs_no_global_order(spark, registry):
+    # exact class balancing without a global rank: no window, no global sort
+    # or top-k, no exchange into one partition
+    df = registry["m7_oversampled_class_counts"](spark, SF_SMALL)
+    plan = _plan(df)
+    for node in ("Window", "SinglePartition", "TakeOrderedAndProject", "GlobalLimit"):
+        assert node not in plan, node
+    assert "Range" in plan and "Union" in plan
+    got = {r.label: r.rows for r in df.collect()}
+    assert len(set(got.values())) == 1
