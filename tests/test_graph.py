@@ -105,3 +105,17 @@ def test_unknown_airport_has_no_path(spark):
     e = edges(spark, [("JFK", "LAX"), ("LAX", "JFK")])
     out = G.shortest_paths(e, pairs(spark, [("XXX", "JFK"), ("JFK", "YYY"), ("JFK", "LAX")]))
     assert rows(out, "origin", "dest", "hops") == [("JFK", "LAX", 1)]
+
+
+def test_graph_from_shared_route_stats_equals_mean_threshold(spark):
+    # the thin-route query aggregates routes once and passes them in; the
+    # graph must equal the one built from flights with the mean threshold
+    from contrail.sources.tables import flights
+    from tests.conftest import SF_SMALL
+    fl = flights(spark, SF_SMALL)
+    rs = G.route_stats(fl, 0)
+    mean = rs.agg(F.avg("total_flights")).scalar()
+    n1, e1 = G.build_graph(fl, stats=rs.where(F.col("total_flights") >= mean))
+    n2, e2 = G.build_graph(fl, "mean")
+    assert rows(n1) == rows(n2) and rows(e1) == rows(e2)
+    assert e1.count() > 0
