@@ -1,9 +1,10 @@
 """Connected components of an edge table, as Spark joins.
 
-Labels spread by taking the smallest neighbour label and then jumping to the
-label's own label, so the number of rounds grows with the logarithm of the
-longest path. Every round is a written table: no growing lineage, nothing is
-collected.
+Every node points at a node of its component; in each round the nodes and the
+nodes they point at are moved to the smallest target seen over their edges
+(hooking), and then to their target's target (shortcutting). The number of
+rounds grows with the logarithm of the longest path. Every round is a written
+table: no growing lineage, nothing is collected.
 """
 
 from __future__ import annotations
@@ -27,13 +28,16 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
            .select("node", F.least("node", "m").alias("label")), f"{tag}-0")
     step = 0
     while True:
-        near = (adj.join(labels.select(F.col("node").alias("b"), "label"), "b")
-                   .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near")))
-        low = labels.join(near, "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        new = low.join(jump, "low", "left").select(
-            "node", "old", F.least("low", F.coalesce("far", "low")).alias("label"))
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        far = labels.join(up, "label")  # node, label, label of the label
+        near = (adj.join(far.select(F.col("node").alias("b"), "top"), "b")
+                   .groupBy(F.col("a").alias("node")).agg(F.min("top").alias("near")))
+        seen = far.join(near, "node")
+        moves = seen.select(F.explode(F.array(
+            F.struct("node", F.least("near", "top").alias("label"), F.col("label").alias("old")),
+            F.struct(F.col("label").alias("node"), F.least("near", "top").alias("label"),
+                     F.lit(None).cast("long").alias("old")))).alias("m")).select("m.*")
+        new = moves.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         step += 1
         new = scratch.save(new, f"{tag}-{step}")
         moved = new.where("label <> old").limit(1).count()

@@ -6,22 +6,27 @@ when ``den * |A & B| >= num * |A | B|``. The result is exact:
 1. Equal sets collapse to one class first, whatever their number.
 2. Shards. For two linked sets the symmetric difference is at most
    K = (den - num) / (num + den) * (|A| + |B|). The hash space is cut into
-   K + 1 ranges, so at least one range holds the same shingles in both sets.
-   Each class enters one shard per range (key: size level, range, digest of
-   the range's shingles); linked classes share a shard. Shared boilerplate
-   alone does not make a shard, since the whole range must agree.
-3. Star round. In each shard every class is tried once against the shard's
-   smallest class. Large groups of near copies join here with one check per
-   member, so no shard emits all its pairs.
-4. R-tree round. Shards whose classes are still in different components get
-   a bulk-loaded R-tree: tokens are hashed into ``GROUPS`` groups, a class is
-   the point of its group counts, and the sum of coordinate minima against a
-   node's upper corner (or a point) bounds the overlap. Surviving pairs of
-   different components are verified on the full sets.
+   K + 1 + s ranges, so at least s + 1 ranges hold the same shingles in both
+   sets. Each class enters one shard per range (key: size level, range, digest
+   of the range's shingles); linked classes share a shard. Empty ranges are
+   left out by sets with s of them at most, which still share a full one.
+   Shared boilerplate alone makes no shard, since the whole range must agree.
+3. Star rounds. Every class is tried once a round against one pivot class of
+   a shard, the pivot it meets most often; later rounds draw new pivots from
+   the shard's largest component and only try classes of other components.
+   Large groups of near copies join here with one check per member and round,
+   so no shard emits all its pairs.
+4. R-tree round. Classes that share shards, directly or through others, form
+   a cluster. In clusters with several components left, the classes outside
+   the largest component are bulk-loaded into R-trees (blocks of ``BLOCK``,
+   by set size): tokens are hashed into ``GROUPS`` groups, a class is the point
+   of its group counts, and the sum of coordinate minima against a node's
+   upper corner (or a point) bounds the overlap. All classes of the cluster of
+   fitting size stream past the trees; surviving pairs of different components
+   are verified on the full sets.
 5. Components of the verified links.
 
-Large shards are cut into blocks and joined block by block, so a task holds
-two blocks at most. Classes are identified by a 64-bit digest of their set
+A task holds one block of sets and one batch of the stream. Classes are identified by a 64-bit digest of their set
 and shingles by 64-bit hashes.
 
 Defined results: null or empty text has no shingles and links with nothing;
@@ -42,13 +47,15 @@ from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
 from contrail.llm.components import components
-from contrail.llm.shared import Scratch, binary_values, concat_batches, doc_columns, mix, runs
+from contrail.llm.shared import Scratch, binary_values, concat_batches, doc_columns, mix
 from contrail.llm.words import shingle_set
 
-GROUPS = 32          # coordinates of a count vector
+GROUPS = 128         # coordinates of a count vector
 FANOUT = 16          # entries per R-tree node
-BLOCK = 2048         # classes of one shard that meet in one task
+BLOCK = 1024         # classes in one tree
+STREAM = 16_384      # classes that stream past one tree in one task
 SMALL_IDS = 1_000_000  # candidate ids that may be broadcast (8 bytes each)
+STAR_ROUNDS = 3      # most rounds that try one pivot per class before the trees
 _SEEN = 200_000      # set digests a worker remembers to skip repeated copies
 
 
@@ -68,6 +75,11 @@ def size_levels(num: int, den: int, top: int = 1 << 28) -> tuple[np.ndarray, np.
     return np.array(lows), np.array(bounds)
 
 
+def spare_ranges(bound: int) -> int:
+    """Ranges cut beyond the K + 1 needed, by the level's K."""
+    return 1 + bound // 25
+
+
 def shard_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of the shards a set (sorted hashes) belongs to."""
     lows, bounds = size_levels(num, den)
@@ -78,12 +90,15 @@ def shard_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     for level in (own, own - 1):
         if level < 0 or bounds[level] == 0:  # only equal sets could link
             continue
-        parts = int(bounds[level]) + 1
+        spare = spare_ranges(int(bounds[level]))
+        parts = int(bounds[level]) + 1 + spare
         width = (1 << 64) // parts + 1
         edges = np.array([i * width for i in range(1, parts)], np.uint64)
         at = np.concatenate(([0], np.searchsorted(s, edges), [len(s)]))
         label = mix(np.uint64(level << 32) + np.arange(parts, dtype=np.uint64) + np.uint64(1))
-        out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ label))
+        keys = mix((sums[at[1:]] - sums[at[:-1]]) ^ label)
+        full = at[1:] > at[:-1]
+        out.append(keys if (~full).sum() > spare else keys[full])
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -122,10 +137,10 @@ class CountRTree:
         for depth in range(len(self.levels) - 1, -1, -1):
             high, lows = self.levels[depth]
             keep = np.empty(len(q), bool)
-            for i in range(0, len(q), 65536):
-                qi, ni = q[i:i + 65536], node[i:i + 65536]
+            for i in range(0, len(q), 8192):
+                qi, ni = q[i:i + 8192], node[i:i + 8192]
                 shared = np.minimum(query[qi], high[ni]).sum(1)
-                keep[i:i + 65536] = shared * (num + den) >= num * (size[qi] + lows[ni])
+                keep[i:i + 8192] = shared * (num + den) >= num * (size[qi] + lows[ni])
             q, node = q[keep], node[keep]
             if depth:
                 width = len(self.levels[depth - 1][0])
@@ -225,34 +240,93 @@ def _verify(num: int, den: int):
     return task
 
 
-def _tree_pairs(num: int, den: int):
-    """Candidate pairs of one block pair of one shard, of different components."""
+class _Trees:
+    """The tree of one block, and which components its links have joined."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.cls: list[int] = []
+        self.comp: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.tree = None
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def links(self, cls: list[int], comp: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Links of streamed classes that join two components."""
+        if self.tree is None:
+            self.tree = CountRTree(np.stack([count_vector(s) for s in self.sets]))
+        q, p = self.tree.candidates(np.stack([count_vector(s) for s in sets]), self.num, self.den)
+        out = []
+        for i, j in zip(q.tolist(), p.tolist()):
+            a, b = self.root(comp[i]), self.root(self.comp[j])
+            if a != b and _linked(sets[i], self.sets[j], self.num, self.den):
+                self.parent[a] = b
+                out.append((cls[i], self.cls[j]))
+        return out
+
+
+def _tree_links(num: int, den: int):
+    """Rows (cluster, block, salt, streamed, cls, comp, shingles) in that order:
+    the classes of a tree, then the stream."""
     def rows(batches):
-        for t in runs(batches, ["sig", "i", "j"]):
-            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            cls = t.column("cls").to_numpy()
-            comp = t.column("comp").to_numpy()
-            block = t.column("block").to_numpy()
-            vec = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.int32).reshape(-1, GROUPS)
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            if not len(left) or not len(right):
-                continue
-            q, p = CountRTree(vec[right]).candidates(vec[left], num, den)
-            q, p = left[q], right[p]
-            ok = comp[q] != comp[p]
-            a, b = cls[q[ok]], cls[p[ok]]
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=_LINKS)
+        current, trees = None, None
+        for t in batches:
+            keys = list(zip(*[t.column(i).to_pylist() for i in range(3)]))
+            streamed = t.column(3).to_pylist()
+            cls, comp = t.column(4).to_pylist(), t.column(5).to_pylist()
+            sets = [np.frombuffer(x, np.uint64) for x in t.column(6).to_pylist()]
+            out, at = [], 0
+            while at < len(keys):
+                end = at
+                while end < len(keys) and keys[end] == keys[at] and streamed[end] == streamed[at]:
+                    end += 1
+                if keys[at] != current:
+                    current, trees = keys[at], _Trees(num, den)
+                if not streamed[at]:
+                    trees.cls += cls[at:end]
+                    trees.comp += comp[at:end]
+                    trees.sets += [s.copy() for s in sets[at:end]]
+                elif trees.sets:
+                    out += trees.links(cls[at:end], comp[at:end], sets[at:end])
+                at = end
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[i] for x in out], pa.int64()) for i in range(2)], schema=_LINKS)
 
     return lambda batches: concat_batches(rows(batches), _LINKS)
 
 
-def _vectors(batches):
-    for b in batches:
-        found = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([count_vector(s).tobytes() for s in found], pa.binary())],
-            names=["cls", "vec"])
+def _tree_round(label: DataFrame, cluster: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the components of each cluster."""
+    sized = sets.select("cls", (F.length("shingles") / 8).cast("long").alias("n"))
+    placed = (cluster.select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
+              .join(label.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls", "left")
+              .join(sized, "cls")
+              .select("cls", "cluster", "n", F.coalesce("comp", "cls").alias("comp")))
+    largest = (placed.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"))
+               .groupBy("cluster").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"),
+                                       F.sum("size").alias("total"), F.count(F.lit(1)).alias("comps"))
+               .where("comps > 1")
+               .select("cluster", "main", F.ceil(F.col("total") / STREAM).cast("int").alias("salts")))
+    opened = placed.join(largest, "cluster")
+    row = F.row_number().over(Window.partitionBy("cluster").orderBy("n", "cls"))
+    stray = (opened.where("comp <> main").withColumn("block", ((row - 1) / BLOCK).cast("int")))
+    blocks = stray.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    held = (stray.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            .select("cluster", "block", "salt", F.lit(0).alias("streamed"), "cls", "comp"))
+    passing = (opened.join(blocks, "cluster")
+               .where((F.col("n") * den >= F.col("lo") * num) & (F.col("n") * num <= F.col("hi") * den))
+               .select("cluster", "block", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"),
+                       F.lit(1).alias("streamed"), "cls", "comp"))
+    order = ["cluster", "block", "salt"]
+    return (held.unionByName(passing).join(sets, "cls")
+            .select(*order, "streamed", "cls", "comp", "shingles")
+            .repartition(*order).sortWithinPartitions(*order, "streamed")
+            .mapInArrow(_tree_links(num, den), "a long, b long"))
 
 
 # ---- the operator -----------------------------------------------------------
@@ -299,30 +373,39 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     sets = scratch.save(texts.join(ids, "doc_id").select("text").mapInArrow(
         _sets(k), "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
 
-    # star round
-    stars = shared.groupBy(F.col("cls").alias("b")).agg(F.min("centre").alias("a"))
-    links = scratch.save(_checked(stars, sets, num, den), "star-links")
-    label = components(links, scratch, "star")
-
-    # R-tree round: shards with more than one component left
-    members = (shared.select("sig", "cls").union(shared.select("sig", F.col("centre").alias("cls")))
-               .join(label, F.col("cls") == F.col("node"), "left")
-               .select("sig", "cls", F.coalesce("label", "cls").alias("comp")))
-    split = (members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                        F.count(F.lit(1)).alias("n")).where("lo <> hi")
-             .select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    open_members = scratch.save(members.join(split, "sig").distinct(), "open")
-    vectors = sets.mapInArrow(_vectors, "cls long, vec binary")
-    dealt = (open_members.join(vectors, "cls")
-             .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("sig", "cls", "comp", "vec", "block",
-                     F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-             .repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j"))
-    pairs = scratch.save(dealt.mapInArrow(_tree_pairs(num, den), "a long, b long").distinct(), "pairs")
-    more = scratch.save(_checked(pairs, sets, num, den), "tree-links")
-    label = scratch.save(components(links.union(more), scratch, "all"), "labels")
-    scratch.drop("shared", "sets", "open", "pairs")
+    # star rounds
+    stars = shared.select("cls", F.col("centre").alias("pivot"))
+    members = shared.select("sig", "cls").union(shared.select("sig", F.col("centre").alias("cls"))).distinct()
+    links = None
+    for turn in range(STAR_ROUNDS):
+        met = stars.groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("n"))
+        tried = met.groupBy(F.col("cls").alias("b")).agg(
+            F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("a"))
+        found = scratch.save(_checked(tried, sets, num, den), f"star-links-{turn}")
+        links = found if links is None else links.union(found)
+        if turn and not found.limit(1).count():
+            break
+        label = components(links, scratch, f"star-{turn}")
+        sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+        # what is open: shards whose classes are in different components
+        placed = (members.join(label.join(sizes, "label"), F.col("cls") == F.col("node"), "left")
+                  .select("sig", "cls", F.coalesce("label", "cls").alias("comp"),
+                          F.coalesce("size", F.lit(1)).alias("size")))
+        split = (placed.groupBy("sig").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+            F.max_by(F.struct("cls", "comp"), F.struct("size", F.xxhash64("cls", F.lit(turn))))
+            .alias("pivot"))
+            .where("lo <> hi").select("sig", "pivot"))
+        open_members = scratch.save(placed.join(split, "sig"), f"open-{turn}")
+        members = open_members.select("sig", "cls")
+        stars = open_members.where("comp <> pivot.comp").select("cls", F.col("pivot.cls").alias("pivot"))
+
+    # R-tree round
+    cluster = components(shared.select(F.col("cls").alias("a"), F.col("centre").alias("b")).distinct(),
+                         scratch, "cluster")
+    more = scratch.save(_tree_round(label, cluster, sets, num, den), "tree-links")
+    label = components(links.union(more), scratch, "all")
+    scratch.drop("shared", "sets", *[f"open-{turn}" for turn in range(STAR_ROUNDS)])
 
     reps = classes.join(label, F.col("cls") == F.col("node"), "left").select(
         "cls", "rep", F.coalesce("label", "cls").alias("label"))
@@ -332,3 +415,22 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
             .select("doc_id", "n_shingles",
                     F.when(F.col("n_shingles") > 0, F.col("component"))
                      .otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80,
+                     den: int = 100) -> DataFrame:
+    """``docs`` with one document of each group of linked ones: the smallest
+    doc_id, and one of its rows if it repeats. Rows without an id stay unless
+    their set equals that of a document with one."""
+    scratch = Scratch(spark, "near-copies")
+    found = jaccard_components(spark, docs, k, num, den)
+    # what goes: an id whose component has a smaller one
+    gone = scratch.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    small = gone.count() <= SMALL_IDS
+    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    again = scratch.save(found.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1")
+                         .select("doc_id"), "repeated")
+    if not again.limit(1).count():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").union(once.select(*kept.columns))
