@@ -420,8 +420,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
 def drop_near_copies(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80,
                      den: int = 100) -> DataFrame:
     """``docs`` with one document of each group of linked ones: the smallest
-    doc_id, and one of its rows if it repeats. Rows without an id stay unless
-    their set equals that of a document with one."""
+    doc_id, and one of its rows if it repeats. Rows without an id stay."""
     scratch = Scratch(spark, "near-copies")
     found = jaccard_components(spark, docs, k, num, den)
     # what goes: an id whose component has a smaller one

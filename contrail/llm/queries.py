@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -13,6 +14,7 @@ ORACLE: dict[str, str] = {}
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_TOKENIZER = "piece_bpe_32k.model"
 END_ID = 2
+RELAXED = 3.0  # factor on the pruning bounds of the vantage-point trees
 
 
 def register(name: str, sql: str | None = None):
@@ -24,7 +26,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -32,13 +34,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1(spark, sf):
     from contrail.llm.token_store import token_store
     from public_tokenizers import path
-    return token_store(spark, _table(spark, sf, "documents"), path(WORD_TOKENIZER), END_ID)
+    return token_store(spark, read_table(spark, sf, "documents"), path(WORD_TOKENIZER), END_ID)
+
+
+@register("op2_vantage")
+def op2(spark, sf):
+    from contrail.llm.vantage import nearest
+    return nearest(spark, read_table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, k=10,
+                   factor=RELAXED)
 
 
 @register("op3_pii")
 def op3(spark, sf):
     from contrail.llm.pii import find_pii
-    return find_pii(spark, _table(spark, sf, "documents"))
+    return find_pii(spark, read_table(spark, sf, "documents"))
+
+
+@register("op4_toxicity")
+def op4(spark, sf):
+    from contrail.llm.toxicity import score_toxicity
+    return score_toxicity(spark, read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
 
 
 _JACCARD_SQL = """
@@ -66,10 +81,35 @@ JOIN (SELECT d AS doc_id, min(root) AS component_id FROM r GROUP BY d) c USING (
 @register("op5_ngram_join", _JACCARD_SQL)
 def op5(spark, sf):
     from contrail.llm.ngram_join import jaccard_components
-    return jaccard_components(spark, _table(spark, sf, "documents"), k=4, num=85, den=100)
+    return jaccard_components(spark, read_table(spark, sf, "documents"), k=4, num=85, den=100)
 
 
 @register("op6_secret_scan")
 def op6(spark, sf):
     from contrail.llm.secret_scan import find_secrets
-    return find_secrets(spark, _table(spark, sf, "documents"))
+    return find_secrets(spark, read_table(spark, sf, "documents"))
+
+
+@register("op7_decontaminate")
+def op7(spark, sf):
+    from contrail.llm.decontaminate import find_leaks
+    return find_leaks(spark, read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
+@register("op8_pieces")
+def op8(spark, sf):
+    from contrail.llm.piece_codec import digest
+    from public_tokenizers import path
+    return digest(spark, read_table(spark, sf, "documents"), path(PIECE_TOKENIZER), verify=True)
+
+
+@register("op9_passages")
+def op9(spark, sf):
+    from contrail.llm.passages import repeated_passages
+    return repeated_passages(spark, read_table(spark, sf, "documents"))
+
+
+@register("op10_language")
+def op10(spark, sf):
+    from contrail.llm.language_id import identify
+    return identify(spark, read_table(spark, sf, "documents"))
