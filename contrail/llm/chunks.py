@@ -7,31 +7,40 @@ text; natural text repeats its pieces, so each is encoded once per memo.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from array import array
+from collections.abc import Callable, Iterable
 
-import numpy as np
+MEMO_PIECES = 400_000  # pieces kept per worker; then only the current batch's stay
+MEMO_SIZE = 48         # longer pieces are encoded each time
 
-MEMO_PIECES = 300_000  # pieces kept per worker before the memo starts anew
-MEMO_BYTES = 48        # longer pieces are encoded each time
+
+def packed(ids: Iterable[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
 
 
 class PieceEncoder:
-    """Ids (little-endian unsigned 32-bit, as bytes) of lists of pieces."""
+    """Packed ids of lists of pieces. ``encode_many`` gives the packed ids of
+    pieces seen for the first time."""
 
-    def __init__(self, encode_many: Callable[[list], list[list[int]]]):
+    def __init__(self, encode_many: Callable[[list], list[bytes]]):
         self._encode = encode_many
         self._memo: dict = {}
 
     def __call__(self, documents: list[list]) -> list[bytes]:
         memo = self._memo
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-        missing = list(set().union(*documents).difference(memo)) if documents else []
+        used = set().union(*documents)
+        missing = list(used.difference(memo))
+        if len(memo) + len(missing) > MEMO_PIECES:
+            memo = self._memo = {p: memo[p] for p in used.intersection(memo)}
         if missing:
-            for piece, ids in zip(missing, self._encode(missing)):
-                memo[piece] = np.array(ids, "<u4").tobytes()
+            memo.update(zip(missing, self._encode(missing)))
         out = [b"".join(map(memo.__getitem__, pieces)) for pieces in documents]
         for piece in missing:
-            if len(piece) > MEMO_BYTES:
+            if len(piece) > MEMO_SIZE:
                 del memo[piece]
         return out

@@ -32,7 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm.chunks import PieceEncoder
+from contrail.llm.chunks import PieceEncoder, packed
 from contrail.llm.shared import Scratch, doc_columns
 
 MARK = "▁"
@@ -180,11 +180,11 @@ class Codec:
         if self.model.stretches:
             part = self.model.tokenizer(False)
             self._memo = PieceEncoder(lambda texts: [
-                e.ids for e in part.encode_batch_fast(texts, add_special_tokens=False)])
+                packed(e.ids) for e in part.encode_batch_fast(texts, add_special_tokens=False)])
             self._cut = True
         else:
             self._memo = PieceEncoder(lambda texts: [
-                e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)])
+                packed(e.ids) for e in whole.encode_batch_fast(texts, add_special_tokens=False)])
             self._cut = False
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

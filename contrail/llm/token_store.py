@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contrail.llm.chunks import PieceEncoder
 from contrail.llm.shared import Scratch, binary_values, doc_columns
+from contrail.llm.word_encoder import encoder
 
 MAGIC = b"CDAC0001"
 RANK_BITS = 512            # bits per rank directory entry
@@ -173,12 +173,7 @@ def _write(folder: str, name: str, data: bytes) -> str:
 
 def _encode(folder: str, tokenizer: str, end_id: int):
     def task(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        model = Tokenizer.from_file(tokenizer)
-        encode = PieceEncoder(lambda pieces: [
-            e.ids for e in model.encode_batch_fast([p.decode() for p in pieces],
-                                                   add_special_tokens=False)])
+        encode = encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         doc_ids: list = []
@@ -199,10 +194,7 @@ def _encode(folder: str, tokenizer: str, end_id: int):
 
         for b in batches:
             ids = b.column(0).cast(pa.int64()).to_pylist()
-            # white space separates words for this tokenizer, so the pieces
-            # between ASCII white space encode on their own
-            found = encode([(t or b"").split() for t in binary_values(b.column(1))])
-            for doc_id, data in zip(ids, found):
+            for doc_id, data in zip(ids, encode(binary_values(b.column(1)))):
                 doc_ids.append(doc_id)
                 pieces.append(data + end)
                 held += len(data) // 4 + 1
