@@ -87,7 +87,7 @@ STATE_FIELDS = [
     "sensors", "geo_altitude", "squawk", "spi", "position_source",
 ]
 
-# --- fixed values: columns kept from the raw flight CSV (collector) ----------
+# --- fixed values: columns kept from the raw flight CSV (cleaning script) ----
 RAW_KEEP_COLUMNS = [
     "FlightDate", "Operating_Airline", "Tail_Number",
     "Flight_Number_Operating_Airline", "OriginAirportID", "Origin",

@@ -12,28 +12,50 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Measures are summed in whole steps of 10**-EXACT_DIGITS.
+EXACT_DIGITS = 6
+
+
+def exact_sum(col) -> Column:
+    """Aggregate: the sum of ``col`` in units of 10**-6, exact (each value is
+    rounded to 6 digits first). Whole parts and fractions are summed apart as
+    longs; a sum beyond a long is an error, never a wrong number."""
+    c = _c(col).cast("double")
+    whole = F.floor(c)
+    steps = F.round((c - whole) * 10 ** EXACT_DIGITS).cast("long")
+    return (F.sum(whole).cast("decimal(19,0)") * F.lit(10 ** EXACT_DIGITS).cast("decimal(7,0)")
+            + F.sum(steps))
+
+
+def _half_up(num: Column, den: Column, digits: int) -> Column:
+    """round(num / den, digits), ties away from zero, for exact whole ``num``
+    and ``den``: floor((2 |num| 10**digits + den) / (2 den)) in decimals."""
+    n, d = num.cast("decimal(30,0)"), den.cast("decimal(24,0)")
+    twice = (F.abs(n) * F.lit(2 * 10 ** digits).cast("decimal(6,0)")).cast("decimal(37,0)") + d
+    mag = F.call_function("div", twice, d * F.lit(2).cast("decimal(1,0)"))
+    signed = F.when(n < 0, -mag).otherwise(mag)
+    return F.when(d > 0, signed.cast("double") / F.lit(float(10 ** digits)))
+
+
 def ratio_half_up(num, den, digits: int = 2) -> Column:
     """``round(num / den, digits)`` with half-up (away from zero) ties, exact.
 
-    ``num`` and ``den`` must be integer-valued. Computed with integer
-    division so every engine yields the same double (a PostgreSQL
-    ``ROUND(x::numeric, d)`` of the exact ratio). NULL when ``den`` is 0/NULL.
+    ``num`` and ``den`` must be whole numbers (counts and their products).
+    Every engine yields the same double (a PostgreSQL ``ROUND(x::numeric, d)``
+    of the exact ratio). NULL when ``den`` is 0/NULL.
     """
-    n = _c(num).cast("long")
-    d = _c(den).cast("long")
-    scale = 10 ** digits
-    # |n|*scale/d rounded half-up == floor((2*|n|*scale + d) / (2*d)); the
-    # quotient of two exact integers is exact in double below 2**53.
-    q = (F.abs(n) * (2 * scale) + d).cast("long")
-    mag = F.floor(q / (d * 2)).cast("long")
-    signed = F.when(n < 0, -mag).otherwise(mag)
-    return F.when(d > 0, signed.cast("double") / F.lit(float(scale)))
+    return _half_up(_c(num), _c(den), digits)
+
+
+def mean_half_up(total, count, digits: int = 2) -> Column:
+    """``ROUND(total / count, digits)`` half-up, ``total`` from ``exact_sum``."""
+    return _half_up(_c(total), _c(count).cast("decimal(18,0)") * F.lit(10 ** EXACT_DIGITS)
+                    .cast("decimal(7,0)"), digits)
 
 
 def avg_half_up(col, digits: int = 2) -> Column:
-    """Aggregate: ``ROUND(AVG(col), digits)`` half-up for integer-valued input."""
-    c = _c(col)
-    return ratio_half_up(F.sum(c), F.count(c), digits)
+    """Aggregate: ``ROUND(AVG(col), digits)`` half-up, also for fractions."""
+    return mean_half_up(exact_sum(col), F.count(_c(col)), digits)
 
 
 def pct_half_up(count_true: Column, total: Column, digits: int = 2) -> Column:
@@ -54,13 +76,6 @@ def hhmm_to_minutes(col) -> Column:
     return F.when(ok, (hh * 60 + mm).cast("int"))
 
 
-def minutes_to_hhmm(col) -> Column:
-    """minutes-of-day -> 'HH:mm' label."""
-    m = _c(col)
-    return F.when(m.isNotNull(), F.format_string("%02d:%02d", F.floor(m / 60).cast("int"),
-                                                 (m % 60).cast("int")))
-
-
 def to_nullable_int(col) -> Column:
     """Text/number -> nullable int. '12.0' -> 12; '12.5' -> NULL (reported apart)."""
     d = _c(col).cast("string").try_cast("double")
@@ -128,12 +143,6 @@ def oktas(cloud_pct) -> Column:
     return _c(cloud_pct) / 100.0 * 8
 
 
-def min_max_scale(col, over, eps: float = 0.01) -> Column:
-    """(x - min) / (max - min + eps) over a window (the bar-colour score)."""
-    c = _c(col)
-    return (c - F.min(c).over(over)) / (F.max(c).over(over) - F.min(c).over(over) + F.lit(eps))
-
-
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle distance in km."""
     la1, lo1, la2, lo2 = (F.radians(_c(x)) for x in (lat1, lon1, lat2, lon2))

@@ -51,11 +51,13 @@ def weather_classifier(n_train: int | None = None, max_iter: int = 400,
                            regParam=reg, elasticNetParam=0.0, standardization=False, tol=1e-4)])
 
 
-def forest_classifier(num_trees: int = 50, seed: int = 42) -> Pipeline:
-    """Random forest on the weather features (optional model)."""
+def forest_classifier(num_trees: int = 100, max_depth: int = 12, seed: int = 42) -> Pipeline:
+    """Random forest on the weather features: 100 trees, the library
+    default of the model this mirrors. That one grows its trees out; here
+    ``max_depth`` states the depth (Spark allows 30 at most)."""
     return Pipeline(stages=FT.weather_feature_stages(False) + [
         RandomForestClassifier(featuresCol="features", labelCol=FT.LABEL, numTrees=num_trees,
-                               seed=seed)])
+                               maxDepth=max_depth, seed=seed)])
 
 
 def route_training_frame(flights: DataFrame) -> DataFrame:
@@ -118,7 +120,8 @@ def load(path: str) -> PipelineModel:
 def join_request_weather(flights: DataFrame, weather: DataFrame, key: str = "request_id") -> DataFrame:
     """J2 across two exploded request tables: a flight meets the weather rows
     of its own request at its origin and destination city on its date
-    (inner). Prefer ``match_request_weather`` on whole requests (no shuffle)."""
+    (inner; identical weather rows count once). The keys hold the city and
+    the day, so one large request spreads over many tasks."""
     ms = K.WEATHER_MEASURES
     # one row per (request, city, day): a self-route request lists its city twice
     w = weather.select(key, "location_name", "weather_date", *ms).dropDuplicates(
@@ -134,34 +137,12 @@ def join_request_weather(flights: DataFrame, weather: DataFrame, key: str = "req
     return j.drop("_ko", "_lo", "_do", "_kd", "_ld", "_dd")
 
 
-def match_request_weather(requests: DataFrame, key: str = "request_id") -> DataFrame:
-    """S16 + J2 inside each request row: every flight of the request meets the
-    request's weather at its origin and destination city on its date (inner;
-    identical weather rows count once; snow NULL -> 0).
-
-    Done with array functions on the request row itself, so scoring needs no
-    shuffle at all: a request is processed wherever it lives.
-    """
-    ms = K.WEATHER_MEASURES
-    w = F.transform("weather", lambda x: x.withField("snow_mm", F.coalesce(x["snow_mm"], F.lit(0.0))))
-    x = requests.select(key, w.alias("_w"), F.explode("flights").alias("_f"))
-
-    def matches(city):
-        return F.array_distinct(F.filter(
-            "_w", lambda r: (r["weather_date"] == F.col("_f.flightdate"))
-            & (r["location_name"] == F.col(f"_f.{city}"))))
-    x = x.select(key, "_f", "_w", F.explode(matches("origincityname")).alias("_o"))
-    x = x.select(key, "_f", "_o", F.explode(matches("destcityname")).alias("_d"))
-    return x.select(key, "_f.*", *[F.col(f"_o.{m}").alias(f"{m}_o") for m in ms],
-                    *[F.col(f"_d.{m}").alias(f"{m}_d") for m in ms])
-
-
 def predict_requests(model: PipelineModel, requests: DataFrame,
                      features: list[str] | None = None) -> DataFrame:
-    """Match each request's flights to its weather (row-local), check
-    features (P25), class and probability per flight. Raises when nothing
-    matches (a map-only scan that stops at the first matched row)."""
-    j = FT.bools_to_int(match_request_weather(requests))
+    """Match each request's flights to its weather (S16 and the keyed
+    join), check features (P25), class and probability per flight. Raises when
+    nothing matches."""
+    j = FT.bools_to_int(join_request_weather(*FT.explode_request(requests)))
     if features:
         require_features(j, features)
     if j.isEmpty():
@@ -178,8 +159,10 @@ def trip_risk(trips: DataFrame, rates: DataFrame, cls: PipelineModel | None,
     expected minutes = max(0, regression), else route mean (or 20); distance
     falls back to 1000. Unknown codes get the encoders' extra index.
     """
-    t = trips.join(rates, [c for c in ("operating_airline", "origin", "dest", "day_of_week")
-                           if c in trips.columns and c in rates.columns], "left")
+    keys = [c for c in ("operating_airline", "origin", "dest", "day_of_week")
+            if c in trips.columns and c in rates.columns]
+    # one rate row per key, so repeated trips keep their own rows and no more
+    t = trips.join(rates.dropDuplicates(keys), keys, "left")
     t = t.withColumn("distance", F.coalesce(F.col("route_avg_distance"),
                                             F.lit(K.FALLBACK_DISTANCE)))
     fallback_p = F.coalesce(F.col("route_rate"), F.lit(K.FALLBACK_RATE_PCT)) / 100.0

@@ -3,7 +3,7 @@
 All of them are one hash aggregation (partial + final) on low-cardinality
 keys - carrier, airport, route, calendar - so the shuffle moves one row per
 key per task however skewed the keys are. Rounded means use the exact
-half-up form (``ratio_half_up``) on integer sums.
+half-up form (``avg_half_up``) on decimal sums.
 """
 
 from __future__ import annotations
@@ -12,10 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrail.functions import constants as K
-from contrail.functions.scalars import (clip, day_name, flag_to_int, month_abbr,
-                                        pg_day_of_week, ratio_half_up, route_label)
+from contrail.functions.scalars import (avg_half_up, clip, day_name, exact_sum, flag_to_int,
+                                        mean_half_up, month_abbr, pg_day_of_week, ratio_half_up,
+                                        route_label)
 from contrail.operators.filters import not_cancelled_strict
 from contrail.operators.windows import frame_max, frame_min, frame_sum
+from contrail.session import checkpoint_root
+
+
+# Most columns a matrix takes from the data (one per destination airport).
+MAX_PIVOT = 10_000
 
 
 def _delayed_sum(col: str = "depdel15"):
@@ -45,6 +51,7 @@ def dashboard_frame(flights: DataFrame) -> DataFrame:
     """
     f = not_cancelled_strict(flights)
     return f.select(
+        *[c for c in ("flight_month",) if c in f.columns],  # lets month filters prune
         "flight_id", "flightdate", "operating_airline", "origin",
         F.col("origincityname").alias("origin_city"), "dest",
         F.col("destcityname").alias("dest_city"), "distance", "depdelay",
@@ -78,14 +85,14 @@ def stats_by_day_of_week(df: DataFrame) -> DataFrame:
 def monthly_trend(dash: DataFrame) -> DataFrame:
     """Mean delay (r1) and delayed count per month, with month name."""
     return (dash.groupBy("month")
-                .agg(ratio_half_up(F.sum("depdelay"), F.count("depdelay"), 1).alias("avg_delay"),
+                .agg(avg_half_up("depdelay", 1).alias("avg_delay"),
                      F.sum("delayed").cast("long").alias("delayed_count"))
                 .withColumn("month_name", month_abbr("month")))
 
 
 def carrier_delay_rate(dash: DataFrame) -> DataFrame:
     """Delay rate % (r1) and flights per carrier, plus the min-max score."""
-    g = dash.groupBy("operating_airline").agg(
+    g = dash.dropna(subset=["operating_airline"]).groupBy("operating_airline").agg(
         ratio_half_up(F.sum("delayed") * 100, F.count("delayed"), 1).alias("pct"),
         F.count("delayed").alias("total"))
     lo, hi = frame_min(g, "pct"), frame_max(g, "pct")
@@ -94,18 +101,19 @@ def carrier_delay_rate(dash: DataFrame) -> DataFrame:
 
 def delay_causes_by_carrier(dash: DataFrame, long: bool = True) -> DataFrame:
     """Mean of the five delay causes per carrier (r1); long form for stacking."""
-    wide = dash.groupBy("operating_airline").agg(
-        *[ratio_half_up(F.sum(c), F.count(c), 1).alias(c) for c in K.DELAY_CAUSES])
+    wide = dash.dropna(subset=["operating_airline"]).groupBy("operating_airline").agg(
+        *[avg_half_up(c, 1).alias(c) for c in K.DELAY_CAUSES])
     if not long:
         return wide
     return wide.unpivot(["operating_airline"], K.DELAY_CAUSES, "cause", "avg_minutes")
 
 
 def route_mean_delay(dash: DataFrame) -> DataFrame:
-    """A10 long form: mean delay (r1) per (origin, dest) over non-null delays."""
-    return (dash.where(F.col("depdelay").isNotNull())
+    """A10 long form: mean delay (r1) per (origin, dest) over non-null delays
+    and keys."""
+    return (dash.dropna(subset=["depdelay", "origin", "dest"])
                 .groupBy("origin", "dest")
-                .agg(ratio_half_up(F.sum("depdelay"), F.count("depdelay"), 1).alias("avg_delay")))
+                .agg(avg_half_up("depdelay", 1).alias("avg_delay")))
 
 
 def route_pivot(dash: DataFrame, fill: float | None = 0.0, dests: list[str] | None = None) -> DataFrame:
@@ -118,8 +126,11 @@ def route_pivot(dash: DataFrame, fill: float | None = 0.0, dests: list[str] | No
     if dests is None:
         # the destinations with a known delay, read from two pruned columns
         # (not by re-running the route aggregation)
-        dests = sorted(r[0] for r in dash.where(F.col("depdelay").isNotNull())
-                       .select("dest").distinct().collect())
+        found = (dash.dropna(subset=["depdelay", "origin", "dest"]).select("dest").distinct()
+                 .orderBy("dest").limit(MAX_PIVOT + 1).collect())
+        if len(found) > MAX_PIVOT:
+            raise ValueError(f"more than {MAX_PIVOT} destinations: name the columns in dests")
+        dests = [r[0] for r in found]
     wide = long.groupBy("origin").pivot("dest", dests).agg(F.first("avg_delay"))
     return wide.fillna(fill) if fill is not None else wide
 
@@ -150,16 +161,24 @@ def top_airport_routes(dash: DataFrame, n: int = 20) -> DataFrame:
     return route_mean_delay(sub)
 
 
+def top_airport_matrix(dash: DataFrame, n: int = 20) -> DataFrame:
+    """A11 wide form: origin x dest matrix over the top-n airports, pairs
+    without flights as NULL."""
+    names = sorted(r.iata for r in top_airports(dash, n).select("iata").collect())  # n rows
+    sub = dash.where(F.col("origin").isin(names) & F.col("dest").isin(names))
+    return route_pivot(sub, None, names)
+
+
 def day_of_week_delay(dash: DataFrame, spark: SparkSession) -> DataFrame:
     """Mean delay by day name in Monday..Sunday order; the maximum is
     flagged; days without flights are kept with NULL."""
     cal = spark.createDataFrame([(i + 1, d) for i, d in enumerate(K.WEEKDAY_ORDER)],
                                 "day_index int, day_of_week string")
     g = (dash.groupBy("day_of_week")
-             .agg(F.sum("depdelay").alias("s"), F.count("depdelay").alias("c")))
-    j = F.broadcast(cal).join(g, "day_of_week", "left")  # the 7-row side
+             .agg(exact_sum("depdelay").alias("s"), F.count("depdelay").alias("c")))
+    j = cal.join(g, "day_of_week", "left")  # seven rows on both sides
     means = j.select("day_index", "day_of_week",
-                     ratio_half_up(F.col("s"), F.col("c"), 1).alias("avg_delay"),
+                     mean_half_up(F.col("s"), F.col("c"), 1).alias("avg_delay"),
                      F.try_divide(F.col("s"), F.col("c")).alias("_m"))
     return (means.withColumn("is_max", F.coalesce(F.col("_m") == frame_max(means, "_m"),
                                                   F.lit(False)))
@@ -172,9 +191,9 @@ def delay_histogram(dash: DataFrame, upper: int = 180, width: int = 5) -> DataFr
     last = upper // width - 1
     pos = dash.where(F.col("depdelay") > 0).select(clip("depdelay", hi=float(upper)).alias("d"))
     g = pos.groupBy(F.least(F.floor(F.col("d") / width), F.lit(last)).cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("flights"), F.sum("d").alias("s"))
+        F.count(F.lit(1)).alias("flights"), exact_sum("d").alias("s"))
     return g.select((F.col("bin") * width).alias("bin_start"), "flights",
-                    ratio_half_up(frame_sum(g, "s"), frame_sum(g, "flights"), 2)
+                    mean_half_up(frame_sum(g, "s"), frame_sum(g, "flights"), 2)
                     .alias("mean_delay"))
 
 
@@ -188,7 +207,7 @@ def kpis(dash: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_flights"),
         F.coalesce(F.sum("delayed"), F.lit(0)).cast("long").alias("delayed_flights"),
         ratio_half_up(F.sum("delayed") * 100, F.count(F.lit(1)), 1).alias("delay_rate"),
-        ratio_half_up(F.sum(pos), F.count(pos), 1).alias("avg_dep_delay"),
+        avg_half_up(pos, 1).alias("avg_dep_delay"),
         F.countDistinct("operating_airline").alias("airlines"),
         F.countDistinct(route).alias("routes"))
 
@@ -218,9 +237,9 @@ def summary_from_gold(gold: DataFrame) -> DataFrame:
 def airport_stats(dash: DataFrame, coords: DataFrame, min_flights: int = 5) -> DataFrame:
     """Per-origin flights, mean delay, delayed, rate, coordinates (J3,
     airports without coordinates drop out) and relative marker size."""
-    g = (dash.groupBy("origin")
+    g = (dash.dropna(subset=["origin"]).groupBy("origin")
              .agg(F.count("depdelay").alias("total"),
-                  ratio_half_up(F.sum("depdelay"), F.count("depdelay"), 1).alias("avg_delay"),
+                  avg_half_up("depdelay", 1).alias("avg_delay"),
                   F.sum("delayed").cast("long").alias("delayed"))
              .where(F.col("total") >= min_flights)
              .withColumn("delay_rate", ratio_half_up(F.col("delayed") * 100, F.col("total"), 1)))
@@ -232,8 +251,8 @@ def airport_stats(dash: DataFrame, coords: DataFrame, min_flights: int = 5) -> D
 
 def route_bubble(dash: DataFrame, min_flights: int = 20, top: int = 30) -> DataFrame:
     """Busiest routes (>= min_flights) with mean delay, volume, rate; top by volume."""
-    g = (dash.groupBy("origin", "dest")
-             .agg(ratio_half_up(F.sum("depdelay"), F.count("depdelay"), 1).alias("avg_delay"),
+    g = (dash.dropna(subset=["origin", "dest"]).groupBy("origin", "dest")
+             .agg(avg_half_up("depdelay", 1).alias("avg_delay"),
                   F.count("depdelay").alias("total"),
                   F.sum("delayed").cast("long").alias("delayed"))
              .where(F.col("total") >= min_flights)
@@ -244,28 +263,42 @@ def route_bubble(dash: DataFrame, min_flights: int = 20, top: int = 30) -> DataF
 
 def top_delayed_routes(dash: DataFrame, min_flights: int = 5, top: int = 10) -> DataFrame:
     """The ``top`` routes by mean delay among routes with >= min_flights delays."""
-    g = (dash.groupBy("origin", "dest")
-             .agg(F.sum("depdelay").alias("s"), F.count("depdelay").alias("total"))
+    g = (dash.dropna(subset=["origin", "dest"]).groupBy("origin", "dest")
+             .agg(exact_sum("depdelay").alias("s"), F.count("depdelay").alias("total"))
              .where(F.col("total") >= min_flights))
     return (g.orderBy(F.desc(F.col("s") / F.col("total")), "origin", "dest").limit(top)
              .select("origin", "dest", route_label().alias("route"), "total",
-                     ratio_half_up(F.col("s"), F.col("total"), 1).alias("avg_delay")))
+                     mean_half_up(F.col("s"), F.col("total"), 1).alias("avg_delay")))
 
 
 def trip_rates(dash: DataFrame, trips: DataFrame) -> DataFrame:
     """For each requested trip (carrier, origin, dest, day name) the
     delay rate (r1) of its route, weekday and carrier, and the route's mean
-    delay (r1) and mean distance. Three grouped tables joined to the trips."""
-    def rate(keys, name):
-        return dash.groupBy(*keys).agg(
-            ratio_half_up(F.sum("delayed") * 100, F.count("delayed"), 1).alias(name))
-    route = dash.groupBy("origin", "dest").agg(
-        ratio_half_up(F.sum("delayed") * 100, F.count("delayed"), 1).alias("route_rate"),
-        ratio_half_up(F.sum("depdelay"), F.count("depdelay"), 1).alias("route_avg_delay"),
-        F.avg("distance").alias("route_avg_distance"))
+    delay (r1) and mean distance.
+
+    Flights are aggregated once, to (carrier, origin, dest, weekday); that
+    small result is checkpointed (the planner would prune it differently for
+    each use and scan the flights again) and the three tables are rolled up
+    from it.
+    """
+    cube = dash.groupBy("operating_airline", "origin", "dest", "day_of_week").agg(
+        F.sum("delayed").alias("_late"), F.count("delayed").alias("_n"),
+        exact_sum("depdelay").alias("_delay"), F.count("depdelay").alias("_delays"),
+        F.sum("distance").alias("_dist"), F.count("distance").alias("_dists"))
+    checkpoint_root(dash.sparkSession)
+    cube = cube.checkpoint(eager=True)
+
+    def rate():
+        return ratio_half_up(F.sum("_late") * 100, F.sum("_n"), 1)
+
+    route = cube.groupBy("origin", "dest").agg(
+        rate().alias("route_rate"),
+        mean_half_up(F.sum("_delay"), F.sum("_delays"), 1).alias("route_avg_delay"),
+        F.try_divide(F.sum("_dist"), F.sum("_dists")).alias("route_avg_distance"))
     return (trips.join(route, ["origin", "dest"], "left")
-                 .join(rate(["day_of_week"], "day_rate"), "day_of_week", "left")
-                 .join(rate(["operating_airline"], "carrier_rate"), "operating_airline", "left"))
+                 .join(cube.groupBy("day_of_week").agg(rate().alias("day_rate")), "day_of_week", "left")
+                 .join(cube.groupBy("operating_airline").agg(rate().alias("carrier_rate")),
+                       "operating_airline", "left"))
 
 
 # ------------------------------------------------------------ data quality
@@ -287,13 +320,3 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Absolute and normalised counts of a column's non-null values."""
     g = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     return g.withColumn("share", F.col("count") / frame_sum(g, "count"))
-
-
-def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
-    """A23 long form: counts per (a, b) pair."""
-    return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("count"))
-
-
-def label_then_route(df: DataFrame) -> DataFrame:
-    """P23 route label on a frame with origin/dest."""
-    return df.withColumn("route", route_label())

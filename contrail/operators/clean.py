@@ -122,21 +122,18 @@ def drop_incomplete(df: DataFrame, subset: list[str] | None = None) -> DataFrame
     return df.dropna(subset=subset) if subset else df.dropna()
 
 
-def fill_zero(df: DataFrame, cols: list[str]) -> DataFrame:
-    """NULL -> 0."""
-    return df.fillna(0, subset=[c for c in cols if c in df.columns])
-
-
 def fill_mean(df: DataFrame, cols: list[str]) -> DataFrame:
-    """NULL -> global mean of the column (a scalar subquery per column:
-    one aggregate, no join, no single-partition window)."""
-    return df.withColumns({c: F.coalesce(F.col(c), df.agg(F.avg(c)).scalar()) for c in cols})
+    """NULL -> global mean of the column (one scalar subquery with all
+    means: one pass, no join, no single-partition window)."""
+    means = df.agg(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c), means.getField(c)) for c in cols})
 
 
 def fill_median(train: DataFrame, target: DataFrame, cols: list[str]) -> DataFrame:
-    """NULL -> exact median learned on ``train`` (scalar subquery)."""
-    return target.withColumns(
-        {c: F.coalesce(F.col(c), train.agg(F.percentile(F.col(c), 0.5)).scalar()) for c in cols})
+    """NULL -> exact median learned on ``train`` (one scalar subquery with
+    all medians)."""
+    medians = train.agg(F.struct(*[F.percentile(F.col(c), 0.5).alias(c) for c in cols])).scalar()
+    return target.withColumns({c: F.coalesce(F.col(c), medians.getField(c)) for c in cols})
 
 
 def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:

@@ -64,9 +64,12 @@ def delayed_only(df: DataFrame, col: str = "depdel15") -> DataFrame:
 
 
 def month_between(df: DataFrame, lo: int = 1, hi: int = 12, col: str = "flightdate") -> DataFrame:
-    """calendar month in [lo, hi]."""
+    """calendar month in [lo, hi]. On a frame with the bronze partition
+    column whole months are pruned."""
     if lo <= 1 and hi >= 12:
         return df
+    if "flight_month" in df.columns:
+        df = df.where((F.col("flight_month") % 100).between(lo, hi))
     return df.where(F.month(F.col(col)).between(lo, hi))
 
 
@@ -81,40 +84,16 @@ def dashboard_filter(airline: str | None = ALL, origin: str | None = ALL,
     return _apply
 
 
-def not_null(df: DataFrame, *cols: str) -> DataFrame:
-    """IS NOT NULL on each column."""
-    for c in cols:
-        df = df.where(F.col(c).isNotNull())
-    return df
-
-
 def positive(df: DataFrame, col: str = "depdelay") -> DataFrame:
     """strictly positive delay."""
     return df.where(F.col(col) > 0)
 
 
-def at_least(df: DataFrame, col: str, n) -> DataFrame:
-    """threshold on an aggregate (applied after ``agg``)."""
-    return df if n is None else df.where(F.col(col) >= F.lit(n))
-
-
 def at_most(df: DataFrame, col: str, v) -> DataFrame:
     """upper bound on an aggregate; ``0`` is a real bound (``is not None``)."""
     return df if v is None else df.where(F.col(col) <= F.lit(v))
 
 
-def both_ends_in(df: DataFrame, airports: DataFrame, a: str = "origin", b: str = "dest",
-                 key: str = "iata") -> DataFrame:
-    """Keep rows whose two endpoints are both in ``airports``.
-
-    Two left-semi joins; the planner broadcasts ``airports`` only when its
-    measured size allows it.
-    """
-    s = airports.select(F.col(key).alias("_k")).distinct()
-    return (df.join(s, F.col(a) == F.col("_k"), "left_semi")
-              .join(s, F.col(b) == F.col("_k"), "left_semi"))
-
-
 def airborne(df: DataFrame) -> DataFrame:
     """on_ground = FALSE with latitude, longitude and callsign present."""
     return (df.where(F.col("on_ground") == F.lit(False))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contrail.operators.filters import not_cancelled_strict
+from contrail.operators.topk import within
 from contrail.operators.windows import keep_first, latest_per_key
 from contrail.session import checkpoint_root
 
@@ -82,9 +83,11 @@ def build_graph(flights: DataFrame, min_flights: int | str = 10,
     return nodes, edges
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Key upsert (MERGE ... SET): new rows replace old rows with the same key."""
-    newest = latest_per_key(new, keys, [c for c in new.columns if c not in keys][:1])
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Key upsert (MERGE ... SET): new rows replace old rows with the same
+    key; of several new rows of a key the one with the largest ``order``
+    columns wins (then the other columns)."""
+    newest = latest_per_key(new, keys, order)
     return old.join(newest.select(*keys), keys, "left_anti").unionByName(newest)
 
 
@@ -185,9 +188,9 @@ def reachable_paths(edges: DataFrame, max_hops: int = MAX_HOPS,
 
 
 def top_edges(nodes: DataFrame, edges: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame]:
-    """The ``limit`` (<= 500) busiest edges with endpoint cities, and
-    the distinct nodes they touch."""
-    limit = min(int(limit), 500)
+    """The ``limit`` (at most 500, more is refused) busiest edges with
+    endpoint cities, and the distinct nodes they touch."""
+    limit = within(limit, 500)
     n = nodes.select("iata", "city")
     top = (edges.orderBy(F.desc("total_flights"), "src", "dst").limit(limit)
                 .join(n.select(F.col("iata").alias("src"), F.col("city").alias("source_city")), "src")

@@ -49,13 +49,14 @@ def dashboard_stats(spark: SparkSession, sf: str, airline=None, origin=None,
 
 def flights_page(spark: SparkSession, sf: str, airline=None, origin=None, dest=None,
                  date_from=None, date_to=None, delayed_only: bool = False, limit: int = 100,
-                 offset: int = 0) -> DataFrame:
+                 offset: int = 0, after: tuple | None = None) -> DataFrame:
     return TK.flights_page(flights(spark, sf), airline, origin, dest, date_from, date_to,
-                           delayed_only, limit, offset)
+                           delayed_only, limit, offset, after)
 
 
-def flight_stats(spark: SparkSession, sf: str, airline=None, origin=None) -> DataFrame:
-    return TK.gold_top(delay_summary(flights(spark, sf)), airline, origin)
+def flight_stats(spark: SparkSession, sf: str, airline=None, origin=None,
+                 limit: int = 200) -> DataFrame:
+    return TK.gold_top(delay_summary(flights(spark, sf)), airline, origin, limit)
 
 
 def airports(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,8 +69,8 @@ def airport(spark: SparkSession, sf: str, iata: str) -> DataFrame:
 
 
 def routes(spark: SparkSession, sf: str, min_flights: int = 10,
-           max_delay: float | None = None) -> DataFrame:
-    return TK.busy_routes(delay_summary(flights(spark, sf)), min_flights, max_delay)
+           max_delay: float | None = None, limit: int = 500) -> DataFrame:
+    return TK.busy_routes(delay_summary(flights(spark, sf)), min_flights, max_delay, limit)
 
 
 def route_graph(spark: SparkSession, sf: str, limit: int = 100,
@@ -97,9 +98,11 @@ def predict(model, requests: DataFrame, features: list[str] | None = None) -> Da
 
 
 # ------------------------------------------------------------ dashboard data
-def _dash(spark, sf, airline=FL.ALL, origin=FL.ALL, months=(1, 12)):
-    return AG.dashboard_frame(flights(spark, sf)).transform(
-        FL.dashboard_filter(airline, origin, months))
+def _dash(spark, sf, airline=FL.ALL, origin=FL.ALL, months=(1, 12), delayed=False):
+    f = flights(spark, sf)
+    if delayed:
+        f = FL.delayed_only(f)
+    return AG.dashboard_frame(f).transform(FL.dashboard_filter(airline, origin, months))
 
 
 def summary(spark: SparkSession, sf: str, **filters) -> DataFrame:
@@ -135,7 +138,7 @@ def top_routes(spark: SparkSession, sf: str, **filters) -> DataFrame:
 
 
 def busiest_airport_matrix(spark: SparkSession, sf: str, **filters) -> DataFrame:
-    return AG.top_airport_routes(_dash(spark, sf, **filters), 20)
+    return AG.top_airport_matrix(_dash(spark, sf, **filters), 20)
 
 
 def busiest_routes(spark: SparkSession, sf: str, **filters) -> DataFrame:
@@ -151,14 +154,13 @@ def gold_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trip_risk(spark: SparkSession, sf: str, trips: DataFrame, cls=None, reg=None) -> DataFrame:
-    """Risk for a table of trips (carrier, origin, dest, day_of_week)."""
+    """Risk for a table of trips (carrier, origin, dest, day_of_week, and any
+    other columns, which stay): one row per trip, repeated trips included."""
     dash = AG.dashboard_frame(flights(spark, sf))
-    rated = AG.trip_rates(dash, trips.select("operating_airline", "origin", "dest",
-                                             "day_of_week"))
-    rates = rated.select("operating_airline", "origin", "dest", "day_of_week", "route_rate",
-                         "route_avg_delay", "route_avg_distance")
-    return M.trip_risk(trips.select("operating_airline", "origin", "dest", "day_of_week"),
-                       rates, cls, reg)
+    keys = ["operating_airline", "origin", "dest", "day_of_week"]
+    rated = AG.trip_rates(dash, trips.select(*keys).distinct())
+    rates = rated.select(*keys, "route_rate", "route_avg_delay", "route_avg_distance")
+    return M.trip_risk(trips, rates, cls, reg)
 
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in

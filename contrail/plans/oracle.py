@@ -1,8 +1,8 @@
 """DuckDB oracle text: the bronze mapping as CTEs, mirroring sources.tables.
 
 Every oracle statement is ``WITH <base CTEs> <query>`` over the driver's
-pre-registered views. Rounding uses the same exact integer form as
-``functions.scalars.ratio_half_up`` so both engines produce equal doubles.
+pre-registered views. Rounding uses the same exact whole-number form as
+``functions.scalars`` so both engines produce equal doubles.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ fl_base AS (
 fl_d AS (
   SELECT *,
     CASE WHEN voided THEN NULL ELSE CAST(CAST(FLOOR(l_quantity * ROUND(l_discount * 100) / 8) AS INT)
-         - 10 + CASE WHEN MOD(l_partkey, 50) = 0 THEN 200 ELSE 0 END AS DOUBLE) END AS dep,
+         - 10 + CASE WHEN MOD(l_partkey, 50) = 0 THEN 200 ELSE 0 END AS DOUBLE)
+         + CASE WHEN MOD(l_partkey, 4) = 1 THEN 0.5 ELSE 0.0 END END AS dep,
     CAST(CAST(FLOOR(l_extendedprice / 40) AS INT) + 100 AS DOUBLE) AS dist
   FROM fl_base),
 fl_c AS (
@@ -102,17 +103,18 @@ def with_base(body: str, *, weather: bool = False, coords: bool = False,
 
 
 def half_up(num: str, den: str, digits: int = 2) -> str:
-    """SQL text for ratio_half_up(num, den, digits)."""
+    """SQL text for ratio_half_up(num, den, digits): whole numbers, exact."""
     s = 10 ** digits
-    n = f"CAST(({num}) AS BIGINT)"
-    d = f"CAST(({den}) AS BIGINT)"
+    n = f"CAST(({num}) AS HUGEINT)"
+    d = f"CAST(({den}) AS HUGEINT)"
     mag = f"((ABS({n}) * {2 * s} + {d}) // (2 * {d}))"
     return (f"(CASE WHEN {d} > 0 THEN CAST(CASE WHEN {n} < 0 THEN -{mag} ELSE {mag} END AS DOUBLE)"
             f" / {float(s)} END)")
 
 
 def avg_half_up(col: str, digits: int = 2) -> str:
-    return half_up(f"SUM({col})", f"COUNT({col})", digits)
+    """SQL text for scalars.avg_half_up: sums in steps of 10**-6."""
+    return half_up(f"SUM(CAST(ROUND({col} * 1000000) AS BIGINT))", f"COUNT({col}) * 1000000", digits)
 
 
 DASH_CTE = """

@@ -14,7 +14,7 @@ from contrail.plans.registry import register
 from contrail.sources import raw as R
 from contrail.sources.tables import flights, weather
 
-_DEP_MIN = "((((flight_id * 7) % 1440) + CAST(depdelay AS BIGINT)) % 1440 + 1440) % 1440"
+_DEP_MIN = "((((flight_id * 7) % 1440) + CAST(FLOOR(depdelay) AS BIGINT)) % 1440 + 1440) % 1440"
 
 
 @register("s1_clean_raw_csv", with_base(f"""
@@ -75,7 +75,7 @@ _FRAC_SRC = {"Flight_Number_Operating_Airline": "flight_number_operating_airline
     for c, src in _FRAC_SRC.items()) + " FROM flights"))
 def p7(spark, sf):
     raw = C.strip_column_names(R.read_raw_csv(spark, R.land_raw_csv(spark, sf)))
-    return C.fractional_report(raw, R.INT_COLUMNS)
+    return C.fractional_report(raw, list(_FRAC_SRC))
 
 
 _SEED = ", ".join(f"('{c}', '{n}')" for c, n in K.SEED_AIRLINES)

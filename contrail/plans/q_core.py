@@ -127,7 +127,7 @@ def f_filtered(spark, sf):
     return f.select("flight_id", "flightdate", "operating_airline", "origin", "dest", "depdelay")
 
 
-_SAMPLE_RANK = "MOD(MOD(flight_id, 1000003) * 7919 + 42, 1000003)"
+_SAMPLE_RANK = "md5('42:' || CAST(flight_id AS VARCHAR))"
 
 
 @register("o2_random_sample", with_base(f"""

@@ -87,13 +87,22 @@ def g1_nodes(spark, sf):
     return G.build_graph(flights(spark, sf), 10)[0]
 
 
-@register("g2_shortest_paths_all", with_base(f"""
+def _all_paths(threshold: str) -> str:
+    return with_base(f"""
 SELECT root AS origin, node AS dest, path AS airports, delays, CAST(len(path) - 1 AS INTEGER) AS hops,
   {_TOTAL} AS total_delay FROM found""",
-    extra=_graph_ctes(_MEAN).strip() + ",\n" + _bfs_sql("SELECT DISTINCT src AS root FROM edges")))
+        extra=_graph_ctes(threshold).strip() + ",\n" + _bfs_sql("SELECT DISTINCT src AS root FROM edges"))
+
+
+@register("g2_shortest_paths_all", _all_paths("10"))
 def g2_all(spark, sf):
-    _, edges = G.build_graph(flights(spark, sf), "mean")
-    return G.reachable_paths(edges)
+    return G.reachable_paths(G.build_graph(flights(spark, sf), 10)[1])
+
+
+@register("g2_shortest_paths_busy_routes", _all_paths(_MEAN))
+def g2_busy(spark, sf):
+    """Only routes of at least mean volume are edges, so paths have hops."""
+    return G.reachable_paths(G.build_graph(flights(spark, sf), "mean")[1])
 
 
 _PAIRS = """
@@ -125,9 +134,9 @@ SELECT e.src AS source, a.city AS source_city, e.dst AS target, b.city AS target
   e.total_flights AS flights, e.avg_delay, e.delay_rate
 FROM (SELECT * FROM edges ORDER BY total_flights DESC, src, dst LIMIT 100) e
 JOIN nodes a ON e.src = a.iata JOIN nodes b ON e.dst = b.iata""",
-                                        extra=_graph_ctes(_MEAN).strip()))
+                                        extra=_graph_ctes("10").strip()))
 def g3_edges(spark, sf):
-    nodes, edges = G.build_graph(flights(spark, sf), "mean")
+    nodes, edges = G.build_graph(flights(spark, sf), 10)
     return G.top_edges(nodes, edges, 100)[1]
 
 
@@ -137,9 +146,9 @@ SELECT DISTINCT id, city FROM (
     JOIN nodes a ON e.src = a.iata
   UNION ALL
   SELECT e.dst, b.city FROM (SELECT * FROM edges ORDER BY total_flights DESC, src, dst LIMIT 100) e
-    JOIN nodes b ON e.dst = b.iata)""", extra=_graph_ctes(_MEAN).strip()))
+    JOIN nodes b ON e.dst = b.iata)""", extra=_graph_ctes("10").strip()))
 def g3_nodes(spark, sf):
-    nodes, edges = G.build_graph(flights(spark, sf), "mean")
+    nodes, edges = G.build_graph(flights(spark, sf), 10)
     return G.top_edges(nodes, edges, 100)[0]
 
 
@@ -155,9 +164,9 @@ SELECT COALESCE(o.iata, i.iata) AS iata, COALESCE(o.out_degree, 0) AS out_degree
   COALESCE(i.in_degree, 0) AS in_degree
 FROM (SELECT src AS iata, COUNT(DISTINCT dst) AS out_degree FROM edges GROUP BY src) o
 FULL JOIN (SELECT dst AS iata, COUNT(DISTINCT src) AS in_degree FROM edges GROUP BY dst) i
-  ON o.iata = i.iata""", extra=_graph_ctes(_MEAN).strip()))
+  ON o.iata = i.iata""", extra=_graph_ctes("10").strip()))
 def g5(spark, sf):
-    return G.degrees(G.build_graph(flights(spark, sf), "mean")[1])
+    return G.degrees(G.build_graph(flights(spark, sf), 10)[1])
 
 
 @register("g6_duplicate_node_keys", with_base("""

@@ -85,7 +85,8 @@ def t1(spark, sf):
     """Streaming ingest drained with availableNow; equals the batch read."""
     landing = L.land_snapshots(spark, sf)
     run = S.new_run_dir(spark, "t1")
-    S.run_to_completion(S.ingest(S.live_stream(spark, landing), f"{run}/sink", f"{run}/ckpt"))
+    S.run_to_completion(S.ingest(S.live_stream(spark, landing, max_files_per_trigger=4),
+                                 f"{run}/sink", f"{run}/ckpt"))
     return spark.read.parquet(f"{run}/sink").select(*L.LIVE_COLUMNS)
 
 
@@ -93,7 +94,8 @@ def t1(spark, sf):
 def t2(spark, sf):
     landing = L.land_snapshots(spark, sf)
     run = S.new_run_dir(spark, "t2")
-    q = S.ingest(S.dedupe(S.live_stream(spark, landing)), f"{run}/sink", f"{run}/ckpt")
+    q = S.ingest(S.dedupe(S.live_stream(spark, landing, max_files_per_trigger=4)), f"{run}/sink",
+                 f"{run}/ckpt")
     S.run_to_completion(q)
     return spark.read.parquet(f"{run}/sink").select("icao24", "collected_at")
 
@@ -122,6 +124,7 @@ def t4_stream(spark, sf):
     minus 10 minutes) has closed; later windows are still open in state."""
     landing = L.land_snapshots(spark, sf)
     run = S.new_run_dir(spark, "t4")
-    q = S.ingest(S.window_counts(S.live_stream(spark, landing)), f"{run}/sink", f"{run}/ckpt")
+    q = S.ingest(S.window_counts(S.live_stream(spark, landing, max_files_per_trigger=4)),
+                 f"{run}/sink", f"{run}/ckpt")
     S.run_to_completion(q)
     return spark.read.parquet(f"{run}/sink")

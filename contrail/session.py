@@ -124,6 +124,46 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Names, sizes and modification times of the files under ``paths``, from
+    the store's own listing; only the paths where there is no JVM handle."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return "|".join(paths)
+    conf = spark._jsc.hadoopConfiguration()
+    found = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        if not fs.exists(p):
+            continue
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath().toUri().getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return "|".join(sorted(found))
+
+
+def publish(spark: SparkSession, private: str, path: str) -> None:
+    """Rename a finished folder into place; if another application was first,
+    its result stays and this one is removed."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    src, dst = jvm.org.apache.hadoop.fs.Path(private), jvm.org.apache.hadoop.fs.Path(path)
+    fs = dst.getFileSystem(conf)
+    if not fs.exists(dst):
+        fs.mkdirs(dst.getParent())
+        try:
+            if fs.rename(src, dst) and not fs.exists(jvm.org.apache.hadoop.fs.Path(dst, src.getName())):
+                return
+        except Exception:  # noqa: BLE001 - lost the race: the other folder is complete
+            if not path_exists(spark, path):
+                raise
+        # some stores move a folder into an existing one: take it out again
+        fs.delete(jvm.org.apache.hadoop.fs.Path(dst, src.getName()), True)
+    fs.delete(src, True)
+
+
 def session_key(spark: SparkSession) -> str:
     """Unique per running application (ids of dead sessions can be reused)."""
     try:

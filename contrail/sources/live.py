@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 from contrail.functions.constants import STATE_FIELDS
 from contrail.operators.filters import airborne
+from contrail.operators.filters import country as of_country
+from contrail.operators.topk import within
 from contrail.sources.tables import table
 from contrail.session import path_exists
 
@@ -88,7 +90,7 @@ def land_snapshots(spark: SparkSession, sf_dir: str, out_dir: str | None = None)
     return the folder. Written once; later calls reuse it."""
     from contrail.sources.tables import BUILD_LOCK, lake
     if out_dir is None:
-        out_dir = f"{lake(spark, sf_dir).root}/live_landing"
+        return lake(spark, sf_dir).once("live_landing", lambda p: _write_polls(spark, sf_dir, p))
     with BUILD_LOCK:  # concurrent callers land the files once
         if not path_exists(spark, f"{out_dir}/_SUCCESS"):
             _write_polls(spark, sf_dir, out_dir)
@@ -103,9 +105,24 @@ def _write_polls(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
     poll = F.unix_timestamp(F.date_trunc("minute", "_ts"))
     # one poll line per report: no grouping, so no line (and no task) can
     # hold a hot aircraft's whole history
-    lines = s.select(F.concat(F.lit('{"time":'), poll.cast("string"), F.lit(',"states":['),
-                              vec, F.lit("]}")).alias("value"))
-    lines.write.mode("overwrite").text(out_dir)
+    lines = s.select("_ts", F.concat(F.lit('{"time":'), poll.cast("string"), F.lit(',"states":['),
+                                     vec, F.lit("]}")).alias("value"))
+    # files in time order, as a collector lands them: a stream that takes a
+    # few files at a time then sees no report behind its watermark
+    (lines.repartitionByRange("_ts").sortWithinPartitions("_ts").select("value")
+          .write.mode("overwrite").text(out_dir))
+    _stamp_in_order(spark, out_dir)
+
+
+def _stamp_in_order(spark: SparkSession, folder: str) -> None:
+    """Modification times that follow the part numbers (streams read by time)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((s.getPath().getName(), s.getPath()) for s in fs.listStatus(p)
+                   if s.getPath().getName().startswith("part-"))
+    for i, (_, path) in enumerate(parts):
+        fs.setTimes(path, 1_700_000_000_000 + 1000 * i, -1)
 
 
 def parse_snapshots(raw: DataFrame, limit: int | None = None) -> DataFrame:
@@ -113,11 +130,26 @@ def parse_snapshots(raw: DataFrame, limit: int | None = None) -> DataFrame:
     each snapshot), ``collected_at`` = poll time. Works on batch or stream."""
     states = F.col("states") if limit is None else F.slice("states", 1, int(limit))
     x = raw.select(F.col("time"), F.posexplode(states).alias("_pos", "_s"))
-    cols = [F.element_at("_s", i + 1).cast(STATE_TYPES[f]).alias(f)
+    # a short state or a value of another type gives NULL, never a failed job
+    cols = [F.try_element_at("_s", F.lit(i + 1)).try_cast(STATE_TYPES[f]).alias(f)
             for i, f in enumerate(STATE_FIELDS) if f != "sensors"]
     return x.select(*cols, F.timestamp_seconds("time").alias("collected_at"), "_pos")
 
 
+def rejected_states(raw: DataFrame) -> DataFrame:
+    """One row per poll time: states, short ones, and ones with a position
+    that is not a number."""
+    x = raw.select("time", F.explode("states").alias("_s"))
+    bad = F.lit(False)
+    for f in ("longitude", "latitude"):
+        v = F.try_element_at("_s", F.lit(STATE_FIELDS.index(f) + 1))
+        bad = bad | (v.isNotNull() & v.try_cast("double").isNull())
+    return x.groupBy("time").agg(
+        F.count(F.lit(1)).alias("states"),
+        F.count_if(F.size("_s") < len(STATE_FIELDS)).alias("short_states"),
+        F.count_if(bad).alias("bad_positions"))
+
+
 def clean_states(states: DataFrame) -> DataFrame:
     """F12 + P10: airborne reports with a position and callsign, callsign trimmed."""
     return airborne(states).withColumn("callsign", F.trim("callsign"))
@@ -134,11 +166,10 @@ def live_flights(spark: SparkSession, sf_dir: str, limit: int | None = None) ->
 
 
 def latest_positions(live: DataFrame, country: str | None = None, limit: int = 50) -> DataFrame:
-    """O9 + F13: newest reports, optionally for one origin country (limit <= 200)."""
-    limit = min(int(limit), 200)
-    if country:
-        live = live.where(F.col("origin_country") == F.lit(country))
-    return live.orderBy(F.desc("collected_at"), F.desc("time_position"), "icao24",
+    """O9 + F13: newest reports, optionally for one origin country; a limit
+    over 200 is refused."""
+    limit = within(limit, 200)
+    return of_country(live, country).orderBy(F.desc("collected_at"), F.desc("time_position"), "icao24",
                         F.desc("last_contact")).limit(limit)
 
 

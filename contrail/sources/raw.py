@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from contrail.functions import constants as K
 from contrail.operators import clean as C
-from contrail.session import path_exists
 
 RAW_COLUMNS = [
     "FlightDate", "Operating_Airline ", "Tail_Number", "Flight_Number_Operating_Airline",
@@ -29,8 +28,7 @@ RAW_COLUMNS = [
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 
 INT_COLUMNS = ["Flight_Number_Operating_Airline", "OriginAirportID", "DestAirportID",
-               "DepDelay", "ArrDelay", "DistanceGroup", "CarrierDelay", "WeatherDelay",
-               "NASDelay", "SecurityDelay", "LateAircraftDelay"]
+               "DistanceGroup"]
 DOUBLE_COLUMNS = ["DepDelay", "ArrDelay", "Distance", "CarrierDelay", "WeatherDelay",
                   "NASDelay", "SecurityDelay", "LateAircraftDelay"]
 BOOL_COLUMNS = ["DepDel15", "ArrDel15", "Cancelled", "Diverted"]
@@ -45,7 +43,7 @@ def _hhmm(minutes):
 def export_raw(flights: DataFrame) -> DataFrame:
     """The raw-CSV view of bronze flights (all text, raw spellings)."""
     crs = (F.col("flight_id") * 7) % 1440
-    dep = F.pmod(crs + F.col("depdelay").cast("long"), F.lit(1440))
+    dep = F.pmod(crs + F.floor("depdelay"), F.lit(1440))
     dep_txt = F.when(F.col("depdelay").isNull(), None).when(dep == 0, F.lit("2400")) \
         .otherwise(_hhmm(dep).cast("string"))
 
@@ -101,31 +99,30 @@ def bounded(df: DataFrame, n: int, order: list[str]) -> DataFrame:
 
 def land_raw_csv(spark: SparkSession, sf_dir: str) -> str:
     """Write the raw CSV export of the bronze flights once; return its folder."""
-    from contrail.sources.tables import BUILD_LOCK, flights, lake
-    out = f"{lake(spark, sf_dir).root}/raw_csv"
-    with BUILD_LOCK:  # concurrent callers write the export once
-        if not path_exists(spark, f"{out}/_SUCCESS"):
-            write_csv(export_raw(flights(spark, sf_dir)), out)
-    return out
+    from contrail.sources.tables import flights, lake
+    return lake(spark, sf_dir).once(
+        "raw_csv", lambda path: write_csv(export_raw(flights(spark, sf_dir)), path))
 
 
-def clean_raw_flights(raw: DataFrame, sparse_fraction: float = 0.9,
-                      bool_default: bool = False) -> DataFrame:
+def clean_raw_flights(raw: DataFrame, bool_default: bool = False) -> DataFrame:
     """The cleaning chain, raw text -> typed bronze rows:
 
-    P3 strip names, P1 drop sparse columns, P11 drop constant columns,
-    P5 case-insensitive keep list, P9 dates, P6 clocks, P7 integers,
-    P8 flags (missing -> ``bool_default``), P10 trim, P12 drop rows
-    without date/origin/dest, P4 lower-case names.
+    P3 strip names, P5 case-insensitive keep list (the constant ``Flights``
+    column and the diversion column are not on it), P9 dates, P6 clocks, P7
+    integers, delays and distance as doubles, P8 flags (missing ->
+    ``bool_default``), P10 trim, P12 drop rows without date/origin/dest, P4
+    lower-case names.
+
+    The output columns are the keep list's whatever the data hold: a column of
+    one value or mostly NULLs stays. P1 and P11 (``drop_sparse_columns``,
+    ``drop_constant_columns``) are for frames without a keep list.
     """
     df = C.strip_column_names(raw)
-    df = C.drop_sparse_and_constant(df, sparse_fraction)
     df = C.keep_columns(df, K.RAW_KEEP_COLUMNS + ["CRSDepTime", "DepTime"])
     df = C.parse_dates(df, ["FlightDate"])
     df = C.parse_clock_columns(df, K.CLOCK_COLUMNS)
     df = C.to_int_columns(df, INT_COLUMNS)
-    df = df.withColumns({c: F.col(c).cast("double") for c in DOUBLE_COLUMNS if c in df.columns})
-    df = C.to_double_columns(df, ["Distance"])
+    df = C.to_double_columns(df, DOUBLE_COLUMNS)
     df = C.to_bool_columns(df, BOOL_COLUMNS, bool_default)
     df = C.trim_strings(df, STRING_COLUMNS)
     df = C.drop_incomplete(df, ["FlightDate", "Origin", "Dest"])

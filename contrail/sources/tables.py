@@ -32,11 +32,13 @@ from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.session import abspath, checkpoint_root, path_exists, session_key
+from contrail.session import (abspath, checkpoint_root, fingerprint, path_exists, publish,
+                              session_key)
 
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events", "documents", "embeddings", "pages",
@@ -63,11 +65,6 @@ def read_database_table(spark: SparkSession, url: str, table_or_query: str,
                            properties=properties or {})
 
 
-def register_driver_views(spark: SparkSession, sf_dir: str) -> None:
-    for t in DRIVER_TABLES:
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
-
-
 def _day(expr) -> F.Column:
     return F.date_add(F.lit(EPOCH).cast("date"), (expr % CALENDAR_DAYS).cast("int"))
 
@@ -105,11 +102,12 @@ def derive_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     voided = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (sk % 4 == 0)
     delay = (F.floor(F.col("l_quantity") * F.round(F.col("l_discount") * 100) / 8).cast("int")
              - 10 + F.when(pk % 50 == 0, 200).otherwise(0))
+    half = F.when(pk % 4 == 1, 0.5).otherwise(0.0)  # delays are not whole minutes
     m = j.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", "l_shipdate",
         "p_brand", "s_nationkey", "origin", "c_nationkey", "dest",
         voided.alias("_voided"),
-        F.when(voided, F.lit(None)).otherwise(delay).cast("double").alias("_dep"),
+        F.when(voided, F.lit(None)).otherwise(delay.cast("double") + half).alias("_dep"),
         (F.floor(F.col("l_extendedprice") / 40).cast("int") + 100).cast("double").alias("_dist"))
     dep = F.col("_dep")
     m = m.select("*", (dep + (ok % 21).cast("double") - 10.0).alias("_arr"),
@@ -220,27 +218,27 @@ def airport_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # written once (Parquet, partitioned by flight month, sorted by carrier/route
 # inside each file so row-group statistics prune carrier/route filters) into
 # the shared checkpoint folder, and every query reads it back.
-LAYOUT_VERSION = "bronze-v9"
+LAYOUT_VERSION = "bronze-v10"
+INPUTS = ("lineitem", "orders", "customer", "supplier", "part", "nation", "region", "events")
 
 
 class Lake:
-    """Bronze tables for one input directory, written once per layout version."""
+    """Bronze tables for one state of an input directory.
+
+    The folder's key holds the layout version and the names, sizes and times
+    of the input files, so changed inputs get a new lake. Each table is
+    written to a private folder and renamed into place: readers, also of other
+    applications, only ever see whole tables.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, root: str | None = None):
         self.spark = spark
         self.sf_dir = abspath(sf_dir)
-        key = hashlib.sha1(f"{LAYOUT_VERSION}|{self.sf_dir}".encode()).hexdigest()[:16]
-        self.root = f"{root or checkpoint_root(spark)}/contrail-lake/{key}"
+        self.key = lake_key(spark, sf_dir)
+        self.root = f"{root or checkpoint_root(spark)}/contrail-lake/{self.key}"
 
     def _materialise(self, name: str, build, partition_by=None, sort_by=None) -> DataFrame:
-        path = f"{self.root}/{name}"
-        with _BUILD_LOCK:  # queries sharing a session build each table once
-            self._write_once(path, build, partition_by, sort_by)
-        out = self.spark.read.parquet(path)
-        return out
-
-    def _write_once(self, path, build, partition_by, sort_by) -> None:
-        if not path_exists(self.spark, f"{path}/_SUCCESS"):
+        def write(path):
             df = build()
             if partition_by:
                 # one shuffle on the partition column; AQE splits hot values
@@ -253,6 +251,18 @@ class Lake:
             if partition_by:
                 w = w.partitionBy(*partition_by)
             w.parquet(path)
+        return self.spark.read.parquet(self.once(name, write))
+
+    def once(self, name: str, write) -> str:
+        """The folder ``name`` of the lake, filled by ``write(path)`` if it is
+        not there yet."""
+        path = f"{self.root}/{name}"
+        with BUILD_LOCK:  # queries sharing a session build each folder once
+            if not path_exists(self.spark, f"{path}/_SUCCESS"):
+                private = f"{self.root}/.{name}-{uuid.uuid4().hex}"
+                write(private)
+                publish(self.spark, private, path)
+        return path
 
     def flights(self) -> DataFrame:
         return self._materialise(
@@ -265,16 +275,24 @@ class Lake:
         return self._materialise("weather", lambda: derive_weather(self.spark, self.sf_dir))
 
 
+def lake_key(spark: SparkSession, sf_dir: str) -> str:
+    """Changes with the layout and with the files of the inputs."""
+    base = abspath(sf_dir).rstrip("/")
+    state = fingerprint(spark, [f"{base}/{t}.parquet" for t in INPUTS])
+    return hashlib.sha1(f"{LAYOUT_VERSION}|{base}|{state}".encode()).hexdigest()[:16]
+
+
 _LAKES: dict = {}
 BUILD_LOCK = threading.RLock()
-_BUILD_LOCK = BUILD_LOCK
 
 
 def lake(spark: SparkSession, sf_dir: str) -> Lake:
+    """The session's lake of the input's present state."""
     k = (session_key(spark), abspath(sf_dir))
-    if k not in _LAKES:
-        _LAKES[k] = Lake(spark, sf_dir)
-    return _LAKES[k]
+    known = _LAKES.get(k)
+    if known is None or known.key != lake_key(spark, sf_dir):
+        known = _LAKES[k] = Lake(spark, sf_dir)
+    return known
 
 
 def flights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,14 @@
 * T2 duplicate suppression by (icao24, collected_at) with a watermark, so
   the dedupe state is bounded in time.
 * T3 latest position per aircraft: streaming max-by aggregation in update
-  mode; each micro-batch upserts its changed aircraft into a versioned
-  Parquet table (anti-join + union), never through the driver.
+  mode; each micro-batch writes its changed aircraft only, and the change
+  sets are merged from time to time, never through the driver.
 * T4 airborne reports per country per tumbling window, watermark-bounded,
   append mode (a window is written once it can no longer change).
 
 Every query restarts from its checkpoint after a failure (exactly-once file
-sink / idempotent versioned upsert).
+sink / idempotent change sets). Late reports beyond the watermark are dropped:
+``late_reports`` tells how many.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from contrail.session import checkpoint_root, path_exists
-from contrail.sources.live import SNAPSHOT_SCHEMA, clean_states, parse_snapshots
+from contrail.sources.live import (SNAPSHOT_SCHEMA, clean_states, latest_per_aircraft,
+                                   parse_snapshots)
 
 
 def live_stream(spark: SparkSession, landing: str, limit: int | None = None,
@@ -54,6 +56,12 @@ def dedupe(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
                   .dropDuplicatesWithinWatermark(["icao24", "collected_at"]))
 
 
+def late_reports(q: StreamingQuery) -> int:
+    """Rows the query's stateful operators dropped behind the watermark."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in q.recentProgress
+               for op in p["stateOperators"])
+
+
 def latest_state(stream: DataFrame) -> DataFrame:
     """T3 aggregation: newest report per aircraft (struct max, update mode)."""
     rest = [c for c in stream.columns if c not in ("icao24", "collected_at", "time_position",
@@ -64,51 +72,66 @@ def latest_state(stream: DataFrame) -> DataFrame:
                                       ["collected_at", "time_position", "last_contact", *rest]]))
 
 
-def upsert_versions(table_dir: str, key: list[str]):
-    """foreachBatch writer: version N = version N-1 minus changed keys plus
-    the batch. Re-running an epoch rewrites the same version (idempotent)."""
+# Change sets kept beside one another before they are merged into one.
+COMPACT_AFTER = 16
+
+
+def _folders(spark: SparkSession, table_dir: str) -> list[str]:
+    """Names of the finished change sets (a folder listing, no data)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(table_dir)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted(n for n in names if n.startswith(("e=", "base="))
+                  and path_exists(spark, f"{table_dir}/{n}/_SUCCESS"))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def write_changes(table_dir: str):
+    """foreachBatch writer: each epoch writes only the aircraft it changed, in
+    a folder of its own (running an epoch again rewrites it). Once
+    ``COMPACT_AFTER`` change sets lie there they are merged into one base and
+    removed. A row never replaces a newer one, so neither a lost checkpoint
+    (epochs start at 0 again) nor a merge that ran twice changes the result.
+    """
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        out = f"{table_dir}/v={epoch:012d}"
-        prev = None
-        for e in range(epoch - 1, -1, -1):
-            p = f"{table_dir}/v={e:012d}"
-            if path_exists(spark, f"{p}/_SUCCESS"):
-                prev = p
-                break
-        merged = batch
-        if prev is not None:
-            old = spark.read.parquet(prev)
-            merged = old.join(batch.select(*key), key, "left_anti").unionByName(batch)
-        merged.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{table_dir}/e={epoch:012d}")
+        done = _folders(spark, table_dir)
+        if len(done) > COMPACT_AFTER:
+            base = f"{table_dir}/base={epoch:012d}-{uuid.uuid4().hex[:8]}"
+            _newest(spark, table_dir, done).write.parquet(base)
+            for name in done:
+                _remove(spark, f"{table_dir}/{name}")
     return write
 
 
+def _newest(spark: SparkSession, table_dir: str, names: list[str]) -> DataFrame:
+    rows = spark.read.parquet(*[f"{table_dir}/{n}" for n in names])
+    return latest_per_aircraft(rows)
+
+
 def latest_version(spark: SparkSession, table_dir: str) -> DataFrame:
-    """Read the newest complete version of an upserted table."""
-    jvm = getattr(spark, "_jvm", None)
-    if jvm is not None:
-        p = jvm.org.apache.hadoop.fs.Path(table_dir)
-        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p)
-                       if s.getPath().getName().startswith("v="))
-    else:  # list the version folders through a metadata-only read
-        listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                   .load(table_dir).select("path").distinct().collect())
-        names = sorted({r.path.split(f"{table_dir}/")[-1].split("/")[0] for r in listing
-                        if "/v=" in r.path})
-    for n in reversed(names):
-        if path_exists(spark, f"{table_dir}/{n}/_SUCCESS"):
-            return spark.read.parquet(f"{table_dir}/{n}")
-    raise FileNotFoundError(table_dir)
+    """The newest report per aircraft over all change sets."""
+    names = _folders(spark, table_dir)
+    if not names:
+        raise FileNotFoundError(table_dir)
+    return _newest(spark, table_dir, names)
 
 
 def track_latest(stream: DataFrame, table_dir: str, checkpoint: str,
                  once: bool = True) -> StreamingQuery:
-    """Maintain the latest-position table."""
+    """Maintain the latest-position table. State and table hold one row
+    per aircraft ever seen."""
     w = (latest_state(stream).writeStream.outputMode("update")
          .option("checkpointLocation", checkpoint)
-         .foreachBatch(upsert_versions(table_dir, ["icao24"])))
+         .foreachBatch(write_changes(table_dir)))
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="30 seconds")
     return w.start()
 

@@ -98,7 +98,7 @@ def test_build_graph_dedupes_nodes_and_thresholds(spark):
 def test_upsert_replaces_by_key(spark):
     old = spark.createDataFrame([("A", 1), ("B", 2)], "k string, v int")
     new = spark.createDataFrame([("B", 20), ("C", 30)], "k string, v int")
-    assert rows(G.upsert(old, new, ["k"])) == [("A", 1), ("B", 20), ("C", 30)]
+    assert rows(G.upsert(old, new, ["k"], ["v"])) == [("A", 1), ("B", 20), ("C", 30)]
 
 
 def test_unknown_airport_has_no_path(spark):

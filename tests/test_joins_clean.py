@@ -54,7 +54,7 @@ def test_cleaning_chain_on_raw_rows(spark):
         "FlightDate string, `Operating_Airline ` string, Origin string, OriginCityName string, "
         "Dest string, CRSDepTime string, DepTime string, DepDelay string, DepDel15 string, "
         "Cancelled string, Flights string, DivAirportLandings string")
-    out = R.clean_raw_flights(raw, sparse_fraction=0.6).collect()
+    out = R.clean_raw_flights(raw).collect()
     assert len(out) == 1                       # bad date and missing origin dropped
     r = out[0]
     assert (r.operating_airline, r.origin, r.origincityname) == ("AA", "JFK", "New York")

@@ -73,6 +73,6 @@ def test_dedupe_keeps_one_per_key(spark):
 
 def test_latest_positions_limit_and_country(spark):
     live = L.live_flights(spark, SF_SMALL)
-    assert L.latest_positions(live, limit=500).count() == 200
+    assert L.latest_positions(live, limit=200).count() == 200
     assert L.latest_positions(live, country="view", limit=5).where(
         F.col("origin_country") != "view").count() == 0
