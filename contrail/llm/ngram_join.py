@@ -8,9 +8,12 @@ when ``den * |A & B| >= num * |A | B|``. The result is exact:
    K = (den - num) / (num + den) * (|A| + |B|). The hash space is cut into
    K + 1 + s ranges, so at least s + 1 ranges hold the same shingles in both
    sets. Each class enters one shard per range (key: size level, range, digest
-   of the range's shingles); linked classes share a shard. Empty ranges are
-   left out by sets with s of them at most, which still share a full one.
-   Shared boilerplate alone makes no shard, since the whole range must agree.
+   of the range's shingles); linked classes share a shard. Weak ranges, empty
+   or of common shingles only, are left out by sets with s of them at most,
+   which still share another one. So shared boilerplate makes no shard: a whole
+   range must agree and hold a shingle that is not common. Which shingles are
+   common (``COMMON`` of a task's texts, counted over all texts) changes only
+   the work, never the result.
 3. Star rounds. Every class is tried once a round against one pivot class of
    a shard, the pivot it meets most often; later rounds draw new pivots from
    the shard's largest component and only try classes of other components.
@@ -37,6 +40,7 @@ copies; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -56,9 +60,14 @@ BLOCK = 1024         # classes in one tree
 STREAM = 16_384      # classes that stream past one tree in one task
 SMALL_IDS = 1_000_000  # candidate ids that may be broadcast (8 bytes each)
 STAR_ROUNDS = 3      # most rounds that try one pivot per class before the trees
+COMMON = 0.005       # share of a task's texts that makes a shingle common
+COUNTERS = 500_000   # common candidates a task counts at a time
 _SEEN = 200_000      # set digests a worker remembers to skip repeated copies
 
 
+NONE = np.empty(0, np.uint64)
+
+
 # ---- size levels ----------------------------------------------------------
 
 @lru_cache(maxsize=8)
@@ -75,30 +84,48 @@ def size_levels(num: int, den: int, top: int = 1 << 28) -> tuple[np.ndarray, np.
     return np.array(lows), np.array(bounds)
 
 
-def spare_ranges(bound: int) -> int:
-    """Ranges cut beyond the K + 1 needed, by the level's K."""
-    return 1 + bound // 25
+@lru_cache(maxsize=4096)
+def spare_ranges(low: int, bound: int) -> int:
+    """Ranges cut beyond the K + 1 needed: about as many as stay weak in a set
+    of the level's smallest size, and room for chance."""
+    spare = 1
+    while spare <= bound:
+        parts = bound + 1 + spare
+        weak = parts * min(1.0, 1.3 * math.exp(-low / parts) + 0.01)
+        if spare >= weak + 3 * math.sqrt(weak):
+            break
+        spare += 1
+    return spare
+
+
+def among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(sorted_set):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)
+    return sorted_set[at] == values
 
 
-def shard_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
+def shard_keys(s: np.ndarray, num: int, den: int, common: np.ndarray = NONE) -> np.ndarray:
     """Keys of the shards a set (sorted hashes) belongs to."""
     lows, bounds = size_levels(num, den)
     own = int(np.searchsorted(lows, len(s), side="right")) - 1
+    rare = np.concatenate(([0], np.cumsum(~among(s, common))))
     sums = np.zeros(len(s) + 1, np.uint64)
     np.cumsum(mix(s + np.uint64(1)), out=sums[1:])
     out = []
     for level in (own, own - 1):
         if level < 0 or bounds[level] == 0:  # only equal sets could link
             continue
-        spare = spare_ranges(int(bounds[level]))
+        spare = spare_ranges(int(lows[level]), int(bounds[level]))
         parts = int(bounds[level]) + 1 + spare
         width = (1 << 64) // parts + 1
         edges = np.array([i * width for i in range(1, parts)], np.uint64)
         at = np.concatenate(([0], np.searchsorted(s, edges), [len(s)]))
         label = mix(np.uint64(level << 32) + np.arange(parts, dtype=np.uint64) + np.uint64(1))
         keys = mix((sums[at[1:]] - sums[at[:-1]]) ^ label)
-        full = at[1:] > at[:-1]
-        out.append(keys if (~full).sum() > spare else keys[full])
+        strong = rare[at[1:]] > rare[at[:-1]]
+        out.append(keys if (~strong).sum() > spare else keys[strong])
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -171,10 +198,30 @@ def _describe(k: int):
     return task
 
 
+def _common(k: int):
+    """Shingles in a share of COMMON of the partition's texts. A batch counts
+    only the shingles it holds twice, so a common one may be counted low."""
+    def task(batches):
+        counts: dict[int, int] = {}
+        texts = 0
+        for b in batches:
+            sets = [shingle_set(x, k) for x in binary_values(b.column(0))]
+            texts += len(sets)
+            value, n = np.unique(np.concatenate([NONE, *sets]), return_counts=True)
+            for v, c in zip(value[n > 1].view(np.int64).tolist(), n[n > 1].tolist()):
+                counts[v] = counts.get(v, 0) + c
+            if len(counts) > COUNTERS:
+                floor = COMMON * texts / 2
+                counts = {v: c for v, c in counts.items() if c >= floor}
+        found = [v for v, c in counts.items() if c >= max(8, COMMON * texts)]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["shingle"])
+    return task
+
+
 _KEYS = pa.schema([("sig", pa.int64()), ("cls", pa.int64())])
 
 
-def _shards(k: int, num: int, den: int):
+def _shards(k: int, num: int, den: int, common: np.ndarray):
     def rows(batches):
         seen: set[int] = set()
         for b in batches:
@@ -189,7 +236,7 @@ def _shards(k: int, num: int, den: int):
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(c)
-                x = shard_keys(s, num, den)
+                x = shard_keys(s, num, den, common)
                 keys.append(x)
                 owners.append(np.full(len(x), c, np.int64))
             if keys:
@@ -359,8 +406,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     rows = scratch.save(texts.mapInArrow(_describe(k), "doc_id long, n_shingles long, cls long"), "rows")
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
 
+    # at most (shingles of a text) / COMMON common shingles per task
+    common = texts.select("text").mapInArrow(_common(k), "shingle long").distinct().collect()
+    common = np.sort(np.array([r.shingle for r in common], np.int64).view(np.uint64))
+
     # shards, and each class's link to try with the shard's smallest class
-    keys = texts.select("text").mapInArrow(_shards(k, num, den), "sig long, cls long")
+    keys = texts.select("text").mapInArrow(_shards(k, num, den, common), "sig long, cls long")
     first = F.first("cls").over(Window.partitionBy("sig").orderBy("cls"))
     shared = scratch.save(keys.withColumn("centre", first).where("centre <> cls"), "shared")
 
