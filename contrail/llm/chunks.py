@@ -11,7 +11,7 @@ import sys
 from array import array
 from collections.abc import Callable, Iterable
 
-MEMO_PIECES = 400_000  # pieces kept per worker; then only the current batch's stay
+MEMO_PIECES = 200_000  # pieces kept per worker; then only the current batch's stay
 MEMO_SIZE = 48         # longer pieces are encoded each time
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm.shared import Scratch, concat_batches, doc_columns
+from contrail.llm.shared import Scratch, concat_batches, doc_columns, tidy
 from contrail.llm.words import gram_hashes, word_hashes
 
 SEED_WORDS = 3
@@ -201,7 +201,7 @@ def _blocks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Itera
         part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text")
         part = part.collect()
         items = Items([r.item_id for r in part], [r.text for r in part])
-        counts = (texts.mapInArrow(_count(items), "gram long, n long")
+        counts = (texts.mapInArrow(tidy(_count(items)), "gram long, n long")
                   .groupBy("gram").agg(F.sum("n").alias("n")).collect())
         items.keep_rare({r.gram: r.n for r in counts})
         yield items
@@ -233,7 +233,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
     base = doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
     for items in _blocks(spark, docs, benchmark):
-        part = base.mapInArrow(_find(items), "doc_id long, item_id long, score double, start long, end long")
+        part = base.mapInArrow(tidy(_find(items)), "doc_id long, item_id long, score double, start long, end long")
         found = part if found is None else found.union(part)
     return found
 
@@ -253,5 +253,5 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
     kept = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     schema = kept.schema
     for items in _blocks(spark, docs, benchmark):
-        kept = kept.mapInArrow(_clean(items, at), schema)
+        kept = kept.mapInArrow(tidy(_clean(items, at)), schema)
     return kept.toDF(*docs.columns)

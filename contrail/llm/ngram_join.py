@@ -51,7 +51,7 @@ from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
 from contrail.llm.components import components
-from contrail.llm.shared import Scratch, binary_values, concat_batches, doc_columns, mix
+from contrail.llm.shared import Scratch, binary_values, concat_batches, doc_columns, mix, tidy
 from contrail.llm.words import shingle_set
 
 GROUPS = 128         # coordinates of a count vector
@@ -61,7 +61,7 @@ STREAM = 16_384      # classes that stream past one tree in one task
 SMALL_IDS = 1_000_000  # candidate ids that may be broadcast (8 bytes each)
 STAR_ROUNDS = 3      # most rounds that try one pivot per class before the trees
 COMMON = 0.005       # share of a task's texts that makes a shingle common
-COUNTERS = 500_000   # common candidates a task counts at a time
+COUNTERS = 150_000   # common candidates a task counts at a time
 _SEEN = 200_000      # set digests a worker remembers to skip repeated copies
 
 
@@ -211,8 +211,8 @@ def _common(k: int):
             for v, c in zip(value[n > 1].view(np.int64).tolist(), n[n > 1].tolist()):
                 counts[v] = counts.get(v, 0) + c
             if len(counts) > COUNTERS:
-                floor = COMMON * texts / 2
-                counts = {v: c for v, c in counts.items() if c >= floor}
+                floor = max(2, COMMON * texts / 2)
+                counts = {v: c for v, c in counts.items() if c > floor}
         found = [v for v, c in counts.items() if c >= max(8, COMMON * texts)]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["shingle"])
     return task
@@ -373,7 +373,7 @@ def _tree_round(label: DataFrame, cluster: DataFrame, sets: DataFrame, num: int,
     return (held.unionByName(passing).join(sets, "cls")
             .select(*order, "streamed", "cls", "comp", "shingles")
             .repartition(*order).sortWithinPartitions(*order, "streamed")
-            .mapInArrow(_tree_links(num, den), "a long, b long"))
+            .mapInArrow(tidy(_tree_links(num, den)), "a long, b long"))
 
 
 # ---- the operator -----------------------------------------------------------
@@ -388,7 +388,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     dealt = (partners.unionByName(centres).repartition("a", "salt")
              .sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
              .select("a", "b", "shingles"))
-    return dealt.mapInArrow(_verify(num, den), "a long, b long")
+    return dealt.mapInArrow(tidy(_verify(num, den)), "a long, b long")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80,
@@ -403,15 +403,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     scratch = Scratch(spark, "jaccard")
     texts = doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"),
                                                        "text")
-    rows = scratch.save(texts.mapInArrow(_describe(k), "doc_id long, n_shingles long, cls long"), "rows")
+    rows = scratch.save(texts.mapInArrow(tidy(_describe(k)), "doc_id long, n_shingles long, cls long"), "rows")
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
 
     # at most (shingles of a text) / COMMON common shingles per task
-    common = texts.select("text").mapInArrow(_common(k), "shingle long").distinct().collect()
+    common = texts.select("text").mapInArrow(tidy(_common(k)), "shingle long").distinct().collect()
     common = np.sort(np.array([r.shingle for r in common], np.int64).view(np.uint64))
 
     # shards, and each class's link to try with the shard's smallest class
-    keys = texts.select("text").mapInArrow(_shards(k, num, den, common), "sig long, cls long")
+    keys = texts.select("text").mapInArrow(tidy(_shards(k, num, den, common)), "sig long, cls long")
     first = F.first("cls").over(Window.partitionBy("sig").orderBy("cls"))
     shared = scratch.save(keys.withColumn("centre", first).where("centre <> cls"), "shared")
 
@@ -422,7 +422,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     if ids.count() <= SMALL_IDS:
         ids = F.broadcast(ids)
     sets = scratch.save(texts.join(ids, "doc_id").select("text").mapInArrow(
-        _sets(k), "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
+        tidy(_sets(k)), "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
 
     # star rounds
     stars = shared.select("cls", F.col("centre").alias("pivot"))

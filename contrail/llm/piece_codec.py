@@ -25,6 +25,7 @@ import os
 import re
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrail.llm.chunks import PieceEncoder, packed
-from contrail.llm.shared import Scratch, doc_columns
+from contrail.llm.shared import Scratch, doc_columns, tidy
 
 MARK = "▁"
 # Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM, BPE = 1, 2
 
+THREADS = 2  # of the library, per task
+
 _STRETCH = re.compile(r" *[^ \n]+|\n+| +")
 
 
@@ -170,22 +173,18 @@ class PieceModel:
 
 
 class Codec:
-    """Encoder and decoder of texts for one model."""
+    """Encoder and decoder of texts for one model; batches are encoded with
+    ``threads`` threads (set before the library is first used)."""
 
-    def __init__(self, data: bytes, threads: bool = True):
-        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads else "false"
+    def __init__(self, data: bytes, threads: int = THREADS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
+        os.environ["RAYON_NUM_THREADS"] = str(threads)
         self.model = PieceModel(data)
-        whole = self.model.tokenizer(True)
-        self._decode = whole.decode_batch
-        if self.model.stretches:
-            part = self.model.tokenizer(False)
-            self._memo = PieceEncoder(lambda texts: [
-                packed(e.ids) for e in part.encode_batch_fast(texts, add_special_tokens=False)])
-            self._cut = True
-        else:
-            self._memo = PieceEncoder(lambda texts: [
-                packed(e.ids) for e in whole.encode_batch_fast(texts, add_special_tokens=False)])
-            self._cut = False
+        self._cut = self.model.stretches
+        library = self.model.tokenizer(not self._cut)
+        self._decode = library.decode_batch  # the same with and without the prefix
+        self._memo = PieceEncoder(lambda texts: [
+            packed(e.ids) for e in library.encode_batch_fast(texts, add_special_tokens=False)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -197,6 +196,12 @@ class Codec:
         return self._decode(ids, skip_special_tokens=False)
 
 
+@lru_cache(maxsize=1)
+def worker_codec(data: bytes) -> Codec:
+    """The worker's codec, kept from task to task."""
+    return Codec(data)
+
+
 def model_bytes(spark: SparkSession, path: str) -> bytes:
     """The model file, read once on the driver and sent with the tasks."""
     if "://" not in path:
@@ -211,7 +216,7 @@ def model_bytes(spark: SparkSession, path: str) -> bytes:
 
 def _encode(data, column: int):
     def task(batches):
-        codec = Codec(data.value)
+        codec = worker_codec(data.value)
         for b in batches:
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in
                    codec.encode(b.column(column).to_pylist())]
@@ -222,7 +227,7 @@ def _encode(data, column: int):
 
 def _decode(data, column: int):
     def task(batches):
-        codec = Codec(data.value)
+        codec = worker_codec(data.value)
         for b in batches:
             texts = codec.decode([x or [] for x in b.column(column).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())],
@@ -236,7 +241,7 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc
 
 def _digest(data, verify: bool):
     def task(batches):
-        codec = Codec(data.value)
+        codec = worker_codec(data.value)
         if verify:
             from sentencepiece import SentencePieceProcessor
             reference = SentencePieceProcessor(model_proto=data.value)
@@ -267,7 +272,7 @@ def encode(spark: SparkSession, docs: DataFrame, model: str) -> DataFrame:
     data = spark.sparkContext.broadcast(model_bytes(spark, model))  # one fixed file
     plain = _plain(docs)
     fields = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in plain.schema], "ids array<int>"])
-    return (plain.mapInArrow(_encode(data, docs.columns.index("text")), fields)
+    return (plain.mapInArrow(tidy(_encode(data, docs.columns.index("text"))), fields)
             .toDF(*docs.columns, "ids"))
 
 
@@ -277,7 +282,7 @@ def decode(spark: SparkSession, coded: DataFrame, model: str) -> DataFrame:
     data = spark.sparkContext.broadcast(model_bytes(spark, model))
     plain = _plain(coded)
     fields = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in plain.schema], "decoded string"])
-    return (plain.mapInArrow(_decode(data, coded.columns.index("ids")), fields)
+    return (plain.mapInArrow(tidy(_decode(data, coded.columns.index("ids"))), fields)
             .toDF(*coded.columns, "decoded"))
 
 
@@ -288,5 +293,5 @@ def digest(spark: SparkSession, docs: DataFrame, model: str, verify: bool = True
     Scratch(spark, "pieces")
     data = spark.sparkContext.broadcast(model_bytes(spark, model))
     base = doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return base.mapInArrow(_digest(data, verify), "doc_id long, n_tokens long, ids_crc32 long, "
+    return base.mapInArrow(tidy(_digest(data, verify)), "doc_id long, n_tokens long, ids_crc32 long, "
                            "parity boolean, round_trip boolean")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm.shared import Scratch, doc_columns
+from contrail.llm.shared import Scratch, doc_columns, tidy
 from contrail.llm.spans import ascii_lower, ordered, span_schema, span_table
 
 BASE = ("email", "ip", "card", "phone")
@@ -160,7 +160,7 @@ def mask_pii(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Scratch(spark, "pii")
     at = docs.columns.index("text")
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    done = plain.mapInArrow(_mask(at), plain.schema).toDF(*docs.columns)
+    done = plain.mapInArrow(tidy(_mask(at)), plain.schema).toDF(*docs.columns)
     if docs.columns.count("n_chars") == 1:
         kind = docs.schema["n_chars"].dataType
         done = done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -91,6 +92,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def tidy(task):
+    """The task, after which the worker gives freed memory back: workers live
+    on, and would keep the largest task's memory beside the JVM's."""
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+            if trim is not None:
+                trim(0)
+    return run
+
+
 def concat_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema,
                    rows: int = 65536) -> Iterator[pa.RecordBatch]:
     """Merge small batches before they go back to the JVM."""

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrail.llm.language_id import held_out
-from contrail.llm.shared import Scratch, concat_batches, doc_columns
+from contrail.llm.shared import Scratch, concat_batches, doc_columns, tidy
 
 TRAIN_ROWS = 20_000     # labelled rows the classifier is fitted on, at most
 MIN_TEXTS = 8           # toxic texts that a lexicon term occurs in, at least,
@@ -46,7 +46,7 @@ SHORTEST, LONGEST = 4, 16  # letters of a term
 FUZZY_LENGTH = 5        # from this length on one error is allowed
 WINDOW = 6              # words on each side of a hit
 THRESHOLD = 0.7
-_MEMO = 400_000         # words a worker remembers
+_MEMO = 200_000         # words a worker remembers
 
 # Words of reporting, and words that address a person.
 REPORTING = ("said", "says", "wrote", "called", "quote", "quoted", "sagte", "schrieb", "dit",
@@ -221,7 +221,7 @@ def _count_terms(batches):
                 if w.isalpha():
                     terms.update(w[:n] for n in range(SHORTEST, min(len(w), LONGEST) + 1))
             counts[toxic].update(terms)
-        if len(counts[0]) + len(counts[1]) > 1_000_000:
+        if len(counts[0]) + len(counts[1]) > 200_000:
             yield from rows()
             counts = (Counter(), Counter())
     yield from rows()
@@ -317,14 +317,14 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold: int = 1
     least = max(MIN_TEXTS, MIN_SHARE * share.bad)
     if share.n == 0 or share.m in (0.0, 1.0):
         return Model({}, None, float(share.m))
-    terms = (train.mapInArrow(_count_terms, "term string, bad long, good long")
+    terms = (train.mapInArrow(tidy(_count_terms), "term string, bad long, good long")
              .groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
              .where((F.col("bad") >= least)
                     & (F.col("bad") >= PRECISION * (F.col("bad") + F.col("good"))))
              .orderBy(F.desc("bad"), "term").limit(50 * LEXICON))
     lexicon = choose_terms([(r.term, r.bad, r.good) for r in terms.collect()])
     # at most ``rows`` rows of FEATURES numbers
-    table = train.mapInArrow(_features(lexicon), "x array<double>, toxic int").toPandas()
+    table = train.mapInArrow(tidy(_features(lexicon)), "x array<double>, toxic int").toPandas()
     x = np.array(table["x"].tolist(), np.float64).reshape(len(table), FEATURES)
     scratch.drop("train", "labels")
     return Model(lexicon, fit_weights(x, table["toxic"].to_numpy(np.float64)))
@@ -353,7 +353,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold
     model = learn(spark, docs, labels, fold, folds)
     base = doc_columns(docs, "doc_id", "text").select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out(fold, folds).alias("held_out"), "text")
-    return base.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
+    return base.mapInArrow(tidy(_score(model)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _keep(model: Model, column: int):
@@ -369,4 +369,4 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataF
     """The rows of ``docs`` whose score stays below the threshold."""
     model = learn(spark, docs, labels)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return plain.mapInArrow(_keep(model, docs.columns.index("text")), plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(tidy(_keep(model, docs.columns.index("text"))), plain.schema).toDF(*docs.columns)

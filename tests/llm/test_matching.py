@@ -180,7 +180,7 @@ ODD = ["", " ", "  a  b ", "\n\n x\n y \n", "日本語 テキスト", "a▁b ▁
 
 
 def test_parity_and_round_trip():
-    codec = piece_codec.Codec(open(PIECES, "rb").read(), threads=False)
+    codec = piece_codec.Codec(open(PIECES, "rb").read(), threads=1)
     reference = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     ids = [np.frombuffer(x, "<u4").tolist() for x in codec.encode([None, *ODD])]
     assert ids == [[], *reference.encode(ODD)]
@@ -213,7 +213,7 @@ def test_unigram_scores_and_clean_up():
     data = _unigram_model()
     model = piece_codec.PieceModel(data)
     assert model.kind == piece_codec.UNIGRAM and model.byte_fallback and model.trim and not model.stretches
-    codec = piece_codec.Codec(data, threads=False)
+    codec = piece_codec.Codec(data, threads=1)
     reference = sentencepiece.SentencePieceProcessor(model_proto=data)
     texts = ["the cat", "  the   cat ", "that hat", "cat日", "a é"]
     ids = [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)]
