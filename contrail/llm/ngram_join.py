@@ -25,8 +25,9 @@ when ``den * |A & B| >= num * |A | B|``. The result is exact:
    by set size): tokens are hashed into ``GROUPS`` groups, a class is the point
    of its group counts, and the sum of coordinate minima against a node's
    upper corner (or a point) bounds the overlap. All classes of the cluster of
-   fitting size stream past the trees; surviving pairs of different components
-   are verified on the full sets.
+   fitting size stream past the trees as points; surviving pairs of different
+   components are verified on the full sets. The star rounds' pairs pass the
+   same bound first.
 5. Components of the verified links.
 
 A task holds one block of sets and one batch of the stream. Classes are identified by a 64-bit digest of their set
@@ -287,72 +288,72 @@ def _verify(num: int, den: int):
     return task
 
 
-class _Trees:
-    """The tree of one block, and which components its links have joined."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.cls: list[int] = []
-        self.comp: list[int] = []
-        self.sets: list[np.ndarray] = []
-        self.tree = None
-        self.parent: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (up := self.parent.get(x, x)) != x:
-            self.parent[x] = x = self.parent.get(up, up)
-        return x
-
-    def links(self, cls: list[int], comp: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        """Links of streamed classes that join two components."""
-        if self.tree is None:
-            self.tree = CountRTree(np.stack([count_vector(s) for s in self.sets]))
-        q, p = self.tree.candidates(np.stack([count_vector(s) for s in sets]), self.num, self.den)
-        out = []
-        for i, j in zip(q.tolist(), p.tolist()):
-            a, b = self.root(comp[i]), self.root(self.comp[j])
-            if a != b and _linked(sets[i], self.sets[j], self.num, self.den):
-                self.parent[a] = b
-                out.append((cls[i], self.cls[j]))
-        return out
-
-
-def _tree_links(num: int, den: int):
-    """Rows (cluster, block, salt, streamed, cls, comp, shingles) in that order:
-    the classes of a tree, then the stream."""
+def _pack(counts: np.ndarray) -> bytes:
+    return counts.astype("<u2" if counts.max(initial=0) < 65536 else "<u4").tobytes()
+
+
+def _unpack(vectors: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(v, "<u2" if len(v) == 2 * GROUPS else "<u4") for v in vectors]).astype(np.int64)
+
+
+def _vectors(batches):
+    for b in batches:
+        found = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array([len(s) for s in found], pa.int64()),
+             pa.array([_pack(count_vector(s)) for s in found], pa.binary())], names=["cls", "n", "vec"])
+
+
+def _plausible(num: int, den: int):
+    """Rows (a, b, va, vb) -> the pairs whose summed minima allow a link."""
+    def task(batches):
+        for t in batches:
+            if not t.num_rows:
+                continue
+            x, y = _unpack(t.column(2).to_pylist()), _unpack(t.column(3).to_pylist())
+            keep = np.minimum(x, y).sum(1) * (num + den) >= num * (x.sum(1) + y.sum(1))
+            yield t.select(["a", "b"]).filter(pa.array(keep))
+    return task
+
+
+def _tree_pairs(num: int, den: int):
+    """Rows (cluster, block, salt, streamed, cls, comp, vec) in that order: the
+    classes of a tree, then the stream. Pairs of different components."""
     def rows(batches):
-        current, trees = None, None
+        current, cls, comp, vectors, tree = None, [], [], [], None
         for t in batches:
-            keys = list(zip(*[t.column(i).to_pylist() for i in range(3)]))
-            streamed = t.column(3).to_pylist()
-            cls, comp = t.column(4).to_pylist(), t.column(5).to_pylist()
-            sets = [np.frombuffer(x, np.uint64) for x in t.column(6).to_pylist()]
-            out, at = [], 0
+            keys = list(zip(*[t.column(i).to_pylist() for i in range(4)]))
+            ids, comps, vecs = (t.column(i).to_pylist() for i in (4, 5, 6))
+            at = 0
             while at < len(keys):
                 end = at
-                while end < len(keys) and keys[end] == keys[at] and streamed[end] == streamed[at]:
+                while end < len(keys) and keys[end] == keys[at]:
                     end += 1
-                if keys[at] != current:
-                    current, trees = keys[at], _Trees(num, den)
-                if not streamed[at]:
-                    trees.cls += cls[at:end]
-                    trees.comp += comp[at:end]
-                    trees.sets += [s.copy() for s in sets[at:end]]
-                elif trees.sets:
-                    out += trees.links(cls[at:end], comp[at:end], sets[at:end])
+                if keys[at][:3] != current:
+                    current, cls, comp, vectors, tree = keys[at][:3], [], [], [], None
+                if not keys[at][3]:
+                    cls += ids[at:end]
+                    comp += comps[at:end]
+                    vectors += vecs[at:end]
+                elif cls:
+                    if tree is None:
+                        tree = CountRTree(_unpack(vectors))
+                        own, side = np.array(cls, np.int64), np.array(comp, np.int64)
+                    q, p = tree.candidates(_unpack(vecs[at:end]), num, den)
+                    other = np.array(comps[at:end], np.int64)[q] != side[p]
+                    a, b = np.array(ids[at:end], np.int64)[q[other]], own[p[other]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_LINKS)
                 at = end
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in out], pa.int64()) for i in range(2)], schema=_LINKS)
 
     return lambda batches: concat_batches(rows(batches), _LINKS)
 
 
-def _tree_round(label: DataFrame, cluster: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between the components of each cluster."""
-    sized = sets.select("cls", (F.length("shingles") / 8).cast("long").alias("n"))
+def _tree_round(label: DataFrame, cluster: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) between the components of each cluster that may link."""
     placed = (cluster.select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
               .join(label.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls", "left")
-              .join(sized, "cls")
+              .join(vectors.select("cls", "n"), "cls")
               .select("cls", "cluster", "n", F.coalesce("comp", "cls").alias("comp")))
     largest = (placed.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"))
                .groupBy("cluster").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"),
@@ -370,20 +371,31 @@ def _tree_round(label: DataFrame, cluster: DataFrame, sets: DataFrame, num: int,
                .select("cluster", "block", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"),
                        F.lit(1).alias("streamed"), "cls", "comp"))
     order = ["cluster", "block", "salt"]
-    return (held.unionByName(passing).join(sets, "cls")
-            .select(*order, "streamed", "cls", "comp", "shingles")
+    return (held.unionByName(passing).join(vectors.select("cls", "vec"), "cls")
+            .select(*order, "streamed", "cls", "comp", "vec")
             .repartition(*order).sortWithinPartitions(*order, "streamed")
-            .mapInArrow(tidy(_tree_links(num, den)), "a long, b long"))
+            .mapInArrow(tidy(_tree_pairs(num, den)), "a long, b long").distinct())
 
 
 # ---- the operator -----------------------------------------------------------
 
+def _bounded(pairs: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose count vectors allow a link."""
+    vec = vectors.select("cls", "vec")
+    both = (pairs.select("a", "b").join(vec.toDF("a", "va"), "a").join(vec.toDF("b", "vb"), "b")
+            .select("a", "b", "va", "vb"))
+    return both.mapInArrow(tidy(_plausible(num, den)), "a long, b long")
+
+
 def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link. Each centre's set is sent once, its
-    partners' sets stream past it; a hot centre is dealt over salts."""
+    """The pairs (a, b) of a written table that link. Each centre's set is sent
+    once, its partners' sets stream past it; a hot centre is dealt over salts."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(8)))
-    partners = salted.join(sets, F.col("b") == F.col("cls")).select("a", "salt", "b", "shingles")
-    centres = (salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("cls"))
+    starts = salted.select("a", "salt").distinct()
+    if pairs.count() <= SMALL_IDS:
+        salted, starts = F.broadcast(salted), F.broadcast(starts)
+    partners = sets.join(salted, F.col("b") == F.col("cls")).select("a", "salt", "b", "shingles")
+    centres = (sets.join(starts, F.col("a") == F.col("cls"))
                .select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles"))
     dealt = (partners.unionByName(centres).repartition("a", "salt")
              .sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -424,6 +436,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     sets = scratch.save(texts.join(ids, "doc_id").select("text").mapInArrow(
         tidy(_sets(k)), "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
 
+    vectors = scratch.save(sets.mapInArrow(tidy(_vectors), "cls long, n long, vec binary"), "vectors")
+
     # star rounds
     stars = shared.select("cls", F.col("centre").alias("pivot"))
     members = shared.select("sig", "cls").union(shared.select("sig", F.col("centre").alias("cls"))).distinct()
@@ -432,6 +446,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
         met = stars.groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("n"))
         tried = met.groupBy(F.col("cls").alias("b")).agg(
             F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("a"))
+        tried = scratch.save(_bounded(tried, vectors, num, den), f"tried-{turn}")
         found = scratch.save(_checked(tried, sets, num, den), f"star-links-{turn}")
         links = found if links is None else links.union(found)
         if turn and not found.limit(1).count():
@@ -454,9 +469,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     # R-tree round
     cluster = components(shared.select(F.col("cls").alias("a"), F.col("centre").alias("b")).distinct(),
                          scratch, "cluster")
-    more = scratch.save(_tree_round(label, cluster, sets, num, den), "tree-links")
+    pairs = scratch.save(_tree_round(label, cluster, vectors, num, den), "tree-pairs")
+    more = scratch.save(_checked(pairs, sets, num, den), "tree-links")
     label = components(links.union(more), scratch, "all")
-    scratch.drop("shared", "sets", *[f"open-{turn}" for turn in range(STAR_ROUNDS)])
+    scratch.drop("shared", "sets", "vectors", "tree-pairs", *[f"open-{turn}" for turn in range(STAR_ROUNDS)])
 
     reps = classes.join(label, F.col("cls") == F.col("node"), "left").select(
         "cls", "rep", F.coalesce("label", "cls").alias("label"))
