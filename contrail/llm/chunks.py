@@ -11,7 +11,7 @@ import sys
 from array import array
 from collections.abc import Callable, Iterable
 
-MEMO_PIECES = 200_000  # pieces kept per worker; then only the current batch's stay
+MEMO_PIECES = 200_000  # pieces kept; beyond, only the current batch's stay
 MEMO_SIZE = 48         # longer pieces are encoded each time
 
 
@@ -27,15 +27,15 @@ class PieceEncoder:
     """Packed ids of lists of pieces. ``encode_many`` gives the packed ids of
     pieces seen for the first time."""
 
-    def __init__(self, encode_many: Callable[[list], list[bytes]]):
-        self._encode = encode_many
+    def __init__(self, encode_many: Callable[[list], list[bytes]], most: int = MEMO_PIECES):
+        self._encode, self._most = encode_many, most
         self._memo: dict = {}
 
     def __call__(self, documents: list[list]) -> list[bytes]:
         memo = self._memo
         used = set().union(*documents)
         missing = list(used.difference(memo))
-        if len(memo) + len(missing) > MEMO_PIECES:
+        if len(memo) + len(missing) > self._most:
             memo = self._memo = {p: memo[p] for p in used.intersection(memo)}
         if missing:
             memo.update(zip(missing, self._encode(missing)))

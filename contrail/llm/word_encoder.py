@@ -29,6 +29,8 @@ WORD_FORM = {
     "post_processor": None,
 }
 
+MEMO_WORDS = 400_000
+
 # White space, and characters that normalising only lower-cases, one by one.
 _PLAIN = re.compile("[\t\n\r\x0b\x0c -~¡-įı-˿]*")
 
@@ -71,7 +73,8 @@ class TextEncoder:
             self._letters = byte_letters()
             model = self._full.model
             self._words = PieceEncoder(lambda words: [
-                packed([t.id for t in model.tokenize(self._bytes(w))]) for w in words])
+                packed([t.id for t in model.tokenize(self._bytes(w))]) for w in words],
+                most=MEMO_WORDS)
 
     def _bytes(self, word: str) -> str:
         return word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
