@@ -238,3 +238,45 @@ def test_pieces_odd_rows(spark):
     back = piece_codec.decode(spark, coded, PIECES).collect()
     assert [r.decoded for r in back] == [r.text or "" for r in back]
     assert piece_codec.encode(spark, df.limit(0), PIECES).collect() == []
+
+
+def test_two_passages_in_one_pair(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    new = lambda n: rng.choices(vocabulary, k=n)
+    rows, want = [], {}
+    for size, gap, more in ((60, 40, 0), (60, 80, 0), (60, 120, 70), (300, 800, 0)):
+        one, two, d = new(size), new(size), len(rows)
+        for side in range(2):
+            head = new(30 + 10 * side)
+            rows.append((d + side, " ".join([*head, *one, *new(gap + more * side), *two, *new(25)])))
+            want[d + side] = [(len(head), size), (len(head) + size + gap + more * side, size)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, passages.repeated_passages(spark, df).collect()))
+    assert {g[0] for g in got} == set(want)
+    for d, spans in want.items():
+        mine = [g for g in got if g[0] == d]
+        assert [(g[1], g[2] - g[1]) for g in mine] == spans and all(g[6] == g[2] - g[1] for g in mine)
+
+
+def test_segments_are_all_stretches_of_the_identity():
+    rng = random.Random(9)
+    for _ in range(150):
+        same, px, py = [], [0], [0]
+        while len(same) < 330:
+            rate = rng.choice((0.3, 0.75, 0.85, 1.0))
+            for _ in range(rng.randrange(5, 90)):
+                kind = rng.random()
+                same.append(kind >= 0.03 and rng.random() < rate)
+                px.append(px[-1] + (kind >= 0.015))
+                py.append(py[-1] + (not 0.015 <= kind < 0.03))
+        px, py, same = np.array(px), np.array(py), np.array(same)
+        got = passages.segments(px, py, same)
+        sums = np.concatenate(([0], np.cumsum(same)))
+        passes = lambda s, e: (
+            same[s] and same[e - 1] and min(px[e] - px[s], py[e] - py[s]) >= passages.MIN_WORDS
+            and 5 * (sums[e] - sums[s]) >= 4 * max(px[e] - px[s], py[e] - py[s]))
+        assert all(passes(s, e) for s, e in got)
+        left = [0, *[x for g in got for x in g], len(same)]
+        for a, z in zip(left[::2], left[1::2]):  # no passage is left beside them
+            assert not any(passes(s, e) for s in range(a, z) for e in range(s + passages.MIN_WORDS, z + 1))
