@@ -1,8 +1,7 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman.
 
-1. Every n-gram of words of the test items is counted over the whole corpus
-   (documents that hold it). Of an item's n-grams that occur at all, the rarer
-   half (``LEAST_SEEDS`` at least) are its seeds.
+1. Every n-gram of words of the test items is a seed, however often it occurs:
+   whether a document is found does not depend on the other documents.
 2. Seeds join training passages to items: around each seed found in a text a
    window as long as the item and some words more is taken; overlapping
    windows of an item become one.
@@ -35,7 +34,6 @@ from contrail.llm.shared import Scratch, concat_batches, doc_columns, tidy
 from contrail.llm.words import gram_hashes, word_hashes
 
 SEED_WORDS = 3
-LEAST_SEEDS = 8
 LEAST_WORDS = 5
 BLOCK_ITEMS = 20_000
 THRESHOLD = 0.5
@@ -101,25 +99,12 @@ class Items:
             owner.append(np.full(len(g), i))
             place.append(np.arange(len(g)))
         cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        self._set(cat(gram, np.uint64), cat(owner, np.int64), cat(place, np.int64))
-
-    def _set(self, gram, owner, place):
+        gram, owner, place = cat(gram, np.uint64), cat(owner, np.int64), cat(place, np.int64)
         order = np.argsort(gram, kind="stable")
         self.gram, self.owner, self.place = gram[order], owner[order], place[order]
         self.table = np.zeros(1 << _BITS, bool)
         self.table[(self.gram >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def keep_rare(self, found_in: dict[int, int]) -> None:
-        """Only each item's rarer n-grams; found_in: n-gram -> documents."""
-        keep = np.zeros(len(self.gram), bool)
-        docs = np.array([found_in.get(int(g), 0) for g in self.gram.view(np.int64)], np.int64)
-        for i in range(len(self.words)):
-            mine = np.flatnonzero((self.owner == i) & (docs > 0))
-            distinct = sorted({(int(docs[k]), int(self.gram[k])) for k in mine})
-            chosen = {g for _, g in distinct[:max(LEAST_SEEDS, -(-len(distinct) // 2))]}
-            keep[[k for k in mine if int(self.gram[k]) in chosen]] = True
-        self._set(self.gram[keep], self.owner[keep], self.place[keep])
-
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in the text, index of the first equal n-gram here)."""
         g = gram_hashes(words, SEED_WORDS)
@@ -175,36 +160,16 @@ def _merged(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     yield start, stop
 
 
-def _count(items: Items):
-    """Documents of the partition that hold each n-gram."""
-    def task(batches):
-        seen = np.zeros(len(items.gram), np.int64)
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                if text:
-                    _, first = items.hits(text_words(text))
-                    seen[np.unique(first)] += 1
-        used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(items.gram[used].view(np.int64)),
-                                          pa.array(seen[used])], names=["gram", "n"])
-    return task
-
-
-def _blocks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark's items, block by block, with their rare seeds."""
+def _blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """The benchmark's items, block by block."""
     rows = (doc_columns(benchmark, "item_id", "text")
             .where("item_id IS NOT NULL AND text IS NOT NULL")
             .select(F.col("item_id").cast("long").alias("item_id"), "text"))
     blocks = max(1, math.ceil(rows.count() / BLOCK_ITEMS))
-    texts = doc_columns(docs, "text")
     for block in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text")
         part = part.collect()
-        items = Items([r.item_id for r in part], [r.text for r in part])
-        counts = (texts.mapInArrow(tidy(_count(items)), "gram long, n long")
-                  .groupBy("gram").agg(F.sum("n").alias("n")).collect())
-        items.keep_rare({r.gram: r.n for r in counts})
-        yield items
+        yield Items([r.item_id for r in part], [r.text for r in part])
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()),
@@ -232,7 +197,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
     Scratch(spark, "leaks")
     base = doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
-    for items in _blocks(spark, docs, benchmark):
+    for items in _blocks(benchmark):
         part = base.mapInArrow(tidy(_find(items)), "doc_id long, item_id long, score double, start long, end long")
         found = part if found is None else found.union(part)
     return found
@@ -252,6 +217,6 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
     at = docs.columns.index("text")
     kept = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     schema = kept.schema
-    for items in _blocks(spark, docs, benchmark):
+    for items in _blocks(benchmark):
         kept = kept.mapInArrow(tidy(_clean(items, at)), schema)
     return kept.toDF(*docs.columns)

@@ -91,6 +91,28 @@ def test_leaks_odd_rows(spark):
     assert decontaminate.drop_leaks(spark, docs, bench.limit(0)).count() == 5
 
 
+def test_heavy_edits_beside_verbatim_copies(spark):
+    rng = random.Random(12)
+    items, vocabulary = _items(rng, 12)
+    docs, want = [], set()
+    for i, item in enumerate(items):
+        words = item.split()
+        n = len(words)
+        for cuts in ([], range(2, n, 5), range(0, n - 6, 3)):  # verbatim, 1 in 5, nearly 1 in 3 replaced
+            copy = list(words)
+            for at in cuts:
+                copy[at] = f"edit{at}"
+            window = decontaminate.text_words(" ".join(copy))
+            score = decontaminate.align(decontaminate.text_words(item), window)[0]
+            assert score >= decontaminate.THRESHOLD * decontaminate.MATCH * n
+            want.add((len(docs), i))
+            docs.append((len(docs), " ".join([*rng.choices(vocabulary, k=50), *copy, *rng.choices(vocabulary, k=50)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark, df, bench).collect()} == want
+    assert decontaminate.drop_leaks(spark, df, bench).count() == 0
+
+
 # ---- passages ----------------------------------------------------------------------
 
 def test_fenwick_chain_equals_quadratic_chaining():
