@@ -105,8 +105,8 @@ def op8(spark, sf):
 
 @register("op9_passages")
 def op9(spark, sf):
-    from contrail.llm.passages import repeated_passages
-    return repeated_passages(spark, read_table(spark, sf, "documents"))
+    from contrail.llm.passages import passage_classes
+    return passage_classes(spark, read_table(spark, sf, "documents"))
 
 
 @register("op10_language")

@@ -302,3 +302,32 @@ def test_segments_are_all_stretches_of_the_identity():
         left = [0, *[x for g in got for x in g], len(same)]
         for a, z in zip(left[::2], left[1::2]):  # no passage is left beside them
             assert not any(passes(s, e) for s in range(a, z) for e in range(s + passages.MIN_WORDS, z + 1))
+
+
+def test_every_shared_run_is_in_one_class(spark):
+    """Against brute force: texts that share halves of a passage with others."""
+    rng = random.Random(10)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    new = lambda n: rng.choices(vocabulary, k=n)
+    shared = [new(60) for _ in range(6)]
+    texts = [[*new(40), *s, *new(40)] for s in shared for _ in range(2)]
+    texts[0] += [*new(30), *shared[0]]  # twice in one text
+    for s in shared:
+        for _ in range(12):
+            texts += [[*new(40), *s[:30], *new(40)], [*new(40), *s[30:], *new(40)]]
+    line = new(50)
+    texts += [[*new(30), *line, *new(30)] for _ in range(9)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = passages.repeated_passages(spark, df).collect()
+    holders: dict = {}
+    for d, w in enumerate(texts):
+        for p in range(len(w) - 49):
+            holders.setdefault(tuple(w[p:p + 50]), set()).add((d, p))
+    holders = {g: h for g, h in holders.items() if len({d for d, _ in h}) > 1}
+    assert {r.doc_id for r in found} == {d for h in holders.values() for d, _ in h}
+    got = passages.passage_classes(spark, df).collect()
+    assert sorted(map(tuple, found)) == sorted(tuple(r)[:7] for r in got)
+    for h in holders.values():
+        of = [{r.class_id for r in got if r.doc_id == d and r.start_word <= p and r.end_word >= p + 50} for d, p in h]
+        assert set.intersection(*of)
+    assert len({r.class_id for r in got}) == 7
