@@ -8,7 +8,9 @@
 3. A window whose words in common with the item cannot reach the threshold is
    skipped (the words in common bound the alignment score); the others are
    aligned with Smith-Waterman over words. The score is the alignment's part
-   of a full match: 1 for a verbatim copy, lower for edited ones.
+   of a full match: 1 for a verbatim copy, lower for edited ones. It has to
+   reach ``THRESHOLD`` and the score of ``LEAST_MATCHED`` words, or of the
+   whole item if that is shorter: short items are found as they stand only.
 
 The items are taken in blocks of ``BLOCK_ITEMS`` (what a task holds is
 bounded; a larger benchmark takes more passes); texts are never shuffled.
@@ -34,7 +36,8 @@ from contrail.llm.shared import Scratch, concat_batches, doc_columns, tidy
 from contrail.llm.words import gram_hashes, word_hashes
 
 SEED_WORDS = 3
-LEAST_WORDS = 5
+LEAST_WORDS = SEED_WORDS
+LEAST_MATCHED = 8
 BLOCK_ITEMS = 20_000
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -62,6 +65,11 @@ def _rows(item: np.ndarray, window: np.ndarray) -> Iterator[np.ndarray]:
         yield row
 
 
+def least_score(n: int) -> float:
+    """Alignment score that an item of n words has to reach."""
+    return MATCH * max(THRESHOLD * n, min(n, LEAST_MATCHED))
+
+
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     """(score, start, end) of the best local alignment, in window words."""
     best, end = 0, 0
@@ -134,17 +142,17 @@ class Items:
         out = []
         for i, spans in windows.items():
             item = self.words[i]
-            full = MATCH * len(item)
-            best = (0.0, 0, 0)
+            full, least = MATCH * len(item), least_score(len(item))
+            best = (0, 0, 0)
             for start, stop in _merged(spans):
                 window = words[start:stop]
-                if MATCH * int(np.isin(item, window).sum()) < THRESHOLD * full:
+                if MATCH * int(np.isin(item, window).sum()) < least:
                     continue
                 score, a, z = align(item, window)
-                if score / full > best[0]:
-                    best = (score / full, start + a, start + z)
-            if best[0] >= THRESHOLD:
-                out.append((i, *best))
+                if score > best[0]:
+                    best = (score, start + a, start + z)
+            if best[0] >= least:
+                out.append((i, best[0] / full, *best[1:]))
         return out
 
 

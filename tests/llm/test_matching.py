@@ -113,6 +113,18 @@ def test_heavy_edits_beside_verbatim_copies(spark):
     assert decontaminate.drop_leaks(spark, df, bench).count() == 0
 
 
+def test_short_items_match_as_they_stand(spark):
+    bench = spark.createDataFrame([(1, "which of the planets rings"), (2, "name the gas"),
+                                   (3, "one two three four"), (4, "a b c d e f g h i j")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "he asked which of the two it was"), (2, "Which of the planets, rings?"),
+                                  (3, "now Name the gas!"), (4, "name a gas"), (5, "one two three five four"),
+                                  (6, "so: one, two, three, four."), (7, "a b c d e x y z"),
+                                  (8, "x a b c d e f g h y")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark, docs, bench).collect()}
+    assert got == {(2, 1), (3, 2), (6, 3), (8, 4)}
+    assert {r.doc_id for r in decontaminate.drop_leaks(spark, docs, bench).collect()} == {1, 4, 5, 7}
+
+
 # ---- passages ----------------------------------------------------------------------
 
 def test_fenwick_chain_equals_quadratic_chaining():
