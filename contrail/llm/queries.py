@@ -14,7 +14,7 @@ ORACLE: dict[str, str] = {}
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_TOKENIZER = "piece_bpe_32k.model"
 END_ID = 2
-RELAXED = 3.0  # factor on the pruning bounds of the vantage-point trees
+RELAXED = 1.5  # factor on the pruning bounds of the vantage-point trees
 
 
 def register(name: str, sql: str | None = None):

@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contrail.llm.queries import QUERIES
+from contrail.llm.queries import QUERIES, RELAXED
 from contrail.llm.vantage import VantageTree, distances, nearest
 from tests.conftest import SF_SMALL
 
@@ -61,6 +61,24 @@ def test_relaxed_search_prunes_and_keeps_recall():
     assert len(found[1.5] & exact) >= 0.9 * len(exact)
 
 
+def low_dimensional_recall(factor, inner):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(8192, inner)) @ rng.normal(size=(inner, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.arange(len(x))
+    queries = ids[::100]
+    d = distances(x[queries], x)
+    d[np.arange(len(queries)), queries] = np.inf
+    want = np.argsort(d, axis=1, kind="stable")[:, :10]
+    got = VantageTree(x, ids).search(x[queries], queries, 10, factor)[1]
+    return np.mean([len(set(g) & set(w)) / 10 for g, w in zip(got.tolist(), want.tolist())])
+
+
+@pytest.mark.parametrize("inner", [4, 6, 12])
+def test_query_factor_keeps_recall_on_low_dimensional_vectors(inner):
+    assert low_dimensional_recall(RELAXED, inner) >= 0.95
+
+
 def test_query_recall_on_the_table(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").collect()]
     got = QUERIES["op2_vantage"](spark, SF_SMALL).collect()
