@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contrail.llm.block_codes import codes_sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -113,3 +115,9 @@ def op9(spark, sf):
 def op10(spark, sf):
     from contrail.llm.language_id import identify
     return identify(spark, read_table(spark, sf, "documents"))
+
+
+@register("op12_hilbert_codes", codes_sql())
+def op12(spark, sf):
+    from contrail.llm.block_codes import compressed
+    return compressed(spark, read_table(spark, sf, "embeddings"))
