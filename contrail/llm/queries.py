@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrail.llm.block_codes import codes_sql
+from contrail.llm.hard_negatives import HARD_NEGATIVES_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -121,3 +122,11 @@ def op10(spark, sf):
 def op12(spark, sf):
     from contrail.llm.block_codes import compressed
     return compressed(spark, read_table(spark, sf, "embeddings"))
+
+
+@register("op11_hard_negatives", HARD_NEGATIVES_SQL)
+def op11(spark, sf):
+    from contrail.llm.hard_negatives import hard_negatives
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark, read_table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0,
+                          relabelled)
