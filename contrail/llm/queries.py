@@ -130,3 +130,9 @@ def op11(spark, sf):
     relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(spark, read_table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0,
                           relabelled)
+
+
+@register("op13_spot_signatures")
+def op13(spark, sf):
+    from contrail.llm.spot_signatures import fingerprint_report
+    return fingerprint_report(spark, read_table(spark, sf, "documents"))
