@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import (Imputer, OneHotEncoder, StandardScaler, StringIndexer,
-                                VectorAssembler)
+from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, StandardScaler,
+                                StringIndexer, VectorAssembler)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +78,13 @@ def label_encoders(cols: list[str]) -> list[StringIndexer]:
                           stringOrderType="alphabetAsc", handleInvalid="keep")]
 
 
+def varied(df: DataFrame, cols: list[str]) -> list[str]:
+    """The columns of ``cols`` with two values or more: with its first level
+    dropped, a column of one value has no slot left to encode."""
+    got = df.agg(*[(F.min(c) < F.max(c)).alias(c) for c in cols]).first()
+    return [c for c in cols if got[c]]
+
+
 def one_hot(cols: list[str], drop_first: bool = False) -> list:
     """M4: one-hot of categoricals.
 
@@ -85,8 +92,10 @@ def one_hot(cols: list[str], drop_first: bool = False) -> list:
     ``drop_first=True``: the alphabetically first level is the reference
     level (indexing in descending order makes it the last index, which
     ``dropLast`` removes); unseen values are an error, as in the model this
-    mirrors.
+    mirrors. It needs columns of two levels or more (``varied``).
     """
+    if not cols:
+        return []
     if drop_first:
         idx = StringIndexer(inputCols=list(cols), outputCols=[f"{c}_idx" for c in cols],
                             stringOrderType="alphabetDesc", handleInvalid="error")
@@ -100,21 +109,33 @@ def one_hot(cols: list[str], drop_first: bool = False) -> list:
     return stages
 
 
-def scaled_numeric(cols: list[str], out: str = "num_scaled") -> list:
+def scaled_numeric(cols: list[str], out: str = "num_scaled",
+                   medians: dict[str, float] | None = None) -> list:
     """P16 + M3: median-impute (learned on the training rows), assemble and
-    standardise numerics (mean 0, unit sample std)."""
+    standardise numerics (mean 0, unit sample std).
+
+    ``medians`` are the training rows' exact medians (``clean.exact_medians``);
+    without them the estimator's approximate ones are learned in the fit."""
     imp = [f"{c}_imp" for c in cols]
-    return [Imputer(inputCols=cols, outputCols=imp, strategy="median", relativeError=0.0001),
+    if medians is None:
+        fill = Imputer(inputCols=cols, outputCols=imp, strategy="median", relativeError=0.0001)
+    else:
+        filled = ", ".join(f"COALESCE(NANVL(`{c}`, NULL), {float(medians[c])!r}D) AS `{i}`"
+                           if medians[c] is not None else f"`{c}` AS `{i}`" for c, i in zip(cols, imp))
+        fill = SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
+    return [fill,
             VectorAssembler(inputCols=imp, outputCol="num_raw", handleInvalid="keep"),
             StandardScaler(inputCol="num_raw", outputCol=out, withMean=True, withStd=True)]
 
 
-def weather_feature_stages(drop_first: bool = True) -> list:
+def weather_feature_stages(drop_first: bool = True, categoricals: list[str] | None = None,
+                           medians: dict[str, float] | None = None) -> list:
     """The weather model's features: 20 imputed, scaled numerics and one-hot
-    diverted / origin / dest."""
-    return (scaled_numeric(NUMERIC_FEATURES)
-            + one_hot(CATEGORICAL_FEATURES, drop_first)
-            + [VectorAssembler(inputCols=["num_scaled"] + [f"{c}_oh" for c in CATEGORICAL_FEATURES],
+    diverted / origin / dest (``categoricals``)."""
+    categoricals = CATEGORICAL_FEATURES if categoricals is None else categoricals
+    return (scaled_numeric(NUMERIC_FEATURES, medians=medians)
+            + one_hot(categoricals, drop_first)
+            + [VectorAssembler(inputCols=["num_scaled"] + [f"{c}_oh" for c in categoricals],
                                outputCol="features")])
 
 

@@ -35,7 +35,8 @@ def route_regressor() -> Pipeline:
 
 
 def weather_classifier(n_train: int | None = None, max_iter: int = 400,
-                       drop_first: bool = False) -> Pipeline:
+                       drop_first: bool = False, categoricals: list[str] | None = None,
+                       medians: dict[str, float] | None = None) -> Pipeline:
     """M3 + M4 + M8 (notebook model): imputed, scaled weather numerics and
     one-hot categoricals. A C=1 L2 penalty on the summed loss equals
     ``regParam = 1 / n`` on Spark's mean loss; tol 1e-4 as scikit-learn's.
@@ -44,9 +45,10 @@ def weather_classifier(n_train: int | None = None, max_iter: int = 400,
     scoring never fails on an airport the training split did not contain
     (the same fitted space as dropping the first level, up to the penalty).
     ``drop_first=True`` reproduces the reference's encoding exactly,
-    including its error on unseen levels."""
+    including its error on unseen levels; ``categoricals`` are then the columns
+    that vary. ``medians`` fill missing numerics (see ``scaled_numeric``)."""
     reg = 1.0 / n_train if n_train else 0.0
-    return Pipeline(stages=FT.weather_feature_stages(drop_first) + [
+    return Pipeline(stages=FT.weather_feature_stages(drop_first, categoricals, medians) + [
         LogisticRegression(featuresCol="features", labelCol=FT.LABEL, maxIter=max_iter,
                            regParam=reg, elasticNetParam=0.0, standardization=False, tol=1e-4)])
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from contrail.functions.scalars import (fractional_value, hhmm_to_minutes, to_bool,
                                         to_nullable_int)
+from contrail.operators.quantiles import exact_quantiles
+from contrail.session import checkpoint_root
 
 
 def strip_column_names(df: DataFrame) -> DataFrame:
@@ -129,11 +131,20 @@ def fill_mean(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), means.getField(c)) for c in cols})
 
 
+def exact_medians(train: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    """Exact medians of ``cols``, by histogram narrowing over a checkpoint
+    of just these columns."""
+    checkpoint_root(train.sparkSession)
+    return exact_quantiles(train.select(*[F.col(c).cast("double").alias(c) for c in cols])
+                           .checkpoint(eager=True), cols, 0.5)
+
+
 def fill_median(train: DataFrame, target: DataFrame, cols: list[str]) -> DataFrame:
-    """NULL -> exact median learned on ``train`` (one scalar subquery with
-    all medians)."""
-    medians = train.agg(F.struct(*[F.percentile(F.col(c), 0.5).alias(c) for c in cols])).scalar()
-    return target.withColumns({c: F.coalesce(F.col(c), medians.getField(c)) for c in cols})
+    """NULL -> exact median learned on ``train``; a column without values
+    stays as it is."""
+    medians = exact_medians(train, cols)
+    return target.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in medians.items()
+                               if m is not None})
 
 
 def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:

@@ -14,6 +14,7 @@ from contrail.functions.constants import WEATHER_MEASURES
 from contrail.ml import features as FT
 from contrail.ml import models as M
 from contrail.operators import aggregates as AG
+from contrail.operators.clean import exact_medians
 from contrail.operators.filters import not_cancelled_strict
 from contrail.operators.joins import training_join
 from contrail.plans.oracle import with_base
@@ -70,7 +71,8 @@ def _weather_model(spark, sf):
             data = _weather_training_data(spark, sf)
             train, test = FT.hash_split(data, 0.2)
             n = train.count()
-            _FIT[k] = (M.weather_classifier(n).fit(train), test)
+            medians = exact_medians(train, FT.NUMERIC_FEATURES)
+            _FIT[k] = (M.weather_classifier(n, medians=medians).fit(train), test)
         return _FIT[k]
 
 
@@ -178,11 +180,16 @@ def m7_m10(spark, sf):
 @register("m4_m8_drop_first_classifier_metrics")
 def m4_m8(spark, sf):
     """The encoding that leaves out the first level of each category; rows of
-    levels that training has not seen cannot be scored and are left out."""
+    levels that training has not seen cannot be scored: ``unseen_rows`` says how
+    many of the test rows."""
     train, test = FT.hash_split(_weather_training_data(spark, sf), 0.2)
+    known = test
     for c in FT.CATEGORICAL_FEATURES:
-        test = test.join(train.select(c).distinct(), c, "left_semi")
-    return M.evaluate(M.weather_classifier(train.count(), drop_first=True).fit(train).transform(test))
+        known = known.join(train.select(c).distinct(), c, "left_semi")
+    model = M.weather_classifier(train.count(), drop_first=True,
+                                 categoricals=FT.varied(train, FT.CATEGORICAL_FEATURES)).fit(train)
+    return M.evaluate(model.transform(known)).withColumn(
+        "unseen_rows", F.lit(test.count() - known.count()))
 
 
 def _requests(spark, sf):

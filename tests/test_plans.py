@@ -19,7 +19,11 @@ def registry():
 def test_no_registered_query_plans_a_cross_product(spark, registry):
     bad = {}
     for name, fn in registry.items():
-        plan = _plan(fn(spark, SF_SMALL))
+        try:
+            plan = _plan(fn(spark, SF_SMALL))
+        except Exception as e:  # noqa: BLE001 - the others are guarded all the same
+            bad[name] = f"{type(e).__name__}: {str(e)[:200]}"
+            continue
         hits = [f for f in FORBIDDEN if f in plan]
         if hits:
             bad[name] = hits

@@ -145,7 +145,7 @@ def test_sample_is_the_same_with_and_without_thinning(spark):
 def test_lake_follows_its_input(spark):
     folder = tempfile.mkdtemp(prefix="contrail-input-")
     for t in ("lineitem", "orders", "customer", "supplier", "part", "nation"):
-        shutil.copy(f"{SF_SMALL}/{t}.parquet", f"{folder}/{t}.parquet")
+        shutil.copyfile(f"{SF_SMALL}/{t}.parquet", f"{folder}/{t}.parquet")
     first = T.flights(spark, folder).count()
     half = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").where("l_orderkey % 2 = 0")
     half.toPandas().to_parquet(f"{folder}/lineitem.parquet", coerce_timestamps="us",
