@@ -24,6 +24,7 @@ from contrail.operators.filters import country as of_country
 from contrail.operators.topk import within
 from contrail.sources.tables import table
 from contrail.session import path_exists
+from contrail.sources.store import BatchTable
 
 SNAPSHOT_SCHEMA = T.StructType([
     T.StructField("time", T.LongType()),
@@ -199,6 +200,13 @@ def append_live(df: DataFrame, path: str) -> None:
     df.withColumn("inserted_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
+def append_live_batch(df: DataFrame, path: str, batch_id: str) -> BatchTable:
+    """S11, once however often it is retried."""
+    table = BatchTable(df.sparkSession, path)
+    table.append(df.withColumn("inserted_at", F.current_timestamp()), batch_id)
+    return table
+
+
 def prediction_log_row(predictions: DataFrame, label_col: str = "prediction") -> DataFrame:
     """One row (predicted_at, rows, delayed_count) for the prediction log."""
     return predictions.agg(

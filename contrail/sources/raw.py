@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from contrail.functions import constants as K
 from contrail.operators import clean as C
+from contrail.sources.store import BatchTable
 
 RAW_COLUMNS = [
     "FlightDate", "Operating_Airline ", "Tail_Number", "Flight_Number_Operating_Airline",
@@ -142,6 +143,19 @@ def append_bronze(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("fl
     out.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def append_bronze_batch(df: DataFrame, path: str, batch_id: str) -> BatchTable:
+    """S6, once however often it is retried: like ``append_bronze``, into the
+    ledger table at ``path``; a batch written again replaces its first try."""
+    out = df
+    if "flight_month" not in df.columns:
+        out = out.withColumn("flight_month", F.date_format("flightdate", "yyyyMM").cast("int"))
+    if "ingested_at" not in out.columns:
+        out = out.withColumn("ingested_at", F.current_timestamp())
+    table = BatchTable(df.sparkSession, path, ("flight_month",))
+    table.append(out, batch_id)
+    return table
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Replace a reference table."""
     df.write.mode("overwrite").parquet(path)
