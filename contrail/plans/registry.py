@@ -28,4 +28,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from contrail.plans import (  # noqa: F401
-        q_core, q_clean, q_joins, q_analytics, q_graph, q_live, q_ml, q_checks, q_store)
+        q_core, q_clean, q_joins, q_analytics, q_graph, q_live, q_ml, q_checks, q_store,
+        q_moments)
