@@ -6,8 +6,6 @@ StandardScaler moments); the driver only holds the fitted parameters.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, StandardScaler,
                                 StringIndexer, VectorAssembler)
 from pyspark.sql import DataFrame
@@ -146,18 +144,6 @@ def route_feature_stages() -> list:
                         outputCol="features", handleInvalid="keep")]
 
 
-# Multiplier of the index permutation that spreads extra copies over a class
-# (bumped until coprime with the class size, so it is a bijection).
-_PERM_MULT = 7919
-
-
-def _coprime_mult(n: int) -> int:
-    a = _PERM_MULT
-    while math.gcd(a, n) != 1:
-        a += 1
-    return a
-
-
 def _positioned(part: DataFrame) -> DataFrame:
     """``part`` with ``_pos``: a dense 0..n-1 index over all its rows.
 
@@ -186,16 +172,17 @@ def _positioned(part: DataFrame) -> DataFrame:
 def oversample(df: DataFrame, label: str = LABEL, seed: int = 42) -> DataFrame:
     """M7: random oversampling as ``RandomOverSampler()`` does it: every class
     is brought to exactly the majority's size; the original rows are kept and
-    the extra rows are copies drawn from their own class.
-
-    A class of ``n`` rows needing ``k`` extra copies gets them from
-    ``spark.range(k)`` equi-joined to its rows through the permutation
-    ``(i * a + seed) mod n``, so each row is copied ``floor(k/n)`` or
-    ``ceil(k/n)`` times and the counts are exact. The class is checkpointed
-    (reliably) first, so the dense row index is stable across jobs. A small
-    class is broadcast by AQE after it measures it; a large one is
-    sort-merge joined, with at most ``ceil(k/n)`` range rows per key. No step
-    gathers a class or a rank into one task.
+    the extra rows are drawn from their own class with replacement, each draw
+    independent and uniform.
+
+    A class of ``n`` rows needing ``k`` extra copies gets them from ``k``
+    counter-based draws: draw ``i`` takes the row whose place is a hash of
+    (seed, class, i) modulo ``n``. Places follow a hash of the row's content, so
+    the draw is the same however the rows are partitioned. The class is range
+    partitioned by that hash and checkpointed (reliably), so the dense row index
+    is stable across jobs; a small class is broadcast by AQE after it measures
+    it, a large one is sort-merge joined. No step gathers a class or a rank into
+    one task.
     """
     from contrail.session import checkpoint_root
 
@@ -211,10 +198,16 @@ def oversample(df: DataFrame, label: str = LABEL, seed: int = 42) -> DataFrame:
         if extra == 0:
             continue
         cond = F.col(label).isNull() if cls is None else F.col(label) == F.lit(cls)
-        rows = _positioned(df.where(cond).checkpoint(eager=True))
-        a = _coprime_mult(n)
+        # two hashes that see NULLs: equal rows may swap places, others practically never
+        content = [F.xxhash64(F.lit(side), *[x for c in df.columns for x in
+                                             (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
+                   for side in (0, 1)]
+        ordered = (df.where(cond).withColumns({"_h0": content[0], "_h1": content[1]})
+                   .repartitionByRange("_h0", "_h1").sortWithinPartitions("_h0", "_h1")
+                   .drop("_h0", "_h1"))
+        rows = _positioned(ordered.checkpoint(eager=True))
         draws = spark.range(extra).select(
-            F.pmod((F.col("id") % n) * a + seed % n, F.lit(n)).alias("_pos"))
+            F.pmod(F.xxhash64(F.lit(seed), F.lit(str(cls)), "id"), F.lit(n)).alias("_pos"))
         out = out.unionByName(draws.join(rows, "_pos").drop("_pos"))
     return out
 

@@ -12,7 +12,7 @@ from contrail.plans.medallion import silver_flights_weather
 from contrail.plans.oracle import with_base
 from contrail.plans.registry import register
 from contrail.sources import raw as R
-from contrail.sources.tables import flights, weather
+from contrail.sources.tables import flights, table, weather
 
 _DEP_MIN = "((((flight_id * 7) % 1440) + CAST(FLOOR(depdelay) AS BIGINT)) % 1440 + 1440) % 1440"
 
@@ -100,6 +100,37 @@ silver AS (
   LEFT JOIN weather wd ON f.flightdate = wd.weather_date AND f.destcityname = wd.location_name)"""
 
 
+def _u(what: str) -> str:
+    return R.uniform_sql(42, what)
+
+
+@register("s14_synthetic_flights", f"""
+WITH ap AS (SELECT list(n_name ORDER BY n_name) AS l FROM nation),
+ca AS (SELECT list(b ORDER BY b) AS l FROM (SELECT DISTINCT UPPER(p_brand) AS b FROM part)),
+ids AS (SELECT unnest(range((SELECT COUNT(*) FROM lineitem))) AS id),
+base AS (SELECT id AS flight_id,
+  CAST(DATE '2024-01-01' + CAST(FLOOR({_u('date')} * 366) AS INT) AS DATE) AS flightdate,
+  ca.l[CAST(FLOOR({_u('carrier')} * len(ca.l)) AS INT) + 1] AS operating_airline,
+  ap.l[CAST(FLOOR({_u('origin')} * len(ap.l)) AS INT) + 1] AS origin,
+  ap.l[CAST(FLOOR({_u('dest')} * len(ap.l)) AS INT) + 1] AS dest,
+  FLOOR({_u('distance')} * 2800) + 200 AS distance,
+  ROUND(-LN(1.0 - {_u('delay')}) * 18 - 5, 1) + 0.0 AS dep,
+  SQRT(LN(1.0 - {_u('radius')}) * -2) * COS({_u('angle')} * (2 * PI())) AS noise
+  FROM ids, ap, ca)
+SELECT flight_id, flightdate, operating_airline, origin, dest, distance,
+  LEAST(GREATEST(dep, -30.0), 300.0) AS depdelay,
+  ROUND(LEAST(GREATEST(dep + noise * 5, -60.0), 300.0), 6) + 0.0 AS arrdelay, dep > 15 AS depdel15
+FROM base""")
+def s14(spark, sf):
+    """As many generated flights as there are lines, between the nations, by
+    the brands."""
+    names = [r[0] for r in table(spark, sf, "nation").select("n_name").collect()]        # 25 rows
+    brands = table(spark, sf, "part").select(F.upper("p_brand")).distinct().collect()    # 25 brands
+    out = R.synthetic_flights(spark, table(spark, sf, "lineitem").count(), 42, sorted(names),
+                              sorted(r[0] for r in brands))
+    return out.withColumn("arrdelay", F.round("arrdelay", 6))
+
+
 @register("p15_fill_global_mean", with_base("""
 SELECT flight_id, operating_airline, origin, dest,
   COALESCE(temp_origin, (SELECT AVG(temp_origin) FROM silver)) AS temp_origin,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from contrail.plans.registry import register
 from contrail.sources import live as L
+from contrail.sources.store import BatchTable
 from contrail.streaming import live as S
 
 # DuckDB twin of sources.live.event_states + parse + clean_states.
@@ -90,6 +91,34 @@ def t1(spark, sf):
     return spark.read.parquet(f"{run}/sink").select(*L.LIVE_COLUMNS)
 
 
+def _checked_run(spark, sf):
+    run = S.new_run_dir(spark, "t1-checked")
+    stream = S.checked_stream(spark, L.land_damaged_snapshots(spark, sf), max_files_per_trigger=4)
+    S.run_to_completion(S.ingest_checked(stream, f"{run}/good", f"{run}/rejects", f"{run}/ckpt"))
+    return BatchTable(spark, f"{run}/good").read(), BatchTable(spark, f"{run}/rejects").read()
+
+
+@register("t1_stream_ingest_of_damaged_polls", _STATES.replace(
+    "FROM events),", "FROM events WHERE event_id % 19 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0),")
+    + "SELECT * FROM live")
+def t1_good(spark, sf):
+    """The states that are left of damaged polls, streamed in several epochs."""
+    return _checked_run(spark, sf)[0]
+
+
+@register("t1_stream_dead_letters", f"""
+SELECT CASE WHEN event_id % 19 = 0 THEN '{L.REASONS[0]}' WHEN event_id % 11 = 0 THEN '{L.REASONS[3]}'
+    ELSE '{L.REASONS[4]}' END AS reason,
+  CASE WHEN event_id % 19 <> 0 THEN CAST(date_trunc('minute', ts) AS TIMESTAMP) END AS collected_at,
+  CASE WHEN event_id % 19 <> 0 THEN printf('%06x', user_id) END AS icao24, TRUE AS has_report, TRUE AS has_source
+FROM events WHERE event_id % 19 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0""")
+def t1_rejects(spark, sf):
+    """The dead letters of the same run."""
+    return _checked_run(spark, sf)[1].select(
+        "reason", "collected_at", "icao24", (F.length("report") > 5).alias("has_report"),
+        F.col("source").startswith("part-").alias("has_source"))
+
+
 @register("t2_stream_dedupe_keys", _STATES + "SELECT DISTINCT icao24, collected_at FROM live")
 def t2(spark, sf):
     landing = L.land_snapshots(spark, sf)

@@ -72,7 +72,7 @@ def event_states(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad((eid % 7777).cast("string"), 4, "0").alias("squawk"),
         (eid % 101 == 0).alias("spi"),
         (eid % 3).cast("int").alias("position_source"),
-        F.col("ts").alias("_ts"),
+        F.col("ts").alias("_ts"), eid.alias("_eid"),
     )
 
 
@@ -98,16 +98,34 @@ def land_snapshots(spark: SparkSession, sf_dir: str, out_dir: str | None = None)
     return out_dir
 
 
-def _write_polls(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
+def land_damaged_snapshots(spark: SparkSession, sf_dir: str) -> str:
+    """The same polls with faults that depend on the event id: every 19th line
+    is cut off, of the others every 11th state is short and every 13th has a
+    position that is no number."""
+    from contrail.sources.tables import lake
+    return lake(spark, sf_dir).once("damaged_landing",
+                                    lambda p: _write_polls(spark, sf_dir, p, damaged=True))
+
+
+def _write_polls(spark: SparkSession, sf_dir: str, out_dir: str, damaged: bool = False) -> None:
     s = event_states(spark, sf_dir)
-    vec = F.concat(F.lit("["), F.concat_ws(",", *[_json_value(f, STATE_TYPES[f])
-                                                   if f != "sensors" else F.lit("null")
-                                                   for f in STATE_FIELDS]), F.lit("]"))
+
+    def vector(fields, **given):
+        return F.concat(F.lit("["), F.concat_ws(",", *[
+            F.lit(given[f]) if f in given else F.lit("null") if f == "sensors"
+            else _json_value(f, STATE_TYPES[f]) for f in fields]), F.lit("]"))
+    vec = vector(STATE_FIELDS)
+    if damaged:
+        vec = F.when(F.col("_eid") % 11 == 0, vector(STATE_FIELDS[:5])).when(
+            F.col("_eid") % 13 == 0, vector(STATE_FIELDS, longitude='"east"')).otherwise(vec)
     poll = F.unix_timestamp(F.date_trunc("minute", "_ts"))
     # one poll line per report: no grouping, so no line (and no task) can
     # hold a hot aircraft's whole history
-    lines = s.select("_ts", F.concat(F.lit('{"time":'), poll.cast("string"), F.lit(',"states":['),
-                                     vec, F.lit("]}")).alias("value"))
+    lines = s.select("_ts", "_eid", F.concat(F.lit('{"time":'), poll.cast("string"),
+                                             F.lit(',"states":['), vec, F.lit("]}")).alias("value"))
+    if damaged:
+        lines = lines.withColumn("value", F.when(F.col("_eid") % 19 == 0, F.substring("value", 1, 40))
+                                 .otherwise(F.col("value")))
     # files in time order, as a collector lands them: a stream that takes a
     # few files at a time then sees no report behind its watermark
     (lines.repartitionByRange("_ts").sortWithinPartitions("_ts").select("value")
@@ -137,6 +155,31 @@ def parse_snapshots(raw: DataFrame, limit: int | None = None) -> DataFrame:
     return x.select(*cols, F.timestamp_seconds("time").alias("collected_at"), "_pos")
 
 
+# A poll that may be damaged: the line itself is kept when it is not JSON.
+CHECKED_SCHEMA = T.StructType([*SNAPSHOT_SCHEMA.fields, T.StructField("_line", T.StringType())])
+REASONS = ("unreadable line", "no poll time", "no states", "short state", "position is not a number")
+
+
+def checked_states(raw: DataFrame) -> DataFrame:
+    """One row per state of polls read with ``CHECKED_SCHEMA`` (a line that is
+    no poll is one row): the parsed columns, ``reason`` for what is malformed
+    (NULL: nothing is), the ``report`` as it came and its ``source`` file. Works
+    on batch or stream."""
+    broken = F.col("_line").isNotNull()
+    x = raw.select("time", "_line", "source", F.explode_outer("states").alias("_s"))
+    bad_position = F.lit(False)
+    for f in ("longitude", "latitude"):
+        v = F.try_element_at("_s", F.lit(STATE_FIELDS.index(f) + 1))
+        bad_position = bad_position | (v.isNotNull() & v.try_cast("double").isNull())
+    reason = (F.when(broken, REASONS[0]).when(F.col("time").isNull(), REASONS[1])
+              .when(F.col("_s").isNull(), REASONS[2])
+              .when(F.size("_s") < len(STATE_FIELDS), REASONS[3]).when(bad_position, REASONS[4]))
+    cols = [F.try_element_at("_s", F.lit(i + 1)).try_cast(STATE_TYPES[f]).alias(f)
+            for i, f in enumerate(STATE_FIELDS) if f != "sensors"]
+    return x.select(*cols, F.timestamp_seconds("time").alias("collected_at"), reason.alias("reason"),
+                    F.coalesce("_line", F.to_json("_s")).alias("report"), "source")
+
+
 def rejected_states(raw: DataFrame) -> DataFrame:
     """One row per poll time: states, short ones, and ones with a position
     that is not a number."""

@@ -10,6 +10,8 @@ back); in production it is whatever landed.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -191,26 +193,43 @@ def profile_report(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 # ------------------------------------------------------------------ S14
+def uniform(seed: int, what: str, row: str = "id"):
+    """A number in [0, 1) from (seed, what, row id): the first 52 bits of their
+    MD5. It depends on nothing else, and any engine computes the same."""
+    text = F.concat(F.lit(f"{seed}:{what}:"), F.col(row).cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def uniform_sql(seed: int, what: str, row: str = "id") -> str:
+    """The same number as SQL text."""
+    return (f"(CAST(CAST('0x' || substr(md5('{seed}:{what}:' || CAST({row} AS VARCHAR)), 1, 13) AS BIGINT)"
+            f" AS DOUBLE) / {float(1 << 52)})")
+
+
 def synthetic_flights(spark: SparkSession, n: int, seed: int = 42, airports: list[str] | None = None,
                       carriers: list[str] | None = None) -> DataFrame:
     """S14 fixture generator (never a silent fallback): exponential delays
     shifted by -5 and clipped to [-30, 300], delayed = delay > 15, uniform
-    airports/carriers/dates, normal noise on arrival."""
+    airports/carriers/dates, normal noise on arrival. Numbers are counter-based
+    (``uniform``): the rows do not depend on the partitioning."""
     airports = airports or ["ATL", "DEN", "DFW", "JFK", "LAX", "ORD", "SEA", "SFO"]
     carriers = carriers or sorted(K.CARRIER_NAMES)
-    ap = F.array(*[F.lit(a) for a in airports])
-    ca = F.array(*[F.lit(c) for c in carriers])
-    dep = F.round(-F.log(F.lit(1.0) - F.rand(seed)) * 18 - 5, 1)
+
+    def one_of(names: list[str], what: str):
+        place = F.floor(uniform(seed, what) * len(names)).cast("int")
+        return F.element_at(F.array(*[F.lit(x) for x in names]), place + 1)
+    # inverse of the exponential distribution; Box-Muller for the normal one
+    dep = F.round(-F.log(F.lit(1.0) - uniform(seed, "delay")) * 18 - 5, 1)
+    noise = (F.sqrt(F.log(F.lit(1.0) - uniform(seed, "radius")) * -2)
+             * F.cos(uniform(seed, "angle") * (2 * math.pi)))
     base = spark.range(n).select(
         F.col("id").alias("flight_id"),
-        F.date_add(F.lit("2024-01-01").cast("date"), (F.rand(seed + 1) * 366).cast("int"))
+        F.date_add(F.lit("2024-01-01").cast("date"), F.floor(uniform(seed, "date") * 366).cast("int"))
         .alias("flightdate"),
-        F.element_at(ca, (F.rand(seed + 2) * len(carriers)).cast("int") + 1).alias("operating_airline"),
-        F.element_at(ap, (F.rand(seed + 3) * len(airports)).cast("int") + 1).alias("origin"),
-        F.element_at(ap, (F.rand(seed + 4) * len(airports)).cast("int") + 1).alias("dest"),
-        (F.rand(seed + 5) * 2800 + 200).cast("int").cast("double").alias("distance"),
-        dep.alias("_dep"),
-        F.randn(seed + 6).alias("_noise"))
+        one_of(carriers, "carrier").alias("operating_airline"),
+        one_of(airports, "origin").alias("origin"), one_of(airports, "dest").alias("dest"),
+        (F.floor(uniform(seed, "distance") * 2800) + 200).cast("double").alias("distance"),
+        dep.alias("_dep"), noise.alias("_noise"))
     return base.select(
         "flight_id", "flightdate", "operating_airline", "origin", "dest", "distance",
         F.least(F.greatest(F.col("_dep"), F.lit(-30.0)), F.lit(300.0)).alias("depdelay"),

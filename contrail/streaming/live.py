@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from contrail.session import checkpoint_root, path_exists
-from contrail.sources.live import (SNAPSHOT_SCHEMA, clean_states, latest_per_aircraft,
-                                   parse_snapshots)
+from contrail.sources.live import (CHECKED_SCHEMA, LIVE_COLUMNS, SNAPSHOT_SCHEMA, checked_states,
+                                   clean_states, latest_per_aircraft, parse_snapshots)
+from contrail.sources.store import BatchTable
 
 
 def live_stream(spark: SparkSession, landing: str, limit: int | None = None,
@@ -50,6 +51,47 @@ def ingest(stream: DataFrame, sink: str, checkpoint: str, once: bool = True) ->
     return w.start(sink)
 
 
+def checked_stream(spark: SparkSession, landing: str,
+                   max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming ``checked_states`` of landed polls, malformed lines included."""
+    r = (spark.readStream.schema(CHECKED_SCHEMA).option("mode", "PERMISSIVE")
+         .option("columnNameOfCorruptRecord", "_line"))
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    return checked_states(r.json(landing).select("*", F.col("_metadata.file_name").alias("source")))
+
+
+def write_both(good_dir: str, reject_dir: str):
+    """foreachBatch writer: an epoch's good states and its dead letters, each
+    as one batch of a ledger table. An epoch that runs again (after a crash
+    between the two writes, or behind them) replaces its own rows."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()  # parsed once for both tables
+        try:
+            good = clean_states(batch.where("reason IS NULL")).select(*LIVE_COLUMNS)
+            bad = batch.where("reason IS NOT NULL").select(
+                "reason", "collected_at", "icao24", "report", "source")
+            BatchTable(spark, good_dir).append(good, f"epoch-{epoch}")
+            BatchTable(spark, reject_dir).append(bad, f"epoch-{epoch}")
+        finally:
+            batch.unpersist()
+    return write
+
+
+def ingest_checked(stream: DataFrame, good_dir: str, reject_dir: str, checkpoint: str,
+                   once: bool = True) -> StreamingQuery:
+    """T1 with rejects: airborne states to one table, malformed reports with
+    reason and source file to another. The query's progress carries the metric
+    ``states`` (all and rejected). A lost checkpoint needs new tables."""
+    seen = stream.observe("states", F.count(F.lit(1)).alias("all"),
+                          F.count("reason").alias("rejected"))
+    w = (seen.writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(write_both(good_dir, reject_dir)))
+    w = w.trigger(availableNow=True) if once else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
 def dedupe(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Drop repeated (icao24, collected_at) reports within the watermark."""
     return (stream.withWatermark("collected_at", delay)

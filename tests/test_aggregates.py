@@ -103,3 +103,16 @@ def test_silver_null_city_matches_nothing(spark):
         "precipitation_mm double, cloud_cover double, ingested_at timestamp")
     s = silver_flights_weather(f, w).collect()
     assert len(s) == 1 and s[0].temp_origin is None and s[0].temp_dest == 20.0
+
+
+def test_duplicates_by_digest(spark):
+    rows = [("a", None, 0.0), ("a", None, -0.0), ("a", "", 0.0), ("", "a", 0.0), (None, "a", 0.0), ("a", "b", None),
+            ("a", "b", None), ("a", "b", None), ("c", "d", float("nan")), ("c", "d", float("nan"))]
+    df = spark.createDataFrame(rows, "x string, `a.b` string, _n double")
+    for bits in (64, 2, 1):                 # few bits: rows of one digest that are no copies
+        assert [tuple(r) for r in AG.duplicate_count(df, bits).collect()] == [(10, 6, 4)]
+    assert [tuple(r) for r in AG.duplicate_count(df.limit(0)).collect()] == [(0, 0, 0)]
+    many = spark.range(3000).selectExpr("id % 1000 AS k", "cast(id % 500 as string) AS s")
+    assert [tuple(r) for r in AG.duplicate_count(many).collect()] == [(3000, 1000, 2000)]
+    plan = AG.duplicate_count(many)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_d0" in plan

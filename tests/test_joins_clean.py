@@ -104,3 +104,14 @@ def test_sinks_roundtrip(spark, tmp_path):
     rep = R.profile_report(df, str(tmp_path / "profile")).first()
     assert rep.rows == 2 and rep.columns == 3
     assert J.union_frames(df, df.select("flight_id")).count() == 4
+
+
+def test_generated_numbers_are_uniform_and_counter_based(spark):
+    u = spark.range(20000).select(R.uniform(3, "x").alias("u"), R.uniform(4, "x").alias("v"))
+    s = u.selectExpr("min(u)", "max(u)", "avg(u)", "corr(u, v)").first()
+    assert 0 <= s[0] and s[1] < 1 and abs(s[2] - 0.5) < 0.01 and abs(s[3]) < 0.03
+    one = R.synthetic_flights(spark, 3000, seed=5)
+    wide = one.where("flight_id < 100").orderBy("flight_id").collect()
+    assert wide == R.synthetic_flights(spark, 100, seed=5).coalesce(1).orderBy("flight_id").collect()
+    noise = one.where("depdelay between -4 and 200").selectExpr("avg(arrdelay - depdelay)", "stddev(arrdelay - depdelay)").first()
+    assert abs(noise[0]) < 0.4 and abs(noise[1] - 5) < 0.3
