@@ -152,18 +152,34 @@ def top_airports(dash: DataFrame, n: int = 20) -> DataFrame:
     return ranked.orderBy(F.desc("flights"), "iata").limit(n)
 
 
+def top_airport_routes_of(dash: DataFrame, n: int = 20) -> DataFrame:
+    """Flights whose both ends are top-n airports (F11: two left-semi joins
+    against the n-row set)."""
+    top = F.broadcast(top_airports(dash, n).select("iata"))  # at most n rows
+    return (dash.join(top, F.col("origin") == F.col("iata"), "left_semi")
+                .join(top, F.col("dest") == F.col("iata"), "left_semi"))
+
+
+def route_level_flag(gold: DataFrame, above: float = 15.0) -> DataFrame:
+    """Route-level flag: 1 where the delay rate in per cent is above ``above``
+    (the dashboard compares the rate with the number of minutes that make a
+    flight late), 0 elsewhere, also where there is no rate."""
+    return gold.select("operating_airline", "origin", "dest", "delay_rate_pct",
+                       F.when(F.col("delay_rate_pct") > above, 1).otherwise(0).alias("delayed"))
+
+
 def top_airport_routes(dash: DataFrame, n: int = 20) -> DataFrame:
     """A11 long form: mean delay (r1) for routes whose both ends are top-n
-    airports (F11 via two left-semi joins against the n-row set)."""
-    top = F.broadcast(top_airports(dash, n).select("iata"))  # at most n rows
-    sub = (dash.join(top, F.col("origin") == F.col("iata"), "left_semi")
-               .join(top, F.col("dest") == F.col("iata"), "left_semi"))
-    return route_mean_delay(sub)
+    airports."""
+    return route_mean_delay(top_airport_routes_of(dash, n))
 
 
-def top_airport_matrix(dash: DataFrame, n: int = 20) -> DataFrame:
+def top_airport_matrix(dash: DataFrame, n: int = 20, names: list[str] | None = None) -> DataFrame:
     """A11 wide form: origin x dest matrix over the top-n airports, pairs
-    without flights as NULL."""
+    without flights as NULL. ``names`` fixes the columns: an airport that is not
+    among the top n then has a column of NULLs and no row."""
+    if names is not None:
+        return route_pivot(top_airport_routes_of(dash, n), None, names)
     names = sorted(r.iata for r in top_airports(dash, n).select("iata").collect())  # n rows
     sub = dash.where(F.col("origin").isin(names) & F.col("dest").isin(names))
     return route_pivot(sub, None, names)

@@ -92,6 +92,24 @@ def a11_matrix(spark, sf):
     return AG.top_airport_matrix(_dash(spark, sf), 20)
 
 
+@register("a11_named_airport_matrix", with_dash(
+    "SELECT origin, " + ", ".join(f"MAX(CASE WHEN dest = '{n}' THEN avg_delay END) AS \"{n}\"" for n in _DESTS)
+    + " FROM route_mean GROUP BY origin", extra=_TOP20.strip() + f""",
+route_mean AS (SELECT origin, dest, {avg_half_up('depdelay', 1)} AS avg_delay FROM dash
+  WHERE depdelay IS NOT NULL AND origin IN (SELECT iata FROM top20) AND dest IN (SELECT iata FROM top20)
+  GROUP BY origin, dest)"""))
+def a11_named(spark, sf):
+    """The same matrix with every airport as a named column."""
+    return AG.top_airport_matrix(_dash(spark, sf), 20, _DESTS)
+
+
+@register("route_level_flag", with_dash("""
+SELECT operating_airline, origin, dest, delay_rate_pct,
+  CAST(CASE WHEN delay_rate_pct > 15 THEN 1 ELSE 0 END AS INT) AS delayed FROM gold""", extra=gold_cte().strip()))
+def route_flag(spark, sf):
+    return AG.route_level_flag(delay_summary(flights(spark, sf)))
+
+
 @register("o6_top20_airports", with_dash("SELECT iata, flights FROM top20", extra=_TOP20.strip()))
 def o6(spark, sf):
     return AG.top_airports(_dash(spark, sf), 20)

@@ -14,7 +14,7 @@ from contrail.functions.constants import WEATHER_MEASURES
 from contrail.ml import features as FT
 from contrail.ml import models as M
 from contrail.operators import aggregates as AG
-from contrail.operators.clean import exact_medians
+from contrail.operators.clean import exact_medians, missing_features
 from contrail.operators.filters import not_cancelled_strict
 from contrail.operators.joins import training_join
 from contrail.plans.oracle import with_base
@@ -22,6 +22,7 @@ from contrail.plans.registry import register
 from contrail.sources.live import prediction_log_row
 from contrail.session import session_key
 from contrail.sources.tables import flights, lake, weather
+from contrail.streaming.live import new_run_dir
 
 _FIT: dict = {}
 _FIT_LOCK = threading.RLock()  # concurrent queries fit each model once
@@ -230,6 +231,52 @@ def s16(spark, sf):
     return FT.explode_request(_requests(spark, sf))[0]
 
 
+_REQUEST_WEATHER = ", ".join(m if m != "snow_mm" else "COALESCE(snow_mm, 0.0) AS snow_mm" for m in WEATHER_MEASURES)
+
+
+@register("s16_explode_request_weather", with_base(f"""
+SELECT request_id, strftime(weather_date, '%Y-%m-%d') AS weather_date, location_name, {_REQUEST_WEATHER}
+FROM (SELECT f.flight_id AS request_id, UNNEST([f.origincityname, f.destcityname]) AS city, f.flightdate
+  FROM flights f
+  JOIN weather wo ON f.flightdate = wo.weather_date AND f.origincityname = wo.location_name
+  JOIN weather wd ON f.flightdate = wd.weather_date AND f.destcityname = wd.location_name
+  WHERE f.cancelled = FALSE) r
+JOIN weather w ON w.weather_date = r.flightdate AND w.location_name = r.city""", weather=True))
+def s16_weather(spark, sf):
+    return FT.explode_request(_requests(spark, sf))[1]
+
+
+@register("p25_missing_features_of_requests", with_base(f"""
+SELECT feature, (SELECT COUNT(*) FROM flights f
+  JOIN weather wo ON f.flightdate = wo.weather_date AND f.origincityname = wo.location_name
+  JOIN weather wd ON f.flightdate = wd.weather_date AND f.destcityname = wd.location_name
+  WHERE f.cancelled = FALSE) AS request_rows
+FROM (VALUES {', '.join(f"('{m}_{side}')" for side in 'od' for m in WEATHER_MEASURES)}) AS t(feature)""", weather=True))
+def p25(spark, sf):
+    """What the requests' flights lack for the model before they meet their
+    weather, and on how many rows."""
+    rows = FT.explode_request(_requests(spark, sf))[0]
+    missing = spark.createDataFrame([(f,) for f in missing_features(rows, FT.MODEL_FEATURES)], "feature string")
+    return missing.select("feature", rows.agg(F.count(F.lit(1))).scalar().alias("request_rows"))
+
+
+@register("m12_saved_model_predictions", with_base(f"""
+SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS differing FROM flights
+WHERE cancelled = FALSE AND depdelay IS NOT NULL AND {FT.split_key_sql()} < 0.2"""))
+def m12(spark, sf):
+    """Predictions of the weather-free classifier before it is saved against
+    those after loading, flight by flight."""
+    data = _materialised(spark, sf, "train_route", M.route_training_frame(flights(spark, sf)))
+    train, test = FT.hash_split(data, 0.2)
+    model = M.route_classifier(max_iter=20).fit(train)
+    path = f"{new_run_dir(spark, 'm12')}/model"
+    M.save(model, path)
+    both = [M.with_probability(m.transform(test)).select("flight_id", F.struct("prediction", "delay_probability")
+                                                         .alias(n)) for m, n in ((model, "a"), (M.load(path), "b"))]
+    return both[0].join(both[1], "flight_id", "full").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differing"))
+
+
 def _batch_predictions(spark, sf):
     model, _ = _weather_model(spark, sf)
     return M.predict_requests(model, _requests(spark, sf), FT.MODEL_FEATURES)

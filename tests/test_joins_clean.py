@@ -23,7 +23,7 @@ def test_nearest_station_matches_brute_force(spark):
          [(f"T{i:03d}", rnd.uniform(-10, 10), rnd.uniform(100, 120)) for i in range(20)]
     c_df = spark.createDataFrame(cities, "iata string, lat double, lon double")
     s_df = spark.createDataFrame(st, "station_id string, lat double, lon double")
-    got = {r.iata: r.station_id for r in J.nearest_station(c_df, s_df, cell=0.05).collect()}
+    got = {r.iata: r.station_id for r in J.nearest_station(c_df, s_df).collect()}
     for name, la, lo in cities:
         best = min(st, key=lambda s: (_hav((la, lo), (s[1], s[2])), s[0]))
         assert got[name] == best[0], name
