@@ -101,15 +101,8 @@ def _total_delay():
     return F.aggregate("delays", F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
 
 
-def _bfs(edges: DataFrame, roots: DataFrame, max_hops: int, checkpoint: bool,
-         targets: DataFrame | None = None) -> DataFrame:
-    """(root, node, path, delays) for every node reached from a root in 1..max_hops.
-
-    With ``targets`` (root, node) the search stops on hit: a root whose
-    targets are all reached stops expanding, and the loop ends when no
-    target is left. Each root's levels are independent, so results for the
-    targets are unchanged.
-    """
+def _bfs(edges: DataFrame, roots: DataFrame, max_hops: int, checkpoint: bool) -> DataFrame:
+    """(root, node, path, delays) for every node reached from a root in 1..max_hops."""
     if checkpoint:
         checkpoint_root(roots.sparkSession)
     e = edges.select(F.col("src").alias("_u"), F.col("dst").alias("_v"),
@@ -140,19 +133,89 @@ def _bfs(edges: DataFrame, roots: DataFrame, max_hops: int, checkpoint: bool,
             break
         steps.append(step)
         frontier = step
-        if targets is not None:
-            targets = targets.join(step.select("root", "node"), ["root", "node"], "left_anti")
-            if checkpoint:
-                targets = _checkpoint(targets)
-            if targets.isEmpty():
-                break
-            frontier = frontier.join(targets.select("root").distinct(), "root", "left_semi")
     found = frontier.limit(0)
     for st in steps:
         found = found.unionByName(st)
     return found
 
 
+def _next_level(levels: list[DataFrame], open_ends: DataFrame, step: DataFrame) -> DataFrame:
+    """Nodes one edge of ``step`` (from, to) beyond the last level of the ends
+    that still have an open pair."""
+    new = (levels[-1].join(open_ends, "end", "left_semi")
+           .join(step, F.col("node") == F.col("from")).select("end", F.col("to").alias("node")).distinct())
+    for level in levels:
+        new = new.join(level, ["end", "node"], "left_anti")
+    return new
+
+
+def _walk(met: DataFrame, e: DataFrame, ahead: list[DataFrame], back: list[DataFrame]) -> DataFrame:
+    """(origin, dest, path, delays): the smallest shortest path of pairs that
+    met at nodes of the last levels. Nodes of the first half that lie on a
+    shortest path are found backwards from where the pair met; then the walk
+    takes the smallest of the possible next airports at every step."""
+    pair = ["origin", "dest"]
+    halves, on_path = [], met
+    for level in reversed(ahead[1:]):
+        if halves:
+            on_path = (on_path.join(e, F.col("node") == F.col("_v")).select(*pair, F.col("_u").alias("node"))
+                       .join(level.select(F.col("end").alias("origin"), "node"), ["origin", "node"], "left_semi")
+                       .select(*pair, "node").distinct())
+        halves.insert(0, on_path)
+    at = met.select(*pair).distinct().select(*pair, F.col("origin").alias("at"), F.array("origin").alias("path"),
+                                             F.array().cast("array<double>").alias("delays"))
+    sides = [(h, pair) for h in halves] + [(b.withColumnRenamed("end", "dest"), ["dest"])
+                                           for b in reversed(back[:-1])]
+    for allowed, keys in sides:
+        at = (at.join(e, F.col("at") == F.col("_u")).withColumn("node", F.col("_v"))
+              .join(allowed, [*keys, "node"], "left_semi")
+              .groupBy(*pair).agg(F.min(F.struct("_v", "_d", "path", "delays")).alias("s"))
+              .select(*pair, F.col("s._v").alias("at"), F.concat("s.path", F.array("s._v")).alias("path"),
+                      F.concat("s.delays", F.array("s._d")).alias("delays")))
+    return at.select(*pair, "path", "delays")
+
+
+def two_frontiers(edges: DataFrame, pairs: DataFrame, max_hops: int, checkpoint: bool = True):
+    """(found, levels): shortest paths of (origin, dest) pairs of different
+    airports, and the levels of (end, node) that the search has visited.
+
+    One frontier grows from the origins, one from the destinations, the one with
+    fewer nodes first; a pair has met when its two last levels share a node,
+    which first happens on its shortest paths. States are two names wide, and
+    pairs with an end in common share them.
+    """
+    if checkpoint:
+        checkpoint_root(pairs.sparkSession)
+    keep = _checkpoint if checkpoint else (lambda df: df)
+    e = keep(edges.select(F.col("src").alias("_u"), F.col("dst").alias("_v"), F.col("avg_delay").alias("_d")))
+    ways = {"origin": e.select(F.col("_u").alias("from"), F.col("_v").alias("to")),
+            "dest": e.select(F.col("_v").alias("from"), F.col("_u").alias("to"))}
+    open_pairs = keep(pairs)
+    levels = {side: [keep(open_pairs.select(F.col(side).alias("end"), F.col(side).alias("node")).distinct())]
+              for side in ways}
+    size = {side: levels[side][0].count() for side in ways}
+    found = None
+    for _ in range(max_hops):
+        side = min(ways, key=lambda x: (size[x], x != "origin"))
+        ends = open_pairs.select(F.col(side).alias("end")).distinct()
+        new = keep(_next_level(levels[side], ends, ways[side]))
+        size[side] = new.count()
+        if not size[side]:
+            break
+        levels[side].append(new)
+        met = keep(open_pairs.join(levels["origin"][-1].withColumnRenamed("end", "origin"), "origin")
+                   .join(levels["dest"][-1].withColumnRenamed("end", "dest"), ["dest", "node"], "left_semi")
+                   .select("origin", "dest", "node"))
+        if met.isEmpty():
+            continue
+        paths = keep(_walk(met, e, levels["origin"], levels["dest"]))
+        found = paths if found is None else found.unionByName(paths)
+        open_pairs = keep(open_pairs.join(met, ["origin", "dest"], "left_anti"))
+        if open_pairs.isEmpty():
+            break
+    return found, levels
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS,
                    checkpoint: bool = True) -> DataFrame:
     """Unweighted directed shortest path for every (origin, dest) pair.
@@ -163,15 +226,12 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS,
     Ties between equally short paths go to the smallest airport array.
     """
     wanted = pairs.select(F.upper("origin").alias("origin"), F.upper("dest").alias("dest")).distinct()
-    roots = wanted.select(F.col("origin").alias("root")).distinct()
-    targets = wanted.where(F.col("origin") != F.col("dest")).select(
-        F.col("origin").alias("root"), F.col("dest").alias("node"))
-    found = _bfs(edges, roots, max_hops, checkpoint, targets)
-    hit = found.join(wanted, (F.col("root") == F.col("origin")) & (F.col("node") == F.col("dest")))
-    same = wanted.where(F.col("origin") == F.col("dest")).select(
+    found, _ = two_frontiers(edges, wanted.where(F.col("origin") != F.col("dest")), max_hops, checkpoint)
+    out = wanted.where(F.col("origin") == F.col("dest")).select(
         "origin", "dest", F.array("origin").alias("path"),
         F.array().cast("array<double>").alias("delays"))
-    out = hit.select("origin", "dest", "path", "delays").unionByName(same)
+    if found is not None:
+        out = found.unionByName(out)
     return out.select("origin", "dest", F.col("path").alias("airports"), "delays",
                       (F.size("path") - 1).alias("hops"), _total_delay().alias("total_delay"))
 
