@@ -87,16 +87,31 @@ STATE_FIELDS = [
     "sensors", "geo_altitude", "squawk", "spi", "position_source",
 ]
 
-# --- fixed values: columns kept from the raw flight CSV (cleaning script) ----
-RAW_KEEP_COLUMNS = [
+# --- fixed values: columns that the collector keeps of the raw flight CSV ----
+COLLECTOR_COLUMNS = [
     "FlightDate", "Operating_Airline", "Tail_Number",
-    "Flight_Number_Operating_Airline", "OriginAirportID", "Origin",
-    "OriginCityName", "DestAirportID", "Dest", "DestCityName",
-    "DepDelay", "DepDel15", "ArrDelay", "ArrDel15", "Cancelled", "Diverted",
-    "Distance", "DistanceGroup", "CarrierDelay", "WeatherDelay", "NASDelay",
+    "Flight_Number_Operating_Airline",
+    "Origin", "OriginCityName", "OriginAirportID",
+    "Dest", "DestCityName", "DestAirportID",
+    "DepDelay", "DepDel15", "ArrDelay", "ArrDel15",
+    "Cancelled", "Diverted",
+    "Distance", "DistanceGroup",
+    "CarrierDelay", "WeatherDelay", "NASDelay",
     "SecurityDelay", "LateAircraftDelay",
 ]
 
+# --- fixed values: columns that the cleaning script keeps (the constant
+# ``Flights``, which it drops again later, is left out) ------------------------
+CLEANING_COLUMNS = [
+    "FlightDate", "Operating_Airline", "Tail_Number", "Flight_Number_Operating_Airline",
+    "OriginAirportID", "Origin", "OriginCityName", "DestAirportID", "Dest", "DestCityName",
+    "CRSDepTime", "DepTime", "DepDelay", "DepDel15", "DepartureDelayGroups", "TaxiOut",
+    "WheelsOff", "WheelsOn", "TaxiIn", "CRSArrTime", "ArrTime", "ArrDelay", "ArrDel15",
+    "ArrivalDelayGroups", "Cancelled", "CancellationCode", "Diverted", "CRSElapsedTime",
+    "ActualElapsedTime", "AirTime", "Distance", "DistanceGroup", "CarrierDelay",
+    "WeatherDelay", "NASDelay", "SecurityDelay", "LateAircraftDelay",
+]
+
 # --- fixed values: hhmm clock columns in the raw CSV -------------------------
 CLOCK_COLUMNS = ["CRSDepTime", "DepTime", "WheelsOff", "WheelsOn",
                  "CRSArrTime", "ArrTime"]

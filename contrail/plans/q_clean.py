@@ -30,6 +30,44 @@ def s1(spark, sf):
     return R.clean_raw_flights(R.read_raw_csv(spark, R.land_raw_csv(spark, sf)))
 
 
+def _clock_sql(minutes: str) -> str:
+    """Minutes of the day; midnight is written as 2400 and becomes NULL."""
+    m = f"((({minutes}) % 1440 + 1440) % 1440)"
+    return f"CAST(CASE WHEN {m} = 0 THEN NULL ELSE {m} END AS INT)"
+
+
+def _group_sql(delay: str) -> str:
+    return f"CASE WHEN {delay} IS NOT NULL THEN CAST(LEAST(GREATEST(FLOOR({delay} / 15), -2), 12) AS INT) END"
+
+
+_PLANNED = "(CAST(FLOOR(distance / 8) AS BIGINT) + 30)"
+_DEP = "((flight_id * 7) % 1440 + CAST(FLOOR(depdelay) AS BIGINT))"
+_ARR = f"((flight_id * 7) % 1440 + {_PLANNED} + CAST(FLOOR(arrdelay) AS BIGINT))"
+_OUT = "CASE WHEN depdelay IS NOT NULL THEN flight_id % 25 + 5 END"
+_IN = "CASE WHEN arrdelay IS NOT NULL THEN flight_id % 12 + 3 END"
+_ACTUAL = f"({_PLANNED} + CAST(FLOOR(arrdelay) AS BIGINT) - CAST(FLOOR(depdelay) AS BIGINT))"
+
+
+@register("s1_clean_raw_csv_all_columns", with_base(f"""
+SELECT flightdate, operating_airline, tail_number, flight_number_operating_airline,
+  originairportid, origin, origincityname, destairportid, dest, destcityname,
+  CAST((flight_id * 7) % 1440 AS INT) AS crsdeptime, {_clock_sql(_DEP)} AS deptime, depdelay,
+  COALESCE(depdel15, FALSE) AS depdel15, {_group_sql('depdelay')} AS departuredelaygroups,
+  CAST({_OUT} AS INT) AS taxiout, {_clock_sql(f'{_DEP} + {_OUT}')} AS wheelsoff,
+  {_clock_sql(f'{_ARR} - {_IN}')} AS wheelson, CAST({_IN} AS INT) AS taxiin,
+  CAST(((flight_id * 7) % 1440 + {_PLANNED}) % 1440 AS INT) AS crsarrtime, {_clock_sql(_ARR)} AS arrtime,
+  arrdelay, COALESCE(arrdel15, FALSE) AS arrdel15, {_group_sql('arrdelay')} AS arrivaldelaygroups,
+  COALESCE(cancelled, FALSE) AS cancelled,
+  CASE WHEN cancelled THEN ['A', 'B', 'C', 'D'][flight_id % 4 + 1] END AS cancellationcode,
+  COALESCE(diverted, FALSE) AS diverted, CAST({_PLANNED} AS INT) AS crselapsedtime,
+  CAST({_ACTUAL} AS INT) AS actualelapsedtime, CAST({_ACTUAL} - {_OUT} - {_IN} AS INT) AS airtime,
+  distance, distancegroup, carrierdelay, weatherdelay, nasdelay, securitydelay, lateaircraftdelay
+FROM flights"""))
+def s1_all(spark, sf):
+    """The cleaning script's columns instead of the collector's."""
+    return R.clean_raw_flights(R.read_raw_csv(spark, R.land_raw_csv(spark, sf)), keep=K.CLEANING_COLUMNS)
+
+
 _RAW_NULLS = {  # raw column -> NULL condition on the flights it was exported from
     "FlightDate": "FALSE", "Operating_Airline ": "operating_airline IS NULL",
     "Tail_Number": "tail_number IS NULL",
@@ -38,6 +76,12 @@ _RAW_NULLS = {  # raw column -> NULL condition on the flights it was exported fr
     "OriginCityName": "origincityname IS NULL", "DestAirportID": "destairportid IS NULL",
     "Dest": "dest IS NULL", "DestCityName": "destcityname IS NULL", "CRSDepTime": "FALSE",
     "DepTime": "depdelay IS NULL", "DepDelay": "depdelay IS NULL", "DepDel15": "depdel15 IS NULL",
+    "DepartureDelayGroups": "depdelay IS NULL", "TaxiOut": "depdelay IS NULL",
+    "WheelsOff": "depdelay IS NULL", "WheelsOn": "arrdelay IS NULL", "TaxiIn": "arrdelay IS NULL",
+    "CRSArrTime": "FALSE", "ArrTime": "arrdelay IS NULL", "ArrivalDelayGroups": "arrdelay IS NULL",
+    "CancellationCode": "cancelled IS NOT TRUE", "CRSElapsedTime": "distance IS NULL",
+    "ActualElapsedTime": "depdelay IS NULL OR arrdelay IS NULL",
+    "AirTime": "depdelay IS NULL OR arrdelay IS NULL",
     "ArrDelay": "arrdelay IS NULL", "ArrDel15": "arrdel15 IS NULL",
     "Cancelled": "cancelled IS NULL", "Diverted": "diverted IS NULL",
     "Distance": "distance IS NULL", "DistanceGroup": "distancegroup IS NULL",

@@ -23,20 +23,23 @@ from contrail.sources.store import BatchTable
 RAW_COLUMNS = [
     "FlightDate", "Operating_Airline ", "Tail_Number", "Flight_Number_Operating_Airline",
     "OriginAirportID", "Origin", "OriginCityName", "DestAirportID", "Dest", "DestCityName",
-    "CRSDepTime", "DepTime", "DepDelay", "DepDel15", "ArrDelay", "ArrDel15", "Cancelled",
-    "Diverted", "Distance", "DistanceGroup", "CarrierDelay", "WeatherDelay", "NASDelay",
+    "CRSDepTime", "DepTime", "DepDelay", "DepDel15", "DepartureDelayGroups", "TaxiOut",
+    "WheelsOff", "WheelsOn", "TaxiIn", "CRSArrTime", "ArrTime", "ArrDelay", "ArrDel15",
+    "ArrivalDelayGroups", "Cancelled", "CancellationCode", "Diverted", "CRSElapsedTime",
+    "ActualElapsedTime", "AirTime", "Distance", "DistanceGroup", "CarrierDelay", "WeatherDelay", "NASDelay",
     "SecurityDelay", "LateAircraftDelay", "Flights", "DivAirportLandings",
 ]
 # Every raw column is read as text; typing is the cleaning chain's job.
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 
 INT_COLUMNS = ["Flight_Number_Operating_Airline", "OriginAirportID", "DestAirportID",
-               "DistanceGroup"]
+               "DistanceGroup", "DepartureDelayGroups", "ArrivalDelayGroups", "TaxiOut", "TaxiIn",
+               "CRSElapsedTime", "ActualElapsedTime", "AirTime"]
 DOUBLE_COLUMNS = ["DepDelay", "ArrDelay", "Distance", "CarrierDelay", "WeatherDelay",
                   "NASDelay", "SecurityDelay", "LateAircraftDelay"]
 BOOL_COLUMNS = ["DepDel15", "ArrDel15", "Cancelled", "Diverted"]
 STRING_COLUMNS = ["Operating_Airline", "Tail_Number", "Origin", "OriginCityName", "Dest",
-                  "DestCityName"]
+                  "DestCityName", "CancellationCode"]
 
 
 def _hhmm(minutes):
@@ -47,8 +50,22 @@ def export_raw(flights: DataFrame) -> DataFrame:
     """The raw-CSV view of bronze flights (all text, raw spellings)."""
     crs = (F.col("flight_id") * 7) % 1440
     dep = F.pmod(crs + F.floor("depdelay"), F.lit(1440))
-    dep_txt = F.when(F.col("depdelay").isNull(), None).when(dep == 0, F.lit("2400")) \
-        .otherwise(_hhmm(dep).cast("string"))
+    # what bronze lacks follows from the flight's number, delays and distance
+    planned = F.floor(F.col("distance") / 8) + 30
+    crs_arr = F.pmod(crs + planned, F.lit(1440))
+    arr = F.pmod(crs_arr + F.floor("arrdelay"), F.lit(1440))
+    out_taxi = F.when(F.col("depdelay").isNotNull(), F.col("flight_id") % 25 + 5)
+    in_taxi = F.when(F.col("arrdelay").isNotNull(), F.col("flight_id") % 12 + 3)
+    actual = planned + F.floor("arrdelay") - F.floor("depdelay")
+    code = F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (F.col("flight_id") % 4 + 1).cast("int"))
+
+    def clock(minutes):
+        return F.when(minutes == 0, F.lit("2400")).otherwise(_hhmm(minutes).cast("string"))
+
+    def group(delay):
+        # greatest() and least() skip NULLs
+        return F.when(F.col(delay).isNotNull(),
+                      F.least(F.greatest(F.floor(F.col(delay) / 15), F.lit(-2)), F.lit(12)))
 
     def flag(c):
         return F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.col(c).cast("double")))
@@ -68,10 +85,20 @@ def export_raw(flights: DataFrame) -> DataFrame:
         F.col("dest").alias("Dest"),
         F.col("destcityname").alias("DestCityName"),
         _hhmm(crs).cast("string").alias("CRSDepTime"),
-        dep_txt.alias("DepTime"),
+        clock(dep).alias("DepTime"),
         num("depdelay").alias("DepDelay"), flag("depdel15").alias("DepDel15"),
+        group("depdelay").cast("double").cast("string").alias("DepartureDelayGroups"),
+        out_taxi.cast("double").cast("string").alias("TaxiOut"),
+        clock(F.pmod(dep + out_taxi, F.lit(1440))).alias("WheelsOff"),
+        clock(F.pmod(arr - in_taxi, F.lit(1440))).alias("WheelsOn"),
+        in_taxi.cast("double").cast("string").alias("TaxiIn"),
+        _hhmm(crs_arr).cast("string").alias("CRSArrTime"), clock(arr).alias("ArrTime"),
         num("arrdelay").alias("ArrDelay"), flag("arrdel15").alias("ArrDel15"),
-        flag("cancelled").alias("Cancelled"), flag("diverted").alias("Diverted"),
+        group("arrdelay").cast("double").cast("string").alias("ArrivalDelayGroups"),
+        flag("cancelled").alias("Cancelled"), F.when(F.col("cancelled"), code).alias("CancellationCode"),
+        flag("diverted").alias("Diverted"), planned.cast("double").cast("string").alias("CRSElapsedTime"),
+        actual.cast("double").cast("string").alias("ActualElapsedTime"),
+        (actual - out_taxi - in_taxi).cast("double").cast("string").alias("AirTime"),
         num("distance").alias("Distance"),
         F.col("distancegroup").cast("string").alias("DistanceGroup"),
         *[num(c).alias(n) for c, n in zip(K.DELAY_CAUSES, ["CarrierDelay", "WeatherDelay",
@@ -107,7 +134,8 @@ def land_raw_csv(spark: SparkSession, sf_dir: str) -> str:
         "raw_csv", lambda path: write_csv(export_raw(flights(spark, sf_dir)), path))
 
 
-def clean_raw_flights(raw: DataFrame, bool_default: bool = False) -> DataFrame:
+def clean_raw_flights(raw: DataFrame, bool_default: bool = False,
+                      keep: list[str] | None = None) -> DataFrame:
     """The cleaning chain, raw text -> typed bronze rows:
 
     P3 strip names, P5 case-insensitive keep list (the constant ``Flights``
@@ -116,12 +144,15 @@ def clean_raw_flights(raw: DataFrame, bool_default: bool = False) -> DataFrame:
     ``bool_default``), P10 trim, P12 drop rows without date/origin/dest, P4
     lower-case names.
 
+    ``keep`` is the keep list: the collector's columns and the two departure
+    clocks, unless given (``CLEANING_COLUMNS``: the cleaning script's).
+
     The output columns are the keep list's whatever the data hold: a column of
     one value or mostly NULLs stays. P1 and P11 (``drop_sparse_columns``,
     ``drop_constant_columns``) are for frames without a keep list.
     """
     df = C.strip_column_names(raw)
-    df = C.keep_columns(df, K.RAW_KEEP_COLUMNS + ["CRSDepTime", "DepTime"])
+    df = C.keep_columns(df, keep or K.COLLECTOR_COLUMNS + ["CRSDepTime", "DepTime"])
     df = C.parse_dates(df, ["FlightDate"])
     df = C.parse_clock_columns(df, K.CLOCK_COLUMNS)
     df = C.to_int_columns(df, INT_COLUMNS)

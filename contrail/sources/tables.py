@@ -218,7 +218,7 @@ def airport_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # written once (Parquet, partitioned by flight month, sorted by carrier/route
 # inside each file so row-group statistics prune carrier/route filters) into
 # the shared checkpoint folder, and every query reads it back.
-LAYOUT_VERSION = "bronze-v10"
+LAYOUT_VERSION = "bronze-v11"
 INPUTS = ("lineitem", "orders", "customer", "supplier", "part", "nation", "region", "events")
 
 

@@ -22,7 +22,7 @@ from contrail.sources import tables as T
 from contrail.streaming import live as ST
 from tests.conftest import SF_SMALL, rows
 
-CLEAN = [c.lower() for c in K.RAW_KEEP_COLUMNS] + ["crsdeptime", "deptime"]
+CLEAN = [c.lower() for c in K.COLLECTOR_COLUMNS] + ["crsdeptime", "deptime"]
 
 
 def _raw(spark, n, **fixed):
