@@ -5,13 +5,16 @@ the normaliser's switches. From them a ``tokenizers`` model is rebuilt: a
 unigram model with the pieces' scores, or a BPE model whose merges follow the
 scores; byte fallback, the normaliser's character map, white space clean-up
 and the metaspace marker with its dummy prefix. Batches are encoded with the
-library's threads; ``verify`` compares every text's ids with the sentencepiece
-library itself.
+library's threads; ``verify`` compares the ids with the sentencepiece library's
+and decodes them again.
 
 No piece joins a character to a marker that follows it, nor holds a line
 break, so where the normaliser is the identity a text is encoded in stretches
 cut at these places, each once per memo; the loader checks the condition and
-otherwise whole texts are encoded.
+otherwise whole texts are encoded. ``verify`` follows the same rule: a stretch is
+compared when it is encoded, so once per memo, together with others in one text
+that is cut at the same places; a text is like the library's if all its
+stretches are. Whole texts are compared where texts are not cut.
 
 Defined results: null and empty texts have no ids and decode to the empty
 text; a marker character in a text decodes to a blank, as in the library;
@@ -33,7 +36,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm.chunks import PieceEncoder, packed
+from contrail.llm.chunks import MEMO_PIECES, PieceEncoder, packed
 from contrail.llm.shared import Scratch, doc_columns, tidy
 
 MARK = "▁"
@@ -43,6 +46,7 @@ UNIGRAM, BPE = 1, 2
 
 THREADS = 2  # of the library, per task
 
+_TOGETHER = 4096  # stretches compared in one text
 _STRETCH = re.compile(r" *[^ \n]+|\n+| +")
 
 
@@ -186,16 +190,106 @@ class Codec:
         self._memo = PieceEncoder(lambda texts: [
             packed(e.ids) for e in library.encode_batch_fast(texts, add_special_tokens=False)])
 
+    def pieces(self, texts: list[str | None]) -> list[list[str]]:
+        """What each text is encoded by: its stretches, or itself."""
+        if self._cut:
+            # the marker is what blanks become, so a text may as well have the blank
+            return [_STRETCH.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        return [[t] if t else [] for t in texts]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if self._cut:
-            return self._memo([_STRETCH.findall(" " + t) if t else [] for t in texts])
-        return self._memo([[t] if t else [] for t in texts])
+        return self._memo(self.pieces(texts))
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self._decode(ids, skip_special_tokens=False)
 
 
+class Verifier:
+    """A codec whose pieces are checked as they are encoded: ``unlike`` holds
+    the ones to which the sentencepiece library gives other ids, ``lost`` the
+    ones that do not decode to themselves."""
+
+    def __init__(self, codec: Codec, data: bytes):
+        from sentencepiece import SentencePieceProcessor
+        self._codec, self._library = codec, SentencePieceProcessor(model_proto=data)
+        self._plain = codec._memo._encode
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self.unlike, self.lost = set(), set()
+        self._memo = PieceEncoder(self._checked)
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[bytes], list[bool], list[bool]]:
+        """Ids, parity and round trip of each text."""
+        if len(self.unlike) + len(self.lost) > MEMO_PIECES:
+            self._fresh()
+        pieces = self._codec.pieces(texts)
+        coded = self._memo(pieces)
+        return (coded, [self.unlike.isdisjoint(p) for p in pieces],
+                [self.lost.isdisjoint(p) and not (t and MARK in t) for p, t in zip(pieces, texts)])
+
+    def _checked(self, pieces: list[str]) -> list[bytes]:
+        coded = self._plain(pieces)
+        ids = {p: np.frombuffer(c, "<u4").tolist() for p, c in zip(pieces, coded)}
+        if not self._codec._cut:
+            for p, theirs, text in zip(pieces, self._library.encode(pieces, num_threads=1),
+                                       self._codec.decode([ids[p] for p in pieces])):
+                if theirs != ids[p]:
+                    self.unlike.add(p)
+                if text != p:
+                    self.lost.add(p)
+            return coded
+        frame = [" a", "\n"]
+        ids.update(zip(frame, [np.frombuffer(c, "<u4").tolist() for c in self._plain(frame)]))
+        for start in range(0, len(pieces), _TOGETHER):
+            group = pieces[start:start + _TOGETHER]
+            self._check(group, ids, self._same_ids, self.unlike)
+            self._check(group, ids, self._same_text, self.lost)
+        return coded
+
+    def _check(self, group: list[str], ids: dict, same, bad: set) -> None:
+        """Halves a group that differs until the pieces at fault are alone."""
+        row = _in_a_row(group)
+        if same("".join(row)[1:], [i for p in row for i in ids[p]]):
+            return
+        if len(group) == 1:
+            bad.add(group[0])
+            return
+        half = len(group) // 2
+        self._check(group[:half], ids, same, bad)
+        self._check(group[half:], ids, same, bad)
+
+    def _same_ids(self, text: str, ids: list[int]) -> bool:
+        return self._library.encode(text) == ids
+
+    def _same_text(self, text: str, ids: list[int]) -> bool:
+        return self._codec.decode([ids])[0] == text
+
+
+def _in_a_row(stretches: list[str]) -> list[str]:
+    """The stretches, with others between them, so that their text is cut into
+    just these: words behind blanks follow a word, line breaks stand between
+    words, words without blanks follow a break, blanks alone precede one."""
+    kinds: dict[str, list[str]] = {"word": [], "break": [], "bare": [], "blank": []}
+    for s in stretches:
+        kinds["break" if s[0] == "\n" else "bare" if s[0] != " " else
+              "blank" if not s.strip(" ") else "word"].append(s)
+    row = [" a", *kinds["word"]]
+    for s in kinds["break"]:
+        row += [s, " a"]
+    for s in kinds["bare"]:
+        row += ["\n", s]
+    for s in kinds["blank"]:
+        row += [s, "\n"]
+    return row
+
+
+@lru_cache(maxsize=1)
+def worker_verifier(data: bytes) -> Verifier:
+    return Verifier(worker_codec(data), data)
+
+
 @lru_cache(maxsize=1)
 def worker_codec(data: bytes) -> Codec:
     """The worker's codec, kept from task to task."""
@@ -242,19 +336,16 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc
 def _digest(data, verify: bool):
     def task(batches):
         codec = worker_codec(data.value)
-        if verify:
-            from sentencepiece import SentencePieceProcessor
-            reference = SentencePieceProcessor(model_proto=data.value)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            coded = codec.encode(texts)
-            ids = [np.frombuffer(x, "<u4").tolist() for x in coded]
-            parity = [None] * len(texts)
             if verify:
-                parity = [x == y for x, y in zip(ids, reference.encode(texts, num_threads=1))]
-            same = [x == t for x, t in zip(codec.decode(ids), texts)]
+                coded, parity, same = worker_verifier(data.value)(texts)
+            else:
+                coded, parity = codec.encode(texts), [None] * len(texts)
+                ids = [np.frombuffer(x, "<u4").tolist() for x in coded]
+                same = [x == t for x, t in zip(codec.decode(ids), texts)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in ids], pa.int64()),
+                [b.column(0), pa.array([len(x) // 4 for x in coded], pa.int64()),
                  pa.array([zlib.crc32(x) for x in coded], pa.int64()),
                  pa.array(parity, pa.bool_()), pa.array(same, pa.bool_())], schema=_DIGEST)
     return task
@@ -267,8 +358,10 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, model: str) -> DataFrame:
-    """``docs`` with the column ``ids`` (array of int) added at the end."""
+    """``docs`` with the column ``ids`` (array of int) added at the end, in place
+    of a column of that name."""
     Scratch(spark, "pieces")
+    docs = docs.drop("ids")
     data = spark.sparkContext.broadcast(model_bytes(spark, model))  # one fixed file
     plain = _plain(docs)
     fields = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in plain.schema], "ids array<int>"])
@@ -277,8 +370,10 @@ def encode(spark: SparkSession, docs: DataFrame, model: str) -> DataFrame:
 
 
 def decode(spark: SparkSession, coded: DataFrame, model: str) -> DataFrame:
-    """``coded`` (with a column ``ids``) with the column ``decoded`` added."""
+    """``coded`` (with a column ``ids``) with the column ``decoded`` added, in
+    place of a column of that name."""
     Scratch(spark, "pieces")
+    coded = coded.drop("decoded")
     data = spark.sparkContext.broadcast(model_bytes(spark, model))
     plain = _plain(coded)
     fields = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in plain.schema], "decoded string"])

@@ -343,3 +343,26 @@ def test_every_shared_run_is_in_one_class(spark):
         of = [{r.class_id for r in got if r.doc_id == d and r.start_word <= p and r.end_word >= p + 50} for d, p in h]
         assert set.intersection(*of)
     assert len({r.class_id for r in got}) == 7
+
+
+def test_stretches_are_verified_like_whole_texts():
+    data = open(PIECES, "rb").read()
+    codec = piece_codec.Codec(data, threads=1)
+    verify = piece_codec.Verifier(codec, data)
+    from sentencepiece import SentencePieceProcessor
+    library = SentencePieceProcessor(model_proto=data)
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(["a", "the ", " ", "  ", "\n", "\n\n", "é", "汉", "\u2581", "word", "\t", "\x00", "'s "],
+                                 k=rng.randint(0, 40))) for _ in range(400)] + ["", " ", "\n", "x" * 3000]
+    coded, parity, same = verify(texts)
+    assert coded == codec.encode(texts)
+    ids = [np.frombuffer(c, "<u4").tolist() for c in coded]
+    assert parity == [x == y for x, y in zip(ids, library.encode(texts))]
+    assert same == [x == t for x, t in zip(codec.decode(ids), texts)] and not all(same)
+    row = piece_codec._in_a_row(sorted({p for t in texts for p in piece_codec._STRETCH.findall(" " + t)}))
+    assert piece_codec._STRETCH.findall("".join(row)) == row
+    # other ids than the library's are found, and only where they are
+    other = piece_codec.Verifier(codec, data)
+    plain = other._plain
+    other._plain = lambda ps: [c if p != " word" else b"\0\0\0\0" + c for p, c in zip(ps, plain(ps))]
+    assert other(["a word here", "no other", "word", "sword"])[1] == [False, True, False, True]
