@@ -271,10 +271,13 @@ def m12(spark, sf):
     model = M.route_classifier(max_iter=20).fit(train)
     path = f"{new_run_dir(spark, 'm12')}/model"
     M.save(model, path)
-    both = [M.with_probability(m.transform(test)).select("flight_id", F.struct("prediction", "delay_probability")
-                                                         .alias(n)) for m, n in ((model, "a"), (M.load(path), "b"))]
-    return both[0].join(both[1], "flight_id", "full").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differing"))
+    before, after = [M.with_probability(m.transform(test)).select(
+        "flight_id", "prediction", "delay_probability", F.lit(side).alias("side"))
+        for m, side in ((model, 1), (M.load(path), -1))]
+    # flight ids repeat: the two bags of predictions are compared
+    bags = (before.union(after).groupBy("flight_id", "prediction", "delay_probability")
+            .agg(F.count_if(F.col("side") == 1).alias("n"), F.abs(F.sum("side")).alias("apart")))
+    return bags.agg(F.sum("n").alias("rows"), F.sum("apart").alias("differing"))
 
 
 def _batch_predictions(spark, sf):
