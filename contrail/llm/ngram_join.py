@@ -12,23 +12,25 @@ when ``den * |A & B| >= num * |A | B|``. The result is exact:
    or of common shingles only, are left out by sets with s of them at most,
    which still share another one. So shared boilerplate makes no shard: a whole
    range must agree and hold a shingle that is not common. Which shingles are
-   common (``COMMON`` of a task's texts, counted over all texts) changes only
-   the work, never the result.
-3. Star rounds. Every class is tried once a round against one pivot class of
-   a shard, the pivot it meets most often; later rounds draw new pivots from
-   the shard's largest component and only try classes of other components.
-   Large groups of near copies join here with one check per member and round,
-   so no shard emits all its pairs.
-4. R-tree round. Classes that share shards, directly or through others, form
-   a cluster. In clusters with several components left, the classes outside
-   the largest component are bulk-loaded into R-trees (blocks of ``BLOCK``,
-   by set size): tokens are hashed into ``GROUPS`` groups, a class is the point
-   of its group counts, and the sum of coordinate minima against a node's
-   upper corner (or a point) bounds the overlap. All classes of the cluster of
-   fitting size stream past the trees as points; surviving pairs of different
-   components are verified on the full sets. The star rounds' pairs pass the
-   same bound first.
-5. Components of the verified links.
+   common (``COMMON`` of a task's texts; of these the ``COMMON_KEPT`` most
+   frequent over all tasks, 8 MB) changes only the work, never the result.
+3. R-trees. Tokens are hashed into ``GROUPS`` groups, a class is the point of
+   its group counts, and the sum of coordinate minima against a node's upper
+   corner (or a point) bounds the overlap. All candidate pairs come from such
+   trees, bulk-loaded with ``BLOCK`` points or about; the survivors are
+   verified on the full sets.
+   a. Pivot rounds: every class enters the tree of one pivot class, the one it
+      shares most shards with, and the pivot searches its trees. Later rounds
+      draw new pivots from a shard's largest component and only enter classes
+      of other components. Large groups of near copies join here with one
+      point per member and round, so no shard emits all its pairs.
+   b. Open shards: what is left are shards with several components. These are
+      contracted to their components; components that share shards, directly
+      or through others, form a cluster. The classes outside a cluster's
+      largest component are loaded into trees by size level and hash, and its
+      classes of fitting size search them; pairs within a component are left
+      out.
+4. Components of the verified links.
 
 A task holds one block of sets and one batch of the stream. Classes are identified by a 64-bit digest of their set
 and shingles by 64-bit hashes.
@@ -60,8 +62,9 @@ FANOUT = 16          # entries per R-tree node
 BLOCK = 1024         # classes in one tree
 STREAM = 16_384      # classes that stream past one tree in one task
 SMALL_IDS = 1_000_000  # candidate ids that may be broadcast (8 bytes each)
-STAR_ROUNDS = 3      # most rounds that try one pivot per class before the trees
+STAR_ROUNDS = 3      # most pivot rounds
 COMMON = 0.005       # share of a task's texts that makes a shingle common
+COMMON_KEPT = 1_000_000  # common shingles that are sent to the tasks (8 bytes each)
 COUNTERS = 150_000   # common candidates a task counts at a time
 _SEEN = 200_000      # set digests a worker remembers to skip repeated copies
 
@@ -214,8 +217,9 @@ def _common(k: int):
             if len(counts) > COUNTERS:
                 floor = max(2, COMMON * texts / 2)
                 counts = {v: c for v, c in counts.items() if c > floor}
-        found = [v for v, c in counts.items() if c >= max(8, COMMON * texts)]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["shingle"])
+        found = {v: c for v, c in counts.items() if c >= max(8, COMMON * texts)}
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()),
+                                          pa.array(list(found.values()), pa.int64())], names=["shingle", "n"])
     return task
 
 
@@ -304,21 +308,10 @@ def _vectors(batches):
              pa.array([_pack(count_vector(s)) for s in found], pa.binary())], names=["cls", "n", "vec"])
 
 
-def _plausible(num: int, den: int):
-    """Rows (a, b, va, vb) -> the pairs whose summed minima allow a link."""
-    def task(batches):
-        for t in batches:
-            if not t.num_rows:
-                continue
-            x, y = _unpack(t.column(2).to_pylist()), _unpack(t.column(3).to_pylist())
-            keep = np.minimum(x, y).sum(1) * (num + den) >= num * (x.sum(1) + y.sum(1))
-            yield t.select(["a", "b"]).filter(pa.array(keep))
-    return task
-
-
 def _tree_pairs(num: int, den: int):
     """Rows (cluster, block, salt, streamed, cls, comp, vec) in that order: the
-    classes of a tree, then the stream. Pairs of different components."""
+    classes of a tree, then the stream. Pairs (streamed class, class of the
+    tree) of different components."""
     def rows(batches):
         current, cls, comp, vectors, tree = None, [], [], [], None
         for t in batches:
@@ -342,51 +335,73 @@ def _tree_pairs(num: int, den: int):
                     q, p = tree.candidates(_unpack(vecs[at:end]), num, den)
                     other = np.array(comps[at:end], np.int64)[q] != side[p]
                     a, b = np.array(ids[at:end], np.int64)[q[other]], own[p[other]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_LINKS)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_LINKS)
                 at = end
 
     return lambda batches: concat_batches(rows(batches), _LINKS)
 
 
-def _tree_round(label: DataFrame, cluster: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) between the components of each cluster that may link."""
-    placed = (cluster.select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
-              .join(label.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls", "left")
-              .join(vectors.select("cls", "n"), "cls")
-              .select("cls", "cluster", "n", F.coalesce("comp", "cls").alias("comp")))
+_TREE = ["cluster", "block", "salt"]
+
+
+def _searched(held: DataFrame, passing: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that the trees of ``held`` give to the classes of ``passing``;
+    both have columns cluster, block, salt, cls, comp."""
+    cols = [*_TREE, "streamed", "cls", "comp"]
+    both = (held.withColumn("streamed", F.lit(0)).select(*cols)
+            .unionByName(passing.withColumn("streamed", F.lit(1)).select(*cols)))
+    return (both.join(vectors.select("cls", "vec"), "cls").select(*cols, "vec")
+            .repartition(*_TREE).sortWithinPartitions(*_TREE, "streamed")
+            .mapInArrow(tidy(_tree_pairs(num, den)), "a long, b long"))
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with a number ``block`` that cuts the classes of each key into
+    blocks of about BLOCK, by a hash of the class."""
+    blocks = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    return rows.join(blocks, [*keys]).withColumn(
+        "block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).drop("blocks")
+
+
+def _pivot_round(tried: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (pivot a, class b) of ``tried`` that the pivots' trees leave."""
+    held = _dealt(tried.select(F.col("a").alias("cluster"), F.col("b").alias("cls"), F.col("b").alias("comp"),
+                               F.lit(0).alias("salt")), "cluster")
+    passing = (held.select(*_TREE).distinct()
+               .select(*_TREE, F.col("cluster").alias("cls"), F.col("cluster").alias("comp")))
+    return _searched(held, passing, vectors, num, den)
+
+
+def _open_round(opened: DataFrame, cluster: DataFrame, vectors: DataFrame, scratch: Scratch, num: int,
+                den: int) -> DataFrame:
+    """Pairs (a, b), a < b, between components of one cluster that may link.
+
+    ``opened`` has the classes (cls, comp) of open shards, ``cluster`` the
+    cluster (label) of every component (node).
+    """
+    level = F.floor(F.log("n") / math.log(den / num)) if num < den else F.col("n")
+    placed = scratch.save(
+        opened.join(cluster.select(F.col("node").alias("comp"), F.col("label").alias("cluster")), "comp")
+        .join(vectors.select("cls", "n"), "cls")
+        .select("cls", "comp", "cluster", "n", level.cast("int").alias("level")), "placed")
     largest = (placed.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"))
                .groupBy("cluster").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"),
-                                       F.sum("size").alias("total"), F.count(F.lit(1)).alias("comps"))
-               .where("comps > 1")
+                                       F.sum("size").alias("total"))
                .select("cluster", "main", F.ceil(F.col("total") / STREAM).cast("int").alias("salts")))
-    opened = placed.join(largest, "cluster")
-    row = F.row_number().over(Window.partitionBy("cluster").orderBy("n", "cls"))
-    stray = (opened.where("comp <> main").withColumn("block", ((row - 1) / BLOCK).cast("int")))
-    blocks = stray.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    held = (stray.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-            .select("cluster", "block", "salt", F.lit(0).alias("streamed"), "cls", "comp"))
-    passing = (opened.join(blocks, "cluster")
+    stray = scratch.save(_dealt(placed.join(largest, "cluster").where("comp <> main"), "cluster", "level")
+                         .withColumn("block", F.struct("level", "block")), "stray")
+    blocks = stray.groupBy("cluster", "block", "salts").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    held = stray.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    passing = (placed.join(blocks, "cluster")
                .where((F.col("n") * den >= F.col("lo") * num) & (F.col("n") * num <= F.col("hi") * den))
-               .select("cluster", "block", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"),
-                       F.lit(1).alias("streamed"), "cls", "comp"))
-    order = ["cluster", "block", "salt"]
-    return (held.unionByName(passing).join(vectors.select("cls", "vec"), "cls")
-            .select(*order, "streamed", "cls", "comp", "vec")
-            .repartition(*order).sortWithinPartitions(*order, "streamed")
-            .mapInArrow(tidy(_tree_pairs(num, den)), "a long, b long").distinct())
+               .withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")))
+    found = _searched(held.withColumn("block", F.xxhash64("block")),
+                      passing.withColumn("block", F.xxhash64("block")), vectors, num, den)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 # ---- the operator -----------------------------------------------------------
 
-def _bounded(pairs: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose count vectors allow a link."""
-    vec = vectors.select("cls", "vec")
-    both = (pairs.select("a", "b").join(vec.toDF("a", "va"), "a").join(vec.toDF("b", "vb"), "b")
-            .select("a", "b", "va", "vb"))
-    return both.mapInArrow(tidy(_plausible(num, den)), "a long, b long")
-
-
 def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of a written table that link. Each centre's set is sent
     once, its partners' sets stream past it; a hot centre is dealt over salts."""
@@ -418,8 +433,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     rows = scratch.save(texts.mapInArrow(tidy(_describe(k)), "doc_id long, n_shingles long, cls long"), "rows")
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
 
-    # at most (shingles of a text) / COMMON common shingles per task
-    common = texts.select("text").mapInArrow(tidy(_common(k)), "shingle long").distinct().collect()
+    common = (texts.select("text").mapInArrow(tidy(_common(k)), "shingle long, n long")
+              .groupBy("shingle").agg(F.sum("n").alias("n"))
+              .orderBy(F.desc("n"), "shingle").limit(COMMON_KEPT).select("shingle").collect())
     common = np.sort(np.array([r.shingle for r in common], np.int64).view(np.uint64))
 
     # shards, and each class's link to try with the shard's smallest class
@@ -438,7 +454,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
 
     vectors = scratch.save(sets.mapInArrow(tidy(_vectors), "cls long, n long, vec binary"), "vectors")
 
-    # star rounds
+    # pivot rounds
     stars = shared.select("cls", F.col("centre").alias("pivot"))
     members = shared.select("sig", "cls").union(shared.select("sig", F.col("centre").alias("cls"))).distinct()
     links = None
@@ -446,8 +462,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
         met = stars.groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("n"))
         tried = met.groupBy(F.col("cls").alias("b")).agg(
             F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("a"))
-        tried = scratch.save(_bounded(tried, vectors, num, den), f"tried-{turn}")
+        tried = scratch.save(_pivot_round(tried, vectors, num, den), f"tried-{turn}")
         found = scratch.save(_checked(tried, sets, num, den), f"star-links-{turn}")
+        scratch.drop(f"tried-{turn}")
         links = found if links is None else links.union(found)
         if turn and not found.limit(1).count():
             break
@@ -463,21 +480,23 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
             .alias("pivot"))
             .where("lo <> hi").select("sig", "pivot"))
         open_members = scratch.save(placed.join(split, "sig"), f"open-{turn}")
+        scratch.drop("shared" if not turn else f"open-{turn - 1}")
         members = open_members.select("sig", "cls")
         stars = open_members.where("comp <> pivot.comp").select("cls", F.col("pivot.cls").alias("pivot"))
 
-    # R-tree round
-    cluster = components(shared.select(F.col("cls").alias("a"), F.col("centre").alias("b")).distinct(),
-                         scratch, "cluster")
-    pairs = scratch.save(_tree_round(label, cluster, vectors, num, den), "tree-pairs")
+    # open shards, contracted to components
+    cluster = components(open_members.where("comp <> pivot.comp").select(
+        F.col("comp").alias("a"), F.col("pivot.comp").alias("b")).distinct(), scratch, "cluster")
+    pairs = scratch.save(_open_round(open_members.select("cls", "comp").distinct(), cluster, vectors,
+                                     scratch, num, den), "tree-pairs")
     more = scratch.save(_checked(pairs, sets, num, den), "tree-links")
     label = components(links.union(more), scratch, "all")
-    scratch.drop("shared", "sets", "vectors", "tree-pairs", *[f"open-{turn}" for turn in range(STAR_ROUNDS)])
 
     reps = classes.join(label, F.col("cls") == F.col("node"), "left").select(
         "cls", "rep", F.coalesce("label", "cls").alias("label"))
     lowest = reps.groupBy("label").agg(F.min("rep").alias("component"))
     final = scratch.save(reps.join(lowest, "label").select("cls", "component"), "final")
+    scratch.keep("rows", "final")
     return (rows.join(final, "cls", "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("n_shingles") > 0, F.col("component"))

@@ -54,6 +54,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/contrail-llm/{tag}-{uuid.uuid4().hex[:12]}"
+        self.saved: set[str] = set()
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         ship_package(spark)
 
@@ -62,6 +63,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        self.saved.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -70,6 +72,11 @@ class Scratch:
         for n in names:
             p = jvm.org.apache.hadoop.fs.Path(self.path(n))
             p.getFileSystem(conf).delete(p, True)
+            self.saved.discard(n)
+
+    def keep(self, *names: str) -> None:
+        """Drop every table but these."""
+        self.drop(*sorted(self.saved - set(names)))
 
 
 def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
