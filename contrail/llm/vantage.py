@@ -11,6 +11,10 @@ Copies: of equal vectors only the k + 1 smallest ids can be among anybody's k
 nearest, so no more enter the index (the planner limits them before the
 shuffle). Query rows are not reduced.
 
+Leaves are scanned by one matrix product, which leaves out what is too far
+whatever its rounding; the rest is scored by differences, so scores and ties
+are exact.
+
 Memory: one shard's tree (``shard_rows`` vectors) and one batch of queries per
 task; queries stream past the tree.
 
@@ -33,10 +37,11 @@ from pyspark.sql.window import Window
 
 from contrail.llm.shared import Scratch, concat_batches, doc_columns
 
-LEAF = 32
+LEAF = 256
 SHARD_ROWS = 32_768
 MIN_SHARD_ROWS = 2_048   # smaller inputs are not cut further
 _SLACK = 1e-9            # relative room for rounding in the pruning test
+_ROUNDING = 8 * np.finfo(np.float64).eps  # per component, of a matrix product against differences
 
 
 class VantageTree:
@@ -74,17 +79,35 @@ class VantageTree:
         found = np.full((len(queries), k), np.iinfo(np.int64).max)
 
         def offer(active, d, ids):
-            d = np.where(ids[None, :] == own[active][:, None], np.inf, d)
+            """Merge distances d to the points ``ids`` (both a row per active
+            query; infinite: none) into the answers."""
+            d = np.where(ids == own[active][:, None], np.inf, d)
             use = (d <= best[active, -1:]).any(1)
             if not use.any():
                 return
-            active, d = active[use], d[use]
+            active, d, ids = active[use], d[use], ids[use]
             all_d = np.concatenate([best[active], d], 1)
-            all_i = np.concatenate([found[active], np.broadcast_to(ids, d.shape)], 1)
+            all_i = np.concatenate([found[active], ids], 1)
             order = np.lexsort((all_i, all_d), axis=1)[:, :k]
             best[active] = np.take_along_axis(all_d, order, 1)
             found[active] = np.take_along_axis(all_i, order, 1)
 
+        def scan(active, rows):
+            """Offer a leaf: one matrix product leaves out what cannot be among
+            the k nearest, the rest is scored exactly."""
+            kept = self.near(queries[active], own[active], rows, best[active, -1], k)
+            width = kept.sum(1)
+            use = np.flatnonzero(width)
+            if not len(use):
+                return
+            q, p = np.nonzero(kept[use])
+            slot = np.arange(len(q)) - np.repeat(np.cumsum(width[use]) - width[use], width[use])
+            d = np.full((len(use), int(width.max())), np.inf)
+            ids = np.full(d.shape, np.iinfo(np.int64).max)
+            d[q, slot] = paired_distances(queries[active[use]], q, self.points[rows], p)
+            ids[q, slot] = self.ids[rows][p]
+            offer(active[use], d, ids)
+
         # nearer halves first: a stack of (node, queries, their lower bounds)
         stack = [(0, np.arange(len(queries)), np.zeros(len(queries)))]
         while stack:
@@ -97,11 +120,11 @@ class VantageTree:
             content = self.nodes[node]
             if isinstance(content, np.ndarray):
                 if len(content):
-                    offer(active, distances(queries[active], self.points[content]), self.ids[content])
+                    scan(active, content)
                 continue
             vantage, (inner, outer), inside, outside = content
             d = distances(queries[active], self.points[vantage][None])[:, 0]
-            offer(active, d[:, None], self.ids[vantage:vantage + 1])
+            offer(active, d[:, None], np.full((len(active), 1), self.ids[vantage]))
             low_in = np.maximum(bound, d - inner)
             low_out = np.maximum(bound, outer - d)
             near_in = d * 2 <= inner + outer
@@ -113,6 +136,35 @@ class VantageTree:
                     stack.append((first, active[chosen], b1[chosen]))
         return best, found
 
+    def near(self, queries: np.ndarray, own: np.ndarray, rows: np.ndarray, reach: np.ndarray,
+             k: int) -> np.ndarray:
+        """Which (query, row) pairs may be among the query's k nearest: squared
+        distances by a matrix product, with room for its rounding. ``reach`` is
+        the k-th distance so far."""
+        points = self.points[rows]
+        with np.errstate(all="ignore"):
+            norms = (queries ** 2).sum(1)[:, None] + (points ** 2).sum(1)[None]
+            square = norms - 2 * (queries @ points.T)
+            room = norms * (_ROUNDING * (queries.shape[1] + 8)) + np.finfo(np.float64).tiny
+            low, high = square - room, square + room
+            sure = np.isfinite(low) & np.isfinite(high)  # else: scored exactly
+            other = self.ids[rows][None] != own[:, None]
+            limit = reach ** 2 * (1 + _SLACK)
+            if len(rows) > k:
+                upper = np.where(sure & other, high, np.inf)
+                limit = np.minimum(limit, np.partition(upper, k - 1, 1)[:, k - 1])
+            return other & (~sure | (low <= limit[:, None]))
+
+
+def paired_distances(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows a[i] to b[j], by differences."""
+    out = np.empty(len(i))
+    step = max(1, 2_000_000 // max(1, a.shape[1]))
+    for at in range(0, len(i), step):
+        diff = a[i[at:at + step]] - b[j[at:at + step]]
+        out[at:at + step] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    return out
+
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of all rows of a to all rows of b, by differences
@@ -202,7 +254,8 @@ def nearest(spark: SparkSession, table: DataFrame, queries, k: int = 10, factor:
     asked = (vectors.where(queries).dropDuplicates(["vec_id", "v"])
              .select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), dim,
                      F.lit(1).alias("is_query"), "vec_id", "v"))
-    dealt = (index.union(asked).repartition(shards, "shard")
+    # by range: hashes of few shard numbers would put several into one task
+    dealt = (index.union(asked).repartitionByRange(shards, "shard")
              .sortWithinPartitions("shard", "dim", "is_query"))
     found = dealt.mapInArrow(_search(k, factor), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
