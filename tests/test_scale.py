@@ -33,3 +33,13 @@ def test_flights_are_shuffled_narrow(spark):
     assert node.output().size() <= 13
     names = {node.output().apply(i).name() for i in range(node.output().size())}
     assert not names & {"origin", "dest", "l_returnflag", "l_extendedprice"}
+
+
+def test_raw_csv_is_landed_compressed(spark):
+    path = R.land_raw_csv(spark, SF_SMALL)
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    raw = R.read_raw_csv(spark, path)
+    assert raw.count() == T.flights(spark, SF_SMALL).count()
+    flags = {r[0] for r in raw.select("Cancelled").union(raw.select("DepDel15")).distinct().collect()}
+    assert flags <= {"0.00", "1.00", None}
