@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from contrail.functions import constants as K
 from contrail.operators import clean as C
+from contrail.session import compiled_methods
 from contrail.sources.store import BatchTable
 
 RAW_COLUMNS = [
@@ -158,6 +159,7 @@ def clean_raw_flights(raw: DataFrame, bool_default: bool = False,
     one value or mostly NULLs stays. P1 and P11 (``drop_sparse_columns``,
     ``drop_constant_columns``) are for frames without a keep list.
     """
+    compiled_methods(raw.sparkSession)  # some forty conversions make one long method
     df = C.strip_column_names(raw)
     df = C.keep_columns(df, keep or K.COLLECTOR_COLUMNS + ["CRSDepTime", "DepTime"])
     df = C.parse_dates(df, ["FlightDate"])

@@ -43,3 +43,18 @@ def test_raw_csv_is_landed_compressed(spark):
     assert raw.count() == T.flights(spark, SF_SMALL).count()
     flags = {r[0] for r in raw.select("Cancelled").union(raw.select("DepDel15")).distinct().collect()}
     assert flags <= {"0.00", "1.00", None}
+
+
+def test_cleaning_runs_compiled(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key, "65535")
+    raw = spark.createDataFrame([tuple("1" for _ in R.RAW_COLUMNS)], R.RAW_SCHEMA)
+    try:
+        spark.conf.unset(key)
+        R.clean_raw_flights(raw)
+        assert spark.conf.get(key) == "8000"
+        spark.conf.set(key, "20000")
+        R.clean_raw_flights(raw)
+        assert spark.conf.get(key) == "20000"  # the submitter's stays
+    finally:
+        spark.conf.set(key, before)
