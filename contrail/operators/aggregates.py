@@ -17,7 +17,7 @@ from contrail.functions.scalars import (avg_half_up, clip, day_name, exact_sum,
                                         route_label)
 from contrail.operators.filters import not_cancelled_strict
 from contrail.operators.windows import frame_max, frame_min, frame_sum
-from contrail.session import checkpoint_root
+from contrail.session import checkpoint_root, stored
 
 
 # Most columns a matrix takes from the data (one per destination airport).
@@ -337,17 +337,18 @@ def row_digest(df: DataFrame, bits: int = 64) -> list[Column]:
 def duplicate_count(df: DataFrame, bits: int = 64) -> DataFrame:
     """Rows, distinct rows, duplicates. Rows are grouped by a 128-bit
     digest first, so the shuffle carries 16 bytes a row; only rows whose digest
-    occurs more than once meet in full, to tell copies from collisions."""
+    occurs more than once meet in full, to tell copies from collisions. These
+    digests are stored first: while they are few the rows are filtered by a
+    broadcast, and a full row is shuffled only if its digest is among them."""
     d0, d1 = row_digest(df, bits)
-    g = (df.select(d0.alias("_d0"), d1.alias("_d1")).groupBy("_d0", "_d1")
-         .agg(F.count(F.lit(1)).alias("_n")))
+    more = stored(df.select(d0.alias("_d0"), d1.alias("_d1")).groupBy("_d0", "_d1")
+                  .agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "duplicate-digests")
     shared = df.withColumns({"_d0": d0, "_d1": d1}).join(
-        g.where("_n > 1").select("_d0", "_d1"), ["_d0", "_d1"], "left_semi")
+        more.select("_d0", "_d1"), ["_d0", "_d1"], "left_semi")
     full = shared.groupBy("_d0", "_d1", *[F.col(f"`{c}`") for c in df.columns]).agg(F.lit(1).alias("_one"))
-    single = g.agg(F.sum("_n").cast("long").alias("rows"), F.count_if(F.col("_n") == 1).alias("lone"))
-    return single.select(
-        F.coalesce("rows", F.lit(0)).alias("rows"),
-        (F.col("lone") + full.agg(F.count(F.lit(1))).scalar()).alias("distinct_rows")).withColumn(
+    among = more.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long")).scalar()
+    return df.agg(F.count(F.lit(1)).alias("rows")).select(
+        "rows", (F.col("rows") - among + full.agg(F.count(F.lit(1))).scalar()).alias("distinct_rows")).withColumn(
         "duplicate_rows", F.col("rows") - F.col("distinct_rows"))
 
 

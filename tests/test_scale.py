@@ -58,3 +58,12 @@ def test_cleaning_runs_compiled(spark):
         assert spark.conf.get(key) == "20000"  # the submitter's stays
     finally:
         spark.conf.set(key, before)
+
+
+def test_duplicates_shuffle_no_row_of_its_own_digest(spark):
+    df = spark.range(2000).select((F.col("id") % 1999).alias("a"), F.lit("x").alias("b")).repartition(4).checkpoint()
+    got = AG.duplicate_count(df)
+    assert _joins(got.select("*"))[1] == 0
+    assert tuple(got.first()) == (2000, 1999, 1)
+    assert tuple(AG.duplicate_count(df.limit(0)).first()) == (0, 0, 0)
+    assert tuple(AG.duplicate_count(df, bits=2).first()) == (2000, 1999, 1)  # collisions of digests
