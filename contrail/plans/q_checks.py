@@ -24,6 +24,7 @@ from contrail.plans.registry import register
 from contrail.sources import live as L
 from contrail.sources import raw as R
 from contrail.sources.live import prediction_log_row
+from contrail.session import stored
 from contrail.sources.tables import flights, weather
 from contrail.streaming.live import new_run_dir
 
@@ -38,8 +39,9 @@ p AS (SELECT d.flight_id, d.delayed AS label, CASE WHEN rate >= {RULE_PCT} THEN
 
 def _rule_predictions(spark, sf):
     dash = AG.dashboard_frame(flights(spark, sf))
-    rate = dash.groupBy("origin", "dest").agg(
-        ratio_half_up(F.sum("delayed") * 100, F.count("delayed"), 1).alias("rate"))
+    # the routes' rates are stored: the planner sees that they are few
+    rate = stored(dash.groupBy("origin", "dest").agg(
+        ratio_half_up(F.sum("delayed") * 100, F.count("delayed"), 1).alias("rate")), "route-rates")
     return dash.join(rate, ["origin", "dest"]).select(
         "flight_id", F.col("delayed").alias(FT.LABEL),
         (F.col("rate") >= RULE_PCT).cast("double").alias("prediction"))

@@ -67,3 +67,12 @@ def test_duplicates_shuffle_no_row_of_its_own_digest(spark):
     assert tuple(got.first()) == (2000, 1999, 1)
     assert tuple(AG.duplicate_count(df.limit(0)).first()) == (0, 0, 0)
     assert tuple(AG.duplicate_count(df, bits=2).first()) == (2000, 1999, 1)  # collisions of digests
+
+
+def test_rates_and_levels_are_broadcast(spark):
+    assert _joins(q_checks._rule_predictions(spark, SF_SMALL)) == (1, 0)
+    train = spark.createDataFrame([(0, "A", "B", 1), (1, "B", "A", 2)], "diverted int, origin string, dest string, n int").checkpoint()
+    test = spark.createDataFrame([(0, "A", "B", 1), (0, "C", "B", 2), (0, "A", None, 3)], train.schema).checkpoint()
+    known = q_ml._of_known_levels(train, test)
+    assert _joins(known) == (3, 0)
+    assert [r.n for r in known.collect()] == [1]
