@@ -76,3 +76,13 @@ def test_rates_and_levels_are_broadcast(spark):
     known = q_ml._of_known_levels(train, test)
     assert _joins(known) == (3, 0)
     assert [r.n for r in known.collect()] == [1]
+
+
+def test_medians_of_a_written_frame_store_nothing(spark):
+    folder = f"{checkpoint_root(spark)}/contrail-stored"
+    df = spark.range(11).select(F.col("id").cast("double").alias("x")).checkpoint()
+    before = len(os.listdir(folder)) if os.path.isdir(folder) else 0
+    assert C.exact_medians(df, ["x"], written=True) == {"x": 5.0}
+    assert (len(os.listdir(folder)) if os.path.isdir(folder) else 0) == before
+    assert C.exact_medians(df, ["x"]) == {"x": 5.0}
+    assert len(os.listdir(folder)) == before + 1
