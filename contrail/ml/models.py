@@ -19,6 +19,7 @@ from contrail.functions import constants as K
 from contrail.functions.scalars import risk_tier
 from contrail.ml import features as FT
 from contrail.operators.clean import require_features
+from contrail.session import stored
 
 
 def route_classifier(max_iter: int = 1000) -> Pipeline:
@@ -143,10 +144,12 @@ def predict_requests(model: PipelineModel, requests: DataFrame,
                      features: list[str] | None = None) -> DataFrame:
     """Match each request's flights to its weather (S16 and the keyed
     join), check features (P25), class and probability per flight. Raises when
-    nothing matches."""
-    j = FT.bools_to_int(join_request_weather(*FT.explode_request(requests)))
+    nothing matches. The requests and the matched rows are stored: both tables
+    of the requests, the check and the scoring read them, no join runs twice."""
+    j = FT.bools_to_int(join_request_weather(*FT.explode_request(stored(requests, "requests"))))
     if features:
         require_features(j, features)
+    j = stored(j, "matched")
     if j.isEmpty():
         raise ValueError("No matching flight+weather data after merge")
     return with_probability(model.transform(j))

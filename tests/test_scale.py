@@ -86,3 +86,27 @@ def test_medians_of_a_written_frame_store_nothing(spark):
     assert (len(os.listdir(folder)) if os.path.isdir(folder) else 0) == before
     assert C.exact_medians(df, ["x"]) == {"x": 5.0}
     assert len(os.listdir(folder)) == before + 1
+
+
+class _Model:
+    def transform(self, df):
+        return df.withColumn("probability", array_to_vector(F.array(F.lit(0.25), F.lit(0.75))))
+
+
+def test_requests_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    day = [(c, "2024-01-01", *[1.0] * len(WEATHER_MEASURES)) for c in ("X", "Y")]
+    measures = ", ".join(f"{m}: double" for m in WEATHER_MEASURES)
+    requests = spark.createDataFrame(
+        [(i, [("2024-01-01", "X", "X", "Y", "Y", 100.0, 1, 0)], day) for i in range(6)],
+        "request_id long, flights array<struct<flightdate: string, origin: string, origincityname: string, "
+        "dest: string, destcityname: string, distance: double, distancegroup: int, diverted: int>>, "
+        f"weather array<struct<location_name: string, weather_date: string, {measures}>>")
+    out = M.predict_requests(_Model(), requests.mapInArrow(counted, requests.schema), FT.MODEL_FEATURES)
+    assert [r.delay_probability for r in out.collect()] == [0.75] * 6
+    assert seen.value == 6
