@@ -113,3 +113,18 @@ def test_oversampling_draws_with_replacement_on_any_partitioning(spark):
     assert 299 - 5 * 24.5 < chi < 299 + 5 * 24.5
     other = {r.id: r["count"] for r in FT.oversample(df, seed=1).groupBy("id").count().collect()}
     assert other != counts[0]
+
+
+def test_forest_keeps_rows_nodes_and_grows_the_same_trees(spark):
+    df = spark.range(600).selectExpr(
+        "id AS flight_id", "int(id % 3 = 0 OR id % 7 = 1) AS label", "int(id % 2) AS diverted",
+        "concat('A', id % 4) AS origin", "concat('B', id % 5) AS dest",
+        *[f"double((id * {i + 3}) % {11 + i}) AS {c}" for i, c in enumerate(FT.NUMERIC_FEATURES)])
+    medians = {c: 1.0 for c in FT.NUMERIC_FEATURES}
+    pipeline = M.forest_classifier(num_trees=5, max_depth=6, medians=medians)
+    forest = pipeline.getStages()[-1]
+    assert forest.getCacheNodeIds()
+    kept = pipeline.fit(df).stages[-1].toDebugString.split("\n", 1)[1]
+    plain = M.forest_classifier(num_trees=5, max_depth=6, medians=medians)
+    plain.getStages()[-1].setCacheNodeIds(False)
+    assert plain.fit(df).stages[-1].toDebugString.split("\n", 1)[1] == kept
