@@ -170,7 +170,8 @@ def _balanced(spark, sf):
 @register("m7_m8_oversampled_classifier_metrics")
 def m7_m8(spark, sf):
     train, test = _balanced(spark, sf)
-    return M.evaluate(M.weather_classifier(train.count()).fit(train).transform(test))
+    medians = exact_medians(train, FT.NUMERIC_FEATURES, written=True)
+    return M.evaluate(M.weather_classifier(train.count(), medians=medians).fit(train).transform(test))
 
 
 @register("m7_m10_oversampled_forest_metrics")
@@ -197,7 +198,8 @@ def m4_m8(spark, sf):
     train, test = FT.hash_split(_weather_training_data(spark, sf), 0.2)
     known = _of_known_levels(train, test)
     model = M.weather_classifier(train.count(), drop_first=True,
-                                 categoricals=FT.varied(train, FT.CATEGORICAL_FEATURES)).fit(train)
+                                 categoricals=FT.varied(train, FT.CATEGORICAL_FEATURES),
+                                 medians=exact_medians(train, FT.NUMERIC_FEATURES, written=True)).fit(train)
     return M.evaluate(model.transform(known)).withColumn(
         "unseen_rows", F.lit(test.count() - known.count()))
 

@@ -128,3 +128,31 @@ def test_forest_keeps_rows_nodes_and_grows_the_same_trees(spark):
     plain = M.forest_classifier(num_trees=5, max_depth=6, medians=medians)
     plain.getStages()[-1].setCacheNodeIds(False)
     assert plain.fit(df).stages[-1].toDebugString.split("\n", 1)[1] == kept
+
+
+def test_oversampled_models_fill_by_exact_medians(spark, monkeypatch):
+    """No estimator of the weather queries sorts the columns for approximate medians."""
+    from pyspark.ml.feature import Imputer
+
+    from contrail.plans import q_ml
+    seen = []
+    monkeypatch.setattr(q_ml, "_weather_training_data", lambda s, d: spark.range(10).selectExpr("id AS flight_id"))
+    monkeypatch.setattr(q_ml, "_balanced", lambda s, d: (spark.range(8), spark.range(2)))
+    monkeypatch.setattr(q_ml, "_of_known_levels", lambda train, test: test)
+    monkeypatch.setattr(q_ml, "exact_medians", lambda df, cols, written=False: {c: 0.5 for c in cols})
+    monkeypatch.setattr(q_ml.FT, "varied", lambda df, cols: cols)
+
+    class Stop(Exception):
+        pass
+
+    def fit(self, df):
+        seen.append([type(x) for x in self.getStages()])
+        raise Stop
+
+    monkeypatch.setattr("pyspark.ml.Pipeline.fit", fit)
+    for query in (q_ml.m10, q_ml.m7_m10, q_ml.m7_m8, q_ml.m4_m8):
+        try:
+            query(spark, "unused")
+        except Stop:
+            pass
+    assert len(seen) == 4 and not any(Imputer in stages for stages in seen)
