@@ -442,6 +442,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     keys = texts.select("text").mapInArrow(tidy(_shards(k, num, den, common)), "sig long, cls long")
     first = F.first("cls").over(Window.partitionBy("sig").orderBy("cls"))
     shared = scratch.save(keys.withColumn("centre", first).where("centre <> cls"), "shared")
+    scratch.release()
 
     # sets of the classes that share a shard with another
     wanted = shared.select("cls").union(shared.select(F.col("centre").alias("cls"))).distinct()
@@ -481,6 +482,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
             .where("lo <> hi").select("sig", "pivot"))
         open_members = scratch.save(placed.join(split, "sig"), f"open-{turn}")
         scratch.drop("shared" if not turn else f"open-{turn - 1}")
+        scratch.release()
         members = open_members.select("sig", "cls")
         stars = open_members.where("comp <> pivot.comp").select("cls", F.col("pivot.cls").alias("pivot"))
 
@@ -489,6 +491,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
         F.col("comp").alias("a"), F.col("pivot.comp").alias("b")).distinct(), scratch, "cluster")
     pairs = scratch.save(_open_round(open_members.select("cls", "comp").distinct(), cluster, vectors,
                                      scratch, num, den), "tree-pairs")
+    scratch.release()
     more = scratch.save(_checked(pairs, sets, num, den), "tree-links")
     label = components(links.union(more), scratch, "all")
 

@@ -96,3 +96,14 @@ def test_odd_rows(spark):
     assert got == sorted([(5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 2, 3), (None, 2, 3), (8, 2, 3), (3, 2, 3),
                           (9, 1, 9), (10, 1, 10)], key=str)
     assert jaccard_components(spark, docs.limit(0), 4, 85, 100).collect() == []
+
+
+def test_release_after_each_large_table(spark, monkeypatch):
+    from contrail.llm.shared import Scratch
+    calls = []
+    release = Scratch.release
+    monkeypatch.setattr(Scratch, "release", lambda self: (calls.append(set(self.saved)), release(self))[1])
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "other " * 9)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_components(spark, docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert calls[0] == {"rows", "shared"} and len(calls) >= 3
