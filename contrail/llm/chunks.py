@@ -11,6 +11,8 @@ import sys
 from array import array
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
 MEMO_PIECES = 200_000  # pieces kept; beyond, only the current batch's stay
 MEMO_SIZE = 48         # longer pieces are encoded each time
 
@@ -23,6 +25,21 @@ def packed(ids: Iterable[int]) -> bytes:
     return out.tobytes()
 
 
+def cut_ids(ids: list[int], sizes: np.ndarray, lengths: list[int]) -> list[bytes] | None:
+    """The packed ids of the pieces that were encoded in one text: ``sizes``
+    has each id's length (0: unknown), ``lengths`` the pieces'. None if the ids'
+    lengths do not tell the pieces apart."""
+    own = sizes[ids]
+    ends, stops = np.cumsum(own), np.cumsum(lengths)
+    if not len(ends) or not own.all() or ends[-1] != stops[-1]:
+        return None
+    last = np.searchsorted(ends, stops)
+    if (ends[last] != stops).any():
+        return None
+    raw, at = packed(ids), ((last + 1) * 4).tolist()
+    return [raw[a:z] for a, z in zip([0, *at], at)]
+
+
 class PieceEncoder:
     """Packed ids of lists of pieces. ``encode_many`` gives the packed ids of
     pieces seen for the first time."""

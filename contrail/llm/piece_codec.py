@@ -10,8 +10,9 @@ and decodes them again.
 
 No piece joins a character to a marker that follows it, nor holds a line
 break, so where the normaliser is the identity a text is encoded in stretches
-cut at these places, each once per memo; the loader checks the condition and
-otherwise whole texts are encoded. ``verify`` follows the same rule: a stretch is
+cut at these places, each once per memo, many new ones in one text that is cut
+at the same places; the loader checks the condition and otherwise whole texts
+are encoded. ``verify`` follows the same rule: a stretch is
 compared when it is encoded, so once per memo, together with others in one text
 that is cut at the same places; a text is like the library's if all its
 stretches are. Whole texts are compared where texts are not cut.
@@ -36,7 +37,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm.chunks import MEMO_PIECES, PieceEncoder, packed
+from contrail.llm.chunks import MEMO_PIECES, PieceEncoder, cut_ids, packed
 from contrail.llm.shared import Scratch, doc_columns, tidy
 
 MARK = "▁"
@@ -47,6 +48,7 @@ UNIGRAM, BPE = 1, 2
 THREADS = 2  # of the library, per task
 
 _TOGETHER = 4096  # stretches compared in one text
+_JOINED = 128     # stretches encoded in one text
 _STRETCH = re.compile(r" *[^ \n]+|\n+| +")
 
 
@@ -187,8 +189,22 @@ class Codec:
         self._cut = self.model.stretches
         library = self.model.tokenizer(not self._cut)
         self._decode = library.decode_batch  # the same with and without the prefix
-        self._memo = PieceEncoder(lambda texts: [
-            packed(e.ids) for e in library.encode_batch_fast(texts, add_special_tokens=False)])
+        self._library = lambda texts: [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        # bytes of each id's piece in a text, 0 if it may stand for others
+        self._sizes = np.array([1 if kind == BYTE else len(p.encode()) if kind == NORMAL else 0
+                                for p, _, kind in self.model.pieces], np.int64)
+        self._memo = PieceEncoder(self._coded)
+
+    def _coded(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of pieces."""
+        if not self._cut:
+            return list(map(packed, self._library(pieces)))
+        rows = [_in_a_row(pieces[i:i + _JOINED]) for i in range(0, len(pieces), _JOINED)]
+        ids: dict[str, bytes] = {}
+        for row, coded in zip(rows, self._library(["".join(r) for r in rows])):
+            cut = cut_ids(coded, self._sizes, [len(p.replace(" ", MARK).encode()) for p in row])
+            ids.update(zip(row, cut if cut is not None else map(packed, self._library(row))))
+        return [ids[p] for p in pieces]
 
     def pieces(self, texts: list[str | None]) -> list[list[str]]:
         """What each text is encoded by: its stretches, or itself."""
@@ -226,32 +242,40 @@ class Verifier:
             self._fresh()
         pieces = self._codec.pieces(texts)
         coded = self._memo(pieces)
-        return (coded, [self.unlike.isdisjoint(p) for p in pieces],
-                [self.lost.isdisjoint(p) and not (t and MARK in t) for p, t in zip(pieces, texts)])
+        unlike, lost = self.unlike, self.lost
+        return (coded, [not unlike or unlike.isdisjoint(p) for p in pieces],
+                [(not lost or lost.isdisjoint(p)) and not (t and MARK in t) for p, t in zip(pieces, texts)])
 
     def _checked(self, pieces: list[str]) -> list[bytes]:
         coded = self._plain(pieces)
-        ids = {p: np.frombuffer(c, "<u4").tolist() for p, c in zip(pieces, coded)}
+        ids = dict(zip(pieces, coded))
         if not self._codec._cut:
-            for p, theirs, text in zip(pieces, self._library.encode(pieces, num_threads=1),
-                                       self._codec.decode([ids[p] for p in pieces])):
-                if theirs != ids[p]:
+            found = [np.frombuffer(c, "<u4").tolist() for c in coded]
+            for p, own, theirs, text in zip(pieces, found, self._library.encode(pieces, num_threads=1),
+                                            self._codec.decode(found)):
+                if theirs != own:
                     self.unlike.add(p)
                 if text != p:
                     self.lost.add(p)
             return coded
         frame = [" a", "\n"]
-        ids.update(zip(frame, [np.frombuffer(c, "<u4").tolist() for c in self._plain(frame)]))
+        ids.update(zip(frame, self._plain(frame)))
         for start in range(0, len(pieces), _TOGETHER):
             group = pieces[start:start + _TOGETHER]
-            self._check(group, ids, self._same_ids, self.unlike)
-            self._check(group, ids, self._same_text, self.lost)
+            text, joined = self._joined(group, ids)
+            for same, bad in ((self._same_ids, self.unlike), (self._same_text, self.lost)):
+                if not same(text, joined):
+                    self._check(group, ids, same, bad)
         return coded
 
+    def _joined(self, group: list[str], ids: dict) -> tuple[str, list[int]]:
+        """A text of the stretches, and its ids from theirs."""
+        row = _in_a_row(group)
+        return "".join(row)[1:], np.frombuffer(b"".join(map(ids.__getitem__, row)), "<u4").tolist()
+
     def _check(self, group: list[str], ids: dict, same, bad: set) -> None:
         """Halves a group that differs until the pieces at fault are alone."""
-        row = _in_a_row(group)
-        if same("".join(row)[1:], [i for p in row for i in ids[p]]):
+        if same(*self._joined(group, ids)):
             return
         if len(group) == 1:
             bad.add(group[0])
