@@ -24,12 +24,14 @@ when ``den * |A & B| >= num * |A | B|``. The result is exact:
       draw new pivots from a shard's largest component and only enter classes
       of other components. Large groups of near copies join here with one
       point per member and round, so no shard emits all its pairs.
-   b. Open shards: what is left are shards with several components. These are
-      contracted to their components; components that share shards, directly
-      or through others, form a cluster. The classes outside a cluster's
-      largest component are loaded into trees by size level and hash, and its
-      classes of fitting size search them; pairs within a component are left
-      out.
+   b. Open shards: what is left are shards with several components; of those
+      with the same classes one stays. In a shard of ``BLOCK`` classes at most
+      those outside its largest component are loaded into a tree and all
+      search it. Larger shards are contracted to their components; components
+      that share such shards, directly or through others, form a cluster. The
+      classes outside a cluster's largest component are loaded into trees by
+      size level and hash, and its classes of fitting size search them. Pairs
+      within a component are left out.
 4. Components of the verified links.
 
 A task holds one block of sets and one batch of the stream. Classes are identified by a 64-bit digest of their set
@@ -54,7 +56,7 @@ from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
 from contrail.llm.components import components
-from contrail.llm.shared import Scratch, binary_values, concat_batches, doc_columns, mix, tidy
+from contrail.llm.shared import Scratch, binary_values, concat_batches, doc_columns, mix, runs, tidy
 from contrail.llm.words import shingle_set
 
 GROUPS = 128         # coordinates of a count vector
@@ -341,6 +343,24 @@ def _tree_pairs(num: int, den: int):
     return lambda batches: concat_batches(rows(batches), _LINKS)
 
 
+def _shard_pairs(num: int, den: int):
+    """Rows (sig, cls, comp, vec) sorted by sig: pairs of a shard's classes, of
+    different components, that the tree of those outside its largest one leaves."""
+    def rows(batches):
+        for t in runs(batches, ["sig"]):
+            cls, comp = (t.column(c).to_numpy() for c in ("cls", "comp"))
+            value, n = np.unique(comp, return_counts=True)
+            held = np.flatnonzero(comp != value[n.argmax()])
+            if len(held):
+                points = _unpack(t.column("vec").to_pylist())
+                q, p = CountRTree(points[held]).candidates(points, num, den)
+                p = held[p]
+                other = comp[q] != comp[p]
+                yield pa.RecordBatch.from_arrays([pa.array(cls[q[other]]), pa.array(cls[p[other]])], schema=_LINKS)
+
+    return lambda batches: concat_batches(rows(batches), _LINKS)
+
+
 _TREE = ["cluster", "block", "salt"]
 
 
@@ -372,6 +392,22 @@ def _pivot_round(tried: DataFrame, vectors: DataFrame, num: int, den: int) -> Da
     return _searched(held, passing, vectors, num, den)
 
 
+def _one_of_equal(members: DataFrame) -> DataFrame:
+    """``members`` of one of all shards (sig) that have the same classes, with
+    their number (width)."""
+    alike = members.groupBy("sig").agg(F.count(F.lit(1)).alias("width"), F.bit_xor(F.xxhash64("cls")).alias("x"),
+                                       F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    return members.join(alike.groupBy("width", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "width"), "sig")
+
+
+def _small_round(opened: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b), a < b, of shards whose classes (sig, cls, comp) fit one tree."""
+    found = (opened.join(vectors.select("cls", "vec"), "cls").select("sig", "cls", "comp", "vec")
+             .repartition("sig").sortWithinPartitions("sig")
+             .mapInArrow(tidy(_shard_pairs(num, den)), "a long, b long"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _open_round(opened: DataFrame, cluster: DataFrame, vectors: DataFrame, scratch: Scratch, num: int,
                 den: int) -> DataFrame:
     """Pairs (a, b), a < b, between components of one cluster that may link.
@@ -486,11 +522,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
         members = open_members.select("sig", "cls")
         stars = open_members.where("comp <> pivot.comp").select("cls", F.col("pivot.cls").alias("pivot"))
 
-    # open shards, contracted to components
-    cluster = components(open_members.where("comp <> pivot.comp").select(
+    # open shards: small ones each in a tree, large ones contracted to components
+    shards = scratch.save(_one_of_equal(open_members), "shards")
+    scratch.drop(f"open-{turn}")
+    small = scratch.save(_small_round(shards.where(F.col("width") <= BLOCK), vectors, num, den), "small-pairs")
+    large = shards.where(F.col("width") > BLOCK)
+    cluster = components(large.where("comp <> pivot.comp").select(
         F.col("comp").alias("a"), F.col("pivot.comp").alias("b")).distinct(), scratch, "cluster")
-    pairs = scratch.save(_open_round(open_members.select("cls", "comp").distinct(), cluster, vectors,
-                                     scratch, num, den), "tree-pairs")
+    pairs = scratch.save(small.union(_open_round(large.select("cls", "comp").distinct(), cluster, vectors,
+                                                 scratch, num, den)).distinct(), "tree-pairs")
     scratch.release()
     more = scratch.save(_checked(pairs, sets, num, den), "tree-links")
     label = components(links.union(more), scratch, "all")

@@ -107,3 +107,46 @@ def test_release_after_each_large_table(spark, monkeypatch):
     docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "other " * 9)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in jaccard_components(spark, docs).collect()} == {1: 1, 2: 1, 3: 3}
     assert calls[0] == {"rows", "shared"} and len(calls) >= 3
+
+
+def boilerplate(n=24):
+    """Texts of one length that share one range of rare words and nothing else, in
+    three shards of chance, and some linked pairs."""
+    rng = random.Random(9)
+    rows = []
+    for d in range(n):
+        words = [f"own{d}x{i}" for i in range(60)]
+        words[20:40] = [f"line{d % 3}x{i}" for i in range(20)]
+        rows.append((d, " ".join(words)))
+    for d in range(0, n, 5):
+        words = rows[d][1].split()
+        words[rng.randrange(60)] = "changed"
+        rows.append((n + d, " ".join(words)))
+    return rows
+
+
+def test_small_open_shards_are_not_joined_to_clusters(spark, monkeypatch):
+    from contrail.llm import ngram_join
+    seen = []
+    whole = ngram_join._open_round
+    monkeypatch.setattr(ngram_join, "_open_round", lambda opened, *rest: (seen.append(opened.count()),
+                                                                         whole(opened, *rest))[1])
+    small, rows = [], boilerplate()
+    round_ = ngram_join._small_round
+    monkeypatch.setattr(ngram_join, "_small_round", lambda opened, *rest: (small.append(opened.count()),
+                                                                          round_(opened, *rest))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows, 4, 85, 100)
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 1)
+    assert sorted(map(tuple, jaccard_components(spark, docs, 4, 85, 100).collect())) == expected
+    assert seen == [0] and small[0] > 0
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)  # larger shards go by clusters
+    assert sorted(map(tuple, jaccard_components(spark, docs, 4, 85, 100).collect())) == expected
+    assert seen[1] > 0
+
+
+def test_one_of_the_shards_with_equal_classes_stays(spark):
+    from contrail.llm.ngram_join import _one_of_equal
+    members = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 11), (3, 10), (3, 12), (4, 11)], "sig long, cls long")
+    got = sorted((r.sig, r.cls, r.width) for r in _one_of_equal(members).collect())
+    assert got == [(1, 10, 2), (1, 11, 2), (3, 10, 2), (3, 12, 2), (4, 11, 1)]
