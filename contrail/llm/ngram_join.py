@@ -27,11 +27,18 @@ when ``den * |A & B| >= num * |A | B|``. The result is exact:
    b. Open shards: what is left are shards with several components; of those
       with the same classes one stays. In a shard of ``BLOCK`` classes at most
       those outside its largest component are loaded into a tree and all
-      search it. Larger shards are contracted to their components; components
-      that share such shards, directly or through others, form a cluster. The
-      classes outside a cluster's largest component are loaded into trees by
-      size level and hash, and its classes of fitting size search them. Pairs
-      within a component are left out.
+      search it; classes that the candidate pairs connect form a group.
+      Larger shards are contracted to their components; components that share
+      such shards, directly or through others, form a cluster.
+   c. Groups that share classes, directly or through others, are searched as
+      one if they fit one tree, as a cluster if that sends fewer sets than the
+      groups or if one fits no tree, and by themselves else.
+   d. In a group, the classes outside its largest component are loaded into a
+      tree and all search it; in a cluster, these classes are loaded into trees
+      by size level and hash, and its classes of fitting size search them. Here
+      the sets go with the classes: candidates are verified where they are
+      found, and a task returns only links that join two components. So no
+      task returns more rows than it reads, however many pairs it compares.
 4. Components of the verified links.
 
 A task holds one block of sets and one batch of the stream. Classes are identified by a 64-bit digest of their set
@@ -62,6 +69,7 @@ from contrail.llm.words import shingle_set
 GROUPS = 128         # coordinates of a count vector
 FANOUT = 16          # entries per R-tree node
 BLOCK = 1024         # classes in one tree
+SHINGLES = 2_000_000  # shingles of the sets in one tree (16 MB)
 STREAM = 16_384      # classes that stream past one tree in one task
 SMALL_IDS = 1_000_000  # candidate ids that may be broadcast (8 bytes each)
 STAR_ROUNDS = 3      # most pivot rounds
@@ -343,20 +351,157 @@ def _tree_pairs(num: int, den: int):
     return lambda batches: concat_batches(rows(batches), _LINKS)
 
 
-def _shard_pairs(num: int, den: int):
-    """Rows (sig, cls, comp, vec) sorted by sig: pairs of a shard's classes, of
-    different components, that the tree of those outside its largest one leaves."""
+class Parts:
+    """The part of each class of a tree; parts are joined by links."""
+
+    def __init__(self, part: np.ndarray):
+        self.of = part.copy()
+        self._moved: dict[int, int] = {}
+
+    def now(self, part: int) -> int:
+        """The part that ``part`` has become."""
+        seen = []
+        while part in self._moved:
+            seen.append(part)
+            part = self._moved[part]
+        self._moved.update(dict.fromkeys(seen, part))
+        return part
+
+    def join(self, part: int, to: np.ndarray) -> np.ndarray:
+        """Joins a part with those of the classes ``to``: of each other part one of these."""
+        parts, first = np.unique(self.of[to], return_index=True)
+        new = parts != part
+        if new.any():
+            self.of[np.isin(self.of, parts[new])] = part
+            self._moved.update(dict.fromkeys(parts[new].tolist(), part))
+        return to[first[new]]
+
+
+class Postings:
+    """The sets of a tree by shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        shingles = np.concatenate([NONE, *sets])
+        order = np.argsort(shingles, kind="stable")
+        self._owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        self._shingles, first = np.unique(shingles[order], return_index=True)
+        self._at = np.append(first, len(shingles))
+
+    def overlaps(self, s: np.ndarray) -> np.ndarray:
+        """Shingles that each set shares with ``s`` (sorted)."""
+        near = np.searchsorted(self._shingles, s)
+        near = near[near < len(self._shingles)]
+        near = near[self._shingles[near] == s[:len(near)]]
+        start, n = self._at[near], self._at[near + 1] - self._at[near]
+        each = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self._owner[each], minlength=len(self.sizes))
+
+
+def _by_query(q: np.ndarray, p: np.ndarray):
+    """(query, its points) of pairs in order of the query."""
+    cuts = np.flatnonzero(np.diff(q)) + 1
+    return zip(q[np.concatenate(([0], cuts))].tolist(), np.split(p, cuts)) if len(q) else ()
+
+
+def _outside_largest(comp: np.ndarray) -> np.ndarray:
+    value, n = np.unique(comp, return_counts=True)
+    return np.flatnonzero(comp != value[n.argmax()])
+
+
+_GROUPS = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("comp", pa.int64())])
+
+
+def _shard_groups(num: int, den: int):
+    """Rows (sig, cls, comp, vec) sorted by sig -> (sig of the group, cls, comp):
+    a shard's classes that have a candidate of another component in the tree
+    of those outside its largest one, or are one; such pairs share a group."""
     def rows(batches):
         for t in runs(batches, ["sig"]):
             cls, comp = (t.column(c).to_numpy() for c in ("cls", "comp"))
-            value, n = np.unique(comp, return_counts=True)
-            held = np.flatnonzero(comp != value[n.argmax()])
+            held = _outside_largest(comp)
+            if not len(held):
+                continue
+            points = _unpack(t.column("vec").to_pylist())
+            q, p = CountRTree(points[held]).candidates(points, num, den)
+            other = comp[q] != comp[held[p]]
+            q, p = q[other], p[other]
+            parts = Parts(held)
+            for i, found in _by_query(q, p):
+                parts.join(parts.now(i), found)
+            met = np.unique(np.concatenate((q, held[p])))
+            part = np.array([parts.now(i) for i in met.tolist()], np.int64)
+            sig = mix(mix(cls[part].view(np.uint64)) ^ np.uint64(t.column("sig")[0].as_py() % (1 << 64)))
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(cls[met]), pa.array(comp[met])],
+                                             schema=_GROUPS)
+
+    return lambda batches: concat_batches(rows(batches), _GROUPS)
+
+
+class SetTree:
+    """A tree of classes with their sets, searched by classes with theirs."""
+
+    def __init__(self, cls: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], num: int, den: int):
+        self._cls, self._parts, self._num, self._den = cls, Parts(comp), num, den
+        self._sets = Postings(sets)
+        self._tree = CountRTree(np.stack([count_vector(s) for s in sets]))
+
+    def links(self, cls: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        """(searching class, class of the tree) of links that join two components."""
+        out_a, out_b = [], []
+        points = np.stack([count_vector(s) for s in sets])
+        for i, found in _by_query(*self._tree.candidates(points, self._num, self._den)):
+            part = self._parts.now(int(comp[i]))
+            found = found[self._parts.of[found] != part]
+            if not len(found):
+                continue
+            shared = self._sets.overlaps(sets[i])[found]
+            union = len(sets[i]) + self._sets.sizes[found] - shared
+            joined = self._parts.join(part, found[self._den * shared >= self._num * union])
+            out_a += [cls[i]] * len(joined)
+            out_b += self._cls[joined].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=_LINKS)
+
+
+def _columns(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    return (t.column("cls").to_numpy(), t.column("comp").to_numpy(),
+            [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()])
+
+
+def _group_links(num: int, den: int):
+    """Rows (sig, cls, comp, shingles) sorted by sig -> links of each group."""
+    def rows(batches):
+        for t in runs(batches, ["sig"]):
+            cls, comp, sets = _columns(t)
+            held = _outside_largest(comp)
             if len(held):
-                points = _unpack(t.column("vec").to_pylist())
-                q, p = CountRTree(points[held]).candidates(points, num, den)
-                p = held[p]
-                other = comp[q] != comp[p]
-                yield pa.RecordBatch.from_arrays([pa.array(cls[q[other]]), pa.array(cls[p[other]])], schema=_LINKS)
+                yield SetTree(cls[held], comp[held], [sets[i] for i in held], num, den).links(cls, comp, sets)
+
+    return lambda batches: concat_batches(rows(batches), _LINKS)
+
+
+def _tree_links(num: int, den: int):
+    """Rows (cluster, block, salt, streamed, cls, comp, shingles) in that order:
+    the classes of a tree, then the stream -> links."""
+    def rows(batches):
+        current, held, tree = None, [], None
+        for b in batches:
+            keys = list(zip(*[b.column(i).to_pylist() for i in range(4)]))
+            at = 0
+            while at < len(keys):
+                end = at
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if keys[at][:3] != current:
+                    current, held, tree = keys[at][:3], [], None
+                part = b.slice(at, end - at)
+                if not keys[at][3]:
+                    held.append(part)
+                elif held or tree:
+                    if tree is None:
+                        tree, held = SetTree(*_columns(pa.Table.from_batches(held)), num, den), []
+                    yield tree.links(*_columns(part))
+                at = end
 
     return lambda batches: concat_batches(rows(batches), _LINKS)
 
@@ -364,21 +509,26 @@ def _shard_pairs(num: int, den: int):
 _TREE = ["cluster", "block", "salt"]
 
 
-def _searched(held: DataFrame, passing: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
+def _searched(held: DataFrame, passing: DataFrame, points: DataFrame, task) -> DataFrame:
     """Pairs (a, b) that the trees of ``held`` give to the classes of ``passing``;
-    both have columns cluster, block, salt, cls, comp."""
+    both have columns cluster, block, salt, cls, comp. ``points``: (cls, what
+    the task needs of it)."""
     cols = [*_TREE, "streamed", "cls", "comp"]
     both = (held.withColumn("streamed", F.lit(0)).select(*cols)
             .unionByName(passing.withColumn("streamed", F.lit(1)).select(*cols)))
-    return (both.join(vectors.select("cls", "vec"), "cls").select(*cols, "vec")
+    return (both.join(points, "cls").select(*cols, points.columns[1])
             .repartition(*_TREE).sortWithinPartitions(*_TREE, "streamed")
-            .mapInArrow(tidy(_tree_pairs(num, den)), "a long, b long"))
+            .mapInArrow(tidy(task), "a long, b long"))
 
 
-def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+def _dealt(rows: DataFrame, *keys: str, weight: str | None = None) -> DataFrame:
     """``rows`` with a number ``block`` that cuts the classes of each key into
-    blocks of about BLOCK, by a hash of the class."""
-    blocks = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    blocks of about BLOCK, or of about SHINGLES by the sum of ``weight`` if that
+    is less, by a hash of the class."""
+    full = F.count(F.lit(1)) / BLOCK
+    if weight:
+        full = F.greatest(full, F.sum(weight) / SHINGLES)
+    blocks = rows.groupBy(*keys).agg(F.ceil(full).alias("blocks"))
     return rows.join(blocks, [*keys]).withColumn(
         "block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).drop("blocks")
 
@@ -389,7 +539,7 @@ def _pivot_round(tried: DataFrame, vectors: DataFrame, num: int, den: int) -> Da
                                F.lit(0).alias("salt")), "cluster")
     passing = (held.select(*_TREE).distinct()
                .select(*_TREE, F.col("cluster").alias("cls"), F.col("cluster").alias("comp")))
-    return _searched(held, passing, vectors, num, den)
+    return _searched(held, passing, vectors.select("cls", "vec"), _tree_pairs(num, den))
 
 
 def _one_of_equal(members: DataFrame) -> DataFrame:
@@ -401,39 +551,62 @@ def _one_of_equal(members: DataFrame) -> DataFrame:
 
 
 def _small_round(opened: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b), a < b, of shards whose classes (sig, cls, comp) fit one tree."""
-    found = (opened.join(vectors.select("cls", "vec"), "cls").select("sig", "cls", "comp", "vec")
-             .repartition("sig").sortWithinPartitions("sig")
-             .mapInArrow(tidy(_shard_pairs(num, den)), "a long, b long"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _open_round(opened: DataFrame, cluster: DataFrame, vectors: DataFrame, scratch: Scratch, num: int,
+    """The groups (sig, cls, comp) of shards whose classes (sig, cls, comp) fit one tree."""
+    return (opened.join(vectors.select("cls", "vec"), "cls").select("sig", "cls", "comp", "vec")
+            .repartition("sig").sortWithinPartitions("sig")
+            .mapInArrow(tidy(_shard_groups(num, den)), "sig long, cls long, comp long"))
+
+
+def _verified_groups(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join the components of each group (sig, cls, comp)."""
+    return (groups.join(sets, "cls").select("sig", "cls", "comp", "shingles")
+            .repartition("sig").sortWithinPartitions("sig")
+            .mapInArrow(tidy(_group_links(num, den)), "a long, b long"))
+
+
+def _merged_groups(groups: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of a written table of groups (sig, cls, comp, n) the groups (sig, cls,
+    comp) that are searched by themselves or as one, and the classes (cls,
+    comp, cluster) of those searched as clusters."""
+    each = groups.groupBy("sig").agg(F.min("cls").alias("first"), F.sum("n").alias("weight"))
+    linked = scratch.save(groups.join(each, "sig"), "linked")
+    label = components(linked.select(F.col("cls").alias("a"), F.col("first").alias("b")), scratch, "groups")
+    placed = linked.join(label.select(F.col("node").alias("cls"), F.col("label").alias("cluster")), "cls")
+    members = placed.groupBy("cluster", "cls", "comp", "n").agg(F.count(F.lit(1)).alias("sent"),
+                                                                F.max("weight").alias("weight"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES))
+    fewer = (F.count(F.lit(1)) * (blocks + 1) <= F.sum("sent")) | (F.max("weight") > SHINGLES)
+    way = scratch.save(members.groupBy("cluster").agg(
+        F.when(blocks == 1, "one").when(fewer, "cluster").otherwise("each").alias("way")), "ways")
+    members = members.join(way, "cluster")
+    return (members.where("way = 'one'").select(F.col("cluster").alias("sig"), "cls", "comp").union(
+                placed.join(way, "cluster").where("way = 'each'").select("sig", "cls", "comp")),
+            members.where("way = 'cluster'").select("cls", "comp", F.xxhash64("cluster").alias("cluster")))
+
+
+def _open_round(opened: DataFrame, vectors: DataFrame, sets: DataFrame, scratch: Scratch, num: int,
                 den: int) -> DataFrame:
-    """Pairs (a, b), a < b, between components of one cluster that may link.
+    """Links (a, b) that join the components of each cluster.
 
-    ``opened`` has the classes (cls, comp) of open shards, ``cluster`` the
-    cluster (label) of every component (node).
+    ``opened`` has their classes (cls, comp, cluster).
     """
     level = F.floor(F.log("n") / math.log(den / num)) if num < den else F.col("n")
-    placed = scratch.save(
-        opened.join(cluster.select(F.col("node").alias("comp"), F.col("label").alias("cluster")), "comp")
-        .join(vectors.select("cls", "n"), "cls")
-        .select("cls", "comp", "cluster", "n", level.cast("int").alias("level")), "placed")
+    placed = scratch.save(opened.join(vectors.select("cls", "n"), "cls")
+                          .select("cls", "comp", "cluster", "n", level.cast("int").alias("level")), "placed")
     largest = (placed.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"))
                .groupBy("cluster").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"),
                                        F.sum("size").alias("total"))
                .select("cluster", "main", F.ceil(F.col("total") / STREAM).cast("int").alias("salts")))
-    stray = scratch.save(_dealt(placed.join(largest, "cluster").where("comp <> main"), "cluster", "level")
+    stray = scratch.save(_dealt(placed.join(largest, "cluster").where("comp <> main"), "cluster", "level",
+                                weight="n")
                          .withColumn("block", F.struct("level", "block")), "stray")
     blocks = stray.groupBy("cluster", "block", "salts").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     held = stray.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     passing = (placed.join(blocks, "cluster")
                .where((F.col("n") * den >= F.col("lo") * num) & (F.col("n") * num <= F.col("hi") * den))
                .withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")))
-    found = _searched(held.withColumn("block", F.xxhash64("block")),
-                      passing.withColumn("block", F.xxhash64("block")), vectors, num, den)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _searched(held.withColumn("block", F.xxhash64("block")), passing.withColumn("block", F.xxhash64("block")),
+                     sets, _tree_links(num, den))
 
 
 # ---- the operator -----------------------------------------------------------
@@ -525,14 +698,19 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     # open shards: small ones each in a tree, large ones contracted to components
     shards = scratch.save(_one_of_equal(open_members), "shards")
     scratch.drop(f"open-{turn}")
-    small = scratch.save(_small_round(shards.where(F.col("width") <= BLOCK), vectors, num, den), "small-pairs")
+    groups = scratch.save(_small_round(shards.where(F.col("width") <= BLOCK), vectors, num, den), "all-groups")
+    groups = scratch.save(_one_of_equal(groups).join(vectors.select("cls", "n"), "cls")
+                          .select("sig", "cls", "comp", "n"), "groups")
+    groups, joined = _merged_groups(groups, scratch)
     large = shards.where(F.col("width") > BLOCK)
     cluster = components(large.where("comp <> pivot.comp").select(
         F.col("comp").alias("a"), F.col("pivot.comp").alias("b")).distinct(), scratch, "cluster")
-    pairs = scratch.save(small.union(_open_round(large.select("cls", "comp").distinct(), cluster, vectors,
-                                                 scratch, num, den)).distinct(), "tree-pairs")
+    opened = large.select("cls", "comp").distinct().join(
+        cluster.select(F.col("node").alias("comp"), F.col("label").alias("cluster")), "comp")
+    opened = opened.select("cls", "comp", "cluster").union(joined)
     scratch.release()
-    more = scratch.save(_checked(pairs, sets, num, den), "tree-links")
+    more = scratch.save(_verified_groups(groups, sets, num, den).union(
+        _open_round(opened, vectors, sets, scratch, num, den)), "tree-links")
     label = components(links.union(more), scratch, "all")
 
     reps = classes.join(label, F.col("cls") == F.col("node"), "left").select(

@@ -150,3 +150,96 @@ def test_one_of_the_shards_with_equal_classes_stays(spark):
     members = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 11), (3, 10), (3, 12), (4, 11)], "sig long, cls long")
     got = sorted((r.sig, r.cls, r.width) for r in _one_of_equal(members).collect())
     assert got == [(1, 10, 2), (1, 11, 2), (3, 10, 2), (3, 12, 2), (4, 11, 1)]
+
+
+def near_sets(rng, n, alike):
+    """n sets of 60 shingles that share 58 in ``alike`` of three, else 54: too few for a link."""
+    base = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    out = []
+    for i in range(n):
+        keep = 58 if i % 3 < alike else 54
+        out.append(np.unique(np.concatenate([base[:keep], rng.integers(0, 2**64, 60 - keep, dtype=np.uint64)])))
+    return out
+
+
+def linked_parts(cls, sets, links=None):
+    """The classes by their parts: of all linked pairs, or of ``links``."""
+    part = {c: c for c in cls}
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    if links is None:
+        links = [(x, y) for i, (x, a) in enumerate(zip(cls, sets)) for y, b in zip(cls[:i], sets[:i])
+                 if 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))]
+    for x, y in links:
+        part[find(x)] = find(y)
+    return sorted(sorted(c for c in cls if find(c) == r) for r in cls if find(r) == r)
+
+
+def test_tasks_return_no_more_rows_than_they_read():
+    import pyarrow as pa
+
+    from contrail.llm.ngram_join import _GROUPS, _group_links, _pack, _shard_groups, _tree_links
+    rng = np.random.default_rng(6)
+    for alike in (0, 1, 3):
+        sets = near_sets(rng, 90, alike)
+        cls = list(range(100, 190))
+        expected = linked_parts(cls, sets)
+        vec = pa.array([_pack(count_vector(s)) for s in sets], pa.binary())
+        data = pa.array([s.tobytes() for s in sets], pa.binary())
+        ids, sig = pa.array(cls, pa.int64()), pa.array([-7] * 90, pa.int64())
+        shard = pa.RecordBatch.from_arrays([sig, ids, ids, vec], names=["sig", "cls", "comp", "vec"])
+        groups = pa.Table.from_batches(_shard_groups(85, 100)([shard.slice(0, 50), shard.slice(50)]), _GROUPS)
+        assert groups.num_rows <= 90 and len(set(groups.column("cls").to_pylist())) == groups.num_rows
+        by_group = dict(zip(groups.column("cls").to_pylist(), groups.column("sig").to_pylist()))
+        assert all(len({by_group[c] for c in part}) == 1 for part in expected if len(part) > 1)
+        group = pa.RecordBatch.from_arrays([sig, ids, ids, data], names=["sig", "cls", "comp", "shingles"])
+        found = [tuple(r.values()) for b in _group_links(85, 100)([group.slice(0, 50), group.slice(50)])
+                 for r in b.to_pylist()]
+        assert len(found) == 90 - len(expected) and linked_parts(cls, sets, found) == expected
+        # a tree of some, searched by all in two batches
+        names = ["cluster", "block", "salt", "streamed", "cls", "comp", "shingles"]
+        order = [*range(0, 90, 2), *range(90)]
+        key = pa.array([1] * len(order), pa.int64())
+        rows = pa.RecordBatch.from_arrays(
+            [key, key, key, pa.array([0] * 45 + [1] * 90), *[x.take(pa.array(order)) for x in (ids, ids, data)]], names=names)
+        found = [tuple(r.values()) for b in _tree_links(85, 100)([rows.slice(0, 30), rows.slice(30, 60), rows.slice(90)])
+                 for r in b.to_pylist()]
+        held = set(cls[::2])
+        pairs = [(x, y) for i, (x, a) in enumerate(zip(cls, sets)) for y, b in zip(cls, sets) if y in held and x != y
+                 and 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))]
+        assert len(found) < 90 and linked_parts(cls, sets, found) == linked_parts(cls, sets, pairs)
+
+
+def test_groups_that_share_classes(spark, monkeypatch):
+    from contrail.llm import ngram_join
+    from contrail.llm.shared import Scratch
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    shards = {1: (1, 2), 2: (2, 3), 10: (10, 11), 20: (20, 21), 21: (21, 22), 22: (20, 22), 23: (20, 21), 24: (21, 22)}
+    rows = [(s, c, c, 5) for s, found in shards.items() for c in found]
+    scratch = Scratch(spark, "test-groups")
+    groups = scratch.save(spark.createDataFrame(rows, "sig long, cls long, comp long, n long"), "groups")
+    alone, joined = ngram_join._merged_groups(groups, scratch)
+    found = {}
+    for r in alone.collect():
+        found.setdefault(r.sig, set()).add(r.cls)
+    assert sorted(map(sorted, found.values())) == [[1, 2], [2, 3], [10, 11]]
+    assert sorted(r.cls for r in joined.collect()) == [20, 21, 22]
+    assert len({r.cluster for r in joined.collect()}) == 1
+    monkeypatch.setattr(ngram_join, "SHINGLES", 8)  # a group that fits no tree
+    assert ngram_join._merged_groups(groups, scratch)[0].count() == 0
+
+
+def test_equals_all_pairs_in_small_trees(spark, monkeypatch):
+    from contrail.llm import ngram_join
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 1)
+    rows = corpus(11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows, 4, 85, 100)
+    for block, shingles in ((3, 10**6), (1024, 150)):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "SHINGLES", shingles)
+        assert sorted(map(tuple, jaccard_components(spark, docs, 4, 85, 100).collect())) == expected
