@@ -22,6 +22,10 @@ from contrail.operators.clean import require_features
 from contrail.session import stored
 
 
+# flights x weather rows up to which a request is matched row by row
+IN_PLACE = 4096
+
+
 def route_classifier(max_iter: int = 1000) -> Pipeline:
     """M8 (dashboard model): delayed yes/no from encoded carrier, origin,
     dest and distance."""
@@ -146,16 +150,48 @@ def join_request_weather(flights: DataFrame, weather: DataFrame, key: str = "req
     return j.drop("_ko", "_lo", "_do", "_kd", "_ld", "_dd")
 
 
+def match_in_requests(requests: DataFrame, key: str = "request_id") -> DataFrame:
+    """A row per flight of a request: the flight, the weather of its own request
+    row at both ends (as ``join_request_weather`` names it, the first of equal
+    keys) and ``found``: both are there. Nothing is shuffled. Rows whose arrays
+    make more than ``IN_PLACE`` pairs are left to the join: nothing is found."""
+    ms = K.WEATHER_MEASURES
+    small = F.size("flights").cast("long") * F.size("weather") <= IN_PLACE
+    rows = requests.where(F.col(key).isNotNull()).select(
+        key, F.when(small, F.col("weather")).alias("_wx"), F.inline("flights"))
+
+    def at(city):
+        return F.get(F.filter("_wx", lambda w: (w["weather_date"] == F.col("flightdate"))
+                              & (w["location_name"] == F.col(city))), F.lit(0))
+    rows = rows.withColumns({"_wo": at("origincityname"), "_wd": at("destcityname")})
+    sides = [(p, m) for p in "od" for m in ms]
+    return rows.select(
+        *[c for c in rows.columns if c not in ("_wx", "_wo", "_wd")],
+        *[F.col(f"_w{p}").getField(m).alias(f"{m}_{p}") for p, m in sides],
+        (F.col("_wo").isNotNull() & F.col("_wd").isNotNull()).alias("found"),
+    ).fillna(0.0, subset=["snow_mm_o", "snow_mm_d"])
+
+
 def predict_requests(model: PipelineModel, requests: DataFrame,
                      features: list[str] | None = None) -> DataFrame:
     """Match each request's flights to its weather (S16 and the keyed
     join), check features (P25), class and probability per flight. Raises when
-    nothing matches. The requests and the matched rows are stored: both tables
-    of the requests, the check and the scoring read them, no join runs twice."""
-    j = FT.bools_to_int(join_request_weather(*FT.explode_request(stored(requests, "requests"))))
+    nothing matches.
+
+    A request row mostly brings its flights' weather along, so it is matched
+    where it is and the rows are stored once. Only flights that lack weather
+    there are joined with the weather of all rows of their request."""
+    rows = stored(match_in_requests(requests), "matched")
+    measures = [f"{m}_{p}" for p in "od" for m in K.WEATHER_MEASURES]
+    j = rows.where("found").drop("found")
+    rest = rows.where("NOT found").drop("found", *measures)
+    if not rest.isEmpty():
+        weather = FT.explode_request(requests)[1].join(
+            stored(rest.select("request_id").distinct(), "unmatched"), "request_id", "left_semi")
+        j = j.unionByName(stored(join_request_weather(rest, weather), "joined"))
+    j = FT.bools_to_int(j)
     if features:
         require_features(j, features)
-    j = stored(j, "matched")
     if j.isEmpty():
         raise ValueError("No matching flight+weather data after merge")
     return with_probability(model.transform(j))

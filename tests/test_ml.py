@@ -1,5 +1,8 @@
+import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from contrail.functions.constants import WEATHER_MEASURES
 from contrail.ml import features as FT
 from contrail.ml import models as M
 from contrail.sources import raw as R
@@ -156,3 +159,42 @@ def test_oversampled_models_fill_by_exact_medians(spark, monkeypatch):
         except Stop:
             pass
     assert len(seen) == 4 and not any(Imputer in stages for stages in seen)
+
+
+def _requests(spark, rows):
+    """(request_id, flights as (day, from, to), weather as (city, day, measure))."""
+    measures = ", ".join(f"{m}: double" for m in WEATHER_MEASURES)
+    return spark.createDataFrame(
+        [(i, fl and [(d, o, o, to, to, 100.0, 1, 0) for d, o, to in fl],
+          wx and [(c, d, *[x if m != "snow_mm" else None for m in WEATHER_MEASURES]) for c, d, x in wx])
+         for i, fl, wx in rows],
+        "request_id long, flights array<struct<flightdate: string, origin: string, origincityname: string, "
+        "dest: string, destcityname: string, distance: double, distancegroup: int, diverted: int>>, "
+        f"weather array<struct<location_name: string, weather_date: string, {measures}>>")
+
+
+class _Constant:
+    def transform(self, df):
+        return df.withColumn("probability", array_to_vector(F.array(F.lit(0.25), F.lit(0.75))))
+
+
+def test_requests_are_matched_without_a_shuffle(spark, monkeypatch):
+    """As the join of all rows does it, also where a row lacks its weather."""
+    day, own = "2024-01-01", [("X", "2024-01-01", 1.0), ("Y", "2024-01-01", 2.0)]
+    rows = [(1, [(day, "X", "Y"), (day, "Y", "X"), (day, "X", "X")], own),
+            (2, [(day, "X", "Y")], own[:1]), (2, [(day, "Z", "Y")], own[1:]),  # Y comes with the other row
+            (2, None, own), (3, [(day, "X", "Y")], None), (3, [(None, "X", None)], own),
+            (4, [(day, "X", "Y")] * 2, own * 2), (None, [(day, "X", "Y")], own), (5, [("2024-01-02", "X", "Y")], own)]
+    requests = _requests(spark, rows)
+    cols = ["request_id", "origin", "dest", "temp_o", "temp_d", "snow_mm_o", "snow_mm_d"]
+    want = M.join_request_weather(*FT.explode_request(requests)).select(cols)
+    def bag(df):
+        return sorted(map(tuple, df.select(cols).collect()))
+
+    assert len(bag(want)) == 7 and all(r[-1] == 0.0 for r in bag(want))
+    assert bag(M.predict_requests(_Constant(), requests)) == bag(want)
+    assert "Exchange" not in M.match_in_requests(requests)._jdf.queryExecution().toString()
+    monkeypatch.setattr(M, "IN_PLACE", 4)  # the larger requests go to the join
+    assert bag(M.predict_requests(_Constant(), requests)) == bag(want)
+    with pytest.raises(ValueError, match="No matching"):
+        M.predict_requests(_Constant(), requests.where("request_id = 5"))
